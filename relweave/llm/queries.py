@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import quality_rules, sharding
+from relweave.llm import bpe, quality_rules, sharding
 from relweave.llm.common import read
 
+#: Name of an installed public vocabulary, or a path.
+VOCABULARY = "word_bpe_49k.json"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.HashTree.uniform(24)
@@ -20,4 +23,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.passes("web-1").alias("kept"), "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules)}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op6_bpe)}
