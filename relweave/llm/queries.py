@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, quality_rules, sharding
+from relweave.llm import bpe, compression, quality_rules, sharding, toxicity
 from relweave.llm.common import read
+from relweave.llm.labelled import fold
 
 #: Name of an installed public vocabulary, or a path.
 VOCABULARY = "word_bpe_49k.json"
@@ -28,4 +29,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op6_bpe)}
+def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 4) == 2
+    model = compression.fit(docs, read(spark, sf_dir, "labels"), "quality", held_out)
+    scores = compression.scored(docs, model, "text", ["doc_id"])
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", held_out)
+    found = toxicity.segments(docs, model, "text", ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("segments").cast("long").alias("n_segments"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op6_bpe, op7_compression, op9_toxicity)}
