@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, compression, quality_rules, sharding, toxicity
+from relweave.llm import bpe, compression, line_dedup, quality_rules, sharding, toxicity
 from relweave.llm.common import read
 from relweave.llm.labelled import fold
 
@@ -36,6 +36,10 @@ def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 5) == 0
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", held_out)
@@ -43,4 +47,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("segments").cast("long").alias("n_segments"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op6_bpe, op7_compression, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity)}
