@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, compression, line_dedup, quality_rules, sharding, toxicity
+from relweave.llm import bpe, compression, jaccard_join, line_dedup, quality_rules, sharding, toxicity
 from relweave.llm.common import read
 from relweave.llm.labelled import fold
 
@@ -47,4 +47,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("segments").cast("long").alias("n_segments"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}
