@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, compression, decontamination, jaccard_join, line_dedup, quality_rules, sharding, toxicity
+from relweave.llm import bpe, compression, decontamination, jaccard_join, line_dedup, quality_rules, sharding, site_templates, toxicity
 from relweave.llm.common import read
 from relweave.llm.labelled import fold
 
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -56,4 +60,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_decontamination, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_decontamination, op5_site_templates, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}
