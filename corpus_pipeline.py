@@ -1,15 +1,82 @@
-"""Stages of the corpus pipeline, filled in below as the operators arrive."""
+"""The corpus pipeline: quality rules, near-duplicate join, line dedup, decontamination, encoding.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of docs.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relweave.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
+from relweave.llm.common import read, row_key, shared_dir
+
+POLICY = "web-1"
+VOCABULARY = "word_bpe_49k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the policy. Those without text fail it for want of words."""
+    body = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text"))
+    return quality_rules.ledger(body).filter(quality_rules.passes(POLICY)).select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one that gives the group its id.
+
+    Rows that share an id and a text are a group too; one of them stays. So it
+    is for rows without an id, of which equal texts stay once.
+    """
+    found = jaccard_join.near_duplicates(docs)
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    alone = docs.join(heads.filter("doc_id IS NOT NULL AND count = 1").select("doc_id"), "doc_id", "left_semi")
+    again = heads.filter("doc_id IS NULL OR count > 1").select(F.col("doc_id").alias("_id"))
+    repeated = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(repeated).select(docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that came before; those with no word left go. n_chars follows the text."""
+    out = line_dedup.dedup(docs).filter("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    _, matches = decontamination.phrases(docs, read(spark, sf_dir, "benchmark"))
+    keyed = docs.withColumn("_key", row_key())
+    return keyed.join(matches.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and the digests of ids and of the decoded text."""
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", line_dedup_stage),
+    ("benchmark_decontamination", decontaminate),
+    ("bpe_encoding", encode),
+]
 
-STAGES: list = []
+#: The rows of run() depend on a tokenizer, which SQL can't express; tests hold them against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Applies STAGES to documents, each written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
