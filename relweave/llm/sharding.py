@@ -3,9 +3,10 @@
 A row descends region, rack and shard. At every level each child draws
 -ln(u) / weight, where u is a hash of (key, level, child) mapped into (0, 1);
 the smallest draw wins, so a child is taken with probability weight / sum of
-weights. A child's draw depends on that child alone: changing the weight of one
-subtree moves rows only into it (weight raised) or out of it (weight lowered),
-and within a subtree whose weights stay the same nothing moves.
+weights. A child's draw depends on that child alone: when a weight changes, each
+level moves rows only into the child that holds it (weight raised) or out of
+it (weight lowered), and within a subtree whose weights stay the same nothing
+moves but what enters or leaves it.
 
 Law: `key`. The key and the tree decide, rows with equal keys (null is a key
 too) share a shard. `grow` brings a new shard as a region of its own, which

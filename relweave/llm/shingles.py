@@ -53,7 +53,7 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     n = len(words)
     rolled = np.zeros(n, dtype=np.uint64)
     for k in range(WIDTH):
-        rolled[: n - k] += words[k:] * _PLACE[k]
+        rolled[: max(0, n - k)] += words[k:] * _PLACE[k]
     rolled = _mix(rolled)
     for a, b in zip(firsts[:-1], firsts[1:], strict=True):
         count = b - a
