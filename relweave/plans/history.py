@@ -26,7 +26,7 @@ def checksum(text: Column) -> Column:
 
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     """filename, text of the migrations in a folder and in repeatable/ below it."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     name = F.regexp_extract(path, r"((?:repeatable/.*)?[^/]*)$", 1)
     return files.select(F.when(path.contains("/repeatable/"), F.concat(F.lit("repeatable/"), F.regexp_extract(path, "/repeatable/(.*)$", 1))).otherwise(name).alias("filename"), F.col("value").alias("text")).filter(~F.col("filename").rlike(_NOT_MIGRATIONS))

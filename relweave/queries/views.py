@@ -93,8 +93,8 @@ def customer_brand_info(spark, d):
 def rewards_report(spark, d):
     """Customers who bought often and much in the twelve full months before the last order's month."""
     orders = table(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
-    last = orders.agg(F.date_trunc("month", F.max("o_orderdate")).alias("last"))
-    bought = orders.crossJoin(F.broadcast(last)).filter(F.to_date("o_orderdate").between(F.add_months("last", -12), F.date_sub("last", 1)))  # one row: the month
+    last = orders.agg(F.date_trunc("month", F.max("o_orderdate"))).scalar()
+    bought = orders.filter(F.to_date("o_orderdate").between(F.add_months(last, -12), F.date_sub(last, 1)))
     rich = bought.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("n")).filter("spent > 100000 AND n > 1")
     return table(spark, d, "customer").join(rich, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 

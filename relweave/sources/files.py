@@ -77,7 +77,7 @@ def dump(tables: Mapping[str, DataFrame], catalog: Catalog, path: str, **options
 
 def load(spark: SparkSession, path: str, **options) -> tuple[Catalog, dict[str, DataFrame]]:
     """The catalog and tables of a dumped folder."""
-    catalog = Catalog.from_json(spark.read.option("wholetext", True).text(f"{path}/catalog.json").first()[0].rstrip("\x00"))
+    catalog = Catalog.from_json(spark.read.text(f"{path}/catalog.json", wholetext=True).first()[0].rstrip("\x00"))
     return catalog, {t.name: read_csv(spark, f"{path}/{t.name}.csv", fields_of(t), **options) for t in catalog.tables if not t.ignore}
 
 
