@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, compression, decontamination, jaccard_join, line_dedup, quality_rules, sharding, site_templates, toxicity
+from relweave.llm import bpe, compression, decontamination, jaccard_join, line_dedup, quality_rules, sharding, site_templates, toxicity, warc
 from relweave.llm.common import read
 from relweave.llm.labelled import fold
 
 #: Name of an installed public vocabulary, or a path.
 VOCABULARY = "word_bpe_49k.json"
+#: Date of the responses that op3 makes of pages, which have none.
+CAPTURED = "2024-01-01T00:00:00Z"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.passes("web-1").alias("kept"), "fail_bits")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(read(spark, sf_dir, "pages"), CAPTURED))
+    return records.select("page_id", "type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", F.length("block").cast("long").alias("content_length"), F.col("block").cast("string").alias("block"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -60,4 +67,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_decontamination, op5_site_templates, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_warc, op4_decontamination, op5_site_templates, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}
