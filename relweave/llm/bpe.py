@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each of a worker's caches, which are emptied when full.
-CACHE = 300_000
+CACHE = 100_000
 #: Documents of one returned Arrow batch.
 BATCH = 256
 
@@ -50,7 +50,7 @@ class ForcedBoundaryBpe:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.ending = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix)
+        self.ending = self.whole.model
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)
         self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"]))
         self.tokens = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}

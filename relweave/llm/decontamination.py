@@ -3,11 +3,12 @@
 1. Frequencies of the benchmark's terms are counted over all documents.
 2. Of every window of an item the two rarest terms are its probes; a window with
    a term that no document has can't occur.
-3. Postings (document, term, position) of the probes are stored for all
-   documents. Shifted by the probe's offset in its item they meet at the place
-   where the item would begin: two probes at one place make a candidate.
-4. For the candidates' documents alone, the postings of all item terms are
-   intersected, offset by offset; runs of a window's length are exact matches.
+3. Postings (document, term, position) of the benchmark's terms are stored for
+   all documents that have a probe. The probes' postings, shifted by their
+   offset in the item, meet at the place where the item would begin: two probes
+   at one place make a candidate.
+4. For the candidates' documents the postings of all item terms are intersected,
+   offset by offset; runs of a window's length are exact matches.
 
 Proximity matches ask in step 3 for several probes within a slop of one place.
 """
@@ -70,9 +71,12 @@ def frequencies(docs: DataFrame, wanted: Wanted) -> DataFrame:
     return wanted.joined(found.groupBy("term").agg(F.sum("freq").alias("freq")))
 
 
-def postings(docs: DataFrame, wanted: Wanted) -> tuple[DataFrame, DataFrame]:
-    """From docs(key, body): (key, n_words) per row, and (key, term, pos) of the wanted terms. Stored once; both read from it."""
-    sent = wanted.sent
+def postings(docs: DataFrame, wanted: Wanted, gate: Wanted) -> tuple[DataFrame, DataFrame]:
+    """From docs(key, body): the columns and n_words per row, and (key, term, pos) of the wanted terms in documents with a term of the gate.
+
+    Stored once; both read from it.
+    """
+    sent, opens = wanted.sent, gate.sent
     keep = [c for c in docs.columns if c != "body"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "body"), "n_words bigint, hits array<struct<term:binary,pos:int>>"])
     hit_type = pa.list_(pa.struct([("term", pa.binary()), ("pos", pa.int32())]))
@@ -83,7 +87,8 @@ def postings(docs: DataFrame, wanted: Wanted) -> tuple[DataFrame, DataFrame]:
             for body in batch.column("body").to_pylist():
                 words = terms(body)
                 counts.append(len(words))
-                hits.append([{"term": w, "pos": i} for i, w in enumerate(words) if not sent or w in sent.value])
+                closed = opens is not None and opens.value.isdisjoint(words)
+                hits.append([] if closed else [{"term": w, "pos": i} for i, w in enumerate(words) if not sent or w in sent.value])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(hits, hit_type)], [*keep, "n_words", "hits"])
 
     stored = staged(docs.mapInArrow(run, schema), "postings")
@@ -136,11 +141,10 @@ def phrases(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
     bodies = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text).alias("key"), F.col(text).cast("binary").alias("body"))
     vocabulary = Wanted(words)
     rare = staged(probes(words, frequencies(bodies, vocabulary), window), "probes")
-    base, found = postings(bodies, Wanted(rare))
-    places = staged(candidates(found, rare), "places")
+    base, index = postings(bodies, vocabulary, Wanted(rare))
+    places = staged(candidates(index, rare), "places")
 
-    there = bodies.select("key", "body").join(places.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    _, index = postings(there, vocabulary)
+    index = index.join(places.select("key").distinct(), "key", "left_semi")
     wanted = places.join(words, "entry").withColumn("pos", F.col("place") + F.col("off"))
     met = wanted.join(index, ["key", "term", "pos"]).groupBy("key", "entry", "place").agg(F.sort_array(F.collect_set("off")).alias("offs"), F.max("n").alias("n"))
     size = F.least(F.lit(window), F.col("n"))

@@ -5,16 +5,18 @@ own order is the global order of shingles. Documents with equal sets form a
 class; only classes are compared.
 
 Prefixes. Two sets with Jaccard similarity of 3/4 or more share at least
-f = 1 + n // 16 of their first n - ceil(3n/4) + f elements, n being the smaller
+f = 1 + n // SLACK of their first n - ceil(3n/4) + f elements, n being the smaller
 one's size. A class whose prefix has too few elements that any other prefix has
-links with nothing and drops out; of the others only the rarest prefix elements
-that a partner can't all miss are kept.
+links with nothing and drops out. Of the others the whole sets are held against
+each other: a class with fewer than ceil(3n/4) shared elements drops out too,
+and of the rest only the rarest shared elements that a partner can't all miss
+are kept.
 
 Candidates. Classes meet in the lists of kept elements. First every list sends
 its members to one leader of the list, which joins groups of copies into
 components at a cost linear in the lists; then members of different components
-that still share a list are compared with each other, so no link between
-components is missed.
+that still share as many lists as similar sets must are compared with each
+other, so no link between components is missed.
 
 Overlaps. The global order is cut into FRAGMENTS ranges. Each candidate pair's
 overlap is counted range by range and summed per pair.
@@ -34,6 +36,8 @@ from relweave.llm.components import components
 from relweave.llm.shingles import shingle_sets
 
 FRAGMENTS = 8
+#: A prefix is longer than it must be by the SLACK-th part of the set, and so demands as many shared elements more.
+SLACK = 8
 #: Rounds in which lists send their members to a leader, each with leaders drawn anew.
 LEADER_ROUNDS = 2
 #: Bytes of text hashed at once.
@@ -46,7 +50,7 @@ def needed(n):
 
 
 def slack(n):
-    return 1 + n // 16
+    return 1 + n // SLACK
 
 
 def prefix_length(n: int) -> int:
@@ -72,28 +76,40 @@ def _sets(batches: Iterator[pa.RecordBatch], body: str) -> Iterator[tuple[pa.Rec
 
 
 def _lists(arrays: list) -> pa.Array:
-    """int64 lists from numpy arrays, None for a missing one."""
-    ends = np.cumsum([0 if a is None else len(a) for a in arrays])
-    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.array([*(a is None for a in arrays), False]))
-    parts = [a for a in arrays if a is not None]
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+    """int64 lists from numpy arrays."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int64()))
 
 
 def describe(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, sig (null for an empty set), n, prefix (of the first document of a class in each task, else null)."""
+    """doc_id, sig (null for an empty set), n."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for part, sets in _sets(batches, "body"):
             sigs = [_signature(s) if len(s) else None for s in sets]
-            prefixes = []
-            for sig, s in zip(sigs, sets, strict=True):
-                prefixes.append(None if sig is None or sig in seen else s[: prefix_length(len(s))])
-                seen.add(sig)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(prefixes)], ["doc_id", "sig", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "sig", "n"])
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, sig bigint, n bigint")
+
+
+def prefix_rows(docs: DataFrame, text: str) -> DataFrame:
+    """(h, sig) of the prefixes. A task gives each class once, so a group of copies costs a row per task, not per copy."""
+    source = docs.select(F.col(text).cast("binary").alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, sets in _sets(batches, "body"):
+            sigs, prefixes = [], []
+            for s in sets:
+                if len(s) and (sig := _signature(s)) not in seen:
+                    seen.add(sig)
+                    prefixes.append(s[: prefix_length(len(s))])
+                    sigs.append(np.full(len(prefixes[-1]), sig))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.concatenate(sigs))], ["h", "sig"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, sig bigint, n bigint, prefix array<bigint>")
+    return source.mapInArrow(run, "h bigint, sig bigint")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -127,28 +143,44 @@ def _shared(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "h bigint, sig bigint, df bigint")
 
 
-def kept_elements(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(h, sig, n): per class that may have a partner, the rarest shared elements of its prefix that a partner can't all miss."""
-    shared = _shared(prefixes)
-    col = lambda n: F.expr(n)
-    # A partner has ceil(3n/4) elements at least, so shares slack(ceil(3n/4)) of the prefix.
-    least = col("1 + floor(floor((3 * n + 3) / 4) / 16)")
+def _counted(shared: DataFrame) -> DataFrame:
+    """sig, c: the number of shared elements of each sig, added up before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, counts = np.unique(batch.column("sig").to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(counts.astype(np.int64))], ["sig", "c"])
+
+    return shared.select("sig").mapInArrow(run, "sig bigint, c bigint").groupBy("sig").agg(F.sum("c").alias("c"))
+
+
+def survivors(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """classes whose prefixes leave room for a partner: it has ceil(3n/4) elements at least, so shares slack(ceil(3n/4))."""
+    counts = _counted(_shared(prefixes))
+    return classes.join(counts, "sig").filter(f"c >= 1 + floor(floor((3 * n + 3) / 4) / {SLACK})").drop("c")
+
+
+def kept_elements(classes: DataFrame, elements: DataFrame) -> DataFrame:
+    """(h, sig, n): of each set with ceil(3n/4) shared elements or more the rarest ones, as many as a partner can't all miss."""
+    shared = _shared(elements)
     per = shared.groupBy("sig").agg(F.collect_list(F.struct("df", "h")).alias("e")).join(classes.select("sig", "n"), "sig")
-    per = per.withColumn("keep", F.size("e") - least + 1).filter("keep > 0")
+    per = per.withColumn("keep", F.size("e") - F.expr("floor((3 * n + 3) / 4)") + 1).filter("keep > 0")
     return per.select("sig", "n", F.explode(F.slice(F.sort_array("e"), F.lit(1), F.col("keep").cast("int"))).alias("x")).select("x.h", "sig", "n")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(sig, frag, part): the sets of the wanted (doc_id, sig), cut into FRAGMENTS ranges of the global order."""
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("body")).join(wanted.select("doc_id"), "doc_id", "left_semi")
+    """(sig, frag, part): the sets of the wanted documents, cut into FRAGMENTS ranges of the global order. Repeated rows may give a set again."""
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("body")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("body")
     bounds = np.array([-(1 << 63) + i * (1 << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, sets in _sets(batches, "body"):
             sigs, frags, parts = [], [], []
             for s in sets:
-                if len(s):
-                    sig = _signature(s)
+                if len(s) and (sig := _signature(s)) not in seen:
+                    seen.add(sig)
                     for f, piece in enumerate(np.split(s, np.searchsorted(s, bounds))):
                         if len(piece):
                             sigs.append(sig)
@@ -173,9 +205,11 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             po, qo = p.offsets.to_numpy(), q.offsets.to_numpy()
             for i in range(batch.num_rows):
                 counts.append(len(np.intersect1d(pv[po[i] : po[i + 1]], qv[qo[i] : qo[i + 1]], assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(counts, pa.int64())], ["x", "y", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), batch.column("frag"), pa.array(counts, pa.int64())], ["x", "y", "frag", "part"])
 
-    return both.select("x", "y", "p", "q").mapInArrow(run, "x bigint, y bigint, part bigint").groupBy("x", "y").agg(F.sum("part").alias("overlap"))
+    # A set that came twice counts a fragment twice: once is right.
+    counted = both.select("x", "y", "frag", "p", "q").mapInArrow(run, "x bigint, y bigint, frag int, part bigint")
+    return counted.groupBy("x", "y", "frag").agg(F.max("part").alias("part")).groupBy("x", "y").agg(F.sum("part").alias("overlap"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -189,6 +223,17 @@ def _labelled(kept: DataFrame, labels: DataFrame) -> DataFrame:
     return kept.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
+def _enough(x: str, y: str, met: str) -> Column:
+    """Whether two sets that meet in `met` of their kept elements may be similar.
+
+    All elements that they share and that come before either's last kept one
+    are kept by both; after it the one whose last kept comes first has
+    ceil(3n/4) - 1 shared elements left. So met + that must reach 3/7 of both sizes.
+    """
+    left = F.floor((3 * F.greatest(x, y) + 3) / 4) - 1
+    return 7 * (F.col(met) + left) >= 3 * (F.col(x) + F.col(y))
+
+
 def _alike(a: str, b: str) -> Column:
     """Sizes that allow a similarity of 3/4."""
     return (4 * F.least(a, b) >= 3 * F.greatest(a, b))
@@ -197,10 +242,9 @@ def _alike(a: str, b: str) -> Column:
 def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """classes (sig, n, doc_id: the least of the class) and components (node, component) over sigs that link with others."""
     classes = staged(described.filter("sig IS NOT NULL").groupBy("sig").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
-    prefixes = described.filter("prefix IS NOT NULL").select(F.explode("prefix").alias("h"), "sig")
-    kept = staged(kept_elements(classes, prefixes), "kept")
-    wanted = classes.join(kept.select("sig").distinct(), "sig", "left_semi")
+    wanted = staged(survivors(classes, prefix_rows(docs, text)), "wanted")
     sets = staged(_full_sets(docs, wanted, id_col, text), "sets")
+    kept = staged(kept_elements(wanted, sets.select(F.explode("part").alias("h"), "sig")), "kept")
 
     found = None
     labels = classes.limit(0).select(F.col("sig").alias("node"), F.col("sig").alias("component"))
@@ -222,7 +266,8 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tupl
     mixed = seen.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h")
     rest = seen.join(mixed, "h", "left_semi")
     other = rest.select("h", F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    pairs = rest.withColumnRenamed("sig", "x").join(other, "h").filter((F.col("component") < F.col("c_y")) & _alike("n", "n_y")).select("x", "y").distinct()
+    pairs = rest.withColumnRenamed("sig", "x").join(other, "h").filter((F.col("component") < F.col("c_y")) & _alike("n", "n_y"))
+    pairs = pairs.groupBy("x", "y", "n", "n_y").agg(F.count("*").alias("met")).filter(_enough("n", "n_y", "met")).select("x", "y")
     found = found.unionByName(_links(pairs, sets, classes))
     return classes, components(found)
 

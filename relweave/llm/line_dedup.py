@@ -45,21 +45,22 @@ def units(text: bytes) -> Iterator[tuple[int, int, int, int | None, int | None]]
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """One row (doc, hi, lo) per document and different digest."""
+    """One row (doc, print, hi, lo) per document and different digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 part = whole.slice(start, BATCH)
-                ids, high, low = [], [], []
-                for doc, body in zip(part.column("doc").to_pylist(), part.column("body").to_pylist(), strict=True):
+                at, high, low = [], [], []
+                for i, body in enumerate(part.column("body").to_pylist()):
                     seen = {(h, x) for *_, h, x in units(body) if h is not None}
-                    ids += [doc] * len(seen)
+                    at += [i] * len(seen)
                     high += [h for h, _ in seen]
                     low += [x for _, x in seen]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, high, low)], ["doc", "hi", "lo"])
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("print").take(at), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc", "print", "hi", "lo"])
 
-    return docs.mapInArrow(run, "doc bigint, hi bigint, lo bigint")
+    return docs.mapInArrow(run, "doc bigint, print bigint, hi bigint, lo bigint")
 
 
 def rebuild(text: bytes, gone: frozenset[int]) -> tuple[bytes, int, list[dict]]:
@@ -100,10 +101,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     new = ("n_units", "n_removed", "removed")
     docs = docs.drop(*new)
     rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
-    found = _digests(docs.filter(F.col(text).isNotNull()).select(rank.alias("doc"), F.col(text).cast("binary").alias("body")))
+    # The text's hash stands beside the rank, so that rows without an id, or of one id, aren't gathered in one group.
+    print_ = F.xxhash64(F.col(text))
+    found = _digests(docs.filter(F.col(text).isNotNull()).select(rank.alias("doc"), print_.alias("print"), F.col(text).cast("binary").alias("body")))
     first = found.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    gone = found.join(first.drop("last"), ["hi", "lo"]).filter("doc > first").groupBy("doc").agg(F.collect_set("hi").alias("_gone"))
-    joined = docs.withColumn("_rank", rank).join(gone.withColumnRenamed("doc", "_rank"), "_rank", "left").drop("_rank")
+    gone = found.join(first.drop("last"), ["hi", "lo"]).filter("doc > first").groupBy(F.col("doc").alias("_rank"), F.col("print").alias("_print")).agg(F.collect_set("hi").alias("_gone"))
+    joined = docs.withColumn("_rank", rank).withColumn("_print", print_).join(gone, ["_rank", "_print"], "left").drop("_rank", "_print")
     joined = joined.withColumn(text, F.col(text).cast("binary"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString() if f.name != text else 'string'}" for f in joined.schema.fields if f.name != "_gone"), "n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"])
     names = [c for c in joined.columns if c != "_gone"]

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: A subtree is template if it stands on so many different pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Parts into which the pages of a host are dealt when they meet their host's templates.
+SALTS = 32
 BATCH = 256
 
 # Element names of HTML.
@@ -233,7 +235,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars", "host", "template")]
     source = pages.select(*[F.col(c) for c in keep], host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    joined = source.join(templates(source.select("host", "html")), "host", "left").drop("host")
+    # Templates are few per host, so each of a host's salts gets them: a host with a third of all pages is dealt to SALTS tasks.
+    salted = source.withColumn("_salt", F.pmod(F.xxhash64(*keep, F.length("html")), F.lit(SALTS)).cast("int"))
+    found = templates(source.select("host", "html")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(found, ["host", "_salt"], "left").drop("host", "_salt")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("html", "template")), "text string, n_chars bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

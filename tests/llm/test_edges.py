@@ -125,6 +125,17 @@ def test_jaccard_join(docs, none):
     assert jaccard_join.near_duplicates(none).collect() == []
 
 
+def test_jaccard_join_of_repeated_rows_and_missing_ids(spark):
+    """A set that comes twice isn't counted twice; rows without an id link like others."""
+    words = [f"w{i}" for i in range(64)]
+    far, near = " ".join(words[:50] + ["x"] * 14), " ".join([*words[:62], "y", "z"])  # 46 of 74, and 58 of 62 shingles shared
+    base = " ".join(words)
+    rows = [(20, base)] * 5 + [(21, far)] * 5 + [(None, near), (None, near), (None, "nothing like the others at all here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == [(0, 0), (0, 20), (0, 20), *[(20, 20)] * 5, *[(21, 21)] * 5]
+
+
 @pytest.mark.parametrize("label", ["quality", "toxic"])
 def test_classifiers(docs, none, labels, label):
     held_out = fold("doc_id", 4) == 2
