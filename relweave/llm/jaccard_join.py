@@ -8,15 +8,16 @@ Prefixes. Two sets with Jaccard similarity of 3/4 or more share at least
 f = 1 + n // SLACK of their first n - ceil(3n/4) + f elements, n being the smaller
 one's size. A class whose prefix has too few elements that any other prefix has
 links with nothing and drops out. Of the others the whole sets are held against
-each other: a class with fewer than ceil(3n/4) shared elements drops out too,
-and of the rest only the rarest shared elements that a partner can't all miss
-are kept.
+each other: a class with fewer shared elements than its smallest possible partner asks for
+drops out too, and of the rest only the rarest shared elements that a partner
+can't all miss are kept.
 
 Candidates. Classes meet in the lists of kept elements. First every list sends
 its members to one leader of the list, which joins groups of copies into
 components at a cost linear in the lists; then members of different components
-that still share as many lists as similar sets must are compared with each
-other, so no link between components is missed.
+that still share as many lists as similar sets must, and have shared elements
+enough for their sizes, are compared with each other, so no link between
+components is missed.
 
 Overlaps. The global order is cut into FRAGMENTS ranges. Each candidate pair's
 overlap is counted range by range and summed per pair.
@@ -38,6 +39,8 @@ from relweave.llm.shingles import shingle_sets
 FRAGMENTS = 8
 #: A prefix is longer than it must be by the SLACK-th part of the set, and so demands as many shared elements more.
 SLACK = 8
+#: Of a set's shared elements the KEPT_SLACK-th part of its size are kept beyond what a partner must meet once.
+KEPT_SLACK = 24
 #: Rounds in which lists send their members to a leader, each with leaders drawn anew.
 LEADER_ROUNDS = 2
 #: Bytes of text hashed at once.
@@ -113,34 +116,37 @@ def prefix_rows(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows (h, sig), each once, those whose h has other sigs too, with the number of them (df). Streams over sorted partitions."""
+    """Of rows (h, sig, n), each once, those whose h has other sigs too, with the number of them (df) and the least of their n. Streams over sorted partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(h: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        def flush(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            if not len(h):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names)
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
-            h, s = h[new], s[new]
+            h, s, n = h[new], s[new], n[new]
             edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-            df = np.repeat(np.diff(edges), np.diff(edges))
+            df, least = (np.repeat(x, np.diff(edges)) for x in (np.diff(edges), np.minimum.reduceat(n, edges[:-1])))
             kept = df > 1
-            return pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(s[kept]), pa.array(df[kept].astype(np.int64))], ["h", "sig", "df"])
+            return pa.RecordBatch.from_arrays([pa.array(x[kept].astype(np.int64)) for x in (h, s, n, df, least)], names)
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last h seen, which the next batch may continue
+        names = ["h", "sig", "n", "df", "least"]
+        held: list[tuple[np.ndarray, ...]] = []  # the last h seen, which the next batch may continue
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, s = (batch.column(c).to_numpy() for c in ("h", "sig"))
-            held.append((h, s))
+            h, s, n = (batch.column(c).to_numpy() for c in ("h", "sig", "n"))
+            held.append((h, s, n))
             if h[0] == h[-1] and held[0][0][0] == h[0]:
                 continue
-            h, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(h, h[-1]))
-            yield flush(h[:cut], s[:cut])
-            held = [(h[cut:], s[cut:])]
+            yield flush(h[:cut], s[:cut], n[:cut])
+            held = [(h[cut:], s[cut:], n[cut:])]
         if held:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = rows.repartition("h").sortWithinPartitions("h", "sig")
-    return dealt.mapInArrow(run, "h bigint, sig bigint, df bigint")
+    return dealt.mapInArrow(run, "h bigint, sig bigint, n bigint, df bigint, least bigint")
 
 
 def _counted(shared: DataFrame) -> DataFrame:
@@ -156,20 +162,32 @@ def _counted(shared: DataFrame) -> DataFrame:
 
 def survivors(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """classes whose prefixes leave room for a partner: it has ceil(3n/4) elements at least, so shares slack(ceil(3n/4))."""
-    counts = _counted(_shared(prefixes))
+    counts = _counted(_shared(prefixes.withColumn("n", F.lit(0))))
     return classes.join(counts, "sig").filter(f"c >= 1 + floor(floor((3 * n + 3) / 4) / {SLACK})").drop("c")
 
 
-def kept_elements(classes: DataFrame, elements: DataFrame) -> DataFrame:
-    """(h, sig, n): of each set with ceil(3n/4) shared elements or more the rarest ones, as many as a partner can't all miss."""
-    shared = _shared(elements)
-    per = shared.groupBy("sig").agg(F.collect_list(F.struct("df", "h")).alias("e")).join(classes.select("sig", "n"), "sig")
-    per = per.withColumn("keep", F.size("e") - F.expr("floor((3 * n + 3) / 4)") + 1).filter("keep > 0")
-    return per.select("sig", "n", F.explode(F.slice(F.sort_array("e"), F.lit(1), F.col("keep").cast("int"))).alias("x")).select("x.h", "sig", "n")
+def kept_elements(elements: DataFrame) -> DataFrame:
+    """(h, sig, n, c, left, weight) from (h, sig, n): of each set the rarest shared elements, more than a partner can miss.
+
+    c: how many elements the set shares with any other, which bounds its overlap
+    with each. A partner stands in ceil(3n/4) of its c lists or more, so has no
+    fewer elements than the ceil(3n/4)-th smallest of the lists' least members;
+    that size says how many elements the two must share at least. left: shared
+    elements that aren't kept. weight: the mean length of the set's lists, which
+    is greatest for the set in the middle of a group of near copies.
+    """
+    per = _shared(elements).groupBy("sig").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h", "least")).alias("e"))
+    per = per.withColumn("c", F.size("e").cast("long")).withColumn("fewest", F.expr("floor((3 * n + 3) / 4)").cast("int")).filter("c >= fewest")
+    partner = F.get(F.array_sort(F.transform("e", lambda x: x["least"])), F.col("fewest") - 1)
+    per = per.withColumn("need", F.greatest(F.col("fewest").cast("long"), F.floor((3 * (F.col("n") + partner) + 6) / 7))).filter("c >= need")
+    per = per.withColumn("left", F.greatest(F.col("need") - 1 - F.floor(F.col("n") / KEPT_SLACK), F.lit(0)))
+    per = per.withColumn("weight", F.floor(F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["df"]) * 16 / F.col("n")))
+    rarest = F.slice(F.sort_array(F.transform("e", lambda x: F.struct(x["df"], x["h"]))), F.lit(1), (F.col("c") - F.col("left")).cast("int"))
+    return per.select("sig", "n", "c", "left", "weight", F.explode(rarest).alias("x")).select("x.h", "sig", "n", "c", "left", "weight")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(sig, frag, part): the sets of the wanted documents, cut into FRAGMENTS ranges of the global order. Repeated rows may give a set again."""
+    """(sig, n, frag, part): the sets of the wanted documents, cut into FRAGMENTS ranges of the global order. Repeated rows may give a set again."""
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("body")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("body")
     bounds = np.array([-(1 << 63) + i * (1 << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], dtype=np.int64)
@@ -177,19 +195,20 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches, "body"):
-            sigs, frags, parts = [], [], []
+            sigs, sizes, frags, parts = [], [], [], []
             for s in sets:
                 if len(s) and (sig := _signature(s)) not in seen:
                     seen.add(sig)
                     for f, piece in enumerate(np.split(s, np.searchsorted(s, bounds))):
                         if len(piece):
                             sigs.append(sig)
+                            sizes.append(len(s))
                             frags.append(f)
                             parts.append(piece)
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(frags, pa.int32()), _lists(parts)], ["sig", "frag", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(frags, pa.int32()), _lists(parts)], ["sig", "n", "frag", "part"])
 
-    return chosen.mapInArrow(run, "sig bigint, frag int, part array<bigint>")
+    return chosen.mapInArrow(run, "sig bigint, n int, frag int, part array<bigint>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,20 +242,25 @@ def _labelled(kept: DataFrame, labels: DataFrame) -> DataFrame:
     return kept.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
 
-def _enough(x: str, y: str, met: str) -> Column:
+def _enough() -> Column:
     """Whether two sets that meet in `met` of their kept elements may be similar.
 
     All elements that they share and that come before either's last kept one
-    are kept by both; after it the one whose last kept comes first has
-    ceil(3n/4) - 1 shared elements left. So met + that must reach 3/7 of both sizes.
+    are kept by both; after it the one whose last kept comes first has `left`
+    shared elements. So met + that must reach 3/7 of both sizes.
     """
-    left = F.floor((3 * F.greatest(x, y) + 3) / 4) - 1
-    return 7 * (F.col(met) + left) >= 3 * (F.col(x) + F.col(y))
+    return 7 * (F.col("met") + F.greatest("left", "left_y")) >= 3 * (F.col("n") + F.col("n_y"))
+
+
+def _alike(n: str, c: str, n_other: str, c_other: str) -> Column:
+    """Sizes and numbers of shared elements that allow a similarity of 3/4: the overlap reaches 3/7 of both sizes, and neither set's c is below it."""
+    return (4 * F.least(n, n_other) >= 3 * F.greatest(n, n_other)) & (7 * F.least(c, c_other) >= 3 * (F.col(n) + F.col(n_other)))
 
 
-def _alike(a: str, b: str) -> Column:
-    """Sizes that allow a similarity of 3/4."""
-    return (4 * F.least(a, b) >= 3 * F.greatest(a, b))
+def _rank(turn: int) -> Column:
+    """Leaders are the sets of least rank: in the first round the weightiest, later ones drawn by a hash."""
+    drawn = F.xxhash64("sig", F.lit(turn))
+    return drawn if turn else F.pmod(drawn, F.lit(1 << 20)) - F.col("weight") * (1 << 20)
 
 
 def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -244,18 +268,18 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tupl
     classes = staged(described.filter("sig IS NOT NULL").groupBy("sig").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
     wanted = staged(survivors(classes, prefix_rows(docs, text)), "wanted")
     sets = staged(_full_sets(docs, wanted, id_col, text), "sets")
-    kept = staged(kept_elements(wanted, sets.select(F.explode("part").alias("h"), "sig")), "kept")
+    kept = staged(kept_elements(sets.select(F.explode("part").alias("h"), "sig", "n")), "kept")
 
     found = None
     labels = classes.limit(0).select(F.col("sig").alias("node"), F.col("sig").alias("component"))
     for turn in range(LEADER_ROUNDS):
-        rank = F.xxhash64("sig", F.lit(turn))
+        rank = _rank(turn)
         seen = _labelled(kept, labels)
         # The leader of a list: the least rank, packed for a combining aggregate with the sig and size it stands for.
         leader = seen.groupBy("h").agg(F.min(rank).alias("rank"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h", "rank")
         led = seen.withColumn("rank", rank).join(leader.withColumnRenamed("rank", "lead"), "h")
-        heads = led.filter("rank = lead").select("h", F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-        pairs = led.filter("rank <> lead").join(heads, "h").filter((F.col("component") != F.col("c_x")) & _alike("n", "n_x"))
+        heads = led.filter("rank = lead").select("h", F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"), F.col("component").alias("component_x"))
+        pairs = led.filter("rank <> lead").join(heads, "h").filter((F.col("component") != F.col("component_x")) & _alike("n", "c", "n_x", "c_x"))
         # Of a member's leaders the one it shares most lists with.
         pairs = pairs.groupBy("sig", "x").count().groupBy("sig").agg(F.max_by("x", F.struct("count", "x")).alias("x")).select("x", F.col("sig").alias("y"))
         new = staged(_links(pairs, sets, classes), "near")
@@ -263,11 +287,12 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tupl
         labels = components(found)
 
     seen = staged(_labelled(kept, labels), "labelled")
-    mixed = seen.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h")
-    rest = seen.join(mixed, "h", "left_semi")
-    other = rest.select("h", F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    pairs = rest.withColumnRenamed("sig", "x").join(other, "h").filter((F.col("component") < F.col("c_y")) & _alike("n", "n_y"))
-    pairs = pairs.groupBy("x", "y", "n", "n_y").agg(F.count("*").alias("met")).filter(_enough("n", "n_y", "met")).select("x", "y")
+    mixed = seen.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least")).filter("c0 <> c1").select("h", "least")
+    # Without a set in the list small enough for its c, a member has no partner there.
+    rest = seen.join(mixed, "h").filter("7 * c >= 3 * (n + least)").select("h", "sig", "n", "c", "left", "component")
+    other = rest.select("h", F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"), F.col("left").alias("left_y"), F.col("component").alias("component_y"))
+    pairs = rest.withColumnRenamed("sig", "x").join(other, "h").filter((F.col("component") < F.col("component_y")) & _alike("n", "c", "n_y", "c_y"))
+    pairs = pairs.groupBy("x", "y", "n", "n_y", "left", "left_y").agg(F.count("*").alias("met")).filter(_enough()).select("x", "y")
     found = found.unionByName(_links(pairs, sets, classes))
     return classes, components(found)
 
