@@ -39,8 +39,8 @@ from relweave.llm.shingles import shingle_sets
 FRAGMENTS = 8
 #: A prefix is longer than it must be by the SLACK-th part of the set, and so demands as many shared elements more.
 SLACK = 8
-#: Of a set's shared elements the KEPT_SLACK-th part of its size are kept beyond what a partner must meet once.
-KEPT_SLACK = 24
+#: Times that sets without shared elements enough are dropped; each time what the rest shared with them alone counts no more.
+PASSES = 2
 #: Rounds in which lists send their members to a leader, each with leaders drawn anew.
 LEADER_ROUNDS = 2
 #: Bytes of text hashed at once.
@@ -166,21 +166,29 @@ def survivors(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     return classes.join(counts, "sig").filter(f"c >= 1 + floor(floor((3 * n + 3) / 4) / {SLACK})").drop("c")
 
 
-def kept_elements(elements: DataFrame) -> DataFrame:
-    """(h, sig, n, c, left, weight) from (h, sig, n): of each set the rarest shared elements, more than a partner can miss.
-
-    c: how many elements the set shares with any other, which bounds its overlap
-    with each. A partner stands in ceil(3n/4) of its c lists or more, so has no
-    fewer elements than the ceil(3n/4)-th smallest of the lists' least members;
-    that size says how many elements the two must share at least. left: shared
-    elements that aren't kept. weight: the mean length of the set's lists, which
-    is greatest for the set in the middle of a group of near copies.
+def _sharing(elements: DataFrame) -> DataFrame:
+    """sig, n, e (df, h, least of each shared element), c (their number), need, from (h, sig, n): the sets with c >= need.
+
+    A partner stands in ceil(3n/4) of a set's c lists or more, so has no fewer
+    elements than the ceil(3n/4)-th smallest of the lists' least members; by that
+    size the two must share `need` elements at least.
     """
     per = _shared(elements).groupBy("sig").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h", "least")).alias("e"))
     per = per.withColumn("c", F.size("e").cast("long")).withColumn("fewest", F.expr("floor((3 * n + 3) / 4)").cast("int")).filter("c >= fewest")
     partner = F.get(F.array_sort(F.transform("e", lambda x: x["least"])), F.col("fewest") - 1)
-    per = per.withColumn("need", F.greatest(F.col("fewest").cast("long"), F.floor((3 * (F.col("n") + partner) + 6) / 7))).filter("c >= need")
-    per = per.withColumn("left", F.greatest(F.col("need") - 1 - F.floor(F.col("n") / KEPT_SLACK), F.lit(0)))
+    return per.withColumn("need", F.greatest(F.col("fewest").cast("long"), F.floor((3 * (F.col("n") + partner) + 6) / 7))).filter("c >= need").drop("fewest")
+
+
+def kept_elements(elements: DataFrame) -> DataFrame:
+    """(h, sig, n, c, left, weight) from (h, sig, n): of each set the rarest shared elements, as many as a partner can't all miss.
+
+    c bounds a set's overlap with any other. left: shared elements that aren't
+    kept. weight: the mean length of the set's lists, which is greatest for the
+    set in the middle of a group of near copies.
+    """
+    for _ in range(PASSES - 1):
+        elements = _sharing(elements).select("sig", "n", F.explode("e.h").alias("h"))
+    per = _sharing(elements).withColumn("left", F.col("need") - 1)
     per = per.withColumn("weight", F.floor(F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["df"]) * 16 / F.col("n")))
     rarest = F.slice(F.sort_array(F.transform("e", lambda x: F.struct(x["df"], x["h"]))), F.lit(1), (F.col("c") - F.col("left")).cast("int"))
     return per.select("sig", "n", "c", "left", "weight", F.explode(rarest).alias("x")).select("x.h", "sig", "n", "c", "left", "weight")
