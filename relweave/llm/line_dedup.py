@@ -1,47 +1,108 @@
 """Line hashing: passages that occur before, in the same or a lower-ranked document, go.
 
-Units are lines; a line of several sentences is cut at sentence ends into units
-of MIN_WORDS words or more, since copied passages are pasted into lines of
-other text as well. A unit's digest is taken of its terms, so case, punctuation
-and spacing don't count. Of all units with one digest the earliest stays: rank
-is doc_id (null last), then the place in the text. Units under MIN_WORDS terms
-stay always.
+Two kinds of passages get a digest of their terms, so case, punctuation and
+spacing don't count. Their borders depend on nearby text only:
+
+- from every sentence or line, the fewest whole sentences (over line ends, if
+  need be) that have MIN_WORDS terms: short ones count with what follows them;
+- from every border among the terms, the text up to the first border MIN_PIECE
+  terms on. Borders are the least hashes of two terms in every SPAN places, so
+  that sentence and line ends play no part: any RUN terms that come before, in
+  another sentence, hold a passage that goes.
+
+Of all passages with one digest the earliest stays: rank is doc_id (null last),
+then the place in the text. Inside a single sentence nothing is held against
+the sentence itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.terms import terms
+from relweave.llm.terms import _TABLE
 
 MIN_WORDS = 6
+#: RUN terms have RUN - 1 pairs: the first border in a run is one of the first SPAN, the last one of the last SPAN, so MIN_PIECE <= RUN - 2 * SPAN.
+RUN, SPAN, MIN_PIECE = 50, 18, 14
 BATCH = 512
 _SENTENCE = re.compile(rb"[^.!?]*[.!?]+[ \t]*|[^.!?]+")
 _LAST = 2**63 - 1
 
 
-def units(text: bytes) -> Iterator[tuple[int, int, int, int | None, int | None]]:
-    """Line number, first byte, end byte, and the two halves of the digest (None for a short unit), in order."""
-    import xxhash
-
-    at = 0
+def _borders(words: list[bytes]) -> np.ndarray:
+    """Indexes of the terms before which a border lies: the last least pair of every SPAN consecutive ones."""
+    h = np.array(list(map(crc32, words)), np.uint64)
+    h = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    last = np.lib.stride_tricks.sliding_window_view(h, SPAN)[:, ::-1].argmin(axis=1)
+    chosen = np.zeros(len(h), bool)
+    chosen[np.arange(len(last)) + SPAN - 1 - last] = True
+    return np.flatnonzero(chosen)
+
+
+def _passages(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bytes, int]]]:
+    """Sentences (line number, first byte, end byte), which tile the lines, and passages (sentence, first byte, end byte, digest, terms), by sentence."""
+    from xxhash import xxh3_128_digest as digest
+
+    plain = text.translate(_TABLE)
+    words = plain.split()
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], np.frombuffer(plain, np.uint8) != 32, [0]))))
+    starts, ends = edges[::2], edges[1::2]
+    joined = b" ".join(words)
+    place = np.concatenate(([0], np.cumsum(ends - starts + 1)))  # of each term in `joined`
+    at_word = place.tolist()
+    sentences, at = [], 0
     for number, line in enumerate(text.split(b"\n")):
-        words: list[bytes] = []
-        start = 0
-        for m in _SENTENCE.finditer(line):
-            words += terms(m.group())
-            if len(words) >= MIN_WORDS:
-                d = xxhash.xxh3_128_intdigest(b" ".join(words))
-                yield number, at + start, at + m.end(), (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63)
-                words, start = [], m.end()
-        if start < len(line) or not line:
-            yield number, at + start, at + len(line), None, None
+        sentences += [(number, at + m.start(), at + m.end()) for m in _SENTENCE.finditer(line)] or [(number, at, at)]
         at += len(line) + 1
+    upto = np.searchsorted(starts, [b for _, _, b in sentences]).tolist()
+    found, first, j = [], 0, 0
+    for i, (_, a, _) in enumerate(sentences):
+        if upto[i] > first:
+            while j < len(upto) and upto[j] < first + MIN_WORDS:
+                j += 1
+            if j == len(upto):
+                break
+            found.append((i, a, sentences[j][2], digest(joined[at_word[first] : at_word[upto[j]] - 1]), upto[j] - first))
+        first = upto[i]
+    if len(words) >= RUN:
+        borders = _borders(words)
+        till = np.searchsorted(borders, borders + MIN_PIECE)
+        borders, till = borders[till < len(borders)], borders[till[till < len(borders)]]
+        of = np.searchsorted(upto, borders, side="right").tolist()
+        for i, p, q, a, last, b in zip(of, borders.tolist(), till.tolist(), starts[borders].tolist(), ends[till - 1].tolist(), starts[till].tolist(), strict=True):
+            stop = text.find(b"\n", last, b)
+            found.append((i, a, b if stop < 0 else stop, digest(joined[at_word[p] : at_word[q] - 1]), q - p))
+        found.sort(key=lambda f: f[:2])
+    return sentences, found
+
+
+def units(text: bytes) -> Iterator[tuple[int, int, int, bytes | None, int | None]]:
+    """Line number, first byte, end byte, digest and number of terms of the passage that begins there, in order.
+
+    A sentence has None for both if none begins with it. A further passage that
+    begins in a sentence comes before it, without a byte of its own.
+    """
+    sentences, found = _passages(text)
+    k = 0
+    for i, (number, a, b) in enumerate(sentences):
+        own = (None, None)
+        while k < len(found) and found[k][0] == i:
+            _, start, _, digest, n = found[k]
+            if start == a and own == (None, None):
+                own = (digest, n)
+            else:
+                yield number, start, start, digest, n
+            k += 1
+        yield number, a, b, *own
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -51,42 +112,51 @@ def _digests(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 part = whole.slice(start, BATCH)
-                at, high, low = [], [], []
+                at, found = [], []
                 for i, body in enumerate(part.column("body").to_pylist()):
-                    seen = {(h, x) for *_, h, x in units(body) if h is not None}
+                    seen = {f[3] for f in _passages(body)[1]}
                     at += [i] * len(seen)
-                    high += [h for h, _ in seen]
-                    low += [x for _, x in seen]
-                at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("print").take(at), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc", "print", "hi", "lo"])
+                    found += seen
+                at, halves = pa.array(at, pa.int64()), np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("print").take(at), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc", "print", "hi", "lo"])
 
     return docs.mapInArrow(run, "doc bigint, print bigint, hi bigint, lo bigint")
 
 
-def rebuild(text: bytes, gone: frozenset[int]) -> tuple[bytes, int, list[dict]]:
-    """The text without units whose digest's first half is in `gone` and without repeats within it; units; removed byte spans."""
-    seen: set[tuple[int, int]] = set()
-    lines: list[tuple[bool, list[bytes]]] = []
-    spans, count = [], 0
-    for number, a, b, h, x in units(text):
-        count += 1
-        if len(lines) == number:
-            lines.append((False, []))
-        if h is not None and (h in gone or (h, x) in seen):
-            spans.append({"start": a, "end": b})
-            lines[number] = (True, lines[number][1])
-        else:
-            lines[number][1].append(text[a:b])
-            if h is not None:
-                seen.add((h, x))
+def rebuild(text: bytes, gone: frozenset[bytes]) -> tuple[bytes, int, list[dict]]:
+    """The text without passages whose digest is in `gone` or came in an earlier sentence; its sentences; removed byte spans, which don't touch."""
+    sentences, found = _passages(text)
+    seen: dict[bytes, int] = {}
+    spans: list[list[int]] = []
+    for i, a, b, digest, _ in found:
+        if seen.setdefault(digest, i) != i or digest in gone:
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], b)
+            else:
+                spans.append([a, b])
     if not spans:
-        return text, count, spans
-    kept = [b"".join(parts).rstrip(b" \t") if cut else b"".join(parts) for cut, parts in lines if parts or not cut]
-    return b"\n".join(kept), count, spans
+        return text, len(sentences), []
+    kept, at, k = [], 0, 0
+    for line in text.split(b"\n"):
+        end, parts, place, cut = at + len(line), [], at, False
+        while k < len(spans) and (spans[k][0] < end or spans[k][0] <= at < spans[k][1]):
+            cut = True
+            parts.append(text[place : max(place, spans[k][0])])
+            place = min(end, spans[k][1])
+            if spans[k][1] > end:
+                break
+            k += 1
+        rest = b"".join([*parts, text[place:end]])
+        if not cut:
+            kept.append(rest)
+        elif rest.strip():
+            kept.append(rest.rstrip(b" \t"))
+        at = end + 1
+    return b"\n".join(kept), len(sentences), [{"start": a, "end": b} for a, b in spans]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text rewritten, and n_units, n_removed (long) and removed (array of start, end).
+    """docs with the text rewritten, and n_units (sentences), n_removed (spans) and removed (array of start, end).
 
     One row per input row; removed holds byte offsets into the original text in
     UTF-8. A null text stays null, with no units. Rows that share a doc_id have
@@ -105,7 +175,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     print_ = F.xxhash64(F.col(text))
     found = _digests(docs.filter(F.col(text).isNotNull()).select(rank.alias("doc"), print_.alias("print"), F.col(text).cast("binary").alias("body")))
     first = found.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    gone = found.join(first.drop("last"), ["hi", "lo"]).filter("doc > first").groupBy(F.col("doc").alias("_rank"), F.col("print").alias("_print")).agg(F.collect_set("hi").alias("_gone"))
+    digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))
+    gone = found.join(first.drop("last"), ["hi", "lo"]).filter("doc > first").groupBy(F.col("doc").alias("_rank"), F.col("print").alias("_print")).agg(F.collect_set(digest).alias("_gone"))
     joined = docs.withColumn("_rank", rank).withColumn("_print", print_).join(gone, ["_rank", "_print"], "left").drop("_rank", "_print")
     joined = joined.withColumn(text, F.col(text).cast("binary"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString() if f.name != text else 'string'}" for f in joined.schema.fields if f.name != "_gone"), "n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"])

@@ -198,6 +198,16 @@ def test_units_tile_the_text_and_pasted_passages_go():
     assert len(left.split()) < len(second.split()) - 0.6 * len(passage.split())
 
 
+def test_short_sentences_count_wherever_the_passage_stands():
+    """A passage of three-word sentences goes from a line that begins with another short sentence, a lone short one stays, and halves of a digest don't count."""
+    passage = " ".join(f"a{i} b{i} c{i}." for i in range(20))
+    first, second = f"{passage} End here.".encode(), f"Odd one. {passage} Then this.".encode()
+    known = frozenset(h for *_, h, _ in line_dedup.units(first) if h is not None)
+    assert line_dedup.rebuild(second, known)[0] == b"Odd one. Then this."
+    assert line_dedup.rebuild(b"x y z. a3 b3 c3. u v w.", known)[2] == []
+    assert line_dedup.rebuild(second, frozenset(h[:8] + bytes(8) for h in known))[2] == []
+
+
 # --- Jaccard join
 
 def brute_components(texts):
