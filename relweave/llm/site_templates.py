@@ -18,10 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is template if it stands on so many different pages of its host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
-#: Parts into which the pages of a host are dealt when they meet their host's templates.
-SALTS = 32
+#: A subtree is template if it stands on so many different pages of its host, and on no fewer than the base-2 logarithm of their number (20 of a million).
+MIN_PAGES = 5
 BATCH = 256
 
 # Element names of HTML.
@@ -197,48 +195,45 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the signatures that recur, for pages(host, html).
+    """host, print, template: for each different page the signatures on it that recur on its host, for pages(host, print, html).
 
-    Pages of equal html count once. A template is on MIN_SHARE of its host's
-    pages or more, so a host has no more of them than 1 / MIN_SHARE times the
-    subtrees of a mean page. Counts combine before they are shuffled, so a host
-    with a third of all pages is counted like any other.
+    Pages of equal html (print) count once. Templates meet the subtrees of pages
+    as rows of (host, sig), so no host's templates are ever in one list. Counts
+    combine before they are shuffled, so a host with a third of all pages is
+    counted like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 part = whole.slice(start, BATCH)
-                hosts, prints, sigs = [], [], []
-                for h, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    if page:
-                        found = [*subtrees(page), None]  # None counts the page itself
-                        hosts += [h] * len(found)
-                        prints += [xxhash.xxh3_64_intdigest(page.encode()) - (1 << 63)] * len(found)
-                        sigs += found
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(sigs, pa.int64())], ["host", "print", "sig"])
-
-    found = pages.mapInArrow(run, "host string, print bigint, sig bigint")
-    counts = found.distinct().groupBy("host", "sig").agg(F.count("*").alias("pages"))
-    total = counts.filter("sig IS NULL").select("host", F.col("pages").alias("total"))
-    often = counts.filter(F.col("sig").isNotNull() & (F.col("pages") >= MIN_PAGES)).join(total, "host").filter(F.col("pages") >= F.lit(MIN_SHARE) * F.col("total"))
-    return often.groupBy("host").agg(F.collect_list("sig").alias("template"))
+                at, sigs = [], []
+                for i, page in enumerate(part.column("html").to_pylist()):
+                    found = subtrees(page)
+                    at += [i] * len(found)
+                    sigs += found
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("print").take(at), pa.array(sigs, pa.int64())], ["host", "print", "sig"])
+
+    pages = pages.filter(F.length("html") > 0)
+    found = pages.mapInArrow(run, "host string, print bigint, sig bigint").distinct()
+    total = pages.select("host", "print").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    often = found.groupBy("host", "sig").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    often = often.join(total, "host").filter(F.col("pages") >= F.log2("total")).select("host", "sig")
+    return found.join(often, ["host", "sig"]).groupBy("host", "print").agg(F.collect_list("sig").alias("template"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages without the html, with text (string, empty if none) and n_chars (long).
 
     One row per input row. A null html is an empty page, a null url the host "".
-    Columns named text, n_chars, host or template are replaced.
+    Columns named text, n_chars, host, print or template are replaced.
     """
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars", "host", "template")]
+    keep = [c for c in pages.columns if c not in (html, "text", "n_chars", "host", "print", "template")]
     source = pages.select(*[F.col(c) for c in keep], host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    # Templates are few per host, so each of a host's salts gets them: a host with a third of all pages is dealt to SALTS tasks.
-    salted = source.withColumn("_salt", F.pmod(F.xxhash64(*keep, F.length("html")), F.lit(SALTS)).cast("int"))
-    found = templates(source.select("host", "html")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(found, ["host", "_salt"], "left").drop("host", "_salt")
+    source = source.withColumn("print", F.xxhash64("html"))
+    # A page copied many times is one key of this join, whose hot keys Spark splits.
+    joined = source.join(templates(source.select("host", "print", "html")), ["host", "print"], "left").drop("host", "print")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("html", "template")), "text string, n_chars bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

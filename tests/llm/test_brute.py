@@ -338,6 +338,16 @@ def test_paragraphs_of_marked_articles_and_copies_of_pages_stay(spark):
     assert got == {i: f"T\nSame licence line.\nBody {'abcdefgh'[i]}" for i in range(8)} | {i: "copied page" for i in range(10, 30)}
 
 
+def test_a_notice_on_a_small_share_of_a_large_host_goes(spark):
+    """8 of 40 and 8 of 200 different pages make a template, 5 of 200 (fewer than the logarithm) and 4 of 40 none."""
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    page = lambda i: f"<div>{'<div>Rotating notice</div>' if i < 8 else ''}{'<div>Rare line</div>' if i < rare else ''}<p>Own text {word(i)}</p></div>"
+    for n, rare in ((40, 4), (200, 5)):
+        df = spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(n)], "page_id int, url string, html string")
+        got = {r["page_id"]: r["text"] for r in site_templates.extract(df).collect()}
+        assert got == {i: ("Rare line\n" if i < rare else "") + f"Own text {word(i)}" for i in range(n)}
+
+
 def test_markup():
     text = site_templates.main_text
     assert text("<nav>x<div>menu</div></nav><p>plain &lt;b&gt; &eacute;&#233;\n\n text</p>tail <script>if(a<b)'</p>'</script>end<div hidden>no</div><!-- <p>c</p> -->") == "plain <b> éé text\ntail end"
