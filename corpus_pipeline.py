@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
-from relweave.llm.common import read, row_key, shared_dir
+from relweave.llm.common import read, row_key, shared_dir, staged
 
 POLICY = "web-1"
 VOCABULARY = "word_bpe_49k.json"
@@ -26,16 +26,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one that gives the group its id.
+    """One row of each group of near duplicates: one with the id that names the group.
 
-    Rows that share an id and a text are a group too; one of them stays. So it
-    is for rows without an id, of which equal texts stay once.
+    Rows are told apart by id and text, so an id that comes with several texts
+    stays only with those that head a group. Rows without an id come last in
+    their group; of rows without shingles, each id and text stays once.
     """
-    found = jaccard_join.near_duplicates(docs)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    alone = docs.join(heads.filter("doc_id IS NOT NULL AND count = 1").select("doc_id"), "doc_id", "left_semi")
-    again = heads.filter("doc_id IS NULL OR count > 1").select(F.col("doc_id").alias("_id"))
-    repeated = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    keyed = docs.withColumn("_key", row_key())
+    heads = staged(jaccard_join.heads(docs).withColumnRenamed("key", "_key"), "heads")
+    alone = keyed.join(heads.filter("copies = 1").select("_key"), "_key", "left_semi")
+    repeated = keyed.join(heads.filter("copies > 1").select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
     return alone.unionByName(repeated).select(docs.columns)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.common import staged
+from relweave.llm.common import row_key, staged
 from relweave.llm.components import components
 from relweave.llm.shingles import shingle_sets
 
@@ -84,16 +84,17 @@ def _lists(arrays: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int64()))
 
 
-def describe(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, sig (null for an empty set), n."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("body"))
+def describe(docs: DataFrame, id_col: str, text: str, key: Column | None = None) -> DataFrame:
+    """doc_id, key if one is given, sig (null for an empty set), n."""
+    names = ["doc_id"] if key is None else ["doc_id", "key"]
+    source = docs.select(F.col(id_col).alias("doc_id"), *([] if key is None else [key.alias("key")]), F.col(text).cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, "body"):
             sigs = [_signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "sig", "n"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], [*names, "sig", "n"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, sig bigint, n bigint")
+    return source.mapInArrow(run, ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names) + ", sig bigint, n bigint")
 
 
 def prefix_rows(docs: DataFrame, text: str) -> DataFrame:
@@ -312,11 +313,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     shingles and is its own component. Null ids count only where a component has
     no other id. Other columns are not read.
     """
-    described = staged(describe(docs, id_col, text), "described")
+    out = _placed(docs, id_col, text, staged(describe(docs, id_col, text), "described"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def heads(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """key (row_key), copies (long): of each component the row with the least id (null last), then key, and how many rows have that key.
+
+    Rows without shingles are components of their own, by key.
+    """
+    described = staged(describe(docs, id_col, text, row_key(id_col, text)), "described")
+    out = _placed(docs, id_col, text, described).select("doc_id", "key", "component")
+    one = out.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head")).select("head.key")
+    chosen = one.unionByName(out.filter("component IS NULL").select("key").distinct())
+    return chosen.join(out.groupBy("key").agg(F.count("*").alias("copies")), "key")
+
+
+def _placed(docs: DataFrame, id_col: str, text: str, described: DataFrame) -> DataFrame:
+    """described with component (null without shingles) and component_id."""
     classes, reached = links(docs, described, id_col, text)
     named = classes.select("sig", F.col("doc_id").alias("least")).join(reached.withColumnRenamed("node", "sig"), "sig", "left")
     named = named.withColumn("component", F.coalesce("component", "sig"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.select("sig", "component").join(least, "component").select("sig", "component_id")
-    out = described.select("doc_id", "n", "sig").join(by_class, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_class = named.select("sig", "component").join(least, "component").select("sig", "component", "component_id")
+    return described.join(by_class, "sig", "left")

@@ -10,8 +10,8 @@ spacing don't count. Their borders depend on nearby text only:
   that sentence and line ends play no part: any RUN terms that come before, in
   another sentence, hold a passage that goes.
 
-Of all passages with one digest the earliest stays: rank is doc_id (null last),
-then the place in the text. Inside a single sentence nothing is held against
+Of all passages with one digest the earliest stays: rank is doc_id (null last,
+by the text's hash), then the place in the text. Inside a single sentence nothing is held against
 the sentence itself.
 """
 
@@ -174,9 +174,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     # The text's hash stands beside the rank, so that rows without an id, or of one id, aren't gathered in one group.
     print_ = F.xxhash64(F.col(text))
     found = _digests(docs.filter(F.col(text).isNotNull()).select(rank.alias("doc"), print_.alias("print"), F.col(text).cast("binary").alias("body")))
-    first = found.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    unnamed = F.when(F.col("doc") == _LAST, F.col("print"))
+    first = found.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(unnamed).alias("least"), F.max(unnamed).alias("most"))
+    first = first.filter("first < last OR least < most").drop("last", "most")
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))
-    gone = found.join(first.drop("last"), ["hi", "lo"]).filter("doc > first").groupBy(F.col("doc").alias("_rank"), F.col("print").alias("_print")).agg(F.collect_set(digest).alias("_gone"))
+    gone = found.join(first, ["hi", "lo"]).filter(f"doc > first OR doc = {_LAST} AND print > least").groupBy(F.col("doc").alias("_rank"), F.col("print").alias("_print")).agg(F.collect_set(digest).alias("_gone"))
     joined = docs.withColumn("_rank", rank).withColumn("_print", print_).join(gone, ["_rank", "_print"], "left").drop("_rank", "_print")
     joined = joined.withColumn(text, F.col(text).cast("binary"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString() if f.name != text else 'string'}" for f in joined.schema.fields if f.name != "_gone"), "n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"])

@@ -387,6 +387,16 @@ def test_pipeline_against_brute_force(spark, small):
         assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and r["n_tokens"] == len(ids)
 
 
+def test_near_copies_go_whatever_their_ids(spark, small):
+    """Near copies without ids, and those under an id that heads another group, leave one row a group; passages repeated among rows without ids go."""
+    near = lambda c, end: " ".join([f"{c}{i}" for i in range(60)] + [end])
+    rows = [(None, near("a", "x")), (None, near("a", "y")), (3, near("b", "x")), (None, near("b", "y")), (7, near("b", "z")), (7, near("c", "x")), (8, near("d", "x")), (8, near("d", "y"))]
+    stayed = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), small).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in stayed) == [(0, "a"), (3, "b"), (7, "c"), (8, "d")] and len(stayed) == 4
+    docs = spark.createDataFrame([(None, "One passage of quite a few words. First end."), (None, "One passage of quite a few words. Other end.")], "doc_id bigint, text string")
+    assert sorted(r["n_removed"] for r in line_dedup.dedup(docs).collect()) == [0, 1]
+
+
 def test_pipeline_stages_keep_the_columns_and_take_odd_rows(spark, small):
     rows = [(1, "one two three four five six", "x"), (1, "one two three four five six", "x"), (None, None, None), (None, "a b", "y"), (None, "a b", "y"), (2, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(1)).withColumn("sig", F.lit(0))
