@@ -208,6 +208,34 @@ def test_short_sentences_count_wherever_the_passage_stands():
     assert line_dedup.rebuild(second, frozenset(h[:8] + bytes(8) for h in known))[2] == []
 
 
+def test_no_planted_run_of_fifty_words_is_left():
+    """Runs of 50 to 90 words, however they are written and wherever they stand, by windows of 50 that know nothing of units."""
+    rng = random.Random(21)
+    word = lambda: rng.choice("bcdfgh") + rng.choice("aeiou") + str(rng.randint(0, 9999))
+    some = lambda low, high: [word() for _ in range(rng.randint(low, high))]
+    forms = {
+        "three-word sentences": lambda w: "".join(x + (". " if k % 3 == 2 else " ") for k, x in enumerate(w)),
+        "no punctuation": " ".join,
+        "five-word lines": lambda w: "".join(x + ("\n" if k % 5 == 4 else " ") for k, x in enumerate(w)),
+        "one-word lines": "\n".join,
+        "one sentence": lambda w: " ".join(w) + ".",
+    }
+    around = [lambda: "", lambda: "Odd one. ", lambda: " ".join(some(1, 40)) + " ", lambda: " ".join(some(1, 9)) + ".\n"]
+    windows = lambda text: {tuple(w[k : k + 50]) for w in [re.findall("[a-z0-9]+", text.decode().lower())] for k in range(len(w) - 49)}
+    for name, form in forms.items():
+        for _ in range(40):
+            run = some(50, 90)
+            first, second = (f"{rng.choice(around)()}{form(run)} {rng.choice(around)()}".encode() for _ in range(2))
+            other = f"{rng.choice(around)()}{rng.choice(list(forms.values()))(run)}".encode()
+            known = frozenset(h for *_, h, _ in line_dedup.units(first) if h is not None)
+            for text in (second, other):
+                assert windows(text) & windows(first)
+                assert not windows(line_dedup.rebuild(text, known)[0]) & windows(first), name
+            twice = first + b" Between. " + second
+            left = re.findall("[a-z0-9]+", line_dedup.rebuild(twice, frozenset())[0].decode().lower())
+            assert sum(left[k : k + 50] == run[:50] for k in range(len(left))) <= 1, name
+
+
 # --- Jaccard join
 
 def brute_components(texts):
