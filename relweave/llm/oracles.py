@@ -51,10 +51,21 @@ doc_windows AS (
 ),
 hits AS (SELECT r, item_id, i, n FROM doc_windows JOIN item_windows USING (n, g)),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r),
+places AS (SELECT r, p, w[p] AS term FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+item_terms AS (SELECT w, w[i] AS term, min(i) AS i FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT DISTINCT w FROM b WHERE len(w) > 0)) GROUP BY w, term),
+freq AS (SELECT term, count(*) AS freq FROM places WHERE term IN (SELECT term FROM item_terms) GROUP BY term),
+rare AS (
+  SELECT w, term, freq, count(*) OVER (PARTITION BY w) AS least, min(freq) OVER (PARTITION BY w) AS fewest
+  FROM (SELECT w, term, coalesce(freq, 0) AS freq FROM item_terms LEFT JOIN freq USING (term) QUALIFY row_number() OVER (PARTITION BY w ORDER BY coalesce(freq, 0), i) <= 5)
+),
+found AS (SELECT r, p, w, term, least FROM places JOIN rare USING (term) WHERE fewest > 0),
+near AS (SELECT DISTINCT r, w FROM (SELECT x.r, x.w, x.p FROM found x JOIN found y ON x.r = y.r AND x.w = y.w AND y.p BETWEEN x.p AND x.p + 15 GROUP BY x.r, x.w, x.p, x.least HAVING count(DISTINCT y.term) = x.least)),
+near_items AS (SELECT r, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM near JOIN b USING (w)) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+  sha256(coalesce(items.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near_items.s, '')) AS near_sha256
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN near_items USING (r)
 """
 
 OP10 = r"""

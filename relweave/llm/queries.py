@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.llm import bpe, compression, decontamination, jaccard_join, line_dedup, quality_rules, sharding, site_templates, toxicity, warc
-from relweave.llm.common import read
+from relweave.llm.common import in_small_batches, read
 from relweave.llm.labelled import fold
 
 #: Name of an installed public vocabulary, or a path.
@@ -33,7 +35,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), F.sha2(F.concat_ws(",", "near").cast("binary"), 256).alias("near_sha256"))
 
 
 def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +69,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op3_warc, op4_decontamination, op5_site_templates, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}
+def _bounded(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        in_small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (op1_sharding, op2_quality_rules, op3_warc, op4_decontamination, op5_site_templates, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}

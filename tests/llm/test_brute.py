@@ -122,21 +122,35 @@ def test_decontamination_against_brute_force(spark):
         assert {i for s in r["spans"] for i in range(s["first"], s["end"])} == found
 
 
-def test_terms_beyond_the_broadcast_bound_are_joined(spark, small, monkeypatch):
-    want = {tuple(r) for r in queries.op4_decontamination(spark, small).collect()}
-    monkeypatch.setattr(decontamination, "MAX_TERMS", 3)
-    assert {tuple(r) for r in queries.op4_decontamination(spark, small).collect()} == want
-
-
-def test_proximity(spark):
-    docs = [(1, b"x alpha y y beta z gamma"), (2, b"alpha " + b"y " * 30 + b"beta gamma"), (3, b"gamma beta alpha")]
-    bodies = spark.createDataFrame(docs, "key int, body binary")
-    words = spark.createDataFrame([("e", 0, b"alpha", 3), ("e", 1, b"beta", 3), ("e", 2, b"gamma", 3)], "entry string, off int, term binary, n int")
-    wanted = decontamination.Wanted(words)
-    rare = decontamination.probes(words, decontamination.frequencies(bodies, wanted), 3, count=3)
-    _, found = decontamination.postings(bodies, wanted, decontamination.Wanted(rare))
-    near = lambda slop, k: {r["key"] for r in decontamination.proximity(found, rare, slop, k).collect()}
-    assert near(0, 3) == set() and near(3, 3) == {1} and near(3, 2) == {1, 2, 3} and near(4, 3) == {1, 3} and near(40, 3) == {1, 2, 3}
+def near_items(docs, items, count, span):
+    """Row number -> item ids whose rarest terms stand within a span, by sliding over every place."""
+    words = {i: terms((t or "").encode()) for i, (_, t) in enumerate(docs)}
+    freq = collections.Counter(w for ws in words.values() for w in ws)
+    out = {i: set() for i in words}
+    for item, text in items:
+        ws = terms((text or "").encode())
+        rarest = sorted(set(ws), key=lambda w: (freq[w], ws.index(w)))[:count]
+        if rarest and freq[rarest[0]]:
+            for i, dw in words.items():
+                if any(set(rarest) <= set(dw[k : k + span]) for k in range(len(dw))):
+                    out[i].add(str(item))
+    return out
+
+
+@pytest.mark.parametrize("segment", [1 << 17, 40, 1])
+def test_proximity_and_phrases_whatever_the_segments(spark, monkeypatch, segment):
+    """Neighbours in a segment don't lend each other words; segments of one document and of many give the same."""
+    monkeypatch.setattr(decontamination, "SEGMENT", segment)
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghijkl")
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 6, 8, 9])))) for i in range(12)] + [(50, "a zzz b"), (51, ""), (0, "q r s")]
+    docs = [(i % 50, " ".join(word() for _ in range(rng.choice([0, 1, 2, 30, 90])))) for i in range(70)] + [(90, None), (91, "a b c"), (91, "a b c")]
+    rows = decontamination.contamination(spark.createDataFrame(docs, "doc_id int, text string").repartition(2), spark.createDataFrame(items, "item_id int, text string"), window=5).collect()
+    want = near_items(docs, items, decontamination.NEAR_TERMS, decontamination.NEAR_SPAN)
+    windows = windows_of(items, 5)
+    expected = collections.Counter((i, len(terms((t or "").encode())), len(hits(terms((t or "").encode()), windows)[0]), tuple(sorted(want[k]))) for k, (i, t) in enumerate(docs))
+    assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["near"])) for r in rows) == expected
+    assert any(set(r["near"]) - set(r["items"]) for r in rows) and any(not r["near"] for r in rows)
 
 
 # --- encoding
