@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
-from relweave.llm.common import read, row_key, shared_dir, staged
+from relweave.llm.common import fresh, in_small_batches, read, row_key, shared_dir, staged, without
 
 POLICY = "web-1"
 VOCABULARY = "word_bpe_49k.json"
@@ -32,15 +32,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays only with those that head a group. Rows without an id come last in
     their group; of rows without shingles, each id and text stays once.
     """
-    keyed = docs.withColumn("_key", row_key())
-    heads = staged(jaccard_join.heads(docs).withColumnRenamed("key", "_key"), "heads")
-    alone = keyed.join(heads.filter("copies = 1").select("_key"), "_key", "left_semi")
-    repeated = keyed.join(heads.filter("copies > 1").select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    in_small_batches(spark)
+    key = fresh(docs, "key")
+    keyed = docs.withColumn(key, row_key())
+    heads = staged(jaccard_join.heads(docs).withColumnRenamed("key", key), "heads")
+    alone = keyed.join(heads.filter("copies = 1").select(key), key, "left_semi")
+    repeated = keyed.join(heads.filter("copies > 1").select(key), key, "left_semi").dropDuplicates([key])
     return alone.unionByName(repeated).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that came before; those with no word left go. n_chars follows the text."""
+    in_small_batches(spark)
     out = line_dedup.dedup(docs).filter("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
@@ -49,13 +52,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    _, matches = decontamination.phrases(docs, read(spark, sf_dir, "benchmark"))
-    keyed = docs.withColumn("_key", row_key())
-    return keyed.join(matches.select(F.col("key").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    in_small_batches(spark)
+    index = decontamination.build(docs)
+    hit = decontamination.phrases(index, decontamination.ask(index, read(spark, sf_dir, "benchmark"))).select("key").distinct()
+    return without(docs, hit).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and the digests of ids and of the decoded text."""
+    in_small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
