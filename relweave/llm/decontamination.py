@@ -82,6 +82,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Index:
 
         def lists() -> Iterator[pa.RecordBatch]:
             words, at = np.concatenate(held), np.concatenate(places)
+            if not len(words):
+                return
             order = np.argsort(words, kind="stable")
             words, at = words[order], at[order]
             edges = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1], [True]])).astype(np.int32)
