@@ -1,26 +1,30 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-A document is the set of its 5-word shingles, hashed to 64 bits; the hashes'
-own order is the global order of shingles. Documents with equal sets form a
-class; only classes are compared.
-
-Prefixes. Two sets with Jaccard similarity of 3/4 or more share at least
-f = 1 + n // SLACK of their first n - ceil(3n/4) + f elements, n being the smaller
-one's size. A class whose prefix has too few elements that any other prefix has
-links with nothing and drops out. Of the others the whole sets are held against
-each other: a class with fewer shared elements than its smallest possible partner asks for
-drops out too, and of the rest only the rarest shared elements that a partner
-can't all miss are kept.
-
-Candidates. Classes meet in the lists of kept elements. First every list sends
-its members to one leader of the list, which joins groups of copies into
-components at a cost linear in the lists; then members of different components
-that still share as many lists as similar sets must, and have shared elements
-enough for their sizes, are compared with each other, so no link between
-components is missed.
-
-Overlaps. The global order is cut into FRAGMENTS ranges. Each candidate pair's
-overlap is counted range by range and summed per pair.
+A document is the set of its 5-word shingles, hashed to 64 bits. Documents with
+equal sets form a class; only classes are compared.
+
+Room for a partner. Two sets with a Jaccard similarity of 3/4 or more share at
+least ceil(3n/4) elements of either, and in whatever order f = 1 + n // SLACK of
+the first n - ceil(3n/4) + f elements of both, n being the smaller one's size. By
+the hashes' own order, which needs no counting, a class whose prefix has too few
+elements that another prefix has drops out; the whole sets of the others are
+then asked the same. Tasks add up what they have of an element before it is
+shuffled, so an element that all documents have costs a row a task and batch.
+
+Order. The elements that the remaining sets share stand in the order of their
+document frequency, rarest first. It is cut into fragments: ranges of frequency
+that grow twofold, each cut again by hash. Every set lies in pieces, one a fragment.
+
+Candidates. A set keeps its rarest shared elements, as many as a partner can't
+all miss. Fragment by fragment the sets that meet in lists of kept elements are
+counted, pairs that a fragment shows to be impossible are struck out, and the
+counts are summed per pair. First every list sends its members to one leader
+only, which joins groups of copies into components at a cost linear in the
+lists; then members of different components are counted with each other, so no
+link between components is missed.
+
+Overlaps. A candidate pair's pieces are intersected fragment by fragment, and
+the partial overlaps summed per pair.
 """
 
 from __future__ import annotations
@@ -32,19 +36,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.common import row_key, staged
+from relweave.llm.common import pieces, row_key, staged
 from relweave.llm.components import components
 from relweave.llm.shingles import shingle_sets
 
-FRAGMENTS = 8
+#: Ranges of frequency (2 and 3, 4 to 7, ..., 256 and more), and parts by hash of each.
+GRADES, CUTS = 8, 4
 #: A prefix is longer than it must be by the SLACK-th part of the set, and so demands as many shared elements more.
 SLACK = 8
-#: Times that sets without shared elements enough are dropped; each time what the rest shared with them alone counts no more.
-PASSES = 2
+#: Elements that a task adds up before it sends them on.
+COMBINED = 1 << 20
 #: Rounds in which lists send their members to a leader, each with leaders drawn anew.
 LEADER_ROUNDS = 2
-#: Bytes of text hashed at once.
-CHUNK = 1 << 20
+#: Members of a list that meet in one task; a longer list is cut into blocks that meet each other.
+BLOCK = 1_000
 
 
 def needed(n):
@@ -67,21 +72,15 @@ def _signature(elements: np.ndarray) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], body: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches with about CHUNK bytes of text, and the sets of their texts."""
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(body).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CHUNK or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), list(shingle_sets(texts[start : i + 1]))
-                start, size = i + 1, 0
+    """Slices of the batches, and the sets of their texts."""
+    for part in pieces(batches, body):
+        yield part, list(shingle_sets([t or b"" for t in part.column(body).to_pylist()]))
 
 
 def _lists(arrays: list) -> pa.Array:
     """int64 lists from numpy arrays."""
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int64, copy=False), pa.int64()))
 
 
 def describe(docs: DataFrame, id_col: str, text: str, key: Column | None = None) -> DataFrame:
@@ -97,158 +96,212 @@ def describe(docs: DataFrame, id_col: str, text: str, key: Column | None = None)
     return source.mapInArrow(run, ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names) + ", sig bigint, n bigint")
 
 
+def _combined(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(h, sig, w) rows of (sig, elements), added up in batches of about COMBINED elements.
+
+    w = 0: of this batch only sig has h. w = -1: several have it, and were told
+    so. w > 0: sig was told of w - 1 shared elements; h stands for nothing.
+    """
+
+    def flush() -> pa.RecordBatch:
+        sigs = np.array(list(held))
+        h, s = np.concatenate(list(held.values())), np.repeat(sigs, [len(x) for x in held.values()])
+        order = np.argsort(h, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0, [True]]))
+        several = np.diff(edges) > 1
+        told = np.repeat(several, np.diff(edges))
+        credited, counts = np.unique(np.concatenate([s[order[told]], sigs]), return_counts=True)
+        # Set by set, as they came: rows of one sig side by side take less room in a shuffle.
+        w = np.ones(len(h), np.int64)
+        w[order[edges[:-1]]] = -several.astype(np.int64)
+        sent = np.flatnonzero(w < 1)
+        columns = (np.concatenate([h[sent], credited]), np.concatenate([s[sent], credited]), np.concatenate([w[sent], counts]))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["h", "sig", "w"])
+
+    held: dict[int, np.ndarray] = {}
+    size = 0
+    for sig, found in sets:
+        if sig not in held:
+            held[sig] = found
+            size += len(found)
+        if size >= COMBINED:
+            yield flush()
+            held, size = {}, 0
+    if held:
+        yield flush()
+
+
+def _shared_counts(rows: DataFrame) -> DataFrame:
+    """sig, c: how many of its elements other sigs have too, from rows (h, sig, w).
+
+    Streams over sorted partitions and holds one row of an unfinished list. A
+    set that came in several batches was told the same in each, so the sum over
+    them is divided by their number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, np.int64) for _ in range(4))  # h, sig, whether several have it, rows that wait to be told
+        for batch in batches:
+            h, s, w = (batch.column(c).to_numpy().astype(np.int64, copy=False) for c in ("h", "sig", "w"))
+            told = w > 0
+            out_s, out_c, out_n = [s[told]], [w[told] - 1], [np.ones(told.sum(), np.int64)]
+            h, s, several, waiting = (np.concatenate(x) for x in zip(held, (h[~told], s[~told], -w[~told], 1 + w[~told]), strict=True))
+            if len(h):
+                edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                sizes = np.diff(np.append(edges, len(h)))
+                shared = (np.minimum.reduceat(s, edges) != np.maximum.reduceat(s, edges)) | (np.maximum.reduceat(several, edges) > 0)
+                hit = np.repeat(shared, sizes) & (waiting > 0)
+                out_s.append(s[hit])
+                out_c.append(waiting[hit])
+                out_n.append(np.zeros(hit.sum(), np.int64))
+                last = edges[-1]
+                held = (h[last : last + 1], s[last : last + 1], shared[-1:].astype(np.int64), np.zeros(1, np.int64) if shared[-1] else waiting[last:].sum(keepdims=True))
+            s, c, n = (np.concatenate(x) for x in (out_s, out_c, out_n))
+            sigs, at = np.unique(s, return_inverse=True)
+            sums = [np.bincount(at, weights=x, minlength=len(sigs)).astype(np.int64) for x in (c, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), *map(pa.array, sums)], ["sig", "c", "n"])
+
+    dealt = rows.repartition("h").sortWithinPartitions("h")
+    counts = dealt.mapInArrow(run, "sig bigint, c bigint, n bigint").groupBy("sig").agg(F.sum("c").alias("c"), F.sum("n").alias("times"))
+    return counts.select("sig", F.expr("c DIV times").alias("c"))
+
+
 def prefix_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(h, sig) of the prefixes. A task gives each class once, so a group of copies costs a row per task, not per copy."""
+    """(h, sig, w) of the prefixes. A task's batch has each class once, so a group of copies costs its elements a batch, not a copy."""
     source = docs.select(F.col(text).cast("binary").alias("body"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for _, sets in _sets(batches, "body"):
-            sigs, prefixes = [], []
             for s in sets:
-                if len(s) and (sig := _signature(s)) not in seen:
-                    seen.add(sig)
-                    prefixes.append(s[: prefix_length(len(s))])
-                    sigs.append(np.full(len(prefixes[-1]), sig))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.concatenate(sigs))], ["h", "sig"])
+                if len(s):
+                    yield _signature(s), s[: prefix_length(len(s))]
 
-    return source.mapInArrow(run, "h bigint, sig bigint")
+    return source.mapInArrow(lambda batches: _combined(prefixes(batches)), "h bigint, sig bigint, w int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows (h, sig, n), each once, those whose h has other sigs too, with the number of them (df) and the least of their n. Streams over sorted partitions."""
+def whole_rows(sets: DataFrame) -> DataFrame:
+    """(h, sig, w) of sets(sig, elements)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            if not len(h):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names)
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
-            h, s, n = h[new], s[new], n[new]
-            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-            df, least = (np.repeat(x, np.diff(edges)) for x in (np.diff(edges), np.minimum.reduceat(n, edges[:-1])))
-            kept = df > 1
-            return pa.RecordBatch.from_arrays([pa.array(x[kept].astype(np.int64)) for x in (h, s, n, df, least)], names)
-
-        names = ["h", "sig", "n", "df", "least"]
-        held: list[tuple[np.ndarray, ...]] = []  # the last h seen, which the next batch may continue
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, s, n = (batch.column(c).to_numpy() for c in ("h", "sig", "n"))
-            held.append((h, s, n))
-            if h[0] == h[-1] and held[0][0][0] == h[0]:
-                continue
-            h, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(h, h[-1]))
-            yield flush(h[:cut], s[:cut], n[:cut])
-            held = [(h[cut:], s[cut:], n[cut:])]
-        if held:
-            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    dealt = rows.repartition("h").sortWithinPartitions("h", "sig")
-    return dealt.mapInArrow(run, "h bigint, sig bigint, n bigint, df bigint, least bigint")
-
-
-def _counted(shared: DataFrame) -> DataFrame:
-    """sig, c: the number of shared elements of each sig, added up before they are shuffled."""
+            values, offsets = batch.column("elements").values.to_numpy(), batch.column("elements").offsets.to_numpy()
+            for i, sig in enumerate(batch.column("sig").to_pylist()):
+                yield sig, values[offsets[i] : offsets[i + 1]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, counts = np.unique(batch.column("sig").to_numpy(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(counts.astype(np.int64))], ["sig", "c"])
-
-    return shared.select("sig").mapInArrow(run, "sig bigint, c bigint").groupBy("sig").agg(F.sum("c").alias("c"))
+    return sets.select("sig", "elements").mapInArrow(lambda batches: _combined(each(batches)), "h bigint, sig bigint, w int")
 
 
 def survivors(classes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """classes whose prefixes leave room for a partner: it has ceil(3n/4) elements at least, so shares slack(ceil(3n/4))."""
-    counts = _counted(_shared(prefixes.withColumn("n", F.lit(0))))
-    return classes.join(counts, "sig").filter(f"c >= 1 + floor(floor((3 * n + 3) / 4) / {SLACK})").drop("c")
+    return classes.join(_shared_counts(prefixes), "sig").filter(f"c >= 1 + floor(floor((3 * n + 3) / 4) / {SLACK})").drop("c")
 
 
-def _sharing(elements: DataFrame) -> DataFrame:
-    """sig, n, e (df, h, least of each shared element), c (their number), need, from (h, sig, n): the sets with c >= need.
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(sig, n, elements): the sets of the wanted classes, each once. The wanted ids grow with the corpus, so they are never broadcast."""
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct().hint("merge")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("body")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("body")
 
-    A partner stands in ceil(3n/4) of a set's c lists or more, so has no fewer
-    elements than the ceil(3n/4)-th smallest of the lists' least members; by that
-    size the two must share `need` elements at least.
-    """
-    per = _shared(elements).groupBy("sig").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h", "least")).alias("e"))
-    per = per.withColumn("c", F.size("e").cast("long")).withColumn("fewest", F.expr("floor((3 * n + 3) / 4)").cast("int")).filter("c >= fewest")
-    partner = F.get(F.array_sort(F.transform("e", lambda x: x["least"])), F.col("fewest") - 1)
-    return per.withColumn("need", F.greatest(F.col("fewest").cast("long"), F.floor((3 * (F.col("n") + partner) + 6) / 7))).filter("c >= need").drop("fewest")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, "body"):
+            if some := [s for s in sets if len(s)]:
+                yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int64()), _lists(some)], ["sig", "n", "elements"])
 
+    found = chosen.mapInArrow(run, "sig bigint, n bigint, elements array<bigint>")
+    # An id may come with other texts than the wanted one, and a text several times.
+    return found.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"])
 
-def kept_elements(elements: DataFrame) -> DataFrame:
-    """(h, sig, n, c, left, weight) from (h, sig, n): of each set the rarest shared elements, as many as a partner can't all miss.
 
-    c bounds a set's overlap with any other. left: shared elements that aren't
-    kept. weight: the mean length of the set's lists, which is greatest for the
-    set in the middle of a group of near copies.
+def fragments(sets: DataFrame) -> DataFrame:
+    """sig, n, c, left, weight, frag, part, keep: the shared elements of the sets that may have partners, cut into fragments.
+
+    c: shared elements, which bounds the overlap with any other set. A partner
+    stands in ceil(3n/4) of a set's lists or more, so has no fewer elements than
+    the ceil(3n/4)-th smallest of the lists' least members; by that size the two
+    must share `left` + 1 elements at least, and sets with fewer drop out. keep:
+    the elements of part that are among the c - left rarest of the set. weight:
+    the mean length of the set's lists, which is greatest for the set in the
+    middle of a group of near copies.
     """
-    for _ in range(PASSES - 1):
-        elements = _sharing(elements).select("sig", "n", F.explode("e.h").alias("h"))
-    per = _sharing(elements).withColumn("left", F.col("need") - 1)
-    per = per.withColumn("weight", F.floor(F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["df"]) * 16 / F.col("n")))
-    rarest = F.slice(F.sort_array(F.transform("e", lambda x: F.struct(x["df"], x["h"]))), F.lit(1), (F.col("c") - F.col("left")).cast("int"))
-    return per.select("sig", "n", "c", "left", "weight", F.explode(rarest).alias("x")).select("x.h", "sig", "n", "c", "left", "weight")
+    rows = sets.select(F.explode("elements").alias("h"), "sig", "n")
+    stats = rows.groupBy("h").agg(F.count("*").cast("int").alias("df"), F.min("n").cast("int").alias("least")).filter("df > 1")
+    # A list in a third of all sets is a hot key of this join, which Spark splits.
+    per = rows.join(stats, "h").groupBy("sig").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "least", "h")).alias("e"))
+    per = per.select("sig", "n", F.col("e.df").alias("df"), F.col("e.least").alias("least"), F.col("e.h").alias("h"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("h").offsets.to_numpy()
+            df, least, h = (batch.column(c).values.to_numpy() for c in ("df", "least", "h"))
+            heads, parts, keeps = [], [], []
+            for i, (sig, n) in enumerate(zip(batch.column("sig").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                a, b = offsets[i], offsets[i + 1]
+                c, fewest = int(b - a), needed(n)
+                if c < fewest:
+                    continue
+                partner = int(np.partition(least[a:b], fewest - 1)[fewest - 1])
+                need = max(fewest, (3 * (n + partner) + 6) // 7)
+                if c < need:
+                    continue
+                order = np.lexsort((h[a:b], df[a:b]))
+                own, often = h[a:b][order], df[a:b][order]
+                grade = np.minimum(np.log2(often).astype(np.int64), GRADES) - 1
+                frag = grade * CUTS + (own >> 61 & CUTS - 1)
+                kept = np.arange(c) < c - need + 1
+                weight = int(often.sum()) * 16 // n
+                for f in np.unique(frag):
+                    at = frag == f
+                    heads.append((sig, n, c, need - 1, weight, int(f)))
+                    parts.append(own[at])
+                    keeps.append(own[at & kept])
+            if heads:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*heads, strict=True)), _lists(parts), _lists(keeps)], names)
+
+    names = ["sig", "n", "c", "left", "weight", "frag", "part", "keep"]
+    return per.mapInArrow(run, "sig bigint, n bigint, c bigint, left bigint, weight bigint, frag bigint, part array<bigint>, keep array<bigint>")
+
+
+def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """x, y, overlap for pairs (x, y): partial overlaps of every fragment, summed per pair."""
+    side = lambda k, p: cut.select(F.col("sig").alias(k), "frag", F.col("part").alias(p))
+    both = pairs.select("x", "y").join(side("y", "q"), "y").join(side("x", "p"), ["x", "frag"])
+    return both.select("x", "y", F.size(F.array_intersect("p", "q")).alias("partial")).groupBy("x", "y").agg(F.sum("partial").alias("overlap"))
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(sig, n, frag, part): the sets of the wanted documents, cut into FRAGMENTS ranges of the global order. Repeated rows may give a set again."""
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("body")).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("body")
-    bounds = np.array([-(1 << 63) + i * (1 << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], dtype=np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets in _sets(batches, "body"):
-            sigs, sizes, frags, parts = [], [], [], []
-            for s in sets:
-                if len(s) and (sig := _signature(s)) not in seen:
-                    seen.add(sig)
-                    for f, piece in enumerate(np.split(s, np.searchsorted(s, bounds))):
-                        if len(piece):
-                            sigs.append(sig)
-                            sizes.append(len(s))
-                            frags.append(f)
-                            parts.append(piece)
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(frags, pa.int32()), _lists(parts)], ["sig", "n", "frag", "part"])
+def _links(pairs: DataFrame, cut: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: the pairs whose Jaccard similarity is 3/4 or more. Pairs are staged, so that Spark knows how many they are."""
+    size = lambda k: classes.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"))
+    found = overlaps(staged(pairs, "pairs"), cut).join(size("x"), "x").join(size("y"), "y")
+    return found.filter("100 * overlap >= 75 * (n_x + n_y - overlap)").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
-    return chosen.mapInArrow(run, "sig bigint, n int, frag int, part array<bigint>")
 
+def _lists_of(cut: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, frag, sig, n, c, left, weight, size, kept (of the set's piece in this fragment), component: a row per kept element."""
+    rows = cut.filter(F.size("keep") > 0).select("frag", "sig", "n", "c", "left", "weight", F.size("part").alias("size"), F.size("keep").alias("kept"), "keep")
+    named = rows.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    return named.select(F.explode("keep").alias("h"), *[c for c in named.columns if c != "keep"])
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, overlap for pairs (x, y): partial overlaps of every fragment, summed per pair."""
-    left = pairs.join(sets.select(F.col("sig").alias("x"), "frag", F.col("part").alias("p")), "x")
-    both = left.join(sets.select(F.col("sig").alias("y"), "frag", F.col("part").alias("q")), ["y", "frag"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = []
-            p, q = batch.column("p"), batch.column("q")
-            pv, qv = p.values.to_numpy(), q.values.to_numpy()
-            po, qo = p.offsets.to_numpy(), q.offsets.to_numpy()
-            for i in range(batch.num_rows):
-                counts.append(len(np.intersect1d(pv[po[i] : po[i + 1]], qv[qo[i] : qo[i + 1]], assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), batch.column("frag"), pa.array(counts, pa.int64())], ["x", "y", "frag", "part"])
+def _alike() -> Column:
+    """Sizes and numbers of shared elements that allow a similarity of 3/4: the overlap reaches 3/7 of both sizes, and neither set's c is below it."""
+    return (4 * F.least("n", "n_y") >= 3 * F.greatest("n", "n_y")) & (7 * F.least("c", "c_y") >= 3 * (F.col("n") + F.col("n_y")))
 
-    # A set that came twice counts a fragment twice: once is right.
-    counted = both.select("x", "y", "frag", "p", "q").mapInArrow(run, "x bigint, y bigint, frag int, part bigint")
-    return counted.groupBy("x", "y", "frag").agg(F.max("part").alias("part")).groupBy("x", "y").agg(F.sum("part").alias("overlap"))
 
+def _other(rows: DataFrame, *on: str) -> DataFrame:
+    return rows.select(*on, *[F.col(c).alias("y" if c == "sig" else f"{c}_y") for c in ("sig", "n", "c", "left", "size", "kept", "component")])
 
-def _links(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: the pairs whose Jaccard similarity is 3/4 or more."""
-    size = lambda k: classes.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"))
-    found = overlaps(pairs, sets).join(size("x"), "x").join(size("y"), "y")
-    return found.filter("100 * overlap >= 75 * (n_x + n_y - overlap)").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
+def _counted(met: DataFrame) -> DataFrame:
+    """x, y, met, left, left_y, n, n_y for rows of meeting pairs: counts per fragment, summed per pair.
 
-def _labelled(kept: DataFrame, labels: DataFrame) -> DataFrame:
-    return kept.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    In a fragment where two sets meet in `met` kept elements they share at most
+    those, what either doesn't keep of its piece, and elsewhere all that the
+    one with less has elsewhere. A pair for which that is too little in any
+    fragment is struck out.
+    """
+    own = ["n", "n_y", "c", "c_y", "left", "left_y"]
+    per = met.groupBy("x", "y", "frag", *own).agg(F.count("*").alias("met"), F.max(F.col("size") - F.col("kept")).alias("a"), F.max(F.col("size_y") - F.col("kept_y")).alias("b"), F.max(F.least(F.col("c") - F.col("size"), F.col("c_y") - F.col("size_y"))).alias("elsewhere"))
+    may = 7 * (F.col("met") + F.col("a") + F.col("b") + F.col("elsewhere")) >= 3 * (F.col("n") + F.col("n_y"))
+    return per.groupBy("x", "y", *own).agg(F.sum("met").alias("met"), F.min(may).alias("may")).filter("may").drop("may")
 
 
 def _enough() -> Column:
@@ -261,48 +314,47 @@ def _enough() -> Column:
     return 7 * (F.col("met") + F.greatest("left", "left_y")) >= 3 * (F.col("n") + F.col("n_y"))
 
 
-def _alike(n: str, c: str, n_other: str, c_other: str) -> Column:
-    """Sizes and numbers of shared elements that allow a similarity of 3/4: the overlap reaches 3/7 of both sizes, and neither set's c is below it."""
-    return (4 * F.least(n, n_other) >= 3 * F.greatest(n, n_other)) & (7 * F.least(c, c_other) >= 3 * (F.col(n) + F.col(n_other)))
-
-
 def _rank(turn: int) -> Column:
     """Leaders are the sets of least rank: in the first round the weightiest, later ones drawn by a hash."""
     drawn = F.xxhash64("sig", F.lit(turn))
     return drawn if turn else F.pmod(drawn, F.lit(1 << 20)) - F.col("weight") * (1 << 20)
 
 
+def _led(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs x (a list's leader), y (one of its members in another component), counted over the lists it leads; of a member's leaders the best."""
+    ranked = rows.withColumn("rank", _rank(turn))
+    lead = ranked.groupBy("h").agg(F.min("rank").alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h", "lead")
+    led = ranked.join(lead, "h")
+    heads, members = led.filter("rank = lead").withColumnRenamed("sig", "x"), _other(led.filter("rank <> lead"), "h")
+    met = heads.join(members, "h").filter((F.col("component") != F.col("component_y")) & _alike())
+    return _counted(met).groupBy("y").agg(F.max_by("x", F.struct("met", "x")).alias("x")).select("x", "y")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of members of different components that meet in lists often enough. Lists of over BLOCK members are cut into blocks."""
+    mixed = rows.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least"), F.count("*").alias("members")).filter("c0 <> c1")
+    # Without a set in the list small enough for its c, a member has no partner there.
+    rest = rows.join(mixed.select("h", "least", F.ceil(F.col("members") / BLOCK).alias("blocks")), "h").filter("7 * c >= 3 * (n + least)")
+    left = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumnRenamed("sig", "x")
+    right = _other(rest.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks")), "h", "block")
+    met = left.join(right, ["h", "block"]).filter((F.col("component") < F.col("component_y")) & _alike())
+    return _counted(met).filter(_enough()).select("x", "y")
+
+
 def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """classes (sig, n, doc_id: the least of the class) and components (node, component) over sigs that link with others."""
     classes = staged(described.filter("sig IS NOT NULL").groupBy("sig").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
     wanted = staged(survivors(classes, prefix_rows(docs, text)), "wanted")
-    sets = staged(_full_sets(docs, wanted, id_col, text), "sets")
-    kept = staged(kept_elements(sets.select(F.explode("part").alias("h"), "sig", "n")), "kept")
+    sets = staged(full_sets(docs, wanted, id_col, text), "sets")
+    enough = _shared_counts(whole_rows(sets)).join(wanted.select("sig", "n"), "sig").filter("4 * c >= 3 * n").select("sig")
+    cut = staged(fragments(sets.join(staged(enough, "enough").hint("merge"), "sig", "left_semi")), "fragments")
 
-    found = None
+    found = classes.limit(0).select(F.col("sig").alias("a"), F.col("sig").alias("b"))
     labels = classes.limit(0).select(F.col("sig").alias("node"), F.col("sig").alias("component"))
     for turn in range(LEADER_ROUNDS):
-        rank = _rank(turn)
-        seen = _labelled(kept, labels)
-        # The leader of a list: the least rank, packed for a combining aggregate with the sig and size it stands for.
-        leader = seen.groupBy("h").agg(F.min(rank).alias("rank"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h", "rank")
-        led = seen.withColumn("rank", rank).join(leader.withColumnRenamed("rank", "lead"), "h")
-        heads = led.filter("rank = lead").select("h", F.col("sig").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"), F.col("component").alias("component_x"))
-        pairs = led.filter("rank <> lead").join(heads, "h").filter((F.col("component") != F.col("component_x")) & _alike("n", "c", "n_x", "c_x"))
-        # Of a member's leaders the one it shares most lists with.
-        pairs = pairs.groupBy("sig", "x").count().groupBy("sig").agg(F.max_by("x", F.struct("count", "x")).alias("x")).select("x", F.col("sig").alias("y"))
-        new = staged(_links(pairs, sets, classes), "near")
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(staged(_links(_led(_lists_of(cut, labels), turn), cut, classes), "near"))
         labels = components(found)
-
-    seen = staged(_labelled(kept, labels), "labelled")
-    mixed = seen.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least")).filter("c0 <> c1").select("h", "least")
-    # Without a set in the list small enough for its c, a member has no partner there.
-    rest = seen.join(mixed, "h").filter("7 * c >= 3 * (n + least)").select("h", "sig", "n", "c", "left", "component")
-    other = rest.select("h", F.col("sig").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"), F.col("left").alias("left_y"), F.col("component").alias("component_y"))
-    pairs = rest.withColumnRenamed("sig", "x").join(other, "h").filter((F.col("component") < F.col("component_y")) & _alike("n", "c", "n_y", "c_y"))
-    pairs = pairs.groupBy("x", "y", "n", "n_y", "left", "left_y").agg(F.count("*").alias("met")).filter(_enough()).select("x", "y")
-    found = found.unionByName(_links(pairs, sets, classes))
+    found = found.unionByName(_links(_across(_lists_of(cut, labels)), cut, classes))
     return classes, components(found)
 
 

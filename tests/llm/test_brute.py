@@ -448,3 +448,29 @@ def test_pipeline_stages_keep_the_columns_and_take_odd_rows(spark, small):
     stayed = corpus_pipeline.near_duplicates(spark, docs, small).select("doc_id", "text").collect()
     assert sorted((r[0] or 0, r[1] or "") for r in stayed) == [(0, ""), (0, "a b"), (1, "one two three four five six"), (2, "")]
     assert math.isclose(docs.count(), 6)
+
+
+def test_jaccard_join_with_one_shingle_in_all_documents(spark, monkeypatch):
+    """A passage that every document has, in documents of all sizes; lists cut into many blocks, sums over many batches."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "COMBINED", 40)
+    rng = random.Random(30)
+    passage = [f"p{i}" for i in range(12)]
+    texts = {i: " ".join([*passage, *(f"w{rng.randrange(10_000)}" for _ in range(rng.randrange(14)))]) for i in range(150)}
+    texts |= {200 + i: texts[i] for i in range(0, 60, 2)}
+    texts |= {300 + i: " ".join([*passage[:5], *(f"v{rng.randrange(3)}" for _ in range(6))]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == brute_components(texts)
+
+
+def test_shared_counts_are_exact_whatever_the_batches(spark, monkeypatch):
+    rng = random.Random(31)
+    sets = {sig: sorted(rng.sample(range(40), rng.randint(1, 12))) for sig in range(30)} | {100: [1000], 101: [1000, 7], 102: [5000]}
+    want = {k: sum(any(h in o for j, o in sets.items() if j != k) for h in s) for k, s in sets.items()}
+    rows = [(k, s) for k, s in sets.items()] + [(k, sets[k]) for k in (1, 2, 100)]
+    for combined in (1, 15, 1 << 20):
+        monkeypatch.setattr(jaccard_join, "COMBINED", combined)
+        df = spark.createDataFrame(rows, "sig bigint, elements array<bigint>").repartition(3)
+        got = {r["sig"]: r["c"] for r in jaccard_join._shared_counts(jaccard_join.whole_rows(df)).collect()}
+        assert got == want
