@@ -212,14 +212,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Dat
 
 
 def fragments(sets: DataFrame) -> DataFrame:
-    """sig, n, c, left, weight, frag, part, keep: the shared elements of the sets that may have partners, cut into fragments.
+    """sig, n, c, left, weight, frag, part, keep, rank: the shared elements of the sets that may have partners, cut into fragments.
 
     c: shared elements, which bounds the overlap with any other set. A partner
     stands in ceil(3n/4) of a set's lists or more, so has no fewer elements than
     the ceil(3n/4)-th smallest of the lists' least members; by that size the two
     must share `left` + 1 elements at least, and sets with fewer drop out. keep:
-    the elements of part that are among the c - left rarest of the set. weight:
-    the mean length of the set's lists, which is greatest for the set in the
+    the elements of part that are among the c - left rarest of the set; rank: how
+    many rarer ones it has. weight: the mean length of the set's lists, which is greatest for the set in the
     middle of a group of near copies.
     """
     rows = sets.select(F.explode("elements").alias("h"), "sig", "n")
@@ -232,7 +232,7 @@ def fragments(sets: DataFrame) -> DataFrame:
         for batch in batches:
             offsets = batch.column("h").offsets.to_numpy()
             df, least, h = (batch.column(c).values.to_numpy() for c in ("df", "least", "h"))
-            heads, parts, keeps = [], [], []
+            heads, parts, keeps, ranks = [], [], [], []
             for i, (sig, n) in enumerate(zip(batch.column("sig").to_pylist(), batch.column("n").to_pylist(), strict=True)):
                 a, b = offsets[i], offsets[i + 1]
                 c, fewest = int(b - a), needed(n)
@@ -246,18 +246,20 @@ def fragments(sets: DataFrame) -> DataFrame:
                 own, often = h[a:b][order], df[a:b][order]
                 grade = np.minimum(np.log2(often).astype(np.int64), GRADES) - 1
                 frag = grade * CUTS + (own >> 61 & CUTS - 1)
-                kept = np.arange(c) < c - need + 1
+                rank = np.arange(c)
+                kept = rank < c - need + 1
                 weight = int(often.sum()) * 16 // n
                 for f in np.unique(frag):
                     at = frag == f
                     heads.append((sig, n, c, need - 1, weight, int(f)))
                     parts.append(own[at])
                     keeps.append(own[at & kept])
+                    ranks.append(rank[at & kept])
             if heads:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*heads, strict=True)), _lists(parts), _lists(keeps)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*heads, strict=True)), _lists(parts), _lists(keeps), _lists(ranks)], names)
 
-    names = ["sig", "n", "c", "left", "weight", "frag", "part", "keep"]
-    return per.mapInArrow(run, "sig bigint, n bigint, c bigint, left bigint, weight bigint, frag bigint, part array<bigint>, keep array<bigint>")
+    names = ["sig", "n", "c", "left", "weight", "frag", "part", "keep", "rank"]
+    return per.mapInArrow(run, "sig bigint, n bigint, c bigint, left bigint, weight bigint, frag bigint, part array<bigint>, keep array<bigint>, rank array<bigint>")
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -275,33 +277,39 @@ def _links(pairs: DataFrame, cut: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _lists_of(cut: DataFrame, labels: DataFrame) -> DataFrame:
-    """h, frag, sig, n, c, left, weight, size, kept (of the set's piece in this fragment), component: a row per kept element."""
-    rows = cut.filter(F.size("keep") > 0).select("frag", "sig", "n", "c", "left", "weight", F.size("part").alias("size"), F.size("keep").alias("kept"), "keep")
+    """h, rank, frag, sig, n, c, left, weight, component: a row per kept element."""
+    rows = cut.filter(F.size("keep") > 0).select("frag", "sig", "n", "c", "left", "weight", F.arrays_zip("keep", "rank").alias("z"))
     named = rows.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    return named.select(F.explode("keep").alias("h"), *[c for c in named.columns if c != "keep"])
+    return named.select("*", F.explode("z").alias("x")).select(F.col("x.keep").alias("h"), F.col("x.rank").alias("rank"), *[c for c in named.columns if c != "z"])
 
 
-def _alike() -> Column:
-    """Sizes and numbers of shared elements that allow a similarity of 3/4: the overlap reaches 3/7 of both sizes, and neither set's c is below it."""
-    return (4 * F.least("n", "n_y") >= 3 * F.greatest("n", "n_y")) & (7 * F.least("c", "c_y") >= 3 * (F.col("n") + F.col("n_y")))
+def _other(rows: DataFrame, *on: str) -> DataFrame:
+    return rows.select(*on, *[F.col(c).alias("y" if c == "sig" else f"{c}_y") for c in ("sig", "n", "c", "left", "rank", "component")])
 
 
-def _other(rows: DataFrame, *on: str) -> DataFrame:
-    return rows.select(*on, *[F.col(c).alias("y" if c == "sig" else f"{c}_y") for c in ("sig", "n", "c", "left", "size", "kept", "component")])
+def _alike() -> Column:
+    """Sizes and places that allow a similarity of 3/4 to two sets whose rarest common element this is.
+
+    The overlap, which reaches 3/7 of both sizes, has no element that is rarer in
+    either, so it is no larger than what each set has from here on.
+    """
+    return (4 * F.least("n", "n_y") >= 3 * F.greatest("n", "n_y")) & (7 * F.least(F.col("c") - F.col("rank"), F.col("c_y") - F.col("rank_y")) >= 3 * (F.col("n") + F.col("n_y")))
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    """x, y, met, left, left_y, n, n_y for rows of meeting pairs: counts per fragment, summed per pair.
+def _counted(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """Of the pairs (x, y) those that may be similar by the kept elements they share, counted in each fragment and summed per pair.
 
-    In a fragment where two sets meet in `met` kept elements they share at most
+    In a fragment where two sets share `met` kept elements they share at most
     those, what either doesn't keep of its piece, and elsewhere all that the
     one with less has elsewhere. A pair for which that is too little in any
-    fragment is struck out.
+    fragment is struck out; for the sum see _enough().
     """
-    own = ["n", "n_y", "c", "c_y", "left", "left_y"]
-    per = met.groupBy("x", "y", "frag", *own).agg(F.count("*").alias("met"), F.max(F.col("size") - F.col("kept")).alias("a"), F.max(F.col("size_y") - F.col("kept_y")).alias("b"), F.max(F.least(F.col("c") - F.col("size"), F.col("c_y") - F.col("size_y"))).alias("elsewhere"))
-    may = 7 * (F.col("met") + F.col("a") + F.col("b") + F.col("elsewhere")) >= 3 * (F.col("n") + F.col("n_y"))
-    return per.groupBy("x", "y", *own).agg(F.sum("met").alias("met"), F.min(may).alias("may")).filter("may").drop("may")
+    side = lambda k, p: cut.filter(F.size("keep") > 0).select(F.col("sig").alias(k), "frag", *[F.col(c).alias(f"{c}{p}") for c in ("n", "c", "left", "keep")], (F.size("part") - F.size("keep")).alias(f"rest{p}"), (F.col("c") - F.size("part")).alias(f"else{p}"))
+    both = staged(pairs, "counted").join(side("y", "_y"), "y").join(side("x", ""), ["x", "frag"])
+    met = F.size(F.array_intersect("keep", "keep_y"))
+    may = 7 * (met + F.col("rest") + F.col("rest_y") + F.least("else", "else_y")) >= 3 * (F.col("n") + F.col("n_y"))
+    per = both.select("x", "y", "n", "n_y", "left", "left_y", met.alias("met"), may.alias("may"))
+    return per.groupBy("x", "y", "n", "n_y", "left", "left_y").agg(F.sum("met").alias("met"), F.min("may").alias("may")).filter(F.col("may") & _enough()).select("x", "y")
 
 
 def _enough() -> Column:
@@ -326,19 +334,20 @@ def _led(rows: DataFrame, turn: int) -> DataFrame:
     lead = ranked.groupBy("h").agg(F.min("rank").alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("h", "lead")
     led = ranked.join(lead, "h")
     heads, members = led.filter("rank = lead").withColumnRenamed("sig", "x"), _other(led.filter("rank <> lead"), "h")
-    met = heads.join(members, "h").filter((F.col("component") != F.col("component_y")) & _alike())
-    return _counted(met).groupBy("y").agg(F.max_by("x", F.struct("met", "x")).alias("x")).select("x", "y")
+    met = heads.join(members, "h").filter((F.col("component") != F.col("component_y")) & (4 * F.least("n", "n_y") >= 3 * F.greatest("n", "n_y")) & (7 * F.least("c", "c_y") >= 3 * (F.col("n") + F.col("n_y"))))
+    per = met.groupBy("x", "y", "frag").agg(F.count("*").alias("met")).groupBy("x", "y").agg(F.sum("met").alias("met"))
+    return per.groupBy("y").agg(F.max_by("x", F.struct("met", "x")).alias("x")).select("x", "y")
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of members of different components that meet in lists often enough. Lists of over BLOCK members are cut into blocks."""
+    """Pairs of members of different components that meet in a list where their rarest common element may be. Lists of over BLOCK members are cut into blocks."""
     mixed = rows.groupBy("h").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least"), F.count("*").alias("members")).filter("c0 <> c1")
     # Without a set in the list small enough for its c, a member has no partner there.
     rest = rows.join(mixed.select("h", "least", F.ceil(F.col("members") / BLOCK).alias("blocks")), "h").filter("7 * c >= 3 * (n + least)")
     left = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumnRenamed("sig", "x")
     right = _other(rest.withColumn("block", F.pmod(F.xxhash64("sig"), "blocks")), "h", "block")
     met = left.join(right, ["h", "block"]).filter((F.col("component") < F.col("component_y")) & _alike())
-    return _counted(met).filter(_enough()).select("x", "y")
+    return met.select("x", "y").distinct()
 
 
 def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -354,7 +363,7 @@ def links(docs: DataFrame, described: DataFrame, id_col: str, text: str) -> tupl
     for turn in range(LEADER_ROUNDS):
         found = found.unionByName(staged(_links(_led(_lists_of(cut, labels), turn), cut, classes), "near"))
         labels = components(found)
-    found = found.unionByName(_links(_across(_lists_of(cut, labels)), cut, classes))
+    found = found.unionByName(_links(_counted(_across(_lists_of(cut, labels)), cut), cut, classes))
     return classes, components(found)
 
 
