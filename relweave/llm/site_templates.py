@@ -1,43 +1,45 @@
 """Main text of web pages by removal of site templates.
 
-Element subtrees are hashed by their normalised source and counted per host, by
-Spark: a subtree that stands on many different pages of its host is template
-and is deleted. What markup itself declares (menus, footers, forms, scripts, and
-blocks whose class, id or role names such a part) goes too, so that hosts with
-few pages are served as well; where a page marks its article, only that is kept.
-Paragraphs of a marked article are never taken for template.
+Every element subtree has a hash, made bottom up of its tag, attributes, text
+and children's hashes, with white space collapsed and numbers alike. The hashes
+are counted per host, by Spark: a subtree that stands on MIN_PAGES different
+pages of its host or more is template, and is deleted first. A subtree that
+holds most of its page's text, or a marked article, isn't counted, and
+paragraphs of a marked article are never taken for template.
+
+What recurs on no other page is left to markup, as a remainder: an article that
+the page marks is all that is kept; menus, footers, forms and scripts go by
+their element; other blocks go whose class, id or role names such a part.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relweave.llm.common import fresh, pieces, staged
+from relweave.llm.markup import BLOCK, RAW, TAG, VOID, raw_end
+
 #: A subtree is template if it stands on so many different pages of its host, and on no fewer than the base-2 logarithm of their number (20 of a million).
-MIN_PAGES = 5
-BATCH = 256
-
-# Element names of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
-)
-DROPPED = frozenset("head script style noscript template title nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu".split())
-# A new element of these closes an open one of those, up to an element of the scope.
+MIN_PAGES = 3
+
+# Elements that aren't shown, and further ones that hold no part of an article.
+UNSEEN = frozenset("head script style noscript template title textarea iframe object embed svg canvas audio video".split())
+DROPPED = UNSEEN | frozenset("nav footer aside form button select input dialog menu".split())
+# Fixed values of HTML: a new element of these closes an open one of those, up to an element of the scope.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body div section article main aside nav header footer ul ol dl table form td th blockquote".split())
 PARAGRAPH_KEEPS = frozenset("body html head caption dd dt li td th tr tbody thead tfoot option optgroup legend summary".split())
 CONTAINERS = frozenset("div section ul ol dl table nav header footer aside form p figure".split())
 IN_ARTICLE = frozenset("div section ul ol dl table aside form figure".split())
 
-# Words in a class, id or role that name a part which isn't the article.
+# Words in a class, id or role that name a part which isn't the article, and words beside them that say a name is of something else.
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promoted promotion sidebar nav navbar navigation menu "
     "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
@@ -45,50 +47,75 @@ PARTS = frozenset(
     "skip masthead complementary contentinfo".split()
 )
 ARTICLE_PARTS = frozenset("comment comments reply ad advert advertisement promo sponsored related teaser".split())
+OTHERWISE = frozenset("has no not with without is open closed enabled disabled".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "hidden", "children", "start", "end", "role")
+    """An element. size: characters of text that are shown below it. marked: an article is marked below it or is itself."""
 
-    def __init__(self, tag: str, attributes: str, start: int):
-        self.tag, self.start, self.end = tag, start, start
+    __slots__ = ("tag", "attributes", "names", "hidden", "role", "children", "sig", "size", "marked")
+
+    def __init__(self, tag: str, attributes: str):
+        self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
         self.names, self.hidden, self.role = frozenset(), False, ""
+        self.sig = self.size = 0
+        self.marked = False
         if attributes and not attributes.isspace():
             values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
             self.role = values.get("role", "")
-            self.names = frozenset(_WORDS.findall(" ".join(values.get(k, "") for k in ("class", "id", "role"))))
+            # A name like has-sidebar or comments-open is of what has them, not of them.
+            words = [_WORDS.findall(name) for k in ("class", "id", "role") for name in values.get(k, "").split()]
+            self.names = frozenset(w for name in words if len(name) == 1 or OTHERWISE.isdisjoint(name) for w in name)
             self.hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
 
+    def close(self) -> None:
+        """Hash and size, when the children have theirs."""
+        import xxhash
+
+        h = xxhash.xxh3_64(f"{self.tag} {_plain(self.attributes)}".encode("utf-8", "surrogatepass"))
+        for c in self.children:
+            if isinstance(c, str):
+                text = _plain(c)
+                h.update(text.encode("utf-8", "surrogatepass"))
+                self.size += len(text) * (self.tag not in UNSEEN)
+            else:
+                h.update(c.sig.to_bytes(8, "little"))
+                self.size += c.size * (self.tag not in UNSEEN)
+                self.marked |= c.marked
+        self.sig = h.intdigest()
+
+
+def _plain(text: str) -> str:
+    return _DIGITS.sub("0", " ".join(text.split()))
+
 
 def parse(source: str) -> Node:
     """The element tree of a page; unclosed elements end where HTML has them end, stray end tags are ignored."""
-    root = Node("#root", "", 0)
+    root = Node("#root", "")
     stack, at, length = [root], 0, len(source)
+    open_tags: Counter[str] = Counter()
 
-    def close(depth: int, end: int) -> None:
-        for node in stack[depth:]:
-            node.end = end
+    def close(depth: int) -> None:
+        for node in reversed(stack[depth:]):
+            open_tags[node.tag] -= 1
+            node.close()
         del stack[depth:]
 
     def open_of(names, scope) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                return i
-            if stack[i].tag in scope:
-                break
+        if any(open_tags[n] for n in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in names:
+                    return i
+                if stack[i].tag in scope:
+                    break
         return 0
 
-    while at < length:
-        m = _TOKEN.search(source, at)
-        if not m:
-            stack[-1].children.append(source[at:])
-            break
+    for m in iter(lambda: TAG.search(source, at), None):
         if m.start() > at:
             stack[-1].children.append(source[at : m.start()])
         at = m.end()
@@ -96,29 +123,30 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i, at)
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+            if i := open_of((tag,), () if tag in BLOCK else BLOCK):
+                close(i)
             continue
         if tag in BLOCK and tag not in PARAGRAPH_KEEPS and (i := open_of(("p",), SCOPE)):
-            close(i, m.start())
+            close(i)
         if tag in SIBLINGS and (i := open_of(SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table", "select")))):
-            close(i, m.start())
+            close(i)
         if tag in ("article", "main") and (i := open_of(("nav", "footer", "header"), frozenset(("article", "main")))):
-            close(i, m.start())
-        node = Node(tag, m[3], m.start())
-        node.end = at
+            close(i)
+        node = Node(tag, m[3])
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = node.end = end.end() if end else length
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            end, at = raw_end(source, tag, at)
+            node.children.append(source[m.end() : end])
+            node.close()
+        elif tag in VOID or m[3].rstrip().endswith("/"):
+            node.close()
+        else:
+            open_tags[tag] += 1
             stack.append(node)
-    close(0, length)
-    root.end = length
+    if at < length:
+        stack[-1].children.append(source[at:])
+    close(1)
+    root.close()
     return root
 
 
@@ -136,34 +164,36 @@ def _roots(node: Node) -> list[Node]:
     return found
 
 
-def signature(source: str, node: Node) -> int:
-    """Hash of a subtree's source, with white space collapsed and numbers alike."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(_DIGITS.sub("0", " ".join(source[node.start : node.end].split())).encode("utf-8", "surrogatepass")) - (1 << 63)
+def _mark(tree: Node) -> list[Node]:
+    """The roots, with `marked` set on them and on all that holds one."""
+    roots = _roots(tree)
+    own = set(map(id, roots))
+    order = [tree]
+    for n in order:
+        order += [c for c in n.children if isinstance(c, Node)]
+    for n in reversed(order):
+        n.marked = id(n) in own or any(c.marked for c in n.children if isinstance(c, Node))
+    return roots
 
 
 def subtrees(source: str) -> set[int]:
-    """Signatures of a page's subtrees that may turn out to be template."""
+    """Hashes of a page's subtrees that may turn out to be template."""
     tree = parse(source)
-    marked, out = {id(n) for n in _roots(tree)}, set()
+    own, out = set(map(id, _mark(tree))), set()
     todo = [(tree, False)]
     while todo:
         node, inside = todo.pop()
-        inside = inside or id(node) in marked
-        if node.tag in (IN_ARTICLE if inside else CONTAINERS) and id(node) not in marked:
-            out.add(signature(source, node))
+        inside = inside or id(node) in own
+        if node.tag in (IN_ARTICLE if inside else CONTAINERS) and not node.marked and node.size and 2 * node.size <= tree.size:
+            out.add(node.sig - (1 << 63))
         todo += [(c, inside) for c in node.children if isinstance(c, Node)]
     return out
 
 
-def main_text(source: str, template: frozenset[int] = frozenset()) -> str:
-    """Text of the page's article without template subtrees: blocks in page order, one per line."""
-    tree = parse(source)
-    roots = _roots(tree)
-    marked = {id(n) for n in roots}
+def _text(roots: list[Node], template: frozenset[int], parts: bool, names: bool) -> str:
+    own = set(map(id, roots))
     blocks: list[list[str]] = [[]]
-    todo: list[tuple[Node | str, bool]] = [(n, True) for n in reversed(roots)] or [(tree, False)]
+    todo: list[tuple[Node | str, bool]] = [(n, n.tag != "#root") for n in reversed(roots)]
     while todo:
         node, inside = todo.pop()
         if isinstance(node, str):
@@ -172,16 +202,16 @@ def main_text(source: str, template: frozenset[int] = frozenset()) -> str:
             else:
                 blocks[-1].append(node)
             continue
-        if id(node) not in marked and node.tag != "#root":
-            if node.tag in DROPPED or node.hidden or (node.tag == "header" and not inside):
+        if id(node) not in own:
+            if node.tag in (IN_ARTICLE if inside else CONTAINERS) and not node.marked and node.sig - (1 << 63) in template:
                 continue
-            parts = ARTICLE_PARTS if node.tag in ("article", "main") else PARTS if node.tag not in ("html", "body") else frozenset()
-            if node.names & parts or (template and node.tag in (IN_ARTICLE if inside else CONTAINERS) and signature(source, node) in template):
+            if node.tag in UNSEEN or (parts and (node.tag in DROPPED or node.hidden or (node.tag == "header" and not inside))):
+                continue
+            if names and node.names & (ARTICLE_PARTS if node.tag in ("article", "main") else PARTS if node.tag not in ("html", "body") else frozenset()):
                 continue
         if node.tag == "br":
             blocks[-1].append(" ")
-        block = node.tag in BLOCK
-        if block:
+        if node.tag in BLOCK:
             todo.append(("\n", inside))
             blocks.append([])
         # A text of one line feed would pass for a block's end: it is white space all the same.
@@ -190,57 +220,73 @@ def main_text(source: str, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def main_text(source: str, template: frozenset[int] = frozenset(), markup: bool = True) -> str:
+    """Text of the page's article without template subtrees: blocks in page order, one per line.
+
+    markup=False leaves out the remainder: of the whole page only templates and
+    what is never shown go. A page whose blocks all have telling names is kept
+    without regard to the names.
+    """
+    tree = parse(source)
+    roots = _mark(tree) if markup else []
+    if not markup:
+        return _text([tree], template, False, False)
+    return _text(roots or [tree], template, True, True) or ("" if roots else _text([tree], template, True, False))
+
+
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, print, template: for each different page the signatures on it that recur on its host, for pages(host, print, html).
+    """host, print, template: for each different page the hashes on it that recur on its host, for pages(host, print, html).
 
     Pages of equal html (print) count once. Templates meet the subtrees of pages
     as rows of (host, sig), so no host's templates are ever in one list. Counts
     combine before they are shuffled, so a host with a third of all pages is
-    counted like any other.
+    counted like any other. The hashes are staged: pages are parsed once for
+    them, and once for their text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                part = whole.slice(start, BATCH)
-                at, sigs = [], []
-                for i, page in enumerate(part.column("html").to_pylist()):
-                    found = subtrees(page)
-                    at += [i] * len(found)
-                    sigs += found
-                at = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("print").take(at), pa.array(sigs, pa.int64())], ["host", "print", "sig"])
+        for part in pieces(batches, "html"):
+            at, sigs = [], []
+            for i, page in enumerate(part.column("html").to_pylist()):
+                found = subtrees(page)
+                at += [i] * len(found)
+                sigs += found
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("print").take(at), pa.array(sigs, pa.int64())], ["host", "print", "sig"])
 
     pages = pages.filter(F.length("html") > 0)
-    found = pages.mapInArrow(run, "host string, print bigint, sig bigint").distinct()
+    found = staged(pages.mapInArrow(run, "host string, print bigint, sig bigint").distinct(), "subtrees")
     total = pages.select("host", "print").distinct().groupBy("host").agg(F.count("*").alias("total"))
     often = found.groupBy("host", "sig").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     often = often.join(total, "host").filter(F.col("pages") >= F.log2("total")).select("host", "sig")
     return found.join(often, ["host", "sig"]).groupBy("host", "print").agg(F.collect_list("sig").alias("template"))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", markup: bool = True) -> DataFrame:
     """pages without the html, with text (string, empty if none) and n_chars (long).
 
-    One row per input row. A null html is an empty page, a null url the host "".
-    Columns named text, n_chars, host, print or template are replaced.
+    One row per input row. A null html is an empty page, a null url the host "";
+    an empty table gives an empty one. Equal rows have equal results and count
+    as one page, ties of counts don't matter. Columns named text or n_chars are
+    replaced, others kept whatever their names.
     """
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars", "host", "print", "template")]
-    source = pages.select(*[F.col(c) for c in keep], host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    source = source.withColumn("print", F.xxhash64("html"))
+    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    # Under names of our own, so that no other column clashes.
+    at, print_ = fresh(pages, "host"), fresh(pages, "print")
+    list_ = fresh(pages, "template")
+    source = pages.select(*[F.col(c) for c in keep], host(F.col(url)).alias(at), F.xxhash64(html).alias(print_), F.col(html).alias(html))
+    found = templates(source.select(F.col(at).alias("host"), F.col(print_).alias("print"), F.col(html).alias("html")))
     # A page copied many times is one key of this join, whose hot keys Spark splits.
-    joined = source.join(templates(source.select("host", "print", "html")), ["host", "print"], "left").drop("host", "print")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("html", "template")), "text string, n_chars bigint"])
+    joined = source.join(found.select(F.col("host").alias(at), F.col("print").alias(print_), F.col("template").alias(list_)), [at, print_], "left").select(*keep, html, list_)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in (html, list_)), "text string, n_chars bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                part = whole.slice(start, BATCH)
-                texts = [main_text(p or "", frozenset(t or ())) for p, t in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+        for part in pieces(batches, html):
+            texts = [main_text(p or "", frozenset(t or ()), markup) for p, t in zip(part.column(html).to_pylist(), part.column(list_).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
 
-    return joined.select(*keep, "html", "template").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

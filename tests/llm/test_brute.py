@@ -383,11 +383,60 @@ def test_paragraphs_of_marked_articles_and_copies_of_pages_stay(spark):
 def test_a_notice_on_a_small_share_of_a_large_host_goes(spark):
     """8 of 40 and 8 of 200 different pages make a template, 5 of 200 (fewer than the logarithm) and 4 of 40 none."""
     word = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
-    page = lambda i: f"<div>{'<div>Rotating notice</div>' if i < 8 else ''}{'<div>Rare line</div>' if i < rare else ''}<p>Own text {word(i)}</p></div>"
+    page = lambda i: f"<div>{'<div>Rotating notice</div>' if i < 8 else ''}{'<div>Rare line</div>' if i < rare else ''}<p>Own text {word(i)} goes on for quite some words</p></div>"
     for n, rare in ((40, 4), (200, 5)):
         df = spark.createDataFrame([(i, "http://h.example/", page(i)) for i in range(n)], "page_id int, url string, html string")
         got = {r["page_id"]: r["text"] for r in site_templates.extract(df).collect()}
-        assert got == {i: ("Rare line\n" if i < rare else "") + f"Own text {word(i)}" for i in range(n)}
+        assert got == {i: ("Rare line\n" if i < rare else "") + f"Own text {word(i)} goes on for quite some words" for i in range(n)}
+
+
+def test_templates_alone_leave_the_article(spark):
+    """Without any rule about elements or class names: pages of two sections of a host, each with its own menu, notice, advert and footer."""
+    rng = random.Random(12)
+    sentence = lambda: " ".join(rng.choice(["river", "stone", "cloud", "grass", "walks", "slowly"]) + rng.choice("abcdefgh") for _ in range(rng.randint(8, 20)))
+    rows, want = [], {}
+    for section, menu in enumerate(("News Sport", "Shop Help")):
+        links = "".join(f"<li><a href='/{w}?s={section}'>{w}</a></li>" for w in menu.split())
+        for k in range(3):
+            i, body = 10 * section + k, [sentence() for _ in range(rng.randint(1, 4))]
+            page = f"<html><head><title>t{k}</title></head><body><div><ul>{links}</ul></div><div><p>Notice of section {menu}</p></div><div><h1>Head {sentence()}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div><div>Advert for {menu}, no. {k}</div><div>&copy; {menu} <b>2024-0{k + 1}</b></div></body></html>"
+            rows.append((i, f"https://one.example/{i}", page))
+            want[i] = page.split("<h1>")[1].split("</h1>")[0] + "\n" + "\n".join(body)
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert {r["page_id"]: r["text"] for r in site_templates.extract(pages, markup=False).collect()} == want
+    # On a host with two pages of a section nothing recurs often enough.
+    few = site_templates.extract(pages.filter("page_id % 10 < 2"), markup=False).collect()
+    assert all("Notice of section" in r["text"] for r in few)
+
+
+def test_templates_leave_long_and_marked_subtrees():
+    copies = "<div><article><p>the same article</p></article></div><div><p>aside</p><div>x</div></div>"
+    tree = site_templates.parse(copies)
+    assert len(site_templates.subtrees(copies)) == 3  # the second div, its paragraph and its div
+    assert site_templates.main_text(copies, frozenset(n.sig - (1 << 63) for n in [tree, *tree.children])) == "the same article"
+    assert site_templates.subtrees("<div>nearly all of the text</div><p>no</p>") == {site_templates.parse("<div>nearly all of the text</div><p>no</p>").children[1].sig - (1 << 63)}
+    same = lambda a, b: site_templates.parse(a).sig == site_templates.parse(b).sig
+    assert same("<p>a  1</p>", "<p>a\n27</p>") and not same("<p>a</p>", "<b>a</b>") and not same("<p><b>a</b></p>", "<p><b></b>a</p>")
+
+
+def test_names_are_of_their_element():
+    text = site_templates.main_text
+    assert text("<div class='content has-sidebar'>kept</div><div class='sidebar'>gone</div>") == "kept"
+    assert text("<article><div class='post-body comments-open share-enabled'>kept</div><div class='post-comments x'>gone</div><div class='user-comments'>gone</div></article>") == "kept"
+    assert text("<div class=search>only this</div>") == "only this"
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for unit in ("<a ", "<a <b", "<div>", "<b>", "<!", "</b>", "<p>", "<a x='", '<a x="\'>', "<li>"):
+        took = []
+        for n in (4_000, 16_000):
+            began = time.process_time()
+            site_templates.main_text(unit * n)
+            site_templates.subtrees(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * max(took[0], 0.02), unit
 
 
 def test_markup():
