@@ -96,8 +96,8 @@ def describe(docs: DataFrame, id_col: str, text: str, key: Column | None = None)
     return source.mapInArrow(run, ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names) + ", sig bigint, n bigint")
 
 
-def _combined(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(h, sig, w) rows of (sig, elements), added up in batches of about COMBINED elements.
+def _combined(sets: Iterator[tuple[int, np.ndarray]], limit: int) -> Iterator[pa.RecordBatch]:
+    """(h, sig, w) rows of (sig, elements), added up in batches of about `limit` elements.
 
     w = 0: of this batch only sig has h. w = -1: several have it, and were told
     so. w > 0: sig was told of w - 1 shared elements; h stands for nothing.
@@ -124,7 +124,7 @@ def _combined(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch
         if sig not in held:
             held[sig] = found
             size += len(found)
-        if size >= COMBINED:
+        if size >= limit:
             yield flush()
             held, size = {}, 0
     if held:
@@ -176,7 +176,8 @@ def prefix_rows(docs: DataFrame, text: str) -> DataFrame:
                 if len(s):
                     yield _signature(s), s[: prefix_length(len(s))]
 
-    return source.mapInArrow(lambda batches: _combined(prefixes(batches)), "h bigint, sig bigint, w int")
+    limit = COMBINED
+    return source.mapInArrow(lambda batches: _combined(prefixes(batches), limit), "h bigint, sig bigint, w int")
 
 
 def whole_rows(sets: DataFrame) -> DataFrame:
@@ -188,7 +189,8 @@ def whole_rows(sets: DataFrame) -> DataFrame:
             for i, sig in enumerate(batch.column("sig").to_pylist()):
                 yield sig, values[offsets[i] : offsets[i + 1]]
 
-    return sets.select("sig", "elements").mapInArrow(lambda batches: _combined(each(batches)), "h bigint, sig bigint, w int")
+    limit = COMBINED
+    return sets.select("sig", "elements").mapInArrow(lambda batches: _combined(each(batches), limit), "h bigint, sig bigint, w int")
 
 
 def survivors(classes: DataFrame, prefixes: DataFrame) -> DataFrame:

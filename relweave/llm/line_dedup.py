@@ -10,9 +10,10 @@ spacing don't count. Their borders depend on nearby text only:
   that sentence and line ends play no part: any RUN terms that come before, in
   another sentence, hold a passage that goes.
 
-Of all passages with one digest the earliest stays: rank is doc_id (null last,
-by the text's hash), then the place in the text. Inside a single sentence nothing is held against
-the sentence itself.
+Of all passages with one digest the earliest stays. Rank is the id (an integer
+by its value, anything else by a hash of it, null last and then by a hash of
+the text), then the place in the text. Inside a single sentence nothing is held
+against the sentence itself.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from relweave.llm.common import fresh, pieces
 from relweave.llm.terms import _TABLE
 
-MIN_WORDS = 6
+#: Shorter repeats, a fixed phrase or a short sentence, are left alone.
+MIN_WORDS = 20
 #: RUN terms have RUN - 1 pairs: the first border in a run is one of the first SPAN, the last one of the last SPAN, so MIN_PIECE <= RUN - 2 * SPAN.
 RUN, SPAN, MIN_PIECE = 50, 18, 14
-BATCH = 512
 _SENTENCE = re.compile(rb"[^.!?]*[.!?]+[ \t]*|[^.!?]+")
 _LAST = 2**63 - 1
 
@@ -48,7 +51,7 @@ def _borders(words: list[bytes]) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _passages(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bytes, int]]]:
+def _passages(text: bytes, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, bytes, int]]]:
     """Sentences (line number, first byte, end byte), which tile the lines, and passages (sentence, first byte, end byte, digest, terms), by sentence."""
     from xxhash import xxh3_128_digest as digest
 
@@ -67,7 +70,7 @@ def _passages(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     found, first, j = [], 0, 0
     for i, (_, a, _) in enumerate(sentences):
         if upto[i] > first:
-            while j < len(upto) and upto[j] < first + MIN_WORDS:
+            while j < len(upto) and upto[j] < first + min_words:
                 j += 1
             if j == len(upto):
                 break
@@ -105,64 +108,74 @@ def units(text: bytes) -> Iterator[tuple[int, int, int, bytes | None, int | None
         yield number, a, b, *own
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def _digests(docs: DataFrame, min_words: int) -> DataFrame:
     """One row (doc, print, hi, lo) per document and different digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                part = whole.slice(start, BATCH)
-                at, found = [], []
-                for i, body in enumerate(part.column("body").to_pylist()):
-                    seen = {f[3] for f in _passages(body)[1]}
-                    at += [i] * len(seen)
-                    found += seen
-                at, halves = pa.array(at, pa.int64()), np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("print").take(at), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc", "print", "hi", "lo"])
+        for part in pieces(batches, "body"):
+            at, found = [], []
+            for i, body in enumerate(part.column("body").to_pylist()):
+                seen = {f[3] for f in _passages(body, min_words)[1]}
+                at += [i] * len(seen)
+                found += seen
+            at, halves = pa.array(at, pa.int64()), np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("print").take(at), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc", "print", "hi", "lo"])
 
     return docs.mapInArrow(run, "doc bigint, print bigint, hi bigint, lo bigint")
 
 
-def rebuild(text: bytes, gone: frozenset[bytes]) -> tuple[bytes, int, list[dict]]:
-    """The text without passages whose digest is in `gone` or came in an earlier sentence; its sentences; removed byte spans, which don't touch."""
-    sentences, found = _passages(text)
+def rebuild(text: bytes, gone: frozenset[bytes], min_words: int = MIN_WORDS) -> tuple[bytes, int, list[dict]]:
+    """The text without passages whose digest is in `gone` or came in an earlier sentence; its sentences; the removed byte spans.
+
+    Spans are in order and don't touch; the text without them is the result. A
+    line of which only white space would be left goes whole, with its line end.
+    """
+    sentences, found = _passages(text, min_words)
     seen: dict[bytes, int] = {}
     spans: list[list[int]] = []
+
+    def remove(a: int, b: int) -> None:
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+
     for i, a, b, digest, _ in found:
         if seen.setdefault(digest, i) != i or digest in gone:
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
+            remove(a, b)
     if not spans:
         return text, len(sentences), []
-    kept, at, k = [], 0, 0
+    cut, spans, at, k = spans, [], 0, 0
     for line in text.split(b"\n"):
-        end, parts, place, cut = at + len(line), [], at, False
-        while k < len(spans) and (spans[k][0] < end or spans[k][0] <= at < spans[k][1]):
-            cut = True
-            parts.append(text[place : max(place, spans[k][0])])
-            place = min(end, spans[k][1])
-            if spans[k][1] > end:
+        end, left, place = at + len(line), b"", at
+        own = []
+        while k < len(cut) and cut[k][0] < max(end, at + 1):
+            a, b = max(cut[k][0], at), min(cut[k][1], end)
+            own.append((a, b))
+            left += text[place:a]
+            place = b
+            if cut[k][1] > end:
                 break
             k += 1
-        rest = b"".join([*parts, text[place:end]])
-        if not cut:
-            kept.append(rest)
-        elif rest.strip():
-            kept.append(rest.rstrip(b" \t"))
+        if own and not (left + text[place:end]).strip():
+            own = [(at, min(end + 1, len(text)))]
+        for a, b in own:
+            if b > a:
+                remove(a, b)
         at = end + 1
-    return b"\n".join(kept), len(sentences), [{"start": a, "end": b} for a, b in spans]
+    kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)], strict=True))
+    return kept, len(sentences), [{"start": a, "end": b} for a, b in spans]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text rewritten, and n_units (sentences), n_removed (spans) and removed (array of start, end).
 
     One row per input row; removed holds byte offsets into the original text in
-    UTF-8. A null text stays null, with no units. Rows that share a doc_id have
-    equal rank: each keeps what no lower id holds. Lines that lose all their
-    text go with their line end; the rest of a text is left as it is. Columns
-    named like the new ones are replaced.
+    UTF-8, and the text without them is the new one. A null text stays null,
+    with no units; an empty table gives an empty one. Rows of one id and text
+    are one document and have one result; rows that share an id, but not a text,
+    have equal rank: each keeps what no lower id holds. Columns named like the
+    new ones are replaced, others kept whatever their names.
 
     Digests are counted with map-side aggregation, so a line in a third of all
     documents costs no task more than any other; the join that tells documents
@@ -170,30 +183,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """
     new = ("n_units", "n_removed", "removed")
     docs = docs.drop(*new)
-    rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    rank = F.coalesce(F.col(id_col).cast("bigint") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(_LAST))
     # The text's hash stands beside the rank, so that rows without an id, or of one id, aren't gathered in one group.
     print_ = F.xxhash64(F.col(text))
-    found = _digests(docs.filter(F.col(text).isNotNull()).select(rank.alias("doc"), print_.alias("print"), F.col(text).cast("binary").alias("body")))
+    found = _digests(docs.filter(F.col(text).isNotNull()).select(rank.alias("doc"), print_.alias("print"), F.col(text).cast("binary").alias("body")), min_words)
     unnamed = F.when(F.col("doc") == _LAST, F.col("print"))
     first = found.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(unnamed).alias("least"), F.max(unnamed).alias("most"))
     first = first.filter("first < last OR least < most").drop("last", "most")
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))
-    gone = found.join(first, ["hi", "lo"]).filter(f"doc > first OR doc = {_LAST} AND print > least").groupBy(F.col("doc").alias("_rank"), F.col("print").alias("_print")).agg(F.collect_set(digest).alias("_gone"))
-    joined = docs.withColumn("_rank", rank).withColumn("_print", print_).join(gone, ["_rank", "_print"], "left").drop("_rank", "_print")
+    # Under names of our own, so that no other column clashes.
+    at, mark, list_ = fresh(docs, "rank"), fresh(docs, "print"), fresh(docs, "gone")
+    gone = found.join(first, ["hi", "lo"]).filter(f"doc > first OR doc = {_LAST} AND print > least").groupBy(F.col("doc").alias(at), F.col("print").alias(mark)).agg(F.collect_set(digest).alias(list_))
+    joined = docs.withColumn(at, rank).withColumn(mark, print_).join(gone, [at, mark], "left").drop(at, mark)
     joined = joined.withColumn(text, F.col(text).cast("binary"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString() if f.name != text else 'string'}" for f in joined.schema.fields if f.name != "_gone"), "n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"])
-    names = [c for c in joined.columns if c != "_gone"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString() if f.name != text else 'string'}" for f in joined.schema.fields if f.name != list_), "n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"])
+    names = [c for c in joined.columns if c != list_]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                part = whole.slice(start, BATCH)
-                bodies, lists = part.column(text).to_pylist(), part.column("_gone").to_pylist()
-                made = [(None, 0, []) if b is None else rebuild(b, frozenset(g or ())) for b, g in zip(bodies, lists, strict=True)]
-                texts = pa.array([t for t, _, _ in made], pa.binary()).cast(pa.string())
-                columns = [texts if c == text else part.column(c) for c in names]
-                columns += [pa.array([n for _, n, _ in made], pa.int64()), pa.array([len(s) for _, _, s in made], pa.int64()), pa.array([s for _, _, s in made], spans_type)]
-                yield pa.RecordBatch.from_arrays(columns, [*names, *new])
+        for part in pieces(batches, text):
+            bodies, lists = part.column(text).to_pylist(), part.column(list_).to_pylist()
+            made = [(None, 0, []) if b is None else rebuild(b, frozenset(g or ()), min_words) for b, g in zip(bodies, lists, strict=True)]
+            texts = pa.array([t for t, _, _ in made], pa.binary()).cast(pa.string())
+            columns = [texts if c == text else part.column(c) for c in names]
+            columns += [pa.array([n for _, n, _ in made], pa.int64()), pa.array([len(s) for _, _, s in made], pa.int64()), pa.array([s for _, _, s in made], spans_type)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *new])
 
     return joined.mapInArrow(run, schema)

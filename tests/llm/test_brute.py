@@ -222,6 +222,48 @@ def test_short_sentences_count_wherever_the_passage_stands():
     assert line_dedup.rebuild(second, frozenset(h[:8] + bytes(8) for h in known))[2] == []
 
 
+def test_removed_spans_rebuild_the_text():
+    rng = random.Random(9)
+    word = lambda: rng.choice(["lorem", "ipsum", "dolor", "é", "amet"]) + str(rng.randint(0, 3))
+    changed = 0
+    for _ in range(60):
+        parts = [" ".join(word() for _ in range(rng.randint(1, 30))) + rng.choice([".", "", " \t"]) for _ in range(6)]
+        text = "".join(rng.choice(parts) + rng.choice([" ", "\n", "\n \n", "\n\n"]) for _ in range(rng.randint(0, 25))).encode()
+        digests = [h for *_, h, _ in line_dedup.units(text) if h is not None]
+        out, _, spans = line_dedup.rebuild(text, frozenset(h for h in digests if rng.random() < 0.3))
+        left, at = b"", 0
+        for x in spans:
+            assert at < x["start"] < x["end"] or (at == x["start"] == 0 < x["end"])
+            left, at = left + text[at : x["start"]], x["end"]
+        assert left + text[at:] == out
+        changed += bool(spans)
+    assert changed > 20
+
+
+def test_line_dedup_keeps_one_of_each_passage(spark):
+    """Independent of the operator's units: by windows of 50 words over all texts, each stands once at most in what is left; ids are strings here."""
+    rng = random.Random(44)
+    word = lambda: rng.choice("bcdfgh") + rng.choice("aeiou") + str(rng.randint(0, 9999))
+    passages = [[word() for _ in range(rng.randint(60, 110))] for _ in range(6)]
+    style = [lambda w: " ".join(w), lambda w: ". ".join(w), lambda w: "\n".join(w), lambda w: " ".join(x + "." * (k % 7 == 6) for k, x in enumerate(w))]
+    rows = []
+    for i in range(40):
+        body = [rng.choice(style)([word() for _ in range(rng.randint(3, 40))]) for _ in range(3)]
+        if i % 2:
+            body.insert(rng.randint(0, 3), rng.choice(style)(rng.choice(passages)))
+        rows.append((f"id{i}" if i % 5 else None, rng.choice([" ", "\n", ". "]).join(body), i))
+    df = spark.createDataFrame(rows, "doc_id string, text string, rank int").repartition(3)
+    windows = lambda t: [tuple(w[k : k + 50]) for w in [re.findall("[a-z0-9]+", t.lower())] for k in range(len(w) - 49)]
+    before = collections.Counter(x for _, t, _ in rows for x in set(windows(t)))
+    out = line_dedup.dedup(df).collect()
+    after = collections.Counter(x for r in out for x in set(windows(r["text"])))
+    assert max(before.values()) > 1 and max(after.values()) == 1 and set(r["rank"] for r in out) == set(range(40))
+    # Documents without a passage are left as they are, and each passage stays somewhere.
+    assert all(r["text"] == t for r in out for _, t, k in rows if k == r["rank"] and k % 2 == 0)
+    used = [p for p in passages if any(n > 1 for x, n in before.items() if x == tuple(p[:50]))]
+    assert all(after[tuple(p[k : k + 50])] == 1 for p in used for k in range(len(p) - 49))
+
+
 def test_no_planted_run_of_fifty_words_is_left():
     """Runs of 50 to 90 words, however they are written and wherever they stand, by windows of 50 that know nothing of units."""
     rng = random.Random(21)
@@ -484,7 +526,8 @@ def test_near_copies_go_whatever_their_ids(spark, small):
     rows = [(None, near("a", "x")), (None, near("a", "y")), (3, near("b", "x")), (None, near("b", "y")), (7, near("b", "z")), (7, near("c", "x")), (8, near("d", "x")), (8, near("d", "y"))]
     stayed = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), small).collect()
     assert sorted((r["doc_id"] or 0, r["text"][0]) for r in stayed) == [(0, "a"), (3, "b"), (7, "c"), (8, "d")] and len(stayed) == 4
-    docs = spark.createDataFrame([(None, "One passage of quite a few words. First end."), (None, "One passage of quite a few words. Other end.")], "doc_id bigint, text string")
+    line = " ".join(f"word{i}" for i in range(25))
+    docs = spark.createDataFrame([(None, f"{line}. First end."), (None, f"{line}. Other end.")], "doc_id bigint, text string")
     assert sorted(r["n_removed"] for r in line_dedup.dedup(docs).collect()) == [0, 1]
 
 

@@ -105,7 +105,7 @@ def test_bpe(docs, none):
 
 
 def test_line_dedup(docs, none):
-    rows = line_dedup.dedup(docs).collect()
+    rows = line_dedup.dedup(docs, min_words=6).collect()
     assert len(rows) == len(ROWS)
     by = {}
     for r in rows:
