@@ -1,11 +1,10 @@
 """Compression classifier.
 
-Two zstandard dictionaries are trained, one on blocks of good and one on blocks
-of bad labelled text. A text is compressed with each, block by block, so that
-the dictionaries weigh as much at its end as at its start. The difference of
-the two sizes over their sum, with the ratio of compressed to plain size that
-tells endless repetition, goes through a logistic curve fitted on labelled
-texts that trained neither dictionary.
+Two zstandard dictionaries are made, one of blocks of good and one of blocks of
+bad labelled text. A text is compressed with each, block by block, so that the
+dictionaries weigh as much at its end as at its start. The difference of the
+two sizes over their sum is all that is known of a text; a logistic curve over
+it, fitted on labelled texts that made neither dictionary, gives the score.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.calibration import fit_logistic, sigmoid
+from relweave.llm.common import pieces
 from relweave.llm.labelled import class_sizes, training_sample
 
 #: Labelled documents of each class from which the model is fitted, at most.
@@ -27,28 +27,27 @@ SAMPLE_PER_CLASS = 3_000
 #: Bytes of a block; blocks of each class that train a dictionary, at most.
 BLOCK, BLOCKS_PER_CLASS = 1024, 4_000
 DICTIONARY_BYTES, SEGMENT, DMER, LEVEL = 131_072, 64, 8, 3
-#: Below so many blocks a class has no trained dictionary but their plain concatenation.
-MIN_BLOCKS = 50
 
 
 @dataclass
 class Model:
     bad: bytes
     good: bytes
-    weights: tuple[float, ...]
+    weight: float
+    intercept: float
 
     def __post_init__(self):
         self.compressors = None
 
     def __getstate__(self):
-        return (self.bad, self.good, self.weights)
+        return (self.bad, self.good, self.weight, self.intercept)
 
     def __setstate__(self, state):
-        self.bad, self.good, self.weights = state
+        self.bad, self.good, self.weight, self.intercept = state
         self.compressors = None
 
-    def traits(self, text: bytes) -> tuple[float, float, float]:
-        """Normalised size difference (above 0: nearer to good text), log of the mean compression ratio, its square."""
+    def difference(self, text: bytes) -> float:
+        """Size by the bad dictionary less size by the good one, over their sum: above 0 for what is nearer to good text."""
         if self.compressors is None:
             import zstandard as zs
 
@@ -62,21 +61,22 @@ class Model:
             block = text[start : start + BLOCK]
             by_bad += len(bad.compress(block))
             by_good += len(good.compress(block))
-        ratio = math.log((by_bad + by_good) / 2 / max(1, len(text)))
-        return (by_bad - by_good) / (by_bad + by_good), ratio, ratio * ratio
+        return (by_bad - by_good) / (by_bad + by_good)
+
+    def score(self, difference: float) -> float:
+        return sigmoid(self.weight * difference + self.intercept)
 
 
 def _dictionary(blocks: DataFrame, label: int) -> bytes:
+    """A trained dictionary; the blocks themselves where the library finds too little in them to train on."""
     import zstandard as zs
 
     # At most BLOCKS_PER_CLASS blocks come to the driver, 4 MB.
     picked = [bytes(r["block"]) for r in blocks.filter(F.col("label") == label).orderBy(F.xxhash64("block"), "block").limit(BLOCKS_PER_CLASS).collect()]
-    if len(picked) < MIN_BLOCKS:
-        return b"".join(picked)[:DICTIONARY_BYTES]
     try:
-        return zs.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, picked)) // 4), picked, k=SEGMENT, d=DMER).as_bytes()
-    except zs.ZstdError:  # blocks too alike to train on
-        return b"".join(picked)[:DICTIONARY_BYTES]
+        return zs.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, picked)) // 4)), picked, k=SEGMENT, d=DMER).as_bytes()
+    except zs.ZstdError:
+        return b"".join(picked)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -91,29 +91,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_cl
     sample = training_sample(docs, labels, label, held_out, per_class).withColumn("half", F.pmod(F.xxhash64("body", F.lit(1)), F.lit(2)))
     starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length("body") - 1) / BLOCK), F.lit(0)).cast("int"))
     blocks = sample.filter("half = 0").select("label", F.explode(F.transform(starts, lambda i: F.substring("body", i * BLOCK + 1, F.lit(BLOCK)))).alias("block"))
-    model = Model(_dictionary(blocks, 0), _dictionary(blocks, 1), (0.0, 0.0, 0.0, share))
-    seen = scored(sample.filter("half = 1"), model, "body", ["label"]).select("label", "traits").toPandas()
+    model = Model(_dictionary(blocks, 0), _dictionary(blocks, 1), 0.0, share)
+    seen = scored(sample.filter("half = 1"), model, "body", ["label"]).select("label", "difference").toPandas()
     y = seen["label"].to_numpy(dtype=float)
     if 0 < y.sum() < len(y) and model.bad and model.good:
-        w = fit_logistic(np.array(seen["traits"].tolist()), y)
-        w[-1] += share - math.log(y.sum() / (len(y) - y.sum()))
-        model.weights = tuple(map(float, w))
+        # The prior on the weight is weak: there is one weight, and thousands of rows.
+        weight, intercept = fit_logistic(seen[["difference"]].to_numpy(dtype=float), y)
+        model.weight, model.intercept = float(weight), float(intercept + share - math.log(y.sum() / (len(y) - y.sum())))
     return model
 
 
 def scored(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    """keep, and for each text: score (0 to 1) and traits (array of three doubles).
+    """keep, and for each text: score (0 to 1) and difference (double).
 
-    One row per input row and no shuffle. A null text scores as an empty one.
+    One row per input row and no shuffle. A null text scores as an empty one,
+    equal texts score alike, an empty table gives an empty one.
     """
     source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_body"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double, traits array<double>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double, difference double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            traits = [model.traits(b or b"") for b in batch.column("_body").to_pylist()]
-            *w, intercept = model.weights
-            scores = [sigmoid(sum(a * b for a, b in zip(w, t, strict=True)) + intercept) for t in traits]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([list(t) for t in traits], pa.list_(pa.float64()))], [*keep, "score", "traits"])
+        for part in pieces(batches, "_body"):
+            found = [model.difference(b or b"") for b in part.column("_body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([model.score(x) for x in found], pa.float64()), pa.array(found, pa.float64())], [*keep, "score", "difference"])
 
     return source.mapInArrow(run, schema)
