@@ -1,13 +1,20 @@
 """Toxic passages as maximal scoring segments.
 
-Tokens are a text's terms. A term's score is the log-odds, under a Dirichlet
-prior, of the most telling of its features: the term itself and its prefixes.
-Any other term scores a small negative drift. Ruzzo and Tompa's linear scan
-finds all maximal scoring segments of a text; the extreme-value law of such
-segments (Karlin and Altschul) turns a segment's score S in a text of n terms
-into lambda * S - ln n, minus the logarithm of how many as good segments chance
-alone would bring, up to a constant. A logistic curve over the best segment and
-over all significant ones, fitted on the training sample, calibrates the score.
+Tokens are a text's terms. A term's score is the log of the odds of it in toxic
+against other documents of the training sample, both smoothed by a Dirichlet
+prior that has the sample's own shares and PRIOR documents, and drawn towards 0
+by CREDIBLE of its standard deviations by that prior, so that a term of few
+documents says little for either side, and one that the sample lacks nothing.
+
+A document is labelled as a whole, so most terms of a toxic document are
+clean. All scores are therefore lowered by one drift, which makes a clean term's
+score -MARGIN on average, as the theory of such segments asks. Ruzzo and Tompa's linear scan
+finds all maximal scoring segments of a text. By the extreme-value law of
+Karlin and Altschul a segment's score S in a text of n terms is expected
+K * n * exp(-lambda * S) times by chance: lambda is solved from the scores of the
+clean sample's terms, K is estimated from the best segments of its texts. A
+logistic curve over the logarithm of that expectation for the best segment, and
+over the number of significant ones, calibrates the score.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.calibration import fit_logistic, sigmoid
+from relweave.llm.common import pieces
 from relweave.llm.labelled import class_sizes, training_sample
 from relweave.llm.terms import terms
 
@@ -30,31 +38,35 @@ from relweave.llm.terms import terms
 SAMPLE_PER_CLASS = 10_000
 #: Weight of the prior, in documents.
 PRIOR = 10.0
-#: A feature joins the lexicon with so many standard deviations, log-odds and toxic documents at least.
-MIN_Z, MIN_LOG_ODDS, MIN_DOCS = 6.0, 1.5, 4
-#: Lengths in bytes of the prefixes that count as features.
-PREFIXES = range(4, 10)
+#: Standard deviations by which log-odds are drawn towards 0.
+CREDIBLE = 2.0
+#: How far below 0 a clean term's score is on average.
+MARGIN = 0.05
 #: A segment is significant when chance brings fewer than this many per text.
 SIGNIFICANT = 0.01
 CACHE = 300_000
-BATCH = 512
 
 
-def features(term: bytes) -> list[bytes]:
-    return [b"=" + term, *(b"^" + term[:k] for k in PREFIXES if len(term) >= k)]
+def log_odds(n_toxic: int, n_clean: int) -> Column:
+    """Log of the odds of terms that `toxic` and `clean` documents of either class have, by the Dirichlet prior, drawn towards 0."""
+    share = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
+    odds = lambda count, n: F.log((F.col(count) + PRIOR * share) / (n - F.col(count) + PRIOR * (1 - share) + 1e-9))
+    raw = odds("toxic", n_toxic) - odds("clean", n_clean)
+    deviation = F.sqrt(1 / (F.col("toxic") + PRIOR * share) + 1 / (F.col("clean") + PRIOR * share))
+    return F.signum(raw) * F.greatest(F.lit(0.0), F.abs(raw) - CREDIBLE * deviation)
 
 
-def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
+def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score), in order, in time linear in the number of scores.
 
-    scores: positions with a positive score, ascending; each position between
-    them scores -drift. Ties extend to the longer segment only if the score grows.
+    Ties extend to the longer segment only if the score grows.
     """
     found: list[list[float]] = []  # first, last, total before, total after, index of the nearest earlier segment with a lower total before
-    total, at = 0.0, 0
-    for position, score in scores:
-        before = total - drift * (position - at)
-        total, at = before + score, position + 1
+    total = 0.0
+    for position, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
         item = [position, position, before, total]
         j = len(found) - 1
         while True:
@@ -75,38 +87,38 @@ class Model:
     lexicon: dict[bytes, float]
     drift: float
     rate: float
+    log_k: float
     weights: tuple[float, ...]
 
     def __post_init__(self):
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self):
-        return (self.lexicon, self.drift, self.rate, self.weights)
+        return (self.lexicon, self.drift, self.rate, self.log_k, self.weights)
 
     def __setstate__(self, state):
-        self.lexicon, self.drift, self.rate, self.weights = state
+        self.lexicon, self.drift, self.rate, self.log_k, self.weights = state
         self.known = {}
 
     def term(self, term: bytes) -> float:
-        """Score of a term, 0 for one without a feature in the lexicon."""
         x = self.known.get(term)
         if x is None:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            x = self.known[term] = max((self.lexicon.get(f, 0.0) for f in features(term)), default=0.0)
+            x = self.known[term] = self.lexicon.get(term, 0.0) - self.drift
         return x
 
     def segments(self, text: bytes | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of terms, and the maximal segments as (first, last, lambda * S - ln n)."""
-        words, term = terms(text), self.term
-        hits = [(i, s) for i, s in enumerate(map(term, words)) if s]
-        size = math.log(max(1, len(words)))
-        return len(words), [(a, b, self.rate * s - size) for a, b, s in maximal_segments(hits, self.drift)]
+        """Number of terms, and the maximal segments as (first, last, -log of the number that chance brings)."""
+        words = terms(text)
+        chance = self.log_k + math.log(max(1, len(words)))
+        return len(words), [(a, b, self.rate * s - chance) for a, b, s in maximal_segments(list(map(self.term, words)))]
 
     def evidence(self, found: list[tuple[int, int, float]]) -> tuple[float, float]:
-        """Of the best segment, and of all significant ones together; both bounded."""
+        """Of the best segment, which counts by its logarithm where it is far from chance, and the number of significant ones."""
         floor = -math.log(SIGNIFICANT)
-        return min(60.0, max((x for _, _, x in found), default=-10.0)), math.log1p(sum(1 for _, _, x in found if x >= floor))
+        best = max((x for _, _, x in found), default=-self.log_k)
+        return math.asinh(best), math.log1p(sum(1 for _, _, x in found if x >= floor))
 
     def score(self, found: list[tuple[int, int, float]]) -> float:
         a, b = self.evidence(found)
@@ -114,26 +126,38 @@ class Model:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """Per feature, in how many documents of each class it stands."""
+    """Per term, in how many documents of each class it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                part, seen = batch.slice(start, BATCH), (Counter(), Counter())
-                for label, body in zip(part.column("label").to_pylist(), part.column("body").to_pylist(), strict=True):
-                    seen[label].update({f for t in set(terms(body)) for f in features(t)})
-                names = list(seen[0] | seen[1])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([seen[k][f] for f in names], pa.int64()) for k in (0, 1))], ["feature", "clean", "toxic"])
-
-    return sample.mapInArrow(run, "feature binary, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-
-
-def _rate(chances: np.ndarray, scores: np.ndarray, drift: float) -> float:
-    """lambda > 0 with sum of chance * exp(lambda * score) = 1 over all terms, drift among them."""
-    rest = 1 - chances.sum()
-    total = lambda x: float((chances * np.exp(x * scores)).sum() + rest * np.exp(-x * drift) - 1)
-    low, high = 1e-6, 1e-6
-    while total(high) < 0 and high < 50:
+        for part in pieces(batches, "body"):
+            seen = (Counter(), Counter())
+            for label, body in zip(part.column("label").to_pylist(), part.column("body").to_pylist(), strict=True):
+                seen[label].update(set(terms(body)))
+            names = list(seen[0] | seen[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([seen[k][f] for f in names], pa.int64()) for k in (0, 1))], ["term", "clean", "toxic"])
+
+    return sample.mapInArrow(run, "term binary, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def _clean_scores(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The different scores of the clean sample's terms, and how often each comes: no more than the lexicon has, and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "body"):
+            often = Counter(model.term(t) for body in part.column("body").to_pylist() for t in terms(body))
+            yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.float64()), pa.array(list(often.values()), pa.int64())], ["score", "n"])
+
+    found = sample.filter("label = 0").select("body").mapInArrow(run, "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
+    return found["score"].to_numpy(dtype=float), found["n"].to_numpy(dtype=float)
+
+
+def solve_rate(scores: np.ndarray, weights: np.ndarray) -> float:
+    """lambda > 0 with the weighted mean of exp(lambda * score) = 1, for scores of negative mean some of which are positive; 1 without such."""
+    if not len(scores) or scores.max() <= 0 or (scores * weights).sum() >= 0:
+        return 1.0
+    total = lambda x: float((weights * np.exp(np.minimum(700, x * scores))).sum() / weights.sum() - 1)
+    low, high = 0.0, 1.0
+    while total(high) < 0:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
@@ -145,56 +169,57 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_cl
     """Fits on at most per_class labelled documents of each class outside the held-out fold.
 
     Without documents of both classes the model scores every text with the share
-    of class 1. The lexicon holds features that stand in MIN_DOCS or more of the
-    sample's toxic documents, so the sample bounds it.
+    of class 1. The scores other than 0 come to the driver; the sample bounds them.
     """
     n0, n1 = class_sizes(labels, label, held_out)
     sample = training_sample(docs, labels, label, held_out, per_class)
-    sizes = {r["label"]: (r["n"], r["b"]) for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("b")).collect()}
+    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = math.log((n1 + 0.5) / (n0 + 0.5))
     if len(sizes) < 2:
-        return Model({}, 0.05, 1.0, (0.0, 0.0, share))
-    d0, d1 = sizes[0][0], sizes[1][0]
-    p = (F.col("clean") + F.col("toxic")) / (d0 + d1)
-    odds = lambda count, n: F.log((F.col(count) + PRIOR * p) / (n + PRIOR * (1 - p) - F.col(count) + 1e-9))
-    z = (F.col("toxic") - p * d1) / F.sqrt(p * d1 * d0 / (d0 + d1) + 1e-9)
-    told = _counts(sample).filter(F.col("toxic") >= MIN_DOCS).select("feature", "clean", p.alias("p"), (odds("toxic", d1) - odds("clean", d0)).alias("s"), z.alias("z"))
-    kept = told.filter((F.col("z") >= MIN_Z) & (F.col("s") >= MIN_LOG_ODDS)).collect()
-    lexicon = {bytes(r["feature"]): min(8.0, r["s"]) for r in kept}
-    # Terms of clean text: about one per six bytes. Longer features of a term stand beside shorter ones, so chances are an upper bound.
-    n_terms = max(1.0, sizes[0][1] / 6)
-    chances = np.array([(r["clean"] + PRIOR * r["p"]) / n_terms for r in kept if r["feature"][:1] == b"=" or len(r["feature"]) == PREFIXES[0] + 1])
-    scores = np.array([min(8.0, r["s"]) for r in kept if r["feature"][:1] == b"=" or len(r["feature"]) == PREFIXES[0] + 1])
-    drift = 0.05
-    rate = _rate(chances, scores, drift) if len(scores) and chances.sum() < 0.2 else 1.0
-    model = Model(lexicon, drift, min(1.0, max(0.1, rate)), (0.0, 0.0, 0.0))
-    traits = segments(sample, model, "body", ["label"]).select("label", "evidence").toPandas()
+        return Model({}, MARGIN, 1.0, 0.0, (0.0, 0.0, share))
+    told = _counts(sample).select("term", log_odds(sizes[1], sizes[0]).alias("score")).filter("score <> 0").toPandas()
+    model = Model(dict(zip(map(bytes, told["term"]), told["score"].tolist(), strict=True)), 0.0, 1.0, 0.0, (0.0, 0.0, 0.0))
+    scores, often = _clean_scores(sample, model)
+    model = Model(model.lexicon, MARGIN + float((scores * often).sum() / max(1.0, often.sum())), 1.0, 0.0, (0.0, 0.0, 0.0))
+    model.rate = solve_rate(scores - model.drift, often)
+
+    best = lambda m: segments(sample, m, "body", ["label"]).select("label", "best", "evidence").toPandas()
+    clean = best(model).query("label == 0")["best"].to_numpy(dtype=float)
+    # The best segment of a clean text of n terms has rate * S - ln n around ln K, spread as an extreme value: its median is ln K - ln ln 2.
+    model.log_k = float(np.median(clean)) + math.log(math.log(2)) if len(clean) else 0.0
+    traits = best(model)
     w = fit_logistic(np.array(traits["evidence"].tolist()), traits["label"].to_numpy(dtype=float))
-    model.weights = (float(w[0]), float(w[1]), float(w[2]) + share - math.log(d1 / d0))
+    model.weights = (float(w[0]), float(w[1]), float(w[2]) + share - math.log(sizes[1] / sizes[0]))
     return model
 
 
 def segments(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    """keep, and for each text: n_terms, score, evidence (two doubles), segments (array of first term, last term, log_e).
+    """keep, and for each text: n_terms, score, best, evidence (two doubles), segments (array of first term, last term, log_e).
 
-    One row per input row and no shuffle. A null text scores as an empty one.
-    segments are the significant ones, in order; log_e is lambda * S - ln n.
+    One row per input row and no shuffle. A null text scores as an empty one,
+    equal texts score alike, an empty table gives an empty one. segments are the
+    significant ones, in order; log_e is minus the logarithm of the number that
+    chance brings, best the greatest of all segments (that of no segment for a
+    text without one).
     """
     source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_body"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_terms bigint, score double, evidence array<double>, segments array<struct<first:int,last:int,log_e:double>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_terms bigint, score double, best double, evidence array<double>, segments array<struct<first:int,last:int,log_e:double>>"])
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("log_e", pa.float64())]))
     floor = -math.log(SIGNIFICANT)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.segments(b) for b in batch.column("_body").to_pylist()]
+        by = sent.value
+        for part in pieces(batches, "_body"):
+            found = [by.segments(b) for b in part.column("_body").to_pylist()]
             columns = [
-                *(batch.column(c) for c in keep),
+                *(part.column(c) for c in keep),
                 pa.array([n for n, _ in found], pa.int64()),
-                pa.array([model.score(s) for _, s in found], pa.float64()),
-                pa.array([list(model.evidence(s)) for _, s in found], pa.list_(pa.float64())),
+                pa.array([by.score(s) for _, s in found], pa.float64()),
+                pa.array([max((x for _, _, x in s), default=-by.log_k) for _, s in found], pa.float64()),
+                pa.array([list(by.evidence(s)) for _, s in found], pa.list_(pa.float64())),
                 pa.array([[{"first": a, "last": b, "log_e": x} for a, b, x in s if x >= floor] for _, s in found], spans),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_terms", "score", "evidence", "segments"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_terms", "score", "best", "evidence", "segments"])
 
     return source.mapInArrow(run, schema)

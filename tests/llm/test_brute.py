@@ -381,10 +381,98 @@ def test_maximal_segments_against_the_recursive_definition(scores):
         i, j = -best[2], -best[2] - best[1]
         return [*recurse(a, i), (i, j - 1, round(best[0], 6)), *recurse(j, b)]
 
-    got = [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(hits, drift)]
+    got = [(a, b, round(s, 6)) for a, b, s in toxicity.maximal_segments(full)]
     assert got == recurse(0, len(scores))
 
 
+def brute_toxicity(sample, texts):
+    """Scores of texts by a model of sample (label, text), step by step, with segments from all sub-ranges."""
+    import numpy as np
+
+    from relweave.llm.calibration import fit_logistic, sigmoid
+
+    words = [(y, terms(t.encode())) for y, t in sample]
+    n = [sum(y == k for y, _ in words) for k in (0, 1)]
+    names = {x for _, w in words for x in w}
+    score = {}
+    for f in names:
+        c, t = (sum(f in w for y, w in words if y == k) for k in (0, 1))
+        p = (c + t) / sum(n)
+        raw = math.log((t + 10 * p) / (n[1] - t + 10 * (1 - p) + 1e-9)) - math.log((c + 10 * p) / (n[0] - c + 10 * (1 - p) + 1e-9))
+        score[f] = math.copysign(max(0.0, abs(raw) - 2 * math.sqrt(1 / (t + 10 * p) + 1 / (c + 10 * p))), raw)
+    of = lambda x: score.get(x, 0.0)
+    clean = [of(x) for y, w in words if not y for x in w]
+    drift = 0.05 + sum(clean) / len(clean)
+    low, high = 0.0, 1.0
+    total = lambda r: sum(math.exp(r * (s - drift)) for s in clean) / len(clean)
+    assert max(clean) > drift
+    while total(high) < 1:
+        high *= 2
+    for _ in range(80):
+        low, high = ((low + high) / 2, high) if total((low + high) / 2) < 1 else (low, (low + high) / 2)
+
+    def segments(w):
+        s = [of(x) - drift for x in w]
+
+        def recurse(a, b):
+            best = max(((sum(s[i:j]), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            i, j = -best[2], -best[2] - best[1]
+            return [] if best[0] <= 1e-9 else [*recurse(a, i), best[0], *recurse(j, b)]
+
+        return [high * x - math.log(max(1, len(w))) for x in recurse(0, len(w))]
+
+    log_k = float(np.median([max(segments(w), default=0.0) for y, w in words if not y])) + math.log(math.log(2))
+
+    def evidence(w):
+        found = [x - log_k for x in segments(w)]
+        return math.asinh(max(found, default=-log_k)), math.log1p(sum(x >= -math.log(0.01) for x in found))
+
+    traits = [evidence(w) for _, w in words]
+    weights = fit_logistic(np.array(traits), np.array([y for y, _ in words], dtype=float))
+    return [sigmoid(sum(a * b for a, b in zip(weights, (*evidence(terms(t.encode())), 1.0), strict=True))) for t in texts]
+
+
+def test_toxicity_against_a_brute_force_model(spark):
+    rng = random.Random(17)
+    calm, foul = [f"calm{c}{d}" for c in "abcdef" for d in "xyz"], ["vileness", "vilest", "grossly", "nasty"]
+    text = lambda y: " ".join(rng.choice(foul) if rng.random() < (0.35 if y else 0.01) else rng.choice(calm) for _ in range(rng.randint(4, 14)))
+    sample = [(int(i % 3 == 0), text(i % 3 == 0)) for i in range(90)]
+    others = [text(i % 2) for i in range(20)] + ["", "vilely said", "unknown words"]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(sample)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(sample)], "doc_id bigint, toxic int")
+    assert len({t for _, t in sample}) == len(sample)
+    model = toxicity.fit(docs, labels, "toxic", F.col("doc_id") < 0)
+    got = toxicity.segments(spark.createDataFrame(list(enumerate(others)), "i int, text string"), model, "text", ["i"]).collect()
+    want = brute_toxicity(sample, others)
+    # The curve is set to the shares of all labels, counted with half a document more of each.
+    shift = math.log(30.5 / 60.5) - math.log(30 / 60)
+    assert all(math.isclose(math.log(r["score"] / (1 - r["score"])), math.log(want[r["i"]] / (1 - want[r["i"]])) + shift, abs_tol=1e-3) for r in got)
+    assert max(want) > 0.8 and min(want) < 0.2
+
+
+def test_compression_score_is_the_calibrated_size_difference(spark):
+    """The score by the library's one-call interface, and the curve by its own likelihood: no other weight does better."""
+    import zstandard as zs
+
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice(["river", "stone", "cloud", "slowly", "walked", "the", "a"]) for _ in range(rng.randint(5, 300)))
+    bad = lambda: " ".join(rng.choice(["$$$", "###", "CLICK", "the", "a", "BUY"]) + str(rng.randint(0, 9)) for _ in range(rng.randint(5, 300)))
+    rows = [(i, good() if (i % 2) ^ (i % 11 == 0) else bad()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    model = compression.fit(docs, labels, "quality", F.lit(False))
+    dictionaries = [zs.ZstdCompressionDict(x) for x in (model.bad, model.good)]
+
+    def difference(text):
+        sizes = [sum(len(zs.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text[k : k + 1024])) for k in range(0, max(1, len(text)), 1024)) for d in dictionaries]
+        return (sizes[0] - sizes[1]) / sum(sizes)
+
+    for r in compression.scored(docs.limit(60), model, "text", ["doc_id"]).collect():
+        x = difference(dict(rows)[r["doc_id"]].encode())
+        assert math.isclose(r["difference"], x, abs_tol=1e-12) and math.isclose(r["score"], 1 / (1 + math.exp(-(model.weight * x + model.intercept))), rel_tol=1e-9)
+    assert model.weight > 0
+
+
 @pytest.mark.parametrize(("query", "label"), [(queries.op7_compression, "quality"), (queries.op9_toxicity, "toxic")])
 def test_held_out_accuracy(spark, query, label):
     folder = "/root/testdata/sf0.01"
