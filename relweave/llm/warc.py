@@ -3,17 +3,21 @@
 Every derived record refers to its response (WARC-Refers-To), carries the
 response's URI and date, and keeps its payload digest; metadata records hold the
 response's own WARC and HTTP headers, title and links as JSON, conversion
-records the page's text. The two derivatives of a response name each other
-(WARC-Concurrent-To). Ids are name-based UUIDs of the response's id, so the same
-input gives the same records whatever task makes them.
+records the text of a page or of plain text. Where there are two derivatives of
+a response they name each other (WARC-Concurrent-To). Ids are name-based UUIDs
+of the response's id, so the same input gives the same records whatever task
+makes them.
 
 WARC files are read and written by Spark's text source with the record mark as
-line separator: reads split inside files, and no file passes through one row.
+line separator: reads split inside files, and no file passes through one row. A
+block may hold the mark itself; such a record is put together again from the
+pieces by its Content-Length.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html as entities
 import json
@@ -25,21 +29,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relweave.llm.common import pieces
+from relweave.llm.markup import BLOCK, RAW, TAG, raw_end
+
 VERSION = "WARC/1.0"
 _END = "\r\n\r\n"
-BATCH = 256
 FIELDS = ("record_id", "type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest")
 SCHEMA = ", ".join([*(f"{f} string" for f in FIELDS), "headers string, block binary"])
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
 # Elements of HTML whose text isn't shown, and those that break a line.
-_HIDDEN = frozenset("script style noscript template iframe textarea title xmp".split())
-_BREAKS = frozenset("address article aside blockquote body br center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table td th tr ul".split())
+_HIDDEN = RAW
+_BREAKS = BLOCK - frozenset("caption details dialog head legend optgroup summary tbody tfoot thead title".split()) | {"br"}
 # Elements that link, and the attribute that says where to.
 _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action", "source": "src", "embed": "src"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# Media types of pages; other text is taken as it is.
+_PAGES = frozenset(("", "text/html", "application/xhtml+xml"))
 _VALUE = r"\b{}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 _TARGETS = {t: re.compile(_VALUE.format(a), re.I) for t, a in _LINKS.items()}
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_DECLARED = re.compile(rb"<meta[^>]{1,200}?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+
+Headers = list[tuple[str, str]]
 
 
 def digest(data: bytes) -> str:
@@ -53,12 +64,7 @@ def named(record_id: str, kind: str) -> str:
 def read_page(source: str) -> tuple[str, str, list[dict]]:
     """Title, text (a line per block, white space collapsed) and links (element, url) of a page, in one pass."""
     parts, links, title, at = [], [], "", 0
-    n = len(source)
-    while at < n:
-        m = _TAG.search(source, at)
-        if not m:
-            parts.append(source[at:])
-            break
+    while m := TAG.search(source, at):
         parts.append(source[at : m.start()])
         at, tag = m.end(), (m[2] or "").lower()
         if tag in _BREAKS:
@@ -66,10 +72,11 @@ def read_page(source: str) -> tuple[str, str, list[dict]]:
         if tag in _LINKS and not m[1] and (v := _TARGETS[tag].search(m[3])):
             links.append({"path": f"{tag}@/{_LINKS[tag]}", "url": entities.unescape(v[1] or v[2] or v[3] or "")})
         if tag in _HIDDEN and not m[1] and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end, after = raw_end(source, tag, at)
             if tag == "title" and not title:
-                title = " ".join(entities.unescape(source[at : end.start() if end else n]).split())
-            at = end.end() if end else n
+                title = " ".join(entities.unescape(source[at:end]).split())
+            at = after
+    parts.append(source[at:])
     blocks = (" ".join(entities.unescape(b).split()) for b in "".join(parts).split("\x00"))
     return title, "\n".join(b for b in blocks if b), links
 
@@ -89,31 +96,70 @@ def record(kind: str, record_id: str, url: str, date: str, content_type: str, bl
     return {"record_id": record_id, "type": kind, "refers_to": refers_to or None, "target_uri": uri or None, "date": date, "content_type": content_type, "payload_digest": payload_digest or None, "block_digest": block_digest, "headers": headers, "block": block}
 
 
-def header_pairs(headers: str) -> dict[str, str]:
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in headers.split("\r\n")) if k.strip()}
+def header_pairs(headers: str) -> Headers:
+    """Names and values in order, repeated names and all. A line that begins with white space goes on with the one before."""
+    out: Headers = []
+    for line in headers.split("\r\n"):
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        else:
+            name, _, value = line.partition(":")
+            if name.strip():
+                out.append((name.strip(), value.strip()))
+    return out
+
+
+def value_of(headers: Headers, name: str) -> str | None:
+    """The first value of a header, whose name may be spelt in any case."""
+    return next((v for k, v in headers if k.lower() == name.lower()), None)
+
+
+def _grouped(headers: Headers) -> dict[str, str | list[str]]:
+    """As JSON has them: a list for a name that comes several times, under the spelling that came first."""
+    spelt: dict[str, str] = {}
+    values: dict[str, list[str]] = {}
+    for k, v in headers:
+        values.setdefault(spelt.setdefault(k.lower(), k), []).append(v)
+    return {k: v if len(v) > 1 else v[0] for k, v in values.items()}
+
+
+def decoded(body: bytes, content_type: str) -> str:
+    """Text by the charset of the header, else that of a meta element near the start, else UTF-8; what can't be read becomes U+FFFD."""
+    found = _CHARSET.search(content_type)
+    name = found[1] if found else (m[1].decode("ascii", "replace") if (m := _DECLARED.search(body[:1024])) else "utf-8")
+    try:
+        # Pages that say Latin-1 or ASCII are read as Windows-1252, as browsers read them.
+        name = {"iso8859-1": "cp1252", "ascii": "cp1252"}.get(codecs.lookup(name).name, name)
+        return body.decode(name, "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
 
 
 def derivatives(source: dict) -> list[dict]:
-    """The metadata and the conversion record of a response; none of a record of another type."""
+    """The metadata record of a response and, for a page or other text, its conversion record; none of a record of another type."""
     if source["type"] != "response":
         return []
     head, _, body = source["block"].partition(_END.encode())
     status, _, fields = head.decode("latin-1").partition("\r\n")
-    title, text, links = read_page(body.decode("utf-8", "replace"))
-    warc = header_pairs(source["headers"])
-    envelope = {
-        "Envelope": {
-            "WARC-Header-Metadata": warc,
-            "Payload-Metadata": {"HTTP-Response-Metadata": {"Response-Message": status, "Headers": header_pairs(fields), "Entity-Length": len(body), "Entity-Digest": digest(body), "HTML-Metadata": {"Title": title, "Links": links}}},
-        }
-    }
+    http = header_pairs(fields)
+    content_type = value_of(http, "Content-Type") or ""
+    kind = content_type.partition(";")[0].strip().lower()
+    seen: dict = {"Response-Message": status, "Headers": _grouped(http), "Entity-Length": len(body), "Entity-Digest": digest(body)}
+    text = None
+    if kind in _PAGES:
+        title, text, links = read_page(decoded(body, content_type))
+        seen["HTML-Metadata"] = {"Title": title, "Links": links}
+    elif kind.startswith("text/"):
+        text = decoded(body, content_type)
+    envelope = {"Envelope": {"WARC-Header-Metadata": _grouped(header_pairs(source["headers"])), "Payload-Metadata": {"HTTP-Response-Metadata": seen}}}
     ids = {k: named(source["record_id"], k) for k in ("metadata", "conversion")}
     common = {"url": source["target_uri"] or "", "date": source["date"] or "", "refers_to": source["record_id"], "payload_digest": source["payload_digest"] or digest(body)}
     meta = json.dumps(envelope, ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass")
-    return [
-        record("metadata", ids["metadata"], content_type="application/json", block=meta, more=(("WARC-Concurrent-To", ids["conversion"]),), **common),
-        record("conversion", ids["conversion"], content_type="text/plain", block=text.encode("utf-8", "surrogatepass"), more=(("WARC-Concurrent-To", ids["metadata"]),), **common),
-    ]
+    beside = lambda k: () if text is None else (("WARC-Concurrent-To", ids[k]),)
+    made = [record("metadata", ids["metadata"], content_type="application/json", block=meta, more=beside("conversion"), **common)]
+    if text is not None:
+        made.append(record("conversion", ids["conversion"], content_type="text/plain", block=text.encode("utf-8", "surrogatepass"), more=beside("metadata"), **common))
+    return made
 
 
 def _batch(rows: list[dict], keep: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
@@ -128,28 +174,24 @@ def responses(pages: DataFrame, date: str, id_col: str = "page_id", url: str = "
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                part = whole.slice(start, BATCH)
-                rows = zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                yield _batch([response(u or "", h or b"", date, f"{i} {u} {digest(h or b'')}") for i, u, h in rows], {"page_id": part.column("page_id")})
+        for part in pieces(batches, "html"):
+            rows = zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
+            yield _batch([response(u or "", h or b"", date, f"{i} {u} {digest(h or b'')}") for i, u, h in rows], {"page_id": part.column("page_id")})
 
     return source.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """The derivatives of all response records, with the other columns of `records` kept. No shuffle."""
+    """The derivatives of all response records, with the other columns of `records` kept. No shuffle; an empty table gives an empty one."""
     own = [*FIELDS, "headers", "block"]
     keep = [c for c in records.columns if c not in own]
     schema = ", ".join([*(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                part = whole.slice(start, BATCH)
-                made = [derivatives(r) for r in part.select(own).to_pylist()]
-                at = pa.array([i for i, d in enumerate(made) for _ in d], pa.int64())
-                yield _batch([r for d in made for r in d], {c: part.column(c).take(at) for c in keep})
+        for part in pieces(batches, "block"):
+            made = [derivatives(r) for r in part.select(own).to_pylist()]
+            at = pa.array([i for i, d in enumerate(made) for _ in d], pa.int64())
+            yield _batch([r for d in made for r in d], {c: part.column(c).take(at) for c in keep})
 
     return records.select(*keep, *own).mapInArrow(run, schema)
 
@@ -161,22 +203,56 @@ def write(records: DataFrame, path: str, compression: str | None = None) -> None
     records.select(whole.cast("string").alias("value")).write.options(**options).text(path)
 
 
+def _fields(headers: bytes) -> Headers:
+    return header_pairs(headers.decode("utf-8", "replace"))
+
+
+def _size(headers: bytes) -> int:
+    size = value_of(_fields(headers), "Content-Length")
+    if size is None or not size.isdigit():
+        raise ValueError(f"a record has no Content-Length: {headers[:200]!r}")
+    return int(size)
+
+
 def parse(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files. A record whose block isn't as long as its header says fails the read."""
-    mark = f"{_END}{VERSION}\r\n"
-    raw = spark.read.option("lineSep", mark).text(path).select(F.col("value").cast("binary").alias("value"))
+    """Records of WARC files of version 1.0 or 1.1.
+
+    Where a block holds the record mark, it comes in several pieces, which a task
+    joins while the header says that more is due. A record that is cut short
+    fails the read, and so does one whose block holds the mark where a file is
+    split between tasks: read such a file compressed, whole, or in larger splits.
+    """
+    # Both versions' marks begin alike: the rest of the first line is cut off below.
+    raw = spark.read.option("lineSep", f"{_END}WARC/1.").text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+    mark = f"{_END}WARC/1.".encode()
+
+    def made(value: bytes) -> dict:
+        headers, _, block = value.partition(_END.encode())
+        size, fields = _size(headers), _fields(headers)
+        if len(block) < size or block[size:].strip():
+            raise ValueError(f"{value_of(fields, 'WARC-Record-ID')}: the block has {len(block)} bytes, its header says {size}")
+        get = lambda k: value_of(fields, k) or None
+        return {"record_id": get("WARC-Record-ID"), "type": get("WARC-Type"), "refers_to": get("WARC-Refers-To"), "target_uri": get("WARC-Target-URI"), "date": get("WARC-Date"), "content_type": get("Content-Type"), "payload_digest": get("WARC-Payload-Digest"), "block_digest": get("WARC-Block-Digest"), "headers": headers.decode("utf-8", "replace"), "block": block[:size]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, of = b"", None
+        for part in pieces(batches, "value"):
             rows = []
-            for value in batch.column("value").to_pylist():
-                headers, _, block = value.removeprefix(f"{VERSION}\r\n".encode()).partition(_END.encode())
-                fields = header_pairs(headers.decode("utf-8"))
-                size = int(fields["Content-Length"])
-                if block[size:] not in (b"", _END.encode()) or len(block) < size:
-                    raise ValueError(f"{fields.get('WARC-Record-ID')}: the block has {len(block)} bytes, its header says {size}")
-                get = lambda k: fields.get(k) or None  # noqa: E731, B023
-                rows.append({"record_id": get("WARC-Record-ID"), "type": get("WARC-Type"), "refers_to": get("WARC-Refers-To"), "target_uri": get("WARC-Target-URI"), "date": get("WARC-Date"), "content_type": get("Content-Type"), "payload_digest": get("WARC-Payload-Digest"), "block_digest": get("WARC-Block-Digest"), "headers": headers.decode("utf-8"), "block": block[:size]})
+            for value, file in zip(part.column("value").to_pylist(), part.column("file").to_pylist(), strict=True):
+                if of is not None and of != file:
+                    rows.append(made(held))  # fails: it was still short
+                if of is not None:
+                    held += mark + value
+                else:
+                    held = value.partition(b"\r\n")[2]  # without the version, of which the mark may have left a digit
+                headers, _, block = held.partition(_END.encode())
+                if len(block) < _size(headers):
+                    of = file
+                    continue
+                of = None
+                rows.append(made(held))
             yield _batch(rows)
+        if of is not None:
+            yield _batch([made(held)])
 
     return raw.mapInArrow(run, SCHEMA)

@@ -39,12 +39,12 @@ def test_derivatives(spark, pages):
     assert len(made) == 2 * len(ROWS) and len(by) == len(ROWS) - 1
     for r in made:
         source = by[r["refers_to"]]
-        fields = warc.header_pairs(r["headers"])
+        fields = dict(warc.header_pairs(r["headers"]))
         assert (r["target_uri"], r["date"], r["payload_digest"], r["page_id"]) == (source["target_uri"], source["date"], source["payload_digest"], source["page_id"])
         assert r["block_digest"] == fields["WARC-Block-Digest"] == sha1(bytes(r["block"])) and int(fields["Content-Length"]) == len(r["block"])
         assert fields["WARC-Refers-To"] == source["record_id"] and fields["WARC-Concurrent-To"] in {m["record_id"] for m in made if m["refers_to"] == source["record_id"] and m["type"] != r["type"]}
         if r["type"] == "metadata":
-            assert json.loads(bytes(r["block"]))["Envelope"]["WARC-Header-Metadata"] == warc.header_pairs(source["headers"])
+            assert json.loads(bytes(r["block"]))["Envelope"]["WARC-Header-Metadata"] == dict(warc.header_pairs(source["headers"]))
     texts = {(r["page_id"], r["payload_digest"]): bytes(r["block"]).decode() for r in made if r["type"] == "conversion"}
     assert texts[1, sha1(ROWS[0][2].encode())] == "go\nOne two three\nfour" and texts[2, sha1(b"")] == "" and texts[3, sha1(ROWS[4][2].encode())] == ("long " * 100_000).strip()
     page = next(json.loads(bytes(r["block"])) for r in made if r["type"] == "metadata" and r["payload_digest"] == sha1(ROWS[0][2].encode()))
@@ -62,10 +62,30 @@ def test_files_round_trip_and_broken_lengths_fail(spark, pages, tmp_path):
         folder = f"{tmp_path}/{compression}"
         warc.write(every, folder, compression)
         assert key(warc.parse(spark, folder)) == key(every)
-    # A block that holds the record mark itself can't be told from two records by splitting: it is refused, not misread.
-    warc.write(warc.responses(pages.filter("page_id IS NULL").withColumn("html", F.lit("a\r\n\r\nWARC/1.0\r\nb")), DATE), f"{tmp_path}/mark")
+    # Blocks that hold the record mark themselves are put together again.
+    marked = warc.responses(pages.filter("page_id IS NULL").withColumn("html", F.lit("a\r\n\r\nWARC/1.0\r\nb\r\n\r\nWARC/1.1\r\n\r\n\r\nWARC/1.")), DATE).drop("page_id")
+    both = marked.unionByName(plain).coalesce(1)
+    warc.write(both, f"{tmp_path}/mark")
+    assert key(warc.parse(spark, f"{tmp_path}/mark")) == key(both)
+    (tmp_path / "short.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n")
     with pytest.raises(Exception):  # noqa: B017
-        warc.parse(spark, f"{tmp_path}/mark").collect()
+        warc.parse(spark, f"{tmp_path}/short.warc").collect()
+
+
+def test_other_versions_spellings_and_repeated_headers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/html; charset=ISO-8859-1\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nX-Long: one\r\n two\r\n\r\n<p>caf\xe9 \x93q\x94</p>"
+    one = lambda kind, block, more="": f"WARC/1.1\r\nwarc-type: {kind}\r\nwarc-record-id: <urn:{kind}{more}>\r\nWARC-Date: {DATE}\r\ncontent-length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    png = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG"
+    plain = "HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=utf-16le\r\n\r\n".encode() + "a <b> \u00fc".encode("utf-16le")
+    (tmp_path / "x.warc").write_bytes(one("warcinfo", b"software: x") + one("response", http) + one("response", png, "2") + one("response", plain, "3") + one("response", b"HTTP/1.1 200 OK\r\n\r\n<meta charset=koi8-r><p>\xd7", "4"))
+    read = warc.parse(spark, f"{tmp_path}/x.warc")
+    assert [r["type"] for r in read.collect()] == ["warcinfo", *["response"] * 4]
+    made = warc.derive(read).collect()
+    assert {r["refers_to"]: bytes(r["block"]).decode() for r in made if r["type"] == "conversion"} == {"<urn:response>": "caf\u00e9 \u201cq\u201d", "<urn:response3>": "a <b> \u00fc", "<urn:response4>": "\u0432"}
+    metas = {r["refers_to"]: json.loads(bytes(r["block"]))["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"] for r in made if r["type"] == "metadata"}
+    assert metas["<urn:response>"]["Headers"] == {"content-type": "text/html; charset=ISO-8859-1", "Set-Cookie": ["a=1", "b=2"], "X-Long": "one two"}
+    assert len(metas) == 4 and "HTML-Metadata" not in metas["<urn:response2>"]
+    assert all("WARC-Concurrent-To" not in r["headers"] for r in made if r["refers_to"] == "<urn:response2>")
 
 
 class Text(HTMLParser):
