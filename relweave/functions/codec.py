@@ -29,7 +29,9 @@ def encode(value: Column, kind: T.DataType, null: str = NULL, prefix: str = PREF
         text = value.cast("string")
     elif isinstance(kind, T.BinaryType):
         text = F.when(F.length(value) > 0, F.concat(F.lit(prefix), F.lower(F.hex(value))))
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    elif isinstance(kind, T.TimestampType):
+        text = F.date_format(utc(value), "yyyy-MM-dd HH:mm:ss")
+    elif isinstance(kind, T.TimestampNTZType):
         text = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         text = F.to_json(value)
@@ -38,19 +40,34 @@ def encode(value: Column, kind: T.DataType, null: str = NULL, prefix: str = PREF
     return F.coalesce(text, F.lit(null))
 
 
+def utc(instant: Column) -> Column:
+    """The clock time at Greenwich (no zone) of an instant, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
+def at_utc(clock: Column) -> Column:
+    """The instant at which clocks at Greenwich show a time."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), clock).cast("timestamp")
+
+
 def parse_timestamp(text: Column) -> Column:
-    """Time stamp (no zone; offsets are applied) of ISO-like text with or without T, time, seconds, fraction, offset or Z; null for empty text.
+    """Time stamp (no zone; offsets are applied, others are UTC) of ISO-like text with or without T, time, seconds, fraction, offset or Z; null for empty text.
 
     Text of another form is an error: a wrong value must not pass for a missing one.
     """
-    zoned = F.regexp_replace(text, "Z$", "").cast("timestamp")
+    # The offset is taken off the clock time, so that the session's zone plays no part.
+    plain = F.regexp_replace(F.regexp_replace(text, "Z$", ""), r"([ T]\d{2}:\d{2}.*)[+-]\d{2}:\d{2}$", "$1").cast("timestamp_ntz")
+    offset = F.regexp_extract(text, r"[ T]\d{2}:\d{2}.*([+-]\d{2}:\d{2})Z?$", 1)
+    part = lambda first, n: F.coalesce(F.substring(offset, first, n).try_cast("int"), F.lit(0))
+    minutes = (part(2, 2) * 60 + part(5, 2)) * F.when(offset.startswith("-"), -1).otherwise(1)
+    shifted = plain - F.make_dt_interval(mins=minutes)
     bad = F.raise_error(F.concat(F.lit("could not convert to a time stamp: "), text))
-    return F.when(text.isNull() | (text == ""), F.lit(None).cast("timestamp_ntz")).when(text.rlike(_STAMP), F.to_utc_timestamp(zoned, "UTC").cast("timestamp_ntz")).otherwise(bad.cast("timestamp_ntz"))
+    return F.when(text.isNull() | (text == ""), F.lit(None).cast("timestamp_ntz")).when(text.rlike(_STAMP), shifted).otherwise(bad.cast("timestamp_ntz"))
 
 
 def epoch_timestamp(number: Column) -> Column:
     """Time stamp of Unix time: milliseconds if its magnitude is over 1e12, else seconds."""
-    return F.when(F.abs(number) > 10**12, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number)).cast("timestamp_ntz")
+    return utc(F.when(F.abs(number) > 10**12, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number)))
 
 
 def uuid_from_bytes(raw: Column) -> Column:
@@ -77,7 +94,7 @@ def decode(field: Column, kind: T.DataType, null: str | None = NULL, prefix: str
         return F.when(text.startswith(prefix), checked).otherwise(text.cast("binary"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         stamp = F.when(text.rlike(r"^-?\d+$"), epoch_timestamp(text.try_cast("bigint"))).otherwise(parse_timestamp(F.when(~text.rlike(r"^-?\d+$"), text))) if epochs else parse_timestamp(text)
-        return stamp.cast(kind)
+        return at_utc(stamp) if isinstance(kind, T.TimestampType) else stamp
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.from_json(text, kind, {"mode": "FAILFAST"})
     return text.cast(kind)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relweave.catalog import CHECK, FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Catalog
@@ -35,26 +35,37 @@ def check_failures(df: DataFrame, predicate: str) -> DataFrame:
     return df.filter(~F.expr(predicate))
 
 
+def _row_rules(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """constraint, kind, n_rows of rules (name, kind, condition that a row breaks), in one pass over df."""
+    counts = df.agg(*[F.count(F.when(broken, 1)).alias(f"r{i}") for i, (_, _, broken) in enumerate(rules)])
+    named = F.array(*[F.struct(F.lit(name).alias("constraint"), F.lit(kind).alias("kind"), F.col(f"r{i}").alias("n_rows")) for i, (name, kind, _) in enumerate(rules)])
+    return counts.select(F.explode(named).alias("x")).select("x.*")
+
+
 def validate(tables: Mapping[str, DataFrame], catalog: Catalog) -> DataFrame:
-    """table, constraint, kind, n_rows for every declared rule that some rows break."""
+    """table, constraint, kind, n_rows for every declared rule that some rows break.
+
+    A table's checks and required columns are counted in one pass over it; keys
+    and references are passes of their own, since each is dealt out by other columns.
+    """
     found = []
     note = lambda df, t, name, kind: df.select(F.lit(t).alias("table"), F.lit(name).alias("constraint"), F.lit(kind).alias("kind"), F.col("n_rows"))
-    count = lambda df: df.agg(F.count("*").alias("n_rows"))
     for t in catalog.tables:
         if t.ignore or t.name not in tables:
             continue
-        df = tables[t.name]
+        df, rules = tables[t.name], []
         for c in t.constraints:
             if c.ignore:
                 continue
             if c.kind in (PRIMARY_KEY, UNIQUE):
                 found.append(note(duplicates(df, c.columns).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")), t.name, c.name, c.kind))
             elif c.kind == FOREIGN_KEY and c.references_table in tables:
-                found.append(note(count(orphans(df, c.columns, tables[c.references_table], c.references_columns)), t.name, c.name, c.kind))
+                found.append(note(orphans(df, c.columns, tables[c.references_table], c.references_columns).agg(F.count("*").alias("n_rows")), t.name, c.name, c.kind))
             elif c.kind == CHECK:
-                found.append(note(count(check_failures(df, c.check)), t.name, c.name, c.kind))
-        if strict := [c.name for c in t.columns if c.not_null and not c.ignore]:
-            found.append(nulls(df, strict).select(F.lit(t.name).alias("table"), F.concat(F.lit(t.name + "_"), "column", F.lit("_not_null")).alias("constraint"), F.lit("NOT NULL").alias("kind"), "n_rows"))
+                rules.append((c.name, c.kind, ~F.expr(c.check)))
+        rules += [(f"{t.name}_{c.name}_not_null", "NOT NULL", F.col(c.name).isNull()) for c in t.columns if c.not_null and not c.ignore]
+        if rules:
+            found.append(_row_rules(df, rules).select(F.lit(t.name).alias("table"), "constraint", "kind", "n_rows"))
     spark = next(iter(tables.values())).sparkSession
     empty = spark.createDataFrame([], "table string, constraint string, kind string, n_rows bigint")
     return reduce(DataFrame.unionByName, found, empty).filter("n_rows > 0")

@@ -3,8 +3,10 @@
 Seed rows are closed over the foreign-key graph: upstream (rows that included
 rows reference) or extended (first downstream, rows that reference included
 rows, then upstream of all of them). Every step is a semi-join on the key
-columns alone. An acyclic graph is one lazy pass in topological order; only
-tables that reach each other through a cycle are iterated, on staged results.
+columns alone. An acyclic graph is one pass in topological order, in which the
+keys of a table that several references leave from are staged, so that no path
+to it is computed twice; tables that reach each other through a cycle are
+iterated on staged keys, each round from the keys that the last one brought.
 
 `paths=True` follows the older, path-limited rule instead: each foreign key is
 visited once and no table twice on one path, so a table reached late may not be
@@ -57,16 +59,23 @@ def _close(tables: Tables, catalog: Catalog, start: dict[str, DataFrame], down:
     fks = [k for k in catalog.foreign_keys() if k.child in tables and k.parent in tables]
     ends = [(k, *((k.parent, k.child) if down else (k.child, k.parent))) for k in fks]
     have: dict[str, DataFrame] = {}
+    leave: dict[str, DataFrame] = {}  # of each table the columns that references to further tables need
     for group in strongly_connected(sorted(tables), [(a, b) for _, a, b in ends]):
         inner = [(k, a, b) for k, a, b in ends if a in group and b in group]
         for name in group:
-            outer = [_hits(k, have[a], down) for k, a, b in ends if b == name and a in have and a not in group]
+            outer = [_hits(k, leave[a], down) for k, a, b in ends if b == name and a in leave and a not in group]
             if name in start:
                 outer.append(_seed(catalog, name, start[name]))
             if outer:
                 have[name] = _any(tables[name], outer)
         if inner and any(n in have for n in group):
             _iterate(tables, catalog, have, inner, down)
+        for name in group:
+            ways = [k for k, a, b in ends if a == name and b not in group]
+            if name in have and ways:
+                needed = sorted({c for k in ways for c in (k.parent_columns if down else k.columns)})
+                keys = have[name].select(*needed)
+                leave[name] = staged(keys.distinct(), "keys") if len(ways) > 1 else keys
     return have
 
 
@@ -77,24 +86,32 @@ def _seed(catalog: Catalog, name: str, rows: DataFrame) -> tuple[tuple[str, ...]
 
 
 def _iterate(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner: list, down: bool) -> None:
-    """Extends the tables of a cycle until none grows."""
-    names = {b for _, _, b in inner} | {a for _, a, _ in inner}
-    sizes: dict[str, int] = {}
-    while True:
-        for n in names & set(have):
-            have[n] = staged(have[n], "subset")
-        now = {n: have[n].count() for n in names & set(have)}
-        if now == sizes:
-            return
-        sizes = now
-        grown = {}
+    """Extends the tables of a cycle until none grows. Only identities of rows, and what the references need, are staged."""
+    names = sorted({b for _, _, b in inner} | {a for _, a, _ in inner})
+    identity = {n: tuple(catalog.table(n).primary_key or catalog.table(n).stored_columns()) for n in names}
+    columns = {n: sorted({*identity[n], *(c for k, a, b in inner for t, cs in ((k.parent, k.parent_columns), (k.child, k.columns)) if t == n for c in cs)}) for n in names}
+    slim = {n: tables[n].select(*columns[n]) for n in names}
+    known = {n: staged(have[n].select(*columns[n]), "subset") for n in names if n in have}
+    new = dict(known)
+    while new:
+        came = {}
         for n in names:
-            sets = [_hits(k, have[a], down) for k, a, b in inner if b == n and a in have]
-            if n in have:
-                sets.append(_seed(catalog, n, have[n]))
-            if sets:
-                grown[n] = _any(tables[n], sets)
-        have.update(grown)
+            sets = [_hits(k, new[a], down) for k, a, b in inner if b == n and a in new]
+            if not sets:
+                continue
+            met = _any(slim[n], sets)
+            if n in known:
+                # A row without a key of its own may have nulls, which equal each other here.
+                old = _keyed(known[n], identity[n], [f"_old_{c}" for c in identity[n]])
+                met = met.join(old, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in identity[n]], "left_anti")
+            came[n] = staged(met, "subset")
+        for n, rows in came.items():
+            known[n] = known[n].unionByName(rows) if n in known else rows
+        new = {n: rows for n, rows in came.items() if not rows.isEmpty()}
+    for n in names:
+        if n in known:
+            key = _keyed(known[n], identity[n], [f"_key_{c}" for c in identity[n]])
+            have[n] = tables[n].join(key, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in identity[n]], "left_semi").select(tables[n].columns)
 
 
 def subset(tables: Tables, catalog: Catalog, seeds: Mapping[str, DataFrame | list[DataFrame]], extended: bool = False, paths: bool = False) -> dict[str, DataFrame]:
@@ -160,6 +177,6 @@ def seed(spark: SparkSession, template: str, tables: Tables, catalog: Catalog) -
     key = catalog.table(name).primary_key
     if not key:
         raise ValueError(f"table {name!r} has no primary key to seed by")
-    text = _HOLE.sub(lambda m: {"{{": "{", "}}": "}"}.get(m[0]) or (", ".join(f"`{name}`.`{k}`" for k in key) if m[1] == "*" else f"`{name}`"), template)
-    tables[name].createOrReplaceTempView(name)
-    return name, spark.sql(text)
+    # A data frame is passed by name, so that no view of the caller's is replaced.
+    text = _HOLE.sub(lambda m: {"{{": "{{", "}}": "}}"}.get(m[0]) or (", ".join(f"`{name}`.`{k}`" for k in key) if m[1] == "*" else f"{{seed_rows}} AS `{name}`"), template)
+    return name, spark.sql(text, seed_rows=tables[name])

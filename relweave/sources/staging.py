@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,18 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage of df with Parquet files below spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """Cuts the lineage of df with Parquet files below spark.checkpoint.dir.
+
+    Where that is unset a local session, which is one machine, gets a temporary
+    folder; anywhere else it is an error, since no other machine has that folder.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "relweave-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "relweave-checkpoints"))
     path = f"{sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

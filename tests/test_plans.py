@@ -174,3 +174,27 @@ def test_entry_module_works_without_the_pipeline_subpackage():
 def test_generated_names_agree_with_the_catalog(spark):
     df = spark.range(1).select(types.generated_name(F.lit("film actor"), F.array(F.lit("a b"), F.lit("x" * 70)), FOREIGN_KEY))
     assert df.first()[0] == generate_name(FOREIGN_KEY, "film actor", ["a b", "x" * 70])
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_time_stamps_are_utc_in_any_session(spark, zone):
+    """Clock times, offsets, Unix times and instants, out and back, with sessions of other zones."""
+    from pyspark.sql import types as T
+
+    from relweave.functions import codec
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2024-01-01 00:00:00+02:00", "2024-01-01T12:30Z", "2024-03-10 02:30:00", "2024-01-01", "2024-01-01 00:00:00.25-05:30", ""]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [r[0] for r in df.select(codec.parse_timestamp(F.col("t")).cast("string")).collect()]
+        assert got == ["2023-12-31 22:00:00", "2024-01-01 12:30:00", "2024-03-10 02:30:00", "2024-01-01 00:00:00", "2024-01-01 05:30:00.25", None]
+        epochs = spark.createDataFrame([(0,), (1_700_000_000,), (1_700_000_000_000,)], "n bigint").select(codec.epoch_timestamp(F.col("n")).cast("string"))
+        assert [r[0] for r in epochs.collect()] == ["1970-01-01 00:00:00", "2023-11-14 22:13:20", "2023-11-14 22:13:20"]
+        instant = spark.range(1).select(F.timestamp_seconds(F.lit(1_700_000_000)).alias("x"))
+        field = instant.select(codec.encode(F.col("x"), T.TimestampType()).alias("f"))
+        assert field.first()[0] == "2023-11-14 22:13:20"
+        assert field.select(F.unix_seconds(codec.decode(F.col("f"), T.TimestampType()))).first()[0] == 1_700_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
