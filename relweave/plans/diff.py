@@ -10,7 +10,8 @@ from relweave.functions import types
 from relweave.plans import metadata
 
 # The order in which kinds of steps are safe to run.
-ORDER = {"drop constraint": 1, "drop table": 2, "create table": 3, "add column": 4, "alter column": 5, "drop column": 6, "add constraint": 7}
+ORDER = {"drop view": 0, "drop constraint": 1, "drop index": 1, "drop table": 2, "create table": 3, "add column": 4, "alter column": 5, "drop column": 6, "add index": 7, "add constraint": 8, "create view": 9}
+# The wording of warnings, which the queries' readers go by.
 
 
 def warning(old: Column, new: Column) -> Column:
@@ -51,16 +52,58 @@ def column_changes(old: DataFrame, new: DataFrame, dialect: str = "postgres") ->
     out = both.withColumn("reasons", F.concat_ws(",", *differs))
     change = F.when(F.col("old_is").isNull(), "add").when(F.col("new_is").isNull(), "drop").when(F.col("reasons") != "", "alter").otherwise("same")
     required = F.col("new_not_null") & (F.col("new_default") == "") & (F.col("new_identity") == "")
-    caution = F.when(change == "add", F.when(required, "adding NOT NULL without a default fails on rows that exist")).when(change == "alter", warning(shape("old"), shape("new"))).when(change == "drop", "dropping a column loses its values")
+    strict = F.when(F.col("new_not_null") & ~F.col("old_not_null") & ~F.col("new_is_primary_key"), "setting NOT NULL fails on rows that have none")
+    altered = F.concat_ws("; ", warning(shape("old"), shape("new")), strict)
+    caution = (
+        F.when(change == "add", F.when(required, "adding NOT NULL without a default fails on rows that exist"))
+        .when(change == "alter", F.when(altered != "", altered))
+        .when(change == "drop", "dropping a column loses its values")
+    )
     return out.select("table", "column", change.alias("change"), F.when(change == "alter", F.col("reasons")).otherwise(F.lit("")).alias("reasons"), caution.alias("warning"))
 
 
+def _changes(old: DataFrame, new: DataFrame, on: list[str], shape: Column) -> DataFrame:
+    """The columns `on`, and change (add, drop, replace, same) by whether the shapes agree."""
+    o, n = old.select(*on, shape.alias("o")), new.select(*on, shape.alias("n"))
+    change = F.when(F.col("o").isNull(), "add").when(F.col("n").isNull(), "drop").when(F.col("o") != F.col("n"), "replace").otherwise("same")
+    return o.join(n, on, "full").select(*on, change.alias("change"))
+
+
 def constraint_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """table, name, change: constraints are the same if their kind, columns and references are."""
-    key = lambda df: df.select("table", "name", F.concat_ws("|", "kind", F.concat_ws(",", "columns"), "references_table", F.concat_ws(",", "references_columns")).alias("shape"))
-    o, n = key(old).withColumnRenamed("shape", "o"), key(new).withColumnRenamed("shape", "n")
-    both = o.join(n, ["table", "name"], "full")
-    return both.select("table", "name", F.when(F.col("o").isNull(), "add").when(F.col("n").isNull(), "drop").when(F.col("o") != F.col("n"), "replace").otherwise("same").alias("change"))
+    """table, name, change: constraints are the same if their kind, columns, references, rules, check and deferral are. No rule is NO ACTION."""
+    rule = lambda c: F.when(F.col(c).isin("", "NO ACTION"), "").otherwise(F.upper(c))
+    plain = F.regexp_replace(F.trim("check"), r"\s+", " ")
+    return _changes(old, new, ["table", "name"], F.struct("kind", "columns", "references_table", "references_columns", plain, rule("update_rule"), rule("delete_rule"), "deferrable"))
+
+
+def index_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """table, name, change: indexes are the same if their kind, uniqueness, columns, included columns and predicate are."""
+    kind = F.when(F.col("kind") == "", "BTREE").otherwise(F.upper("kind"))
+    return _changes(old, new, ["table", "name"], F.struct(kind, "unique", "columns", "include", F.regexp_replace(F.trim("predicate"), r"\s+", " ")))
+
+
+def view_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """view, change: views are the same if their text, but for white space, and their kind are."""
+    return _changes(old, new, ["view"], F.struct("materialized", F.regexp_replace(F.trim("sql"), r"\s+", " ")))
+
+
+def wipe(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    """position, step, table, object: what empties a database of the catalog: views, routines, foreign keys, tables, enums and domains, in an order in which nothing still in use is dropped."""
+    key = metadata.constraints(spark, catalog).filter(F.col("kind") == "FOREIGN KEY")
+    one = lambda df, position, step, name: df.select(F.lit(position).alias("position"), F.lit(step).alias("step"), F.lit("").alias("table"), F.col(name).alias("object"))
+    tables = metadata.columns(spark, catalog).select("table").distinct()
+    parts = [
+        one(metadata.views(spark, catalog), 1, "drop view", "view"),
+        one(metadata.routines(spark, catalog), 2, "drop routine", "routine"),
+        key.select(F.lit(3).alias("position"), F.lit("drop constraint").alias("step"), "table", F.col("name").alias("object")),
+        tables.select(F.lit(4).alias("position"), F.lit("drop table").alias("step"), "table", F.col("table").alias("object")),
+        one(metadata.enums(spark, catalog), 5, "drop enum", "enum"),
+        one(metadata.domains(spark, catalog), 6, "drop domain", "domain"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("position", "table", "object")
 
 
 def steps(spark: SparkSession, old: Catalog, new: Catalog, drop_objects: bool = False, dialect: str = "postgres") -> DataFrame:
@@ -71,6 +114,9 @@ def steps(spark: SparkSession, old: Catalog, new: Catalog, drop_objects: bool =
     made, gone = nt.join(ot, "table", "left_anti"), ot.join(nt, "table", "left_anti")
     kept = changes.join(ot.join(nt, "table"), "table", "left_semi").filter("change <> 'same'")
     cons = constraint_changes(metadata.constraints(spark, old), metadata.constraints(spark, new)).join(gone, "table", "left_anti")
+    own = lambda c: metadata.plain_indexes(metadata.indexes(spark, c), metadata.constraints(spark, c))
+    idx = index_changes(own(old), own(new)).join(gone, "table", "left_anti")
+    seen = view_changes(metadata.views(spark, old), metadata.views(spark, new))
     row = lambda df, step, table, name, note: df.select(step.alias("step"), table.alias("table"), name.alias("object"), note.cast("string").alias("warning"))
     none = F.lit(None)
     parts = [
@@ -79,11 +125,15 @@ def steps(spark: SparkSession, old: Catalog, new: Catalog, drop_objects: bool =
         row(kept, F.concat("change", F.lit(" column")), F.col("table"), F.col("column"), F.col("warning")),
         row(cons.filter("change IN ('drop', 'replace')"), F.lit("drop constraint"), F.col("table"), F.col("name"), none),
         row(cons.filter("change IN ('add', 'replace')"), F.lit("add constraint"), F.col("table"), F.col("name"), none),
+        row(idx.filter("change IN ('drop', 'replace')"), F.lit("drop index"), F.col("table"), F.col("name"), none),
+        row(idx.filter("change IN ('add', 'replace')"), F.lit("add index"), F.col("table"), F.col("name"), none),
+        row(seen.filter("change IN ('drop', 'replace')"), F.lit("drop view"), F.lit(""), F.col("view"), none),
+        row(seen.filter("change IN ('add', 'replace')"), F.lit("create view"), F.lit(""), F.col("view"), none),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    replaced = cons.filter("change = 'replace'").select(F.col("table"), F.col("name").alias("object"))
+    replaced = cons.unionByName(idx).filter("change = 'replace'").select("table", F.col("name").alias("object")).unionByName(seen.filter("change = 'replace'").select(F.lit("").alias("table"), F.col("view").alias("object")))
     if not drop_objects:
         drops = out.filter("step LIKE 'drop %'").join(replaced, ["table", "object"], "left_semi").select(out.columns)
         out = out.filter("step NOT LIKE 'drop %'").unionByName(drops)

@@ -14,19 +14,31 @@ def columns(spark: SparkSession, catalog: Catalog) -> DataFrame:
 
 
 def constraints(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    rows = [(t.name, c.name, c.kind, c.columns, c.references_table, c.references_columns, c.check) for t in catalog.tables if not t.ignore for c in t.constraints if not c.ignore]
-    return spark.createDataFrame(rows, "table string, name string, kind string, columns array<string>, references_table string, references_columns array<string>, check string")
+    rows = [(t.name, c.name, c.kind, c.columns, c.references_table, c.references_columns, c.check, c.update_rule, c.delete_rule, c.deferrable) for t in catalog.tables if not t.ignore for c in t.constraints if not c.ignore]
+    return spark.createDataFrame(rows, "table string, name string, kind string, columns array<string>, references_table string, references_columns array<string>, check string, update_rule string, delete_rule string, deferrable boolean")
 
 
 def indexes(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    rows = [(t.name, x.name, x.unique, x.columns, x.include, x.predicate) for t in catalog.tables if not t.ignore for x in t.indexes if not x.ignore]
-    return spark.createDataFrame(rows, "table string, name string, unique boolean, columns array<string>, include array<string>, predicate string")
+    rows = [(t.name, x.name, x.unique, x.columns, x.include, x.predicate, x.kind) for t in catalog.tables if not t.ignore for x in t.indexes if not x.ignore]
+    return spark.createDataFrame(rows, "table string, name string, unique boolean, columns array<string>, include array<string>, predicate string, kind string")
 
 
 def views(spark: SparkSession, catalog: Catalog) -> DataFrame:
     return spark.createDataFrame([(v.name, v.materialized, v.columns, v.sql) for v in catalog.views or [] if not v.ignore], "view string, materialized boolean, columns array<string>, sql string")
 
 
+def routines(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.kind, r.sql) for r in catalog.routines or [] if not r.ignore], "routine string, kind string, sql string")
+
+
+def enums(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    return spark.createDataFrame([(e.name, e.labels) for e in catalog.enums or [] if not e.ignore], "enum string, labels array<string>")
+
+
+def domains(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    return spark.createDataFrame([(d.name, d.type, d.not_null, d.default, d.checks) for d in catalog.domains or [] if not d.ignore], "domain string, type string, not_null boolean, default string, checks array<string>")
+
+
 def constraint_columns(cons: DataFrame) -> DataFrame:
     """table, name, kind, position (from 1), column, references_table, references_column: a row per column of a constraint."""
     pairs = F.posexplode(F.arrays_zip("columns", "references_columns"))

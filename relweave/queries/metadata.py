@@ -6,7 +6,7 @@ import copy
 
 from pyspark.sql import functions as F
 
-from relweave.catalog import FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Column, Constraint, Index, sample_catalog
+from relweave.catalog import FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Column, Constraint, Domain, Enum, Index, Routine, View, sample_catalog
 from relweave.functions import types
 from relweave.plans import diff, history, metadata
 from relweave.queries import query, table
@@ -23,6 +23,7 @@ OLD.table("customer").indexes.append(Index(["c_custkey"], "customer_c_custkey_pk
 
 _COLUMNS = _values([(t.name, i, c.name, c.type, c.not_null, c.references) for t in OLD.tables for i, c in enumerate(t.columns, 1)])
 _CONS = _values([(t.name, c.name, c.kind, ",".join(c.columns), c.references_table, ",".join(c.references_columns)) for t in OLD.tables for c in t.constraints])
+_INDEXES = _values([(t.name, x.name, x.unique, ",".join(x.columns), x.predicate) for t in OLD.tables for x in t.indexes])
 
 
 @query(f"SELECT * FROM {_COLUMNS} AS t(\"table\", position, \"column\", type, not_null, \"references\") WHERE \"table\" IN ('orders', 'lineitem')")
@@ -49,7 +50,7 @@ def zip_fk_columns(spark, d):
     return metadata.constraint_columns(metadata.constraints(spark, OLD)).filter("kind = 'FOREIGN KEY'").drop("kind")
 
 
-@query("SELECT * FROM (VALUES ('customer', 'customer_seg_idx')) AS t(\"table\", name)")
+@query(f"SELECT i.* FROM (SELECT \"table\", name FROM {_INDEXES} AS t(\"table\", name, u, c, p)) i ANTI JOIN {_CONS} AS c(\"table\", name, kind, cols, rt, rc) ON i.\"table\" = c.\"table\" AND i.name = c.name")
 def anti_join_indexes(spark, d):
     return metadata.plain_indexes(metadata.indexes(spark, OLD), metadata.constraints(spark, OLD)).select("table", "name")
 
@@ -110,9 +111,16 @@ next(c for c in _customer.columns if c.name == "c_name").type = "character varyi
 NEW.table("region").columns[1].not_null = True
 NEW.table("supplier").constraints.append(Constraint(UNIQUE, ["s_name"], "supplier_s_name_key"))
 NEW.table("orders").constraints = [c for c in NEW.table("orders").constraints if c.kind != FOREIGN_KEY]
+NEW.table("nation").constraints[-1].delete_rule = "CASCADE"
+_customer.indexes = [Index(["c_mktsegment"], "customer_seg_idx", predicate="c_custkey > 0"), Index(["c_name"]), Index(["c_custkey"], "customer_c_custkey_pkey", unique=True)]
+NEW.table("part").indexes = [Index(["p_size"])]
+OLD.views = [View("big", "SELECT 1"), View("old", "SELECT 2"), View("same", "SELECT 3")]
+NEW.views = [View("big", "SELECT 1 + 1"), View("new", "SELECT 4"), View("same", "SELECT  3")]
+OLD.enums, OLD.routines, OLD.domains = [Enum("mood", ["good", "bad"])], [Routine("f", "SELECT 1")], [Domain("posint", "INT", checks=["VALUE > 0"])]
 
 _NEW_COLUMNS = _values([(t.name, c.name, c.type, c.not_null) for t in NEW.tables for c in t.columns])
-_NEW_CONS = _values([(t.name, c.name, c.kind, ",".join(c.columns), c.references_table, ",".join(c.references_columns)) for t in NEW.tables for c in t.constraints])
+_NEW_CONS = _values([(t.name, c.name, c.kind, ",".join(c.columns), c.references_table, ",".join(c.references_columns), c.delete_rule) for t in NEW.tables for c in t.constraints])
+_NEW_INDEXES = _values([(t.name, x.name, x.unique, ",".join(x.columns), x.predicate) for t in NEW.tables for x in t.indexes])
 
 
 @query(
@@ -125,13 +133,50 @@ def diff_columns(spark, d):
 
 
 @query(
-    f"""SELECT coalesce(o.t, n.t) AS "table", coalesce(o.name, n.name) AS name, CASE WHEN o.t IS NULL THEN 'add' WHEN n.t IS NULL THEN 'drop' WHEN (o.k, o.c, o.rt, o.rc) <> (n.k, n.c, n.rt, n.rc) THEN 'replace' ELSE 'same' END AS change
-    FROM {_CONS} AS o(t, name, k, c, rt, rc) FULL JOIN {_NEW_CONS} AS n(t, name, k, c, rt, rc) ON o.t = n.t AND o.name = n.name"""
+    f"""SELECT coalesce(o.t, n.t) AS "table", coalesce(o.name, n.name) AS name, CASE WHEN o.t IS NULL THEN 'add' WHEN n.t IS NULL THEN 'drop' WHEN (o.k, o.c, o.rt, o.rc, '') <> (n.k, n.c, n.rt, n.rc, n.dr) THEN 'replace' ELSE 'same' END AS change
+    FROM {_CONS} AS o(t, name, k, c, rt, rc) FULL JOIN {_NEW_CONS} AS n(t, name, k, c, rt, rc, dr) ON o.t = n.t AND o.name = n.name"""
 )
 def diff_constraints(spark, d):
     return diff.constraint_changes(metadata.constraints(spark, OLD), metadata.constraints(spark, NEW))
 
 
+_DIFF_INDEXES = f"""SELECT coalesce(o.t, n.t) AS "table", coalesce(o.name, n.name) AS name, CASE WHEN o.t IS NULL THEN 'add' WHEN n.t IS NULL THEN 'drop' WHEN (o.u, o.c, o.p) <> (n.u, n.c, n.p) THEN 'replace' ELSE 'same' END AS change
+    FROM {_INDEXES} AS o(t, name, u, c, p) FULL JOIN {_NEW_INDEXES} AS n(t, name, u, c, p) ON o.t = n.t AND o.name = n.name"""
+
+
+@query(_DIFF_INDEXES)
+def diff_indexes(spark, d):
+    return diff.index_changes(metadata.indexes(spark, OLD), metadata.indexes(spark, NEW))
+
+
+_OLD_VIEWS, _NEW_VIEWS = (_values([(v.name, v.sql) for v in c.views]) for c in (OLD, NEW))
+
+
+@query(f"""SELECT coalesce(o.v, n.v) AS "view", CASE WHEN o.v IS NULL THEN 'add' WHEN n.v IS NULL THEN 'drop' WHEN regexp_replace(o.q, '\\s+', ' ', 'g') <> regexp_replace(n.q, '\\s+', ' ', 'g') THEN 'replace' ELSE 'same' END AS change
+    FROM {_OLD_VIEWS} AS o(v, q) FULL JOIN {_NEW_VIEWS} AS n(v, q) ON o.v = n.v""")
+def diff_views(spark, d):
+    return diff.view_changes(metadata.views(spark, OLD), metadata.views(spark, NEW))
+
+
+@query(
+    f"""SELECT 1 AS position, 'drop view' AS step, '' AS "table", v AS object FROM {_OLD_VIEWS} AS t(v, q) UNION ALL SELECT 2, 'drop routine', '', 'f' UNION ALL
+    SELECT 3, 'drop constraint', t, name FROM {_CONS} AS c(t, name, k, c, rt, rc) WHERE k = 'FOREIGN KEY' UNION ALL SELECT DISTINCT 4, 'drop table', t, t FROM {_COLUMNS} AS c(t, p, c, ty, nn, r) UNION ALL
+    SELECT 5, 'drop enum', '', 'mood' UNION ALL SELECT 6, 'drop domain', '', 'posint'"""
+)
+def wipe_plan(spark, d):
+    return diff.wipe(spark, OLD)
+
+
+@query("SELECT 'view' AS kind, unnest(['big', 'old']) AS name UNION ALL SELECT 'routine', 'f' UNION ALL SELECT 'enum', 'mood:good,bad' UNION ALL SELECT 'domain', 'posint INT VALUE > 0'")
+def catalog_objects(spark, d):
+    """Views (but for one), routines, enums and domains as relations."""
+    views = metadata.selected(metadata.views(spark, OLD), "view", exclude=["same"]).select(F.lit("view").alias("kind"), F.col("view").alias("name"))
+    routines = metadata.routines(spark, OLD).select(F.lit("routine").alias("kind"), F.col("routine").alias("name"))
+    enums = metadata.enums(spark, OLD).select(F.lit("enum").alias("kind"), F.concat("enum", F.lit(":"), F.concat_ws(",", "labels")).alias("name"))
+    domains = metadata.domains(spark, OLD).select(F.lit("domain").alias("kind"), F.concat_ws(" ", "domain", "type", F.concat_ws(",", "checks")).alias("name"))
+    return views.unionByName(routines).unionByName(enums).unionByName(domains)
+
+
 _MOVES = [("VARCHAR(20)", "VARCHAR(10)"), ("VARCHAR(10)", "VARCHAR(20)"), ("VARCHAR(10)", "TEXT"), ("TEXT", "VARCHAR"), ("TEXT", "VARCHAR(9)"), ("NUMERIC(10,2)", "NUMERIC(10,3)"), ("NUMERIC(10,2)", "NUMERIC(8,2)"), ("NUMERIC(10,2)", "NUMERIC(8,3)"), ("INT", "BIGINT"), ("CIDR", "INET"), ("int4", "INTEGER")]
 
 
@@ -145,10 +190,22 @@ def unsafe_type_changes(spark, d):
     return moves.select("old", "new", diff.warning(types.normalize_type(F.col("old"), "postgres"), types.normalize_type(F.col("new"), "postgres")).alias("warning"))
 
 
-@query(
-    """SELECT * FROM (VALUES (1, 'drop constraint', 'orders', 'orders_o_custkey_fkey'), (2, 'drop table', 'events', 'events'), (4, 'add column', 'customer', 'c_email'), (4, 'add column', 'customer', 'c_since'), (5, 'alter column', 'customer', 'c_mktsegment'),
-    (5, 'alter column', 'customer', 'c_name'), (5, 'alter column', 'region', 'r_name'), (6, 'drop column', 'customer', 'c_acctbal'), (7, 'add constraint', 'supplier', 'supplier_s_name_key')) AS t(position, step, "table", object)"""
-)
+_PLAN = f"""WITH o AS (SELECT t AS "table", c AS "column", ty, nn FROM {_COLUMNS} AS x(t, p, c, ty, nn, r)), n AS (SELECT * FROM {_NEW_COLUMNS} AS x("table", "column", ty, nn)),
+    gone AS (SELECT DISTINCT "table" FROM o EXCEPT SELECT "table" FROM n), made AS (SELECT DISTINCT "table" FROM n EXCEPT SELECT "table" FROM o),
+    cols AS (SELECT coalesce(o."table", n."table") AS "table", coalesce(o."column", n."column") AS "column", CASE WHEN o.ty IS NULL THEN 'add' WHEN n.ty IS NULL THEN 'drop' WHEN o.ty <> n.ty OR o.nn <> n.nn THEN 'alter' END AS change
+      FROM o FULL JOIN n ON o."table" = n."table" AND o."column" = n."column"),
+    cons AS (SELECT coalesce(a.t, b.t) AS "table", coalesce(a.name, b.name) AS name, a.t IS NOT NULL AS had, b.t IS NOT NULL AS has
+      FROM {_CONS} AS a(t, name, k, c, rt, rc) FULL JOIN {_NEW_CONS} AS b(t, name, k, c, rt, rc, dr) ON a.t = b.t AND a.name = b.name WHERE (a.k, a.c, a.rt, a.rc, '') IS DISTINCT FROM (b.k, b.c, b.rt, b.rc, b.dr)),
+    idx AS (SELECT * FROM ({_DIFF_INDEXES}) WHERE name NOT IN (SELECT name FROM {_CONS} AS c(t, name, k, c, rt, rc))),
+    vs AS (SELECT coalesce(a.v, b.v) AS v, a.v IS NOT NULL AS had, b.v IS NOT NULL AS has FROM {_OLD_VIEWS} AS a(v, q) FULL JOIN {_NEW_VIEWS} AS b(v, q) ON a.v = b.v WHERE replace(a.q, '  ', ' ') IS DISTINCT FROM replace(b.q, '  ', ' '))
+    SELECT 0 AS position, 'drop view' AS step, '' AS "table", v AS object FROM vs WHERE had UNION ALL SELECT 9, 'create view', '', v FROM vs WHERE has UNION ALL
+    SELECT 1, 'drop constraint', "table", name FROM cons WHERE had AND "table" NOT IN (SELECT "table" FROM gone) UNION ALL SELECT 8, 'add constraint', "table", name FROM cons WHERE has UNION ALL
+    SELECT 1, 'drop index', "table", name FROM idx WHERE change IN ('drop', 'replace') UNION ALL SELECT 7, 'add index', "table", name FROM idx WHERE change IN ('add', 'replace') UNION ALL
+    SELECT 2, 'drop table', "table", "table" FROM gone UNION ALL SELECT 3, 'create table', "table", "table" FROM made UNION ALL
+    SELECT CASE change WHEN 'add' THEN 4 WHEN 'alter' THEN 5 ELSE 6 END, change || ' column', "table", "column" FROM cols WHERE change IS NOT NULL AND "table" NOT IN (SELECT "table" FROM gone UNION SELECT "table" FROM made)"""
+
+
+@query(_PLAN)
 def change_plan(spark, d):
     return diff.steps(spark, OLD, NEW, drop_objects=True).select("position", "step", "table", "object")
 

@@ -67,6 +67,31 @@ def part_supplier_list(spark, d):
     return pairs.select(F.col("p_partkey").alias("fid"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), "suppliers")
 
 
+@query(
+    """WITH b AS (SELECT o_custkey, p_brand, '[' || string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) || ']' AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+    SELECT c_custkey, '{' || coalesce(string_agg('"' || p_brand || '":' || lines, ',' ORDER BY p_brand), '') || '}' AS info FROM customer LEFT JOIN b ON o_custkey = c_custkey GROUP BY 1"""
+)
+def customer_brand_json(spark, d):
+    """Per customer a JSON object of brands, in order, each with an array of its line numbers."""
+    t = sample(spark, d)
+    bought = t["orders"].select("o_orderkey", "o_custkey").join(t["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber"), F.col("o_orderkey") == F.col("l_orderkey")).join(t["part"].select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    lists = bought.groupBy(F.col("o_custkey").alias("c_custkey"), "p_brand").agg(F.array_sort(F.collect_set("l_linenumber")).alias("lines"))
+    info = lists.groupBy("c_custkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p_brand", "lines"))))).alias("info"))
+    return t["customer"].select("c_custkey").join(info, "c_custkey", "left").select("c_custkey", F.coalesce("info", F.lit("{}")).alias("info"))
+
+
+@query(
+    """SELECT p_partkey AS fid, '[' || string_agg('{"name":"' || s_name || '","key":' || s_suppkey || '}', ',' ORDER BY s_name, s_suppkey) || ']' AS suppliers
+    FROM part JOIN (SELECT DISTINCT l_partkey, s_suppkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) ON l_partkey = p_partkey GROUP BY 1"""
+)
+def part_supplier_json(spark, d):
+    """Per part a JSON array of its suppliers, ordered by name."""
+    t = sample(spark, d)
+    sold = t["lineitem"].select("l_partkey", "l_suppkey").distinct().join(t["supplier"].select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey"))
+    each = F.array_sort(F.collect_list(F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))))
+    return t["part"].select("p_partkey").join(sold, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_partkey").alias("fid")).agg(F.to_json(each).alias("suppliers"))
+
+
 @query("SELECT s_suppkey, upper(substr(s_name, 1, 1)) || lower(substr(s_name, 2)) AS name FROM supplier")
 def nicer_names(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.concat(F.upper(F.substring("s_name", 1, 1)), F.lower(F.expr("substring(s_name, 2)"))).alias("name"))

@@ -1,8 +1,10 @@
 """Catalogs, names, types, diffs, history, the registry."""
 
 import os
+import shutil
 import subprocess
 import sys
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +200,59 @@ def test_time_stamps_are_utc_in_any_session(spark, zone):
         assert field.select(F.unix_seconds(codec.decode(F.col("f"), T.TimestampType()))).first()[0] == 1_700_000_000
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_entry_module_works_where_the_subpackage_is_deleted(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    (copy / "relweave" / "llm" / "__pycache__").mkdir(parents=True)  # what a deletion may leave behind
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'sales_by_nation' in q and not any(n.startswith('op') or n == 'pipeline' for n in q) and set(e.oracle_sql()) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
+
+
+def test_the_package_is_shipped_to_clusters_as_an_archive():
+    sys.path.insert(0, ROOT)
+    import __spark_entry__ as entry
+
+    class Context:
+        master, applicationId, files = "spark://somewhere:7077", "app-1", []
+        addPyFile = files.append
+
+    class Session:
+        sparkContext = Context()
+
+    for _ in range(2):
+        entry._ship(Session())
+    (archive,) = Context.files
+    assert {"relweave/catalog.py", "relweave/__init__.py"} <= set(zipfile.ZipFile(archive).namelist())
+
+
+def test_indexes_checks_rules_and_views_count_in_diffs(spark):
+    table = lambda **k: Table("t", [Column("a", "INT"), Column("b", "INT")], k.get("cons", []), k.get("idx", []))
+    check = lambda text: Constraint("CHECK", ["a"], "t_check", check=text)
+    parent = Table("p", [Column("a", "INT")])
+    ref = lambda **k: Constraint(FOREIGN_KEY, ["a"], "fk", references_table="p", references_columns=["a"], **k)
+    cases = [
+        ({"cons": [check("a > 0")]}, {"cons": [check(" a  > 0")]}, []),
+        ({"cons": [check("a > 0")]}, {"cons": [check("a > 1")]}, ["drop constraint", "add constraint"]),
+        ({"cons": [ref()]}, {"cons": [ref(delete_rule="NO ACTION")]}, []),
+        ({"cons": [ref()]}, {"cons": [ref(delete_rule="CASCADE")]}, ["drop constraint", "add constraint"]),
+        ({"cons": [ref()]}, {"cons": [ref(deferrable=True)]}, ["drop constraint", "add constraint"]),
+        ({"idx": [Index(["a"], "i")]}, {"idx": [Index(["a"], "i", kind="btree")]}, []),
+        ({"idx": [Index(["a"], "i")]}, {"idx": [Index(["b"], "i")]}, ["drop index", "add index"]),
+        ({"idx": [Index(["a"], "i")]}, {}, []),  # drops only where asked for
+    ]
+    for old, new, want in cases:
+        steps = diff.steps(spark, Catalog("c", [table(**old), parent]), Catalog("c", [table(**new), parent]))
+        assert [r["step"] for r in steps.collect()] == want
+    assert [r["step"] for r in diff.steps(spark, Catalog("c", views=[View("v", "x")]), Catalog("c", views=[View("v", "y")])).collect()] == ["drop view", "create view"]
+
+
+def test_not_null_on_an_old_column_is_warned_of(spark):
+    old, new = (metadata.columns(spark, Catalog("c", [Table("t", [Column("a", "INT", not_null=n)])])) for n in (False, True))
+    (row,) = diff.column_changes(old, new).collect()
+    assert row["change"] == "alter" and row["warning"] == "setting NOT NULL fails on rows that have none"
