@@ -54,6 +54,30 @@ def test_growing_takes_rows_only_into_the_new_shard(spark):
         sharding.HashTree(())
 
 
+def test_draws_against_the_definition(spark):
+    """Every level's smallest draw, from the 64-bit hash's own library; a null key is hashed as nothing."""
+    import xxhash
+
+    tree = sharding.HashTree.uniform(24).reweighted(3, 2.5).grow()
+
+    def draw(key, depth, child, weight):
+        h = 42
+        for part in ([] if key is None else [struct.pack("<q", key)]) + [struct.pack("<i", depth), child.encode()]:
+            h = xxhash.xxh64_intdigest(part, h)
+        return -math.log(((h >> 11) + 0.5) / 2.0**53) / weight
+
+    def place(key):
+        at, path = "", []
+        for depth in range(3):
+            at = min(tree.children(depth)[at].items(), key=lambda c: draw(key, depth, *c))[0]
+            path.append(at)
+        return path[0], path[1], int(path[2])
+
+    keys = [None, 0, -5, *range(1, 400), 2**60]
+    rows = sharding.place(spark.createDataFrame([(k,) for k in keys], "doc_id bigint"), tree).collect()
+    assert {(r["doc_id"], r["region"], r["rack"], r["shard"]) for r in rows} == {(k, *place(k)) for k in keys}
+
+
 # --- quality rules
 
 def measures(text):
