@@ -111,6 +111,14 @@ class Routine:
     ignore: bool = False
 
 
+@dataclass
+class Trigger:
+    name: str
+    table: str
+    sql: str = ""
+    ignore: bool = False
+
+
 @dataclass
 class Enum:
     name: str
@@ -146,6 +154,7 @@ class Catalog:
     enums: list[Enum] | None = None
     domains: list[Domain] | None = None
     extensions: list[str] | None = None
+    triggers: list[Trigger] | None = None
 
     def table(self, name: str) -> Table:
         for t in self.tables:
@@ -197,7 +206,7 @@ def _catalog(d: dict) -> Catalog:
         parts = {"columns": Column, "constraints": Constraint, "indexes": Index}
         return Table(**{k: [parts[k](**v) for v in x] if k in parts else x for k, x in t.items()})
 
-    kinds = {"tables": table, "views": lambda v: View(**v), "routines": lambda v: Routine(**v), "enums": lambda v: Enum(**v), "domains": lambda v: Domain(**v)}
+    kinds = {"tables": table, "views": lambda v: View(**v), "routines": lambda v: Routine(**v), "enums": lambda v: Enum(**v), "domains": lambda v: Domain(**v), "triggers": lambda v: Trigger(**v)}
     return Catalog(**{k: [kinds[k](v) for v in x] if k in kinds else x for k, x in d.items()})
 
 

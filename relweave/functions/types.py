@@ -111,3 +111,14 @@ def spark_type(name: str, arg1: str = "", arg2: str = "") -> T.DataType:
     if name == "NUMERIC":
         return T.DecimalType(min(38, int(arg1)), int(arg2 or 0)) if arg1 else T.DecimalType(38, 18)
     return SPARK_TYPES.get(name, T.StringType())
+
+
+def typmod_size(modifier: Column, bits: bool = False) -> Column:
+    """Length of a character type (or of a bit type, whose number has no header) by its type modifier; null for none (-1)."""
+    return F.when(modifier >= 0, modifier if bits else modifier - 4)
+
+
+def typmod_numeric(modifier: Column) -> Column:
+    """struct(precision, scale) of a numeric type by its type modifier: two 16-bit numbers behind a header of 4; nulls for none (-1)."""
+    body = F.when(modifier >= 4, modifier - 4)
+    return F.struct(F.shiftright(body, 16).bitwiseAND(F.lit(65535)).alias("precision"), body.bitwiseAND(F.lit(65535)).alias("scale"))

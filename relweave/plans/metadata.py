@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.catalog import Catalog, Column, Table
+from relweave.catalog import FOREIGN_KEY, PRIMARY_KEY, Catalog, Column, Table
+
+_DECLARED = """name string, tables array<struct<name: string, ignore: boolean, columns: array<struct<name: string, type: string, ignore: boolean>>,
+    constraints: array<struct<kind: string, name: string, columns: array<string>, references_table: string, references_columns: array<string>, ignore: boolean>>,
+    indexes: array<struct<name: string, columns: array<string>, ignore: boolean>>>>"""
 
 
 def columns(spark: SparkSession, catalog: Catalog) -> DataFrame:
@@ -39,6 +45,73 @@ def domains(spark: SparkSession, catalog: Catalog) -> DataFrame:
     return spark.createDataFrame([(d.name, d.type, d.not_null, d.default, d.checks) for d in catalog.domains or [] if not d.ignore], "domain string, type string, not_null boolean, default string, checks array<string>")
 
 
+def triggers(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    return spark.createDataFrame([(t.table, t.name, t.sql) for t in catalog.triggers or [] if not t.ignore], "table string, trigger string, sql string")
+
+
+def frame_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table, position (from 1), column, type of DataFrames, by their schemas alone."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, i, f.name, f.dataType.simpleString().upper()) for name, df in tables.items() for i, f in enumerate(df.schema, 1)]
+    return spark.createDataFrame(rows, "table string, position int, column string, type string")
+
+
+def server(spark: SparkSession) -> DataFrame:
+    """version, catalog, database, zone: where the session's queries run."""
+    return spark.range(1).select(F.version().alias("version"), F.current_catalog().alias("catalog"), F.current_database().alias("database"), F.current_timezone().alias("zone"))
+
+
+def of_kinds(cons: DataFrame, kinds: Iterable[str]) -> DataFrame:
+    """The constraints of some kinds, a branch for each; without any kind, no row but the same columns."""
+    out = cons.filter(F.lit(False))
+    for kind in kinds:
+        out = out.unionByName(cons.filter(F.col("kind") == kind))
+    return out
+
+
+def declared(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Columns, constraints and indexes as a catalog's JSON declares them, right or wrong, for problems()."""
+    one = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", _DECLARED, {"mode": "FAILFAST"}).alias("c"))
+    of = one.select(F.explode("c.tables").alias("x")).filter("NOT coalesce(x.ignore, false)")
+    each = lambda part: of.select(F.col("x.name").alias("table"), F.explode(f"x.{part}").alias("o")).filter("NOT coalesce(o.ignore, false)")
+    named = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(""))
+    cols = each("columns").select("table", F.col("o.name").alias("column"), F.col("o.type").alias("type"))
+    cons = each("constraints").select("table", named("name").alias("name"), "o.kind", "o.columns", named("references_table").alias("references_table"), F.coalesce("o.references_columns", F.array().cast("array<string>")).alias("references_columns"))
+    return cols, cons, each("indexes").select("table", named("name").alias("name"), "o.columns")
+
+
+def problems(cols: DataFrame, cons: DataFrame, idx: DataFrame) -> DataFrame:
+    """table, object, problem: all that is wrong with declarations, not only the first fault.
+
+    cols has table and column; cons table, name, kind, columns, references_table
+    and references_columns; idx table, name and columns. Names may be empty.
+    """
+    known, tables = cols.select("table", "column").distinct(), cols.select(F.col("table").alias("references_table")).distinct()
+    says = lambda df, name, problem: df.select("table", F.col(name).alias("object"), problem.alias("problem"))
+    used = cons.select("table", "name", "columns").unionByName(idx.select("table", "name", "columns"))
+    absent = used.select("table", "name", F.explode("columns").alias("column")).join(known, ["table", "column"], "left_anti")
+    keys = cons.filter(F.col("kind") == FOREIGN_KEY)
+    wide = keys.filter(F.size("columns") != F.size("references_columns"))
+    lost = keys.join(tables, "references_table", "left_anti")
+    targets = keys.select("table", "name", "references_table", F.explode("references_columns").alias("column")).join(tables, "references_table", "left_semi")
+    beyond = targets.join(known.withColumnRenamed("table", "references_table"), ["references_table", "column"], "left_anti")
+    twice = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+    parts = [
+        says(twice(cols, "table", "column"), "column", F.concat(F.lit("declared "), F.col("n").cast("string"), F.lit(" times"))),
+        *(says(twice(of.filter("name <> ''"), "table", "name"), "name", F.concat(F.lit("declared "), F.col("n").cast("string"), F.lit(" times"))) for of in (cons, idx)),
+        says(twice(cons.filter(F.col("kind") == PRIMARY_KEY), "table").withColumn("name", F.lit("")), "name", F.lit("several primary keys")),
+        says(used.filter(F.size("columns") < 1), "name", F.lit("no columns")),
+        says(absent, "name", F.concat(F.lit("unknown column "), "column")),
+        says(wide, "name", F.lit("as many columns must be referenced as refer")),
+        says(lost, "name", F.concat(F.lit("unknown table "), "references_table")),
+        says(beyond, "name", F.concat(F.lit("unknown column "), "references_table", F.lit("."), "column")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("table", "object", "problem")
+
+
 def constraint_columns(cons: DataFrame) -> DataFrame:
     """table, name, kind, position (from 1), column, references_table, references_column: a row per column of a constraint."""
     pairs = F.posexplode(F.arrays_zip("columns", "references_columns"))

@@ -221,3 +221,8 @@ def json_array_roundtrip(spark, d):
     kind = T.ArrayType(T.LongType())
     text = codec.encode(F.array("o_custkey", F.col("o_custkey") + 1), kind)
     return table(spark, d, "orders").select("o_orderkey", codec.decode(text, kind)[1].alias("second"))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%E%' AND p_name NOT LIKE '%1_' AND p_brand LIKE 'Brand#_%'")
+def like_filters(spark, d):
+    return table(spark, d, "part").filter(F.col("p_type").like("%E%") & ~F.col("p_name").like("%1_") & F.col("p_brand").like("Brand#_%")).select("p_partkey", "p_type")

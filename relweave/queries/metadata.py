@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import copy
+import itertools
 
 from pyspark.sql import functions as F
 
-from relweave.catalog import FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Column, Constraint, Domain, Enum, Index, Routine, View, sample_catalog
+from relweave.catalog import FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Column, Constraint, Domain, Enum, Index, Routine, Trigger, View, sample_catalog
 from relweave.functions import types
 from relweave.plans import diff, history, metadata
-from relweave.queries import query, table
+from relweave.queries import SAMPLE, query, sample, table
 
 
 def _values(rows) -> str:
@@ -117,6 +118,7 @@ NEW.table("part").indexes = [Index(["p_size"])]
 OLD.views = [View("big", "SELECT 1"), View("old", "SELECT 2"), View("same", "SELECT 3")]
 NEW.views = [View("big", "SELECT 1 + 1"), View("new", "SELECT 4"), View("same", "SELECT  3")]
 OLD.enums, OLD.routines, OLD.domains = [Enum("mood", ["good", "bad"])], [Routine("f", "SELECT 1")], [Domain("posint", "INT", checks=["VALUE > 0"])]
+OLD.triggers = [Trigger("touched", "orders", "UPDATE orders SET o_totalprice = o_totalprice")]
 
 _NEW_COLUMNS = _values([(t.name, c.name, c.type, c.not_null) for t in NEW.tables for c in t.columns])
 _NEW_CONS = _values([(t.name, c.name, c.kind, ",".join(c.columns), c.references_table, ",".join(c.references_columns), c.delete_rule) for t in NEW.tables for c in t.constraints])
@@ -167,25 +169,31 @@ def wipe_plan(spark, d):
     return diff.wipe(spark, OLD)
 
 
-@query("SELECT 'view' AS kind, unnest(['big', 'old']) AS name UNION ALL SELECT 'routine', 'f' UNION ALL SELECT 'enum', 'mood:good,bad' UNION ALL SELECT 'domain', 'posint INT VALUE > 0'")
+@query("SELECT 'view' AS kind, unnest(['big', 'old']) AS name UNION ALL SELECT 'routine', 'f' UNION ALL SELECT 'enum', 'mood:good,bad' UNION ALL SELECT 'domain', 'posint INT VALUE > 0' UNION ALL SELECT 'trigger', 'orders.touched'")
 def catalog_objects(spark, d):
-    """Views (but for one), routines, enums and domains as relations."""
+    """Views (but for one), routines, enums, domains and triggers as relations."""
     views = metadata.selected(metadata.views(spark, OLD), "view", exclude=["same"]).select(F.lit("view").alias("kind"), F.col("view").alias("name"))
     routines = metadata.routines(spark, OLD).select(F.lit("routine").alias("kind"), F.col("routine").alias("name"))
     enums = metadata.enums(spark, OLD).select(F.lit("enum").alias("kind"), F.concat("enum", F.lit(":"), F.concat_ws(",", "labels")).alias("name"))
     domains = metadata.domains(spark, OLD).select(F.lit("domain").alias("kind"), F.concat_ws(" ", "domain", "type", F.concat_ws(",", "checks")).alias("name"))
-    return views.unionByName(routines).unionByName(enums).unionByName(domains)
+    triggers = metadata.triggers(spark, OLD).select(F.lit("trigger").alias("kind"), F.concat_ws(".", "table", "trigger").alias("name"))
+    return views.unionByName(routines).unionByName(enums).unionByName(domains).unionByName(triggers)
 
 
-_MOVES = [("VARCHAR(20)", "VARCHAR(10)"), ("VARCHAR(10)", "VARCHAR(20)"), ("VARCHAR(10)", "TEXT"), ("TEXT", "VARCHAR"), ("TEXT", "VARCHAR(9)"), ("NUMERIC(10,2)", "NUMERIC(10,3)"), ("NUMERIC(10,2)", "NUMERIC(8,2)"), ("NUMERIC(10,2)", "NUMERIC(8,3)"), ("INT", "BIGINT"), ("CIDR", "INET"), ("int4", "INTEGER")]
+_DECLARED = ["VARCHAR(20)", "VARCHAR(10)", "VARCHAR", "TEXT", "NUMERIC(10,2)", "NUMERIC(10,3)", "NUMERIC(8,2)", "NUMERIC", "INT", "BIGINT", "int4", "INTEGER", "CIDR", "INET"]
+_MOVES = list(itertools.product(_DECLARED, _DECLARED))
 
 
 @query(
-    """SELECT * FROM (VALUES ('VARCHAR(20)', 'VARCHAR(10)', 'decreasing limit is unsafe'), ('VARCHAR(10)', 'VARCHAR(20)', NULL), ('VARCHAR(10)', 'TEXT', NULL), ('TEXT', 'VARCHAR', NULL), ('TEXT', 'VARCHAR(9)', 'changing type to a limited one is unsafe'),
-    ('NUMERIC(10,2)', 'NUMERIC(10,3)', 'changing scale is unsafe'), ('NUMERIC(10,2)', 'NUMERIC(8,2)', 'decreasing precision is unsafe'), ('NUMERIC(10,2)', 'NUMERIC(8,3)', 'changing scale is unsafe; decreasing precision is unsafe'),
-    ('INT', 'BIGINT', 'changing type may be unsafe'), ('CIDR', 'INET', NULL), ('int4', 'INTEGER', NULL)) AS t(old, new, warning)"""
+    f"""WITH t AS (SELECT d, CASE WHEN b IN ('INT4', 'INTEGER') THEN 'INT' ELSE b END AS b, coalesce(try_cast(regexp_extract(d, '\\((\\d+)', 1) AS INT), 0) AS a1, coalesce(try_cast(regexp_extract(d, ',(\\d+)', 1) AS INT), 0) AS a2
+      FROM (SELECT d, upper(split_part(d, '(', 1)) AS b FROM {_values([(x,) for x in _DECLARED])} AS v(d)))
+    SELECT o.d AS old, n.d AS new, CASE WHEN (o.b, o.a1, o.a2) = (n.b, n.a1, n.a2) OR (o.b || '>' || n.b) IN ('CIDR>INET', 'VARCHAR>TEXT') THEN NULL
+      WHEN o.b || '>' || n.b = 'TEXT>VARCHAR' THEN CASE WHEN n.a1 > 0 THEN 'changing type to a limited one is unsafe' END WHEN o.b <> n.b THEN 'changing type may be unsafe'
+      WHEN o.b = 'VARCHAR' THEN CASE WHEN n.a1 BETWEEN 1 AND o.a1 - 1 THEN 'decreasing limit is unsafe' END
+      ELSE nullif(concat_ws('; ', CASE WHEN o.a2 <> n.a2 AND n.a2 > 0 THEN 'changing scale is unsafe' END, CASE WHEN n.a1 BETWEEN 1 AND o.a1 - 1 THEN 'decreasing precision is unsafe' END), '') END AS warning FROM t o, t n"""
 )
 def unsafe_type_changes(spark, d):
+    """Every change between some declared types."""
     moves = spark.createDataFrame(_MOVES, "old string, new string")
     return moves.select("old", "new", diff.warning(types.normalize_type(F.col("old"), "postgres"), types.normalize_type(F.col("new"), "postgres")).alias("warning"))
 
@@ -210,15 +218,78 @@ def change_plan(spark, d):
     return diff.steps(spark, OLD, NEW, drop_objects=True).select("position", "step", "table", "object")
 
 
-# --- history
+# --- what the tables' own schemas say, and what is wrong with declarations about them
 
-def _history(spark):
-    rows = [("01_a.sql", None, "2024-01-01 00:00:00", 5, True), ("02_b.sql", None, "2024-01-01 00:00:01", 6, False), ("repeatable/v.sql", "old", "2024-01-01 00:00:02", 7, True), ("00_gone.sql", None, "2024-01-01 00:00:03", 8, True), ("04_d.sql", None, None, None, False)]
-    return spark.createDataFrame(rows, "filename string, checksum string, at string, time_taken_ns bigint, success boolean").select("filename", "checksum", F.col("at").cast("timestamp").alias("started_at"), "time_taken_ns", "success")
+_TYPES = "CASE column_type WHEN 'VARCHAR' THEN 'STRING' WHEN 'INTEGER' THEN 'INT' WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE column_type END"
+_FRAMES = "(" + " UNION ALL ".join(f"SELECT '{t}' AS t, column_name AS c, {_TYPES} AS ty FROM (DESCRIBE SELECT * FROM {t})" for t in SAMPLE) + ")"
 
 
-def _scripts(spark):
-    return spark.createDataFrame([(n, "SELECT 1;\r\n") for n in ("01_a.sql", "02_b.sql", "03_c.sql", "04_d.sql", "repeatable/v.sql")], "filename string, text string")
+@query(f'SELECT t AS "table", c AS "column", ty AS type FROM {_FRAMES}')
+def frame_columns(spark, d):
+    return metadata.frame_columns(sample(spark, d)).select("table", "column", "type")
+
+
+# table, name, kind, column, referenced table, referenced column: right ones, and one of each fault.
+_CLAIMS = [
+    ("orders", "orders_pkey", PRIMARY_KEY, "o_orderkey", "", ""), ("orders", "orders_customer", FOREIGN_KEY, "o_custkey", "customer", "c_custkey"), ("orders", "orders_clerk", FOREIGN_KEY, "o_clerk", "customer", "c_custkey"),
+    ("nation", "nation_region", FOREIGN_KEY, "n_regionkey", "region", "r_key"), ("nation", "nation_planet", FOREIGN_KEY, "n_regionkey", "planet", "p_key"), ("part", "part_pkey", PRIMARY_KEY, "p_partkey", "", ""), ("part", "part_other", PRIMARY_KEY, "p_name", "", ""),
+    ("supplier", "supplier_name", UNIQUE, "s_name", "", ""), ("supplier", "supplier_name", UNIQUE, "s_acctbal", "", ""),
+]
+
+
+@query(
+    f"""WITH f AS {_FRAMES}, k AS (SELECT * FROM {_values(_CLAIMS)} AS v(t, name, kind, c, rt, rc))
+    SELECT t AS "table", name AS object, 'unknown column ' || c AS problem FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.t = k.t AND f.c = k.c)
+    UNION ALL SELECT t, name, 'unknown table ' || rt FROM k WHERE kind = 'FOREIGN KEY' AND rt NOT IN (SELECT t FROM f)
+    UNION ALL SELECT t, name, 'unknown column ' || rt || '.' || rc FROM k WHERE kind = 'FOREIGN KEY' AND rt IN (SELECT t FROM f) AND (rt, rc) NOT IN (SELECT (t, c) FROM f)
+    UNION ALL SELECT t, name, 'declared ' || count(*) || ' times' FROM k GROUP BY t, name HAVING count(*) > 1 UNION ALL SELECT t, '', 'several primary keys' FROM k WHERE kind = 'PRIMARY KEY' GROUP BY t HAVING count(*) > 1"""
+)
+def catalog_problems(spark, d):
+    """All faults of declarations about the tables as they are."""
+    one = lambda c: F.array(F.col(c))
+    claims = spark.createDataFrame(_CLAIMS, "table string, name string, kind string, c string, references_table string, rc string")
+    cons = claims.select("table", "name", "kind", one("c").alias("columns"), "references_table", F.when(F.col("rc") == "", F.array().cast("array<string>")).otherwise(one("rc")).alias("references_columns"))
+    return metadata.problems(metadata.frame_columns(sample(spark, d)), cons, cons.select("table", "name", "columns").filter(F.lit(False)))
+
+
+@query(f"SELECT \"table\", name, kind FROM {_CONS} AS t(\"table\", name, kind, cols, rt, rc) WHERE kind IN ('PRIMARY KEY', 'UNIQUE') UNION ALL SELECT \"table\", name, kind FROM {_CONS} AS t(\"table\", name, kind, cols, rt, rc) WHERE FALSE")
+def gated_constraints(spark, d):
+    """Two kinds of constraints, and none of those not asked for: the branch without kinds is empty."""
+    cons = metadata.constraints(spark, OLD)
+    return metadata.of_kinds(cons, [PRIMARY_KEY, UNIQUE]).unionByName(metadata.of_kinds(cons, [])).select("table", "name", "kind")
+
+
+@query("SELECT p_partkey, ((m - 4) >> 16) & 65535 AS \"precision\", (m - 4) & 65535 AS scale, CASE WHEN p_size >= 0 THEN p_size - 4 END AS length FROM (SELECT p_partkey, p_size, p_partkey * 65536 + p_size + 4 AS m FROM part)")
+def typmod_parts(spark, d):
+    """Type modifiers taken apart by shifts and masks."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size", types.typmod_numeric(F.col("p_partkey") * 65536 + F.col("p_size") + 4).alias("n"))
+    return parts.select("p_partkey", "n.precision", "n.scale", types.typmod_size(F.col("p_size")).alias("length"))
+
+
+# --- history: documents are the scripts, labelled ones have run, benchmark items are runs whose scripts are gone
+
+_NAME = "CASE WHEN doc_id % 3 = 0 THEN 'repeatable/' ELSE '' END || doc_id || '.sql'"
+_SUM = "sha256(replace(text, chr(13) || chr(10), chr(10)))"
+_RUNS = f"""f AS (SELECT {_NAME} AS filename, {_SUM} AS now, doc_id % 3 = 0 AS again FROM documents),
+    h AS (SELECT {_NAME} AS filename, CASE WHEN toxic = 1 THEN 'old' ELSE {_SUM} END AS checksum, NOT (quality = 0 AND toxic = 1) AS started, quality = 1 AS success FROM documents JOIN labels USING (doc_id)
+      UNION ALL SELECT 'gone/' || item_id || '.sql', NULL, true, true FROM benchmark),
+    p AS (SELECT f.filename, now, again FROM f LEFT JOIN h ON f.filename = h.filename WHERE NOT coalesce(success, false) OR (again AND now IS DISTINCT FROM checksum))"""
+
+
+def _named(df):
+    return df.withColumn("filename", F.concat(F.when(F.col("doc_id") % 3 == 0, "repeatable/").otherwise(""), F.col("doc_id").cast("string"), F.lit(".sql")))
+
+
+def _scripts(spark, d):
+    return _named(table(spark, d, "documents")).select("filename", "text")
+
+
+def _history(spark, d):
+    row = lambda name, checksum, started, success: [name.alias("filename"), checksum.cast("string").alias("checksum"), F.when(started, F.lit("2024-01-01").cast("timestamp")).alias("started_at"), F.lit(5).cast("bigint").alias("time_taken_ns"), success.alias("success")]
+    runs = _named(table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id"))
+    done = runs.select(*row(F.col("filename"), F.when(F.col("toxic") == 1, "old").otherwise(history.checksum(F.col("text"))), ~((F.col("quality") == 0) & (F.col("toxic") == 1)), F.col("quality") == 1))
+    gone = table(spark, d, "benchmark").select(*row(F.concat(F.lit("gone/"), F.col("item_id").cast("string"), F.lit(".sql")), F.lit(None), F.lit(True), F.lit(True)))
+    return done.unionByName(gone)
 
 
 @query("SELECT doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) AS checksum FROM documents")
@@ -226,22 +297,26 @@ def sha256_checksum_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", history.checksum(F.col("text")).alias("checksum"))
 
 
-@query("SELECT * FROM (VALUES ('00_gone.sql', 'missing'), ('01_a.sql', 'applied'), ('02_b.sql', 'failed'), ('03_c.sql', 'pending'), ('04_d.sql', 'pending'), ('repeatable/v.sql', 'pending')) AS t(filename, status)")
+@query(
+    f"""WITH {_RUNS} SELECT coalesce(f.filename, h.filename) AS filename, CASE WHEN f.filename IS NULL THEN 'missing' WHEN h.filename IS NULL OR NOT started THEN 'pending' WHEN NOT success THEN 'failed'
+    WHEN again AND now IS DISTINCT FROM checksum THEN 'pending' ELSE 'applied' END AS status FROM f FULL JOIN h ON f.filename = h.filename"""
+)
 def migration_status(spark, d):
-    return history.status(_scripts(spark), _history(spark))
+    return history.status(_scripts(spark, d), _history(spark, d))
 
 
-@query("SELECT filename, sha256('SELECT 1;' || chr(10)) AS checksum FROM (VALUES ('02_b.sql'), ('03_c.sql'), ('04_d.sql'), ('repeatable/v.sql')) AS t(filename)")
+@query(f"WITH {_RUNS} SELECT filename, now AS checksum FROM p")
 def pending_migrations(spark, d):
-    return history.pending(_scripts(spark), _history(spark))
+    return history.pending(_scripts(spark, d), _history(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('00_gone.sql', NULL, true), ('01_a.sql', NULL, true), ('02_b.sql', NULL, true), ('03_c.sql', NULL, true), ('04_d.sql', NULL, false), ('repeatable/v.sql', 'old', true)) AS t(filename, checksum, success)")
+@query(f"WITH {_RUNS} SELECT filename, CASE WHEN again THEN now END AS checksum, true AS success FROM p UNION ALL SELECT filename, checksum, success FROM h WHERE filename NOT IN (SELECT filename FROM p)")
 def history_upsert(spark, d):
-    done = _scripts(spark).filter("filename IN ('02_b.sql', '03_c.sql')")
-    return history.touch(_history(spark), done).select("filename", "checksum", "success")
+    """All that is pending counts as applied."""
+    files, runs = _scripts(spark, d), _history(spark, d)
+    return history.touch(runs, files.join(history.pending(files, runs), "filename", "left_semi")).select("filename", "checksum", "success")
 
 
-@query("SELECT * FROM (VALUES ('00_gone.sql', true), ('01_z.sql', true), ('04_d.sql', false), ('repeatable/v.sql', true)) AS t(filename, success)")
+@query(f"WITH {_RUNS} SELECT CASE filename WHEN 'gone/0.sql' THEN 'gone/moved.sql' ELSE filename END AS filename, success FROM h WHERE filename NOT IN ('gone/1.sql', 'nowhere.sql')")
 def history_move_and_remove(spark, d):
-    return history.remove(history.move(_history(spark), "01_a.sql", "01_z.sql"), ["02_b.sql"]).select("filename", "success")
+    return history.remove(history.move(_history(spark, d), "gone/0.sql", "gone/moved.sql"), ["gone/1.sql", "nowhere.sql"]).select("filename", "success")

@@ -92,6 +92,20 @@ def part_supplier_json(spark, d):
     return t["part"].select("p_partkey").join(sold, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_partkey").alias("fid")).agg(F.to_json(each).alias("suppliers"))
 
 
+@query(
+    """SELECT p_partkey AS fid, '[' || string_agg('"' || nice || '"', ',' ORDER BY nice) || ']' AS suppliers FROM part JOIN (SELECT DISTINCT l_partkey, upper(substr(s_name, 1, 1)) || lower(substr(s_name, 2)) || ' (' || n_name || ')' AS nice
+      FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey) ON l_partkey = p_partkey GROUP BY 1"""
+)
+def nicer_part_supplier_json(spark, d):
+    """Per part a JSON array of its suppliers' names in one spelling, with their nations."""
+    t = sample(spark, d)
+    sellers = t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
+    nice = F.concat(F.upper(F.substring("s_name", 1, 1)), F.lower(F.expr("substring(s_name, 2)")), F.lit(" ("), "n_name", F.lit(")"))
+    sold = t["lineitem"].select("l_partkey", "l_suppkey").distinct().join(sellers.select("s_suppkey", nice.alias("nice")), F.col("s_suppkey") == F.col("l_suppkey"))
+    names = sold.groupBy(F.col("l_partkey").alias("fid")).agg(F.to_json(F.array_sort(F.collect_set("nice"))).alias("suppliers"))
+    return names.join(t["part"].select(F.col("p_partkey").alias("fid")), "fid", "left_semi")
+
+
 @query("SELECT s_suppkey, upper(substr(s_name, 1, 1)) || lower(substr(s_name, 2)) AS name FROM supplier")
 def nicer_names(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.concat(F.upper(F.substring("s_name", 1, 1)), F.lower(F.expr("substring(s_name, 2)"))).alias("name"))
@@ -150,13 +164,16 @@ def held_by_customer(spark, d):
 
 
 def _stock(spark, d):
-    """Per part, whether none of its lines is open: parts without lines are in stock."""
-    lines = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.when(F.col("l_linestatus") == "O", 1)).alias("n_open"))
+    """Per part, whether none of its lines is still out, open and shipped in the last 30 days: parts without lines are in stock."""
+    shipped = table(spark, d, "lineitem").select("l_partkey", "l_linestatus", "l_shipdate")
+    last = shipped.agg(F.max("l_shipdate")).scalar()
+    out = (F.col("l_linestatus") == "O") & (F.col("l_shipdate") > last - F.expr("INTERVAL 30 DAYS"))
+    lines = shipped.groupBy("l_partkey").agg(F.count(F.when(out, 1)).alias("n_open"))
     parts = table(spark, d, "part").select("p_partkey", "p_brand").join(lines, F.col("l_partkey") == F.col("p_partkey"), "left")
     return parts.withColumn("in_stock", F.coalesce("n_open", F.lit(0)) == 0)
 
 
-_STOCK = "WITH s AS (SELECT p_partkey, p_brand, coalesce(n_open, 0) = 0 AS ok FROM part LEFT JOIN (SELECT l_partkey, count(*) FILTER (WHERE l_linestatus = 'O') AS n_open FROM lineitem GROUP BY 1) ON l_partkey = p_partkey) "
+_STOCK = "WITH s AS (SELECT p_partkey, p_brand, coalesce(n_open, 0) = 0 AS ok FROM part LEFT JOIN (SELECT l_partkey, count(*) FILTER (WHERE l_linestatus = 'O' AND l_shipdate > (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 30 DAY) AS n_open FROM lineitem GROUP BY 1) ON l_partkey = p_partkey) "
 
 
 @query(_STOCK + "SELECT p_brand, count(*) AS n_parts FROM s WHERE ok GROUP BY 1")

@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 
 from relweave.catalog import Catalog, Table
 from relweave.functions import codec, types
+from relweave.operators import dml
+from relweave.plans import scripts
 
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+# A quote inside a quoted field that isn't doubled is a quote, if no separator follows it.
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE"}
 _NAME = re.compile(r"^(?:\d+_)?(?:(?P<schema>[^./]+)\.)?(?P<table>[^./]+)\.csv$")
 
 
@@ -81,6 +84,43 @@ def load(spark: SparkSession, path: str, **options) -> tuple[Catalog, dict[str,
     return catalog, {t.name: read_csv(spark, f"{path}/{t.name}.csv", fields_of(t), **options) for t in catalog.tables if not t.ignore}
 
 
+def load_folder(spark: SparkSession, folder: str, catalog: Catalog, **options) -> dict[str, DataFrame]:
+    """Tables of the files or part folders [NN_][schema.]table.csv of a folder, typed by the catalog, in the order of their names.
+
+    A table of several files has the rows of all; of rows with one key those of
+    the last file stay. Other files are left alone; a table that the catalog
+    doesn't have is an error, found before any file is read.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    found = [(n, catalog.table(table_name(n)[1])) for n in names if _NAME.match(n)]
+    out: dict[str, DataFrame] = {}
+    for name, t in found:
+        rows = read_csv(spark, f"{folder}/{name}", fields_of(t), **options)
+        if t.name in out:
+            rows = dml.upsert(out[t.name], rows, t.primary_key) if t.primary_key else out[t.name].unionByName(rows)
+        out[t.name] = rows
+    return out
+
+
+def load_any(spark: SparkSession, source: str, catalog: Catalog | None = None, **options) -> dict[str, DataFrame]:
+    """What a path holds, by its name: one table (.csv), the outcome of a script that is run (.sql), or else the tables of a folder.
+
+    A folder's own catalog.json serves where no catalog is given.
+    """
+    name = source.rstrip("/").rpartition("/")[2]
+    if re.search(r"\.(zip|tgz|tar\.gz)$", name):
+        raise ValueError(f"{name}: archives pass whole through one process; unpack it to a folder")
+    if name.endswith(".sql"):
+        return {name: scripts.run_file(spark, source)}
+    if name.endswith(".csv"):
+        if catalog is None:
+            raise ValueError(f"{name}: a single table needs a catalog for its types")
+        t = catalog.table(table_name(name)[1])
+        return {t.name: read_csv(spark, source, fields_of(t), **options)}
+    return load_folder(spark, source, catalog, **options) if catalog else load(spark, source, **options)[1]
+
+
 # How connection strings of the usual databases begin, and their JDBC subprotocols.
 _SCHEMES = {"postgres": "postgresql", "postgresql": "postgresql", "mysql": "mysql", "sqlserver": "sqlserver", "sqlite": "sqlite", "oracle": "oracle"}
 

@@ -193,3 +193,36 @@ def test_file_names_and_addresses():
     for bad in ("nothing", "ftp://x"):
         with pytest.raises(ValueError):
             files.jdbc_url(bad)
+
+
+def test_lazy_quotes(spark, tmp_path):
+    """Quotes inside a field that aren't doubled are quotes."""
+    fields = [("a", T.StringType()), ("b", T.StringType())]
+    for i, (line, want) in enumerate([('x"y,2', ('x"y', "2")), ('"x"y",2', ('x"y', "2")), ('"x""y",2', ('x"y', "2")), ('"l1\nl2",""', ("l1\nl2", "")), ('x,"a, ""b"""', ("x", 'a, "b"'))]):
+        path = tmp_path / f"{i}.csv"
+        path.write_text(f"a,b\n{line}\n")
+        assert [tuple(r) for r in files.read_csv(spark, str(path), fields).collect()] == [want], line
+
+
+def test_folders_of_named_files_and_dispatch_by_suffix(spark, tmp_path, small):
+    catalog = sample_catalog()
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "01_region.csv").write_text("r_regionkey,r_name\n1,one\n2,two\n")
+    (folder / "02_main.region.csv").write_text("r_regionkey,r_name\n2,zwei\n3,drei\n")
+    (folder / "notes.txt").write_text("no table")
+    files.write_csv(spark.read.parquet(f"{small}/nation.parquet"), str(folder / "nation.csv"))
+    found = files.load_any(spark, str(folder), catalog)
+    assert list(found) == ["region", "nation"] and sorted(tuple(r) for r in found["region"].collect()) == [(1, "one"), (2, "zwei"), (3, "drei")]
+    assert found["nation"].exceptAll(spark.read.parquet(f"{small}/nation.parquet")).count() == 0 and found["nation"].count() == spark.read.parquet(f"{small}/nation.parquet").count()
+    assert files.load_any(spark, str(folder / "01_region.csv"), catalog)["region"].count() == 2
+    (folder / "run.sql").write_text("SELECT 1;")
+    assert files.load_any(spark, str(folder / "run.sql"))["run.sql"].first()["success"]
+    (folder / "strange.csv").write_text("a\n1\n")
+    with pytest.raises(KeyError, match="strange"):
+        files.load_any(spark, str(folder), catalog)
+    for bad in ("x.zip", "x.tar.gz", "region.csv"):
+        with pytest.raises(ValueError, match="archive|catalog"):
+            files.load_any(spark, str(folder / bad))
+    files.dump({"region": found["region"]}, Catalog("c", [catalog.table("region")]), str(tmp_path / "dump"))
+    assert files.load_any(spark, str(tmp_path / "dump"))["region"].count() == 3

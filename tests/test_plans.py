@@ -9,14 +9,15 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from relweave.catalog import FOREIGN_KEY, Catalog, Column, Constraint, Enum, Index, Table, View, generate_name, sample_catalog, strongly_connected
+from relweave.catalog import FOREIGN_KEY, Catalog, Column, Constraint, Enum, Index, Table, Trigger, View, generate_name, sample_catalog, strongly_connected
 from relweave.functions import types
-from relweave.plans import diff, history, metadata
+from relweave.plans import diff, history, metadata, scripts
 
 
 def test_catalog_json_round_trip():
     catalog = sample_catalog()
     catalog.views, catalog.enums = [View("v", "SELECT 1")], [Enum("e", ["a", "b"])]
+    catalog.triggers = [Trigger("touched", "region", "SELECT 1")]
     catalog.tables[0].indexes.append(Index(["r_name"], "region_r_name_idx", unique=True))
     again = Catalog.from_json(catalog.to_json())
     assert again == catalog and again.domains is None and again.routines == []
@@ -155,7 +156,7 @@ def test_every_query_gives_its_sql_rows(spark, small):
 
     registry.load_all()
     con = duckdb.connect()
-    for t in (*registry.SAMPLE, "documents"):
+    for t in (*registry.SAMPLE, "documents", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     for name, run in registry.QUERIES.items():
@@ -256,3 +257,43 @@ def test_not_null_on_an_old_column_is_warned_of(spark):
     old, new = (metadata.columns(spark, Catalog("c", [Table("t", [Column("a", "INT", not_null=n)])])) for n in (False, True))
     (row,) = diff.column_changes(old, new).collect()
     assert row["change"] == "alter" and row["warning"] == "setting NOT NULL fails on rows that have none"
+
+
+def test_scripts_run_up_to_their_first_failure(spark, tmp_path):
+    good = tmp_path / "good.sql"
+    good.write_text("CREATE OR REPLACE TEMPORARY VIEW script_view AS SELECT 1 AS x;\n-- a comment; with a semicolon\nSELECT 'a;b' FROM script_view;\nCREATE OR REPLACE TEMPORARY VIEW script_view AS SELECT 2 AS x")
+    (row,) = scripts.run_file(spark, str(good)).collect()
+    assert row["script"] == "good.sql" and row["success"] and row["error"] is None and row["time_taken_ns"] > 0
+    assert spark.table("script_view").first()["x"] == 2
+    (row,) = scripts.run(spark, "CREATE OR REPLACE TEMPORARY VIEW script_view AS SELECT 3 AS x; SELECT raise_error('boom'); CREATE OR REPLACE TEMPORARY VIEW script_view AS SELECT 4 AS x;").collect()
+    assert not row["success"] and "boom" in row["error"] and spark.table("script_view").first()["x"] == 3
+    assert not scripts.run(spark, "SELEC 1;").first()["success"] and scripts.run(spark, " \n").first()["success"]
+    empty = tmp_path / "empty.sql"
+    empty.write_text("")
+    assert scripts.run_file(spark, str(empty)).first()["success"]
+
+
+def test_all_problems_of_a_declared_catalog(spark):
+    bad = """{"tables": [
+      {"name": "a", "columns": [{"name": "x", "type": "INT"}, {"name": "x", "type": "INT"}, {"name": "y", "type": "INT"}],
+       "constraints": [{"kind": "PRIMARY KEY", "columns": ["x"], "name": "a_pkey"}, {"kind": "PRIMARY KEY", "columns": ["q"]}, {"kind": "FOREIGN KEY", "columns": ["x", "y"], "name": "f1", "references_table": "b", "references_columns": ["z"]},
+        {"kind": "FOREIGN KEY", "columns": ["x"], "name": "f2", "references_table": "c", "references_columns": ["z"]}, {"kind": "FOREIGN KEY", "columns": ["x"], "name": "f3", "references_table": "b", "references_columns": ["w"]}, {"kind": "UNIQUE", "columns": [], "name": "u"}],
+       "indexes": [{"name": "i", "columns": ["y", "nope"]}, {"name": "a_pkey", "columns": ["x"]}, {"name": "gone", "columns": ["nope"], "ignore": true}]},
+      {"name": "b", "columns": [{"name": "z", "type": "INT"}]}, {"name": "c", "ignore": true, "columns": [{"name": "z", "type": "INT"}]}]}"""
+    got = [tuple(r) for r in metadata.problems(*metadata.declared(spark, bad)).collect()]
+    assert got == sorted([
+        ("a", "", "several primary keys"), ("a", "", "unknown column q"), ("a", "x", "declared 2 times"), ("a", "f1", "as many columns must be referenced as refer"),
+        ("a", "f2", "unknown table c"), ("a", "f3", "unknown column b.w"), ("a", "i", "unknown column nope"), ("a", "u", "no columns"),
+    ])
+    assert metadata.problems(*metadata.declared(spark, sample_catalog().to_json())).collect() == []
+    assert metadata.problems(*metadata.declared(spark, '{"tables": []}')).collect() == []
+
+
+def test_server(spark):
+    (row,) = metadata.server(spark).collect()
+    assert row["version"].startswith(spark.version) and (row["catalog"], row["database"], row["zone"]) == ("spark_catalog", "default", "UTC")
+
+
+def test_type_modifiers(spark):
+    rows = spark.createDataFrame([(-1,), (4,), (24,), ((10 << 16 | 2) + 4,)], "m int").select(types.typmod_numeric(F.col("m")).alias("n"), types.typmod_size(F.col("m")).alias("s"), types.typmod_size(F.col("m"), bits=True).alias("b")).collect()
+    assert [(*r["n"], r["s"], r["b"]) for r in rows] == [(None, None, None, None), (0, 0, 0, 4), (0, 20, 20, 24), (10, 2, 655362, 655366)]
