@@ -38,10 +38,9 @@ from relweave.llm.terms import terms
 SAMPLE_PER_CLASS = 10_000
 #: Weight of the prior, in documents.
 PRIOR = 10.0
-#: Standard deviations by which log-odds are drawn towards 0.
-CREDIBLE = 2.0
-#: How far below 0 a clean term's score is on average.
-MARGIN = 0.05
+#: Standard deviations by which log-odds are drawn towards 0; how far below 0 a clean term's score is on average.
+#: Of 14 pairs these had the least log loss in four-fold cross-validation inside the training rows.
+CREDIBLE, MARGIN = 1.5, 0.2
 #: A segment is significant when chance brings fewer than this many per text.
 SIGNIFICANT = 0.01
 CACHE = 300_000

@@ -423,10 +423,10 @@ def brute_toxicity(sample, texts):
         c, t = (sum(f in w for y, w in words if y == k) for k in (0, 1))
         p = (c + t) / sum(n)
         raw = math.log((t + 10 * p) / (n[1] - t + 10 * (1 - p) + 1e-9)) - math.log((c + 10 * p) / (n[0] - c + 10 * (1 - p) + 1e-9))
-        score[f] = math.copysign(max(0.0, abs(raw) - 2 * math.sqrt(1 / (t + 10 * p) + 1 / (c + 10 * p))), raw)
+        score[f] = math.copysign(max(0.0, abs(raw) - toxicity.CREDIBLE * math.sqrt(1 / (t + 10 * p) + 1 / (c + 10 * p))), raw)
     of = lambda x: score.get(x, 0.0)
     clean = [of(x) for y, w in words if not y for x in w]
-    drift = 0.05 + sum(clean) / len(clean)
+    drift = toxicity.MARGIN + sum(clean) / len(clean)
     low, high = 0.0, 1.0
     total = lambda r: sum(math.exp(r * (s - drift)) for s in clean) / len(clean)
     assert max(clean) > drift
