@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relweave.llm.common import fresh
+
 #: Entries of each of a worker's caches, which are emptied when full.
 CACHE = 100_000
 #: Documents of one returned Arrow batch.
@@ -157,7 +159,8 @@ def encode(docs: DataFrame, vocab: str = "word_bpe_49k.json", text: str = "text"
     """
     made = ("n_tokens", "ids", "decoded")
     keep = [c for c in docs.columns if c != text and c not in made]
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_body"))
+    body = fresh(docs, "body")
+    source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias(body))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens bigint", "ids binary", "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def encode(docs: DataFrame, vocab: str = "word_bpe_49k.json", text: str = "text"
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 part = whole.slice(start, BATCH)
-                coded = [codec.encode(t or b"") for t in part.column("_body").to_pylist()]
+                coded = [codec.encode(t or b"") for t in part.column(body).to_pylist()]
                 columns = [part.column(c) for c in keep]
                 columns += [pa.array([len(i) // 4 for i, _ in coded], pa.int64()), pa.array([i for i, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *made])

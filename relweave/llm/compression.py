@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.calibration import fit_logistic, sigmoid
-from relweave.llm.common import pieces
+from relweave.llm.common import fresh, pieces
 from relweave.llm.labelled import class_sizes, training_sample
 
 #: Labelled documents of each class from which the model is fitted, at most.
@@ -107,12 +107,13 @@ def scored(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFra
     One row per input row and no shuffle. A null text scores as an empty one,
     equal texts score alike, an empty table gives an empty one.
     """
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_body"))
+    body = fresh(docs, "body")
+    source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias(body))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "score double, difference double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "_body"):
-            found = [model.difference(b or b"") for b in part.column("_body").to_pylist()]
+        for part in pieces(batches, body):
+            found = [model.difference(b or b"") for b in part.column(body).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([model.score(x) for x in found], pa.float64()), pa.array(found, pa.float64())], [*keep, "score", "difference"])
 
     return source.mapInArrow(run, schema)

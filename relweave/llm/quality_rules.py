@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.common import SPACE_RE, bind
+from relweave.llm.common import SPACE_RE, bind, fresh
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -103,9 +103,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
         symbols.cast("long").alias("n_symbols"),
     )
-    out = docs.drop(*MEASURES).withColumn("_m", measured)
-    at = {"n_lines": "_m.l.n_lines", "n_dup_lines": "_m.l.n_dup_lines", "n_symbols": "_m.n_symbols"}
-    return out.withColumns({m: F.col(at.get(m, f"_m.w.{m}")) for m in MEASURES}).drop("_m")
+    name = fresh(docs, "measured")
+    at = {"n_lines": "l.n_lines", "n_dup_lines": "l.n_dup_lines", "n_symbols": "n_symbols"}
+    out = docs.drop(*MEASURES).withColumn(name, measured)
+    return out.withColumns({m: F.col(f"`{name}`.{at.get(m, f'w.{m}')}") for m in MEASURES}).drop(name)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

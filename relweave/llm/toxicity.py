@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.calibration import fit_logistic, sigmoid
-from relweave.llm.common import pieces
+from relweave.llm.common import fresh, pieces
 from relweave.llm.labelled import class_sizes, training_sample
 from relweave.llm.terms import terms
 
@@ -39,8 +39,8 @@ SAMPLE_PER_CLASS = 10_000
 #: Weight of the prior, in documents.
 PRIOR = 10.0
 #: Standard deviations by which log-odds are drawn towards 0; how far below 0 a clean term's score is on average.
-#: Of 14 pairs these had the least log loss in four-fold cross-validation inside the training rows.
-CREDIBLE, MARGIN = 1.5, 0.2
+#: Chosen by log loss in cross-validation inside the training rows (README).
+CREDIBLE, MARGIN = 2.0, 0.05
 #: A segment is significant when chance brings fewer than this many per text.
 SIGNIFICANT = 0.01
 CACHE = 300_000
@@ -201,7 +201,8 @@ def segments(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
     chance brings, best the greatest of all segments (that of no segment for a
     text without one).
     """
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_body"))
+    body = fresh(docs, "body")
+    source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias(body))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_terms bigint, score double, best double, evidence array<double>, segments array<struct<first:int,last:int,log_e:double>>"])
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("log_e", pa.float64())]))
     floor = -math.log(SIGNIFICANT)
@@ -209,8 +210,8 @@ def segments(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = sent.value
-        for part in pieces(batches, "_body"):
-            found = [by.segments(b) for b in part.column("_body").to_pylist()]
+        for part in pieces(batches, body):
+            found = [by.segments(b) for b in part.column(body).to_pylist()]
             columns = [
                 *(part.column(c) for c in keep),
                 pa.array([n for n, _ in found], pa.int64()),

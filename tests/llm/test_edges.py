@@ -1,7 +1,9 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, an empty table and clashing extra columns."""
 
+import hashlib
 import zlib
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,68 @@ def test_site_templates(spark):
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == [(1, "", 0), (2, "x", 1), (3, "", 0), (3, "", 0), (4, LONG, len(LONG)), (5, "unclosed bold\nnext", 18)]
     assert site_templates.extract(pages.limit(0)).collect() == []
     assert pages.select(site_templates.host(F.lit("HTTP://u:p@B.example:80/"))).first()[0] == "b.example"
+
+
+INTERNAL = ("_row", "_key", "_id", "_rank", "_print", "_gone", "_body", "_sig", "_label", "_m", "measured", "body_")
+
+
+def test_internal_names_and_ids_as_text(spark, items, labels):
+    """Columns named as operators name their own change no result, nor do ids that are text, but for which repeat stays."""
+    plain = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    odd = texts = plain.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    for name in INTERNAL:
+        odd = odd.withColumn(name, F.lit("clash"))
+    tree = sharding.HashTree.uniform(24)
+    ways = [
+        (lambda df: sharding.shard(df, tree).groupBy("doc_id").agg(F.count_distinct("shard")), True),
+        (lambda df: quality_rules.ledger(df).select("doc_id", *quality_rules.MEASURES), True),
+        (lambda df: decontamination.contamination(df, items).select("doc_id", "n_words", "n_hit", "items"), True),
+        (lambda df: bpe.encode(df).select("doc_id", "n_tokens", "ids"), True),
+        (lambda df: line_dedup.dedup(df, min_words=6).select("doc_id", "text", "n_removed"), False),  # text ids have ranks of their own
+        (lambda df: jaccard_join.near_duplicates(df).select("doc_id", "n_shingles"), True),
+    ]
+    as_text = lambda x: None if x is None else f"d{x}"
+    for run, alike in ways:
+        want = sorted(repr((as_text(r[0]), *r[1:]) if alike else tuple(r)) for r in run(plain if alike else texts).collect())
+        assert sorted(repr(tuple(r)) for r in run(odd).collect()) == want
+    told = labels.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    for model, run in ((compression.fit, compression.scored), (toxicity.fit, toxicity.segments)):
+        rows = run(odd, model(odd, told, "toxic", F.lit(False)), "text", ["doc_id"]).collect()
+        assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("model", [compression, toxicity])
+def test_equal_texts_score_alike(spark, model):
+    """Ties: copies of a text, the null text and the empty one have one score, whatever their partition and id."""
+    rows = [(i, ("calm river stone " * 9) + str(i % 5) if i % 2 else "vile nasty $$$ " * (i % 3) + str(i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fitted = model.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")), "quality", F.lit(False))
+    run = compression.scored if model is compression else toxicity.segments
+    asked = spark.createDataFrame([*rows, *((100 + i, t) for i, t in rows), (None, ""), (7, None), (None, None)], "doc_id bigint, text string").repartition(4)
+    scores = {}
+    for r in run(asked, fitted, "text", ["text"]).collect():
+        scores.setdefault(r["text"] or "", set()).add(r["score"])
+    assert all(len(v) == 1 for v in scores.values()) and len(scores) == len({t for _, t in rows} | {""})
+
+
+def test_pipeline_stages_on_odd_and_long_rows(spark, small, docs, none):
+    """Each stage on nulls, repeated rows, long texts and clashing columns; encode returns its own columns."""
+    for name in INTERNAL:
+        docs = docs.withColumn(name, F.lit("clash"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, small)
+        assert got.columns == docs.columns, name
+        kept[name] = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    texts = sorted((i or 0, t or "") for i, t, _, _ in ROWS)
+    assert [r[0] for r in kept["quality_rules"]] == []  # none has 20 words without repeats
+    assert (6, LONG) in kept["ngram_jaccard_join"] and (6, LONG) in kept["substring_dedup"]
+    assert kept["benchmark_decontamination"] == texts
+    coded = corpus_pipeline.encode(spark, docs, small)
+    assert coded.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    rows = coded.collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        assert r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest() and len(r["ids"]) == 4 * r["n_tokens"]
+        assert (r["n_tokens"] == 0) == (r["doc_id"] in (3, 4) or r["ids"] == b"")
+    assert corpus_pipeline.encode(spark, none, small).collect() == []
