@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -107,3 +108,13 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def bind(value: Column, body) -> Column:
     """Evaluates `value` once and hands it to `body` as a variable, so that lambdas inside don't recompute it."""
     return F.transform(F.array(value), body).getItem(0)
+
+
+def col(name: str) -> Column:
+    """The column of that very name, dots, blanks and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept(fields: list[T.StructField]) -> list[Column]:
+    """Columns under names of ours, kept0 and on: Spark hands a column to Python by a name without dots, and none of them clashes with an operator's own."""
+    return [col(f.name).alias(f"kept{i}") for i, f in enumerate(fields)]

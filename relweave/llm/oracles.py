@@ -93,4 +93,55 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT v, min(c) AS c FROM reach GROUP BY v) m ON m.v = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_decontamination": OP4, "op10_jaccard_join": OP10}
+_NEAREST = """
+  SELECT q.r, q.p, any_value(q.c) AS c, min(64 * list_sum(list_transform(list_zip(q.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + b.entry) AS m
+  FROM q JOIN {books} b USING (p) GROUP BY q.r, q.p
+"""
+_MOVED = """
+  SELECT b.p, b.entry, coalesce(n.c, b.c) AS c
+  FROM {books} b LEFT JOIN (
+    SELECT p, entry, list((s - (s % n + n) % n) // n ORDER BY j) AS c
+    FROM (SELECT p, entry, j, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, m % 64 AS entry, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS j FROM {nearest}) GROUP BY p, entry, j)
+    GROUP BY p, entry
+  ) n USING (p, entry)
+"""
+
+OP11 = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding AS e, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+q AS MATERIALIZED (SELECT r, vec_id, p, list_transform(e[p * w + 1 : (p + 1) * w], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM k, range(16) AS o(p)),
+b0 AS MATERIALIZED (SELECT p, c, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry FROM q QUALIFY entry < 64),
+a1 AS MATERIALIZED ({_NEAREST.format(books="b0")}),
+b1 AS MATERIALIZED ({_MOVED.format(books="b0", nearest="a1")}),
+a2 AS MATERIALIZED ({_NEAREST.format(books="b1")}),
+b2 AS MATERIALIZED ({_MOVED.format(books="b1", nearest="a2")}),
+a3 AS MATERIALIZED ({_NEAREST.format(books="b2")}),
+coded AS (SELECT r, string_agg(lower(printf('%02x', m % 64)), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM a3 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, entry, j)) FROM (SELECT p, entry, unnest(c) AS v, unnest(range(1, len(c) + 1)) AS j FROM b2)) AS codebooks_sha256
+FROM k JOIN coded USING (r)
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents
+),
+draws AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM draws
+),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2, "op4_decontamination": OP4, "op10_jaccard_join": OP10, "op11_exponion": OP11, "op12_fim": OP12}

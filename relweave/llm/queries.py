@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import bpe, compression, decontamination, jaccard_join, line_dedup, quality_rules, sharding, site_templates, toxicity, warc
+from relweave.llm import bpe, compression, decontamination, fim, jaccard_join, language_id, line_dedup, quality_rules, sharding, site_templates, toxicity, vector_codes, warc
 from relweave.llm.common import in_small_batches, read
 from relweave.llm.labelled import fold
 
@@ -69,6 +69,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, codebooks = vector_codes.encode(read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = fim.Settings(salt="7:", rate=100, spm=50)
+    made = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"), settings)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"), settings)).alias("restored_sha256"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), fold("doc_id", 5) == 0
+    model = language_id.fit(docs, held_out)
+    found = language_id.scored(docs, model, "text", ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def _bounded(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +97,4 @@ def _bounded(query):
     return run
 
 
-QUERIES = {f.__name__: _bounded(f) for f in (op1_sharding, op2_quality_rules, op3_warc, op4_decontamination, op5_site_templates, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: _bounded(f) for f in (op1_sharding, op2_quality_rules, op3_warc, op4_decontamination, op5_site_templates, op6_bpe, op7_compression, op8_line_dedup, op9_toxicity, op10_jaccard_join, op11_exponion, op12_fim, op13_language_id)}
