@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
-PRIMARY_KEY, UNIQUE, FOREIGN_KEY, CHECK = "PRIMARY KEY", "UNIQUE", "FOREIGN KEY", "CHECK"
+PRIMARY_KEY, UNIQUE, FOREIGN_KEY, CHECK, EXCLUDE = "PRIMARY KEY", "UNIQUE", "FOREIGN KEY", "CHECK", "EXCLUDE"
+#: What becomes of rows whose parent goes or changes its key; no rule is NO ACTION.
+CASCADE, SET_NULL, SET_DEFAULT, RESTRICT, NO_ACTION = "CASCADE", "SET NULL", "SET DEFAULT", "RESTRICT", "NO ACTION"
 
 
 @dataclass
@@ -40,6 +42,8 @@ class Constraint:
     references_table: str = ""
     references_columns: list[str] = field(default_factory=list)
     check: str = ""
+    operators: list[str] = field(default_factory=list)
+    predicate: str = ""
     update_rule: str = ""
     delete_rule: str = ""
     deferrable: bool = False
@@ -143,6 +147,8 @@ class ForeignKey:
     parent: str
     parent_columns: tuple[str, ...]
     name: str = ""
+    delete_rule: str = NO_ACTION
+    update_rule: str = NO_ACTION
 
 
 @dataclass
@@ -170,7 +176,7 @@ class Catalog:
             for c in [] if t.ignore else t.of(FOREIGN_KEY):
                 if c.references_table not in known:
                     raise ValueError(f"{t.name}.{c.name} references {c.references_table!r}, which the catalog doesn't have")
-                out.append(ForeignKey(t.name, tuple(c.columns), c.references_table, tuple(c.references_columns), c.name))
+                out.append(ForeignKey(t.name, tuple(c.columns), c.references_table, tuple(c.references_columns), c.name, c.delete_rule or NO_ACTION, c.update_rule or NO_ACTION))
         return out
 
     def merged(self, other: Catalog) -> Catalog:
@@ -210,7 +216,7 @@ def _catalog(d: dict) -> Catalog:
     return Catalog(**{k: [kinds[k](v) for v in x] if k in kinds else x for k, x in d.items()})
 
 
-SUFFIXES = {PRIMARY_KEY: "_pkey", FOREIGN_KEY: "_fkey", UNIQUE: "_key", "INDEX": "_idx", CHECK: "_check", "EXCLUDE": "_excl"}
+SUFFIXES = {PRIMARY_KEY: "_pkey", FOREIGN_KEY: "_fkey", UNIQUE: "_key", "INDEX": "_idx", CHECK: "_check", EXCLUDE: "_excl"}
 #: Bytes that the strictest of the usual databases allows a name.
 NAME_BYTES = 63
 

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.catalog import CHECK, FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Catalog
+from relweave.catalog import CHECK, EXCLUDE, FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Catalog
+from relweave.operators import exclusion
 
 
 def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -61,6 +62,8 @@ def validate(tables: Mapping[str, DataFrame], catalog: Catalog) -> DataFrame:
                 found.append(note(duplicates(df, c.columns).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")), t.name, c.name, c.kind))
             elif c.kind == FOREIGN_KEY and c.references_table in tables:
                 found.append(note(orphans(df, c.columns, tables[c.references_table], c.references_columns).agg(F.count("*").alias("n_rows")), t.name, c.name, c.kind))
+            elif c.kind == EXCLUDE:
+                found.append(note(exclusion.violations(df, c).agg(F.count("*").alias("n_rows")), t.name, c.name, c.kind))
             elif c.kind == CHECK:
                 rules.append((c.name, c.kind, ~F.expr(c.check)))
         rules += [(f"{t.name}_{c.name}_not_null", "NOT NULL", F.col(c.name).isNull()) for c in t.columns if c.not_null and not c.ignore]

@@ -16,7 +16,7 @@ followed further, and cycles aren't.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +55,9 @@ def _any(table: DataFrame, conditions: list[tuple[tuple[str, ...], DataFrame]])
     return out.filter(hit).select(table.columns)
 
 
-def _close(tables: Tables, catalog: Catalog, start: dict[str, DataFrame], down: bool) -> dict[str, DataFrame]:
-    fks = [k for k in catalog.foreign_keys() if k.child in tables and k.parent in tables]
+def closure(tables: Tables, catalog: Catalog, start: Mapping[str, DataFrame], down: bool, follow: Callable[[ForeignKey], bool] = lambda _: True) -> dict[str, DataFrame]:
+    """Rows reached from `start` by the foreign keys that are followed: up to what rows reference, or down to what references them."""
+    fks = [k for k in catalog.foreign_keys() if k.child in tables and k.parent in tables and follow(k)]
     ends = [(k, *((k.parent, k.child) if down else (k.child, k.parent))) for k in fks]
     have: dict[str, DataFrame] = {}
     leave: dict[str, DataFrame] = {}  # of each table the columns that references to further tables need
@@ -65,7 +66,7 @@ def _close(tables: Tables, catalog: Catalog, start: dict[str, DataFrame], down:
         for name in group:
             outer = [_hits(k, leave[a], down) for k, a, b in ends if b == name and a in leave and a not in group]
             if name in start:
-                outer.append(_seed(catalog, name, start[name]))
+                outer.append(identity(catalog, name, start[name]))
             if outer:
                 have[name] = _any(tables[name], outer)
         if inner and any(n in have for n in group):
@@ -79,7 +80,7 @@ def _close(tables: Tables, catalog: Catalog, start: dict[str, DataFrame], down:
     return have
 
 
-def _seed(catalog: Catalog, name: str, rows: DataFrame) -> tuple[tuple[str, ...], DataFrame]:
+def identity(catalog: Catalog, name: str, rows: DataFrame) -> tuple[tuple[str, ...], DataFrame]:
     """Seed rows as a key set; a table without a primary key is matched on all its columns."""
     key = catalog.table(name).primary_key or catalog.table(name).stored_columns()
     return tuple(key), rows.select(*key)
@@ -88,8 +89,8 @@ def _seed(catalog: Catalog, name: str, rows: DataFrame) -> tuple[tuple[str, ...]
 def _iterate(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner: list, down: bool) -> None:
     """Extends the tables of a cycle until none grows. Only identities of rows, and what the references need, are staged."""
     names = sorted({b for _, _, b in inner} | {a for _, a, _ in inner})
-    identity = {n: tuple(catalog.table(n).primary_key or catalog.table(n).stored_columns()) for n in names}
-    columns = {n: sorted({*identity[n], *(c for k, a, b in inner for t, cs in ((k.parent, k.parent_columns), (k.child, k.columns)) if t == n for c in cs)}) for n in names}
+    told = {n: tuple(catalog.table(n).primary_key or catalog.table(n).stored_columns()) for n in names}
+    columns = {n: sorted({*told[n], *(c for k, a, b in inner for t, cs in ((k.parent, k.parent_columns), (k.child, k.columns)) if t == n for c in cs)}) for n in names}
     slim = {n: tables[n].select(*columns[n]) for n in names}
     known = {n: staged(have[n].select(*columns[n]), "subset") for n in names if n in have}
     new = dict(known)
@@ -102,16 +103,16 @@ def _iterate(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner
             met = _any(slim[n], sets)
             if n in known:
                 # A row without a key of its own may have nulls, which equal each other here.
-                old = _keyed(known[n], identity[n], [f"_old_{c}" for c in identity[n]])
-                met = met.join(old, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in identity[n]], "left_anti")
+                old = _keyed(known[n], told[n], [f"_old_{c}" for c in told[n]])
+                met = met.join(old, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in told[n]], "left_anti")
             came[n] = staged(met, "subset")
         for n, rows in came.items():
             known[n] = known[n].unionByName(rows) if n in known else rows
         new = {n: rows for n, rows in came.items() if not rows.isEmpty()}
     for n in names:
         if n in known:
-            key = _keyed(known[n], identity[n], [f"_key_{c}" for c in identity[n]])
-            have[n] = tables[n].join(key, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in identity[n]], "left_semi").select(tables[n].columns)
+            key = _keyed(known[n], told[n], [f"_key_{c}" for c in told[n]])
+            have[n] = tables[n].join(key, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in told[n]], "left_semi").select(tables[n].columns)
 
 
 def subset(tables: Tables, catalog: Catalog, seeds: Mapping[str, DataFrame | list[DataFrame]], extended: bool = False, paths: bool = False) -> dict[str, DataFrame]:
@@ -131,14 +132,14 @@ def subset(tables: Tables, catalog: Catalog, seeds: Mapping[str, DataFrame | lis
     if paths:
         return _by_paths(tables, catalog, start, extended)
     if extended:
-        start = _close(tables, catalog, start, down=True)
-    return _close(tables, catalog, start, down=False)
+        start = closure(tables, catalog, start, down=True)
+    return closure(tables, catalog, start, down=False)
 
 
 def _by_paths(tables: Tables, catalog: Catalog, start: dict[str, DataFrame], extended: bool) -> dict[str, DataFrame]:
     """Path-limited closure: a table's rows are the union over the join paths known when its foreign key was visited."""
     fks = catalog.foreign_keys()
-    found: dict[str, list[tuple[tuple[str, ...], DataFrame]]] = {n: [((n,), tables[n].join(_seed(catalog, n, r)[1], list(_seed(catalog, n, r)[0]), "left_semi"))] for n, r in start.items()}
+    found: dict[str, list[tuple[tuple[str, ...], DataFrame]]] = {n: [((n,), tables[n].join(identity(catalog, n, r)[1], list(identity(catalog, n, r)[0]), "left_semi"))] for n, r in start.items()}
 
     def walk(down: bool) -> None:
         visited, todo = set(), list(found)
