@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
-from relweave.llm.common import fresh, in_small_batches, read, row_key, shared_dir, staged, without
+from relweave.llm.common import col, delete, folder, fresh, in_small_batches, read, row_key, staged, without
 
 POLICY = "web-1"
 VOCABULARY = "word_bpe_49k.json"
@@ -21,7 +21,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the policy. Those without text fail it for want of words."""
-    body = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text"))
+    body = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), F.col("text"))
     return quality_rules.ledger(body).filter(quality_rules.passes(POLICY)).select("_row.*")
 
 
@@ -38,28 +38,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     heads = staged(jaccard_join.heads(docs).withColumnRenamed("key", key), "heads")
     alone = keyed.join(heads.filter("copies = 1").select(key), key, "left_semi")
     repeated = keyed.join(heads.filter("copies > 1").select(key), key, "left_semi").dropDuplicates([key])
-    return alone.unionByName(repeated).select(docs.columns)
+    return alone.unionByName(repeated).select(*map(col, docs.columns))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that came before; those with no word left go. n_chars follows the text."""
+    """Documents without lines that came before; those with no word left go. n_chars follows the text.
+
+    A null text has no words, but nothing is removed from it: its row stays.
+    """
     in_small_batches(spark)
     out = line_dedup.dedup(docs).filter("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return out.select(*map(col, docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Rows of one id and text stay or go together; a null or empty text has no
+    window and stays. An empty table, of documents or of items, is no error.
+    """
     in_small_batches(spark)
     index = decontamination.build(docs)
     hit = decontamination.phrases(index, decontamination.ask(index, read(spark, sf_dir, "benchmark"))).select("key").distinct()
-    return without(docs, hit).select(docs.columns)
+    return without(docs, hit).select(*map(col, docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and the digests of ids and of the decoded text."""
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and the digests of ids and of the decoded text.
+
+    A row per row, repeated rows too; a null text has no tokens.
+    """
     in_small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -78,10 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """Applies STAGES to documents, each written to the shared folder and read again. A stage's input is deleted when its output is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -19,15 +19,29 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relweave.llm.common import fresh
+from relweave.llm.common import col, kept
 
 #: Entries of each of a worker's caches, which are emptied when full.
 CACHE = 100_000
 #: Documents of one returned Arrow batch.
 BATCH = 256
 
+#: The settings of a tokenizers file that this codec follows; any other file is refused.
+KNOWN = {
+    "model": {"type": "BPE"},
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+
 #: Packed ids and decoded text.
 Coded = tuple[bytes, bytes]
 
@@ -47,7 +61,11 @@ class ForcedBoundaryBpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"]
+        model = spec["model"]
+        self.suffix = model.get("end_of_word_suffix")
+        told = {"model": {k: v for k, v in model.items() if v and k not in ("vocab", "merges", "end_of_word_suffix")}, **{k: spec.get(k) for k in ("normalizer", "pre_tokenizer", "decoder")}}
+        if not self.suffix or told != KNOWN or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: this codec encodes as {KNOWN} say, with word ends; the file says {told}")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
@@ -153,24 +171,25 @@ def load(vocab: str) -> ForcedBoundaryBpe:
 def encode(docs: DataFrame, vocab: str = "word_bpe_49k.json", text: str = "text") -> DataFrame:
     """docs without the text, with n_tokens (long), ids (binary, little-endian unsigned 32-bit) and decoded (string).
 
-    One row per input row and no shuffle. A null text encodes as an empty one:
-    no tokens, empty ids, empty decoded text. The strings of special tokens in a
-    text become their ids. Columns named n_tokens, ids or decoded are replaced.
+    One row per input row and no shuffle; repeated rows give equal rows, an
+    empty table an empty one, and a text of any length is encoded whole. A null
+    text encodes as an empty one: no tokens, empty ids, empty decoded text. The strings of special tokens in a
+    text become their ids. Columns named n_tokens, ids or decoded are replaced,
+    others kept whatever their names.
     """
     made = ("n_tokens", "ids", "decoded")
-    keep = [c for c in docs.columns if c != text and c not in made]
-    body = fresh(docs, "body")
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias(body))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "n_tokens bigint", "ids binary", "decoded string"])
+    fields = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in made]
+    source = docs.select(*kept(fields), col(text).cast("binary").alias("body"))
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(vocab)
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 part = whole.slice(start, BATCH)
-                coded = [codec.encode(t or b"") for t in part.column(body).to_pylist()]
-                columns = [part.column(c) for c in keep]
+                coded = [codec.encode(t or b"") for t in part.column("body").to_pylist()]
+                columns = part.columns[: len(fields)]
                 columns += [pa.array([len(i) // 4 for i, _ in coded], pa.int64()), pa.array([i for i, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, *made])
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), *made])
 
     return source.mapInArrow(run, schema)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relweave.sources.staging import shared_dir
+
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
@@ -25,19 +24,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, as the session or the context has it.
-
-    Without one a local session, which is one machine, gets a temporary folder;
-    anywhere else that is an error, since another machine's disk holds no result.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "relweave-checkpoints"))
-    return sc.getCheckpointDir()
+def folder(spark: SparkSession) -> str:
+    """This subpackage's own folder in the one that driver and executors share."""
+    return f"{shared_dir(spark)}/llm"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -47,16 +36,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     and values that a re-run task might draw anew (row ids) are fixed once.
     What is staged stays until release() or the end of whoever owns the folder.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes all that was staged in this application: call it when no result that reads it is in use any more."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes what this subpackage staged in this application, and nothing else: call it when no result that reads it is in use any more."""
+    delete(spark, folder(spark))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder and what is in it; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:

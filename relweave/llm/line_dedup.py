@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.llm.common import fresh, pieces
+from relweave.llm.common import col, kept, pieces
 from relweave.llm.terms import _TABLE
 
 #: Shorter repeats, a fixed phrase or a short sentence, are left alone.
@@ -182,32 +182,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
     of their repeated units is a plain equi-join, whose hot keys Spark splits.
     """
     new = ("n_units", "n_removed", "removed")
-    docs = docs.drop(*new)
+    fields = [f for f in docs.schema.fields if f.name.lower() not in new]
+    at = [f.name for f in fields].index(text)
     whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
-    rank = F.coalesce(F.col(id_col).cast("bigint") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(_LAST))
+    rank = F.coalesce(col(id_col).cast("bigint") if whole else F.when(col(id_col).isNotNull(), F.xxhash64(col(id_col))), F.lit(_LAST))
     # The text's hash stands beside the rank, so that rows without an id, or of one id, aren't gathered in one group.
-    print_ = F.xxhash64(F.col(text))
-    found = _digests(docs.filter(F.col(text).isNotNull()).select(rank.alias("doc"), print_.alias("print"), F.col(text).cast("binary").alias("body")), min_words)
+    keyed = [rank.alias("doc"), F.xxhash64(col(text)).alias("print"), col(text).cast("binary").alias("body")]
+    found = _digests(docs.filter(col(text).isNotNull()).select(*keyed), min_words)
     unnamed = F.when(F.col("doc") == _LAST, F.col("print"))
     first = found.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(unnamed).alias("least"), F.max(unnamed).alias("most"))
     first = first.filter("first < last OR least < most").drop("last", "most")
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))
-    # Under names of our own, so that no other column clashes.
-    at, mark, list_ = fresh(docs, "rank"), fresh(docs, "print"), fresh(docs, "gone")
-    gone = found.join(first, ["hi", "lo"]).filter(f"doc > first OR doc = {_LAST} AND print > least").groupBy(F.col("doc").alias(at), F.col("print").alias(mark)).agg(F.collect_set(digest).alias(list_))
-    joined = docs.withColumn(at, rank).withColumn(mark, print_).join(gone, [at, mark], "left").drop(at, mark)
-    joined = joined.withColumn(text, F.col(text).cast("binary"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString() if f.name != text else 'string'}" for f in joined.schema.fields if f.name != list_), "n_units bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"])
-    names = [c for c in joined.columns if c != list_]
+    gone = found.join(first, ["hi", "lo"]).filter(f"doc > first OR doc = {_LAST} AND print > least").groupBy("doc", "print").agg(F.collect_set(digest).alias("gone"))
+    others = len(fields) - 1
+    joined = docs.select(*[c for i, c in enumerate(kept(fields)) if i != at], *keyed).join(gone, ["doc", "print"], "left").drop("doc", "print")
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(fields)])
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    for name, kind in zip(new, (T.LongType(), T.LongType(), spans), strict=True):
+        schema = schema.add(name, kind)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, text):
-            bodies, lists = part.column(text).to_pylist(), part.column(list_).to_pylist()
+        for part in pieces(batches, "body"):
+            bodies, lists = part.column("body").to_pylist(), part.column("gone").to_pylist()
             made = [(None, 0, []) if b is None else rebuild(b, frozenset(g or ()), min_words) for b, g in zip(bodies, lists, strict=True)]
-            texts = pa.array([t for t, _, _ in made], pa.binary()).cast(pa.string())
-            columns = [texts if c == text else part.column(c) for c in names]
+            columns = part.columns[:others]
+            columns.insert(at, pa.array([t for t, _, _ in made], pa.binary()).cast(pa.string()))
             columns += [pa.array([n for _, n, _ in made], pa.int64()), pa.array([len(s) for _, _, s in made], pa.int64()), pa.array([s for _, _, s in made], spans_type)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *new])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return joined.mapInArrow(run, schema)

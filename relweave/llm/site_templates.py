@@ -22,8 +22,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relweave.llm.common import fresh, pieces, staged
+from relweave.llm.common import col, kept, pieces, staged
 from relweave.llm.markup import BLOCK, RAW, TAG, VOID, raw_end
 
 #: A subtree is template if it stands on so many different pages of its host, and on no fewer than the base-2 logarithm of their number (20 of a million).
@@ -274,19 +275,15 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", markup: bool
     as one page, ties of counts don't matter. Columns named text or n_chars are
     replaced, others kept whatever their names.
     """
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    # Under names of our own, so that no other column clashes.
-    at, print_ = fresh(pages, "host"), fresh(pages, "print")
-    list_ = fresh(pages, "template")
-    source = pages.select(*[F.col(c) for c in keep], host(F.col(url)).alias(at), F.xxhash64(html).alias(print_), F.col(html).alias(html))
-    found = templates(source.select(F.col(at).alias("host"), F.col(print_).alias("print"), F.col(html).alias("html")))
+    fields = [f for f in pages.schema.fields if f.name != html and f.name.lower() not in ("text", "n_chars")]
+    source = pages.select(*kept(fields), host(col(url)).alias("host"), F.xxhash64(col(html)).alias("print"), col(html).alias("html"))
     # A page copied many times is one key of this join, whose hot keys Spark splits.
-    joined = source.join(found.select(F.col("host").alias(at), F.col("print").alias(print_), F.col("template").alias(list_)), [at, print_], "left").select(*keep, html, list_)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in (html, list_)), "text string, n_chars bigint"])
+    joined = source.join(templates(source.select("host", "print", "html")), ["host", "print"], "left").drop("host", "print")
+    schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, html):
-            texts = [main_text(p or "", frozenset(t or ()), markup) for p, t in zip(part.column(html).to_pylist(), part.column(list_).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+        for part in pieces(batches, "html"):
+            texts = [main_text(p or "", frozenset(t or ()), markup) for p, t in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(fields)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
 
     return joined.mapInArrow(run, schema)

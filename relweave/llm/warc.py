@@ -28,8 +28,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relweave.llm.common import pieces
+from relweave.llm.common import kept, pieces
 from relweave.llm.markup import BLOCK, RAW, TAG, raw_end
 
 VERSION = "WARC/1.0"
@@ -184,16 +185,16 @@ def responses(pages: DataFrame, date: str, id_col: str = "page_id", url: str = "
 def derive(records: DataFrame) -> DataFrame:
     """The derivatives of all response records, with the other columns of `records` kept. No shuffle; an empty table gives an empty one."""
     own = [*FIELDS, "headers", "block"]
-    keep = [c for c in records.columns if c not in own]
-    schema = ", ".join([*(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
+    fields = [f for f in records.schema.fields if f.name.lower() not in own]
+    schema = T.StructType([*fields, *T.StructType.fromDDL(SCHEMA).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "block"):
             made = [derivatives(r) for r in part.select(own).to_pylist()]
             at = pa.array([i for i, d in enumerate(made) for _ in d], pa.int64())
-            yield _batch([r for d in made for r in d], {c: part.column(c).take(at) for c in keep})
+            yield _batch([r for d in made for r in d], {f.name: c.take(at) for f, c in zip(fields, part.columns, strict=False)})
 
-    return records.select(*keep, *own).mapInArrow(run, schema)
+    return records.select(*kept(fields), *own).mapInArrow(run, schema)
 
 
 def write(records: DataFrame, path: str, compression: str | None = None) -> None:

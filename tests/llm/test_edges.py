@@ -32,7 +32,7 @@ def docs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
     for name in ("n_words", "ids", "decoded", "n_tokens", "score", "shard", "h", "sig", "n", "key", "entry", "body", "label", "n_units", "removed", "fail_bits", "size"):
         df = df.withColumn(name, F.lit("clash"))
-    return df
+    return df.withColumn("a.b `c`", F.lit("clash"))
 
 
 @pytest.fixture(scope="module")
