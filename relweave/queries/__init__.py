@@ -34,4 +34,4 @@ def sample(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def load_all() -> None:
     """Imports the modules that register queries."""
-    from relweave.queries import constraints, data, metadata, views  # noqa: F401
+    from relweave.queries import constraints, data, metadata, storage, views  # noqa: F401
