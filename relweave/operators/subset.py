@@ -38,12 +38,19 @@ def _hits(fk: ForeignKey, source: DataFrame, down: bool) -> tuple[tuple[str, ...
 
 
 def _any(table: DataFrame, conditions: list[tuple[tuple[str, ...], DataFrame]]) -> DataFrame:
-    """Rows of table that meet one of the key sets or more, each row once and none twice. Nulls meet nothing."""
-    if len(conditions) == 1:
-        columns, keys = conditions[0]
+    """Rows of table that meet one of the key sets or more, each row once and none twice. Nulls meet nothing.
+
+    Key sets of the same columns are one set, and one semi-join; only several
+    kinds of columns need marks, one join each.
+    """
+    by: dict[tuple[str, ...], DataFrame] = {}
+    for columns, keys in conditions:
+        by[columns] = by[columns].unionByName(keys) if columns in by else keys
+    if len(by) == 1:
+        (columns, keys), = by.items()
         return table.join(keys, list(columns), "left_semi").select(table.columns)
     out, marks = table, []
-    for i, (columns, keys) in enumerate(conditions):
+    for i, (columns, keys) in enumerate(by.items()):
         mark = f"_hit{i}"
         marks.append(F.col(mark).isNotNull())
         renamed = _keyed(keys, columns, [f"_key{i}_{c}" for c in columns]).distinct().withColumn(mark, F.lit(True))
@@ -70,7 +77,8 @@ def closure(tables: Tables, catalog: Catalog, start: Mapping[str, DataFrame], do
             if outer:
                 have[name] = _any(tables[name], outer)
         if inner and any(n in have for n in group):
-            _iterate(tables, catalog, have, inner, down)
+            chain = len(inner) == 1 and catalog.table(group[0]).primary_key
+            (_double if chain else _iterate)(tables, catalog, have, inner, down)
         for name in group:
             ways = [k for k, a, b in ends if a == name and b not in group]
             if name in have and ways:
@@ -86,6 +94,34 @@ def identity(catalog: Catalog, name: str, rows: DataFrame) -> tuple[tuple[str, .
     return tuple(key), rows.select(*key)
 
 
+def _double(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner: list, down: bool) -> None:
+    """Extends a table along its one reference to itself, in as many rounds as the longest chain has binary digits.
+
+    Every row has one parent, so there is one pointer a row; each round follows
+    pointers twice as long as the last one's, from all that is reached or, down,
+    to it. A round that reaches nothing new is the last: what twice its reach
+    would bring lies one such pointer from something that it would have brought.
+    """
+    (k, name, _), = inner
+    table, n = tables[name], range(len(k.columns))
+    node, up = [f"node{i}" for i in n], [f"up{i}" for i in n]
+    start, goal = (up, node) if down else (node, up)
+    hop = staged(_keyed(table, (*k.parent_columns, *k.columns), (*node, *up)).dropna(), "hops")
+    reached = staged(_keyed(have[name], k.parent_columns, node).dropna().distinct(), "reached")
+    while True:
+        come = _keyed(hop.join(_keyed(reached, node, start), start, "left_semi"), goal, node).distinct()
+        new = staged(come.join(reached, node, "left_anti"), "reached")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        further = _keyed(hop, (*node, *up), (*[f"mid{i}" for i in n], *[f"far{i}" for i in n]))
+        hop = staged(hop.join(further, [F.col(f"up{i}") == F.col(f"mid{i}") for i in n]).select(*node, *[F.col(f"far{i}").alias(f"up{i}") for i in n]), "hops")
+    conditions = [identity(catalog, name, have[name]), (k.parent_columns, _keyed(reached, node, k.parent_columns))]
+    if down:
+        conditions.append((k.columns, _keyed(reached, node, k.columns)))
+    have[name] = _any(table, conditions)
+
+
 def _iterate(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner: list, down: bool) -> None:
     """Extends the tables of a cycle until none grows. Only identities of rows, and what the references need, are staged."""
     names = sorted({b for _, _, b in inner} | {a for _, a, _ in inner})

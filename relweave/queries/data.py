@@ -205,7 +205,7 @@ def parse_timestamp_formats(spark, d):
 
 @query("SELECT event_id, date_trunc('second', ts) AS s, date_trunc('millisecond', ts) AS ms FROM events")
 def epoch_timestamps(spark, d):
-    unix = F.unix_micros(F.col("ts").cast("timestamp"))
+    unix = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     return table(spark, d, "events").select("event_id", codec.epoch_timestamp(F.floor(unix / 1_000_000)).alias("s"), codec.epoch_timestamp(F.floor(unix / 1000)).alias("ms"))
 
 

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from relweave.catalog import PRIMARY_KEY, Catalog, Column, Constraint, Table, sample_catalog
 from relweave.operators import changes, dml
 from relweave.queries import query, table
+from relweave.sources import files
 from relweave.sources.staging import shared_dir, staged
 from relweave.sources.store import Store
 
@@ -173,3 +175,44 @@ def refresh_without_key(spark, d):
     stored = staged(view(before), "view")
     change = changes.feed(before["customer"], _customers_after(spark, d), ["c_custkey"])
     return changes.refreshed(stored, changes.view_changes(view, before, {"customer": change}))
+
+
+# --- CSV: dumped and loaded, and one file cut into ranges
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, date_trunc('second', o_orderdate) AS o_orderdate, o_orderpriority, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def dump_and_load(spark, d):
+    """Two tables written as CSV side by side, in the order of their keys, and read back."""
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    catalog = Catalog("two", [t for t in sample_catalog().tables if t.name in ("customer", "orders")])
+    files.dump({n: table(spark, d, n) for n in ("customer", "orders")}, catalog, path)
+    _, t = files.load(spark, path)
+    return t["orders"].join(t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "c_name")
+
+
+_LINES = "SELECT l_orderkey, l_linenumber, l_quantity, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN 'said \"' || l_returnflag || '\",' || chr(10) || chr(10) || 'then \"\"' || chr(10) WHEN 2 THEN '' ELSE 'plain, ' || l_linestatus END AS note, count(*) AS n_rows FROM lineitem GROUP BY ALL"
+
+
+@query(_LINES)
+def csv_one_file_in_ranges(spark, d):
+    """Lines in one file, with line ends and quotes in a field, read range by range."""
+    from pyspark.sql import types as T
+
+    n = F.col("l_linenumber") % 4
+    note = F.when(n == 1, F.concat(F.lit('said "'), "l_returnflag", F.lit('",\n\nthen ""\n'))).when(n == 2, "").when(n == 3, F.concat(F.lit("plain, "), "l_linestatus"))
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}.csv"
+    files.write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", note.alias("note")).coalesce(1), path)
+    fields = [("l_orderkey", T.LongType()), ("l_linenumber", T.IntegerType()), ("l_quantity", T.DoubleType()), ("note", T.StringType())]
+    return files.read_csv(spark, path, fields, split=True).groupBy("l_orderkey", "l_linenumber", "l_quantity", "note").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'third' WHEN p_partkey % 3 = 0 THEN 'second' ELSE p_name END AS p_name FROM part")
+def csv_last_row_of_a_key(spark, d):
+    """Three files of one table: of rows with one key the last stays."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    again = lambda k, name: parts.filter(F.col("p_partkey") % k == 0).withColumn("p_name", F.lit(name))
+    files.write_csv(parts.unionByName(again(3, "second")).coalesce(1), f"{folder}/01_part.csv")
+    files.write_csv(again(5, "third"), f"{folder}/02_part.csv")
+    slim = Catalog("slim", [Table("part", [Column("p_partkey", "BIGINT"), Column("p_name", "TEXT")], [Constraint(PRIMARY_KEY, ["p_partkey"])])])
+    return files.load_folder(spark, folder, slim)["part"]

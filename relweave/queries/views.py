@@ -149,7 +149,8 @@ def customer_balance(spark, d):
     """Fees, a unit for each whole day past thirty, less payments, all before a date; zero without any."""
     t = sample(spark, d)
     before = t["orders"].filter("o_orderdate <= TIMESTAMP_NTZ '1997-01-01 00:00:00'").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    over = F.unix_micros(F.col("l_shipdate").cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp")) - 30 * 86_400_000_000
+    # Between clock times without a zone: no session's daylight saving takes part.
+    over = F.timestamp_diff("MICROSECOND", F.col("o_orderdate"), F.col("l_shipdate")) - 30 * 86_400_000_000
     lines = before.join(t["lineitem"].select("l_orderkey", "l_extendedprice", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"))
     fees = lines.groupBy("o_custkey").agg(F.sum("l_extendedprice").alias("fee"), F.sum(F.when(over > 0, F.floor(over / 86_400_000_000)).otherwise(0)).alias("late"))
     paid = before.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("paid"))

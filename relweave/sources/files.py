@@ -7,10 +7,15 @@ so a field's text tells null from empty.
 
 from __future__ import annotations
 
+import csv
+import functools
 import re
-from collections.abc import Iterable, Mapping
+import uuid
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +23,7 @@ from relweave.catalog import Catalog, Table
 from relweave.functions import codec, types
 from relweave.operators import dml
 from relweave.plans import scripts
+from relweave.sources import splits
 
 # A quote inside a quoted field that isn't doubled is a quote, if no separator follows it.
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE"}
@@ -43,7 +49,8 @@ def encoded(df: DataFrame, null: str = codec.NULL, prefix: str = codec.PREFIX) -
 
 
 def write_csv(df: DataFrame, path: str, null: str = codec.NULL, prefix: str = codec.PREFIX, compression: str | None = None) -> None:
-    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": null} | ({"compression": compression} if compression else {})
+    # An empty field alone on its line would make a blank line, which no reader takes for a row.
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""' if len(df.columns) == 1 else "", "nullValue": null, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} | ({"compression": compression} if compression else {})
     encoded(df, null, prefix).write.mode("errorifexists").options(**options).csv(path)
 
 
@@ -56,51 +63,96 @@ def fields_of(table: Table, dialect: str = "postgres") -> list[tuple[str, T.Data
     return [(c.name, at[i]) for i, c in enumerate(kept)]
 
 
-def read_csv(spark: SparkSession, path: str, fields: Iterable[tuple[str, T.DataType]], null: str | None = codec.NULL, prefix: str | None = codec.PREFIX, epochs: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, fields: Iterable[tuple[str, T.DataType]], null: str | None = codec.NULL, prefix: str | None = codec.PREFIX, epochs: bool = False, split: bool = False, place: str | None = None) -> DataFrame:
     """Rows of a CSV file or folder, typed by `fields`, never by inference.
 
     The header must be these fields in this order. Rows of another width fail
-    the read. An empty field is an empty string, not a null.
+    the read. An empty field is an empty string, not a null. A file is one task;
+    with split, files are cut into ranges, if quotes inside their fields are
+    doubled (see splits). place: name of a further column that goes up along
+    each file, file by file in the order of their names.
     """
     fields = list(fields)
     text = T.StructType([T.StructField(n, T.StringType()) for n, _ in fields])
     # An unlikely null text: what the reader takes for null by itself is an unquoted empty field.
-    raw = spark.read.options(**_CSV, mode="FAILFAST", enforceSchema=False, nullValue="\x00").schema(text).csv(path)
-    return raw.select(*[codec.decode(F.coalesce(F.col(n), F.lit("")), t, null, prefix, epochs).alias(n) for n, t in fields])
-
-
-def dump(tables: Mapping[str, DataFrame], catalog: Catalog, path: str, **options) -> None:
-    """Writes a folder with the catalog and every table of it that is given, each as one distributed job."""
+    options = {**_CSV, "mode": "FAILFAST", "nullValue": "\x00"}
+    if split:
+        rows = splits.records(spark, path)
+        first = (F.col("block") == 0) & (F.col("seq") == 0)
+        wrong = [r["record"] for r in rows.filter(first).select("record").distinct().limit(1000).collect() if next(csv.reader([r["record"].removeprefix("\ufeff")]), []) != text.names]
+        if wrong:
+            raise ValueError(f"{path}: the header is {wrong[0]!r}, the fields are {text.names}")
+        parsed = F.from_csv("record", text.json(), {k: str(v) for k, v in options.items()})
+        raw = rows.filter(~first).select(parsed.alias("row"), F.struct("file", "block", "seq").alias("_place")).select(F.col("row.*"), "_place")
+    else:
+        raw = spark.read.options(**options, enforceSchema=False).schema(text).csv(path)
+        raw = raw.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq")).alias("_place")) if place else raw
+    values = [codec.decode(F.coalesce(F.col(n), F.lit("")), t, null, prefix, epochs).alias(n) for n, t in fields]
+    return raw.select(*values, *([F.col("_place").alias(place)] if place else []))
+
+
+def side_by_side(spark: SparkSession, jobs: Mapping[str, Callable[[], None]], width: int = 4) -> None:
+    """Runs Spark jobs from `width` threads, each in the scheduler pool of its name; the first failure cancels the others and is raised."""
+    sc, tag = spark.sparkContext, f"side-{uuid.uuid4().hex}"
+
+    def run(name: str, job: Callable[[], None]) -> None:
+        sc.addJobTag(tag)
+        sc.setLocalProperty("spark.scheduler.pool", name)
+        job()
+
+    with ThreadPoolExecutor(max(1, width)) as threads:
+        due = [threads.submit(run, name, job) for name, job in jobs.items()]
+        done, rest = wait(due, return_when=FIRST_EXCEPTION)
+        failed = next((f.exception() for f in due if f in done and not f.cancelled() and f.exception()), None)
+        if failed:
+            for f in rest:
+                f.cancel()
+            sc.cancelJobsWithTag(tag)
+    if failed:
+        raise failed
+
+
+def dump(tables: Mapping[str, DataFrame], catalog: Catalog, path: str, width: int = 4, **options) -> None:
+    """Writes a folder with the catalog and every table of it that is given, `width` tables side by side.
+
+    A table's rows go by its key, in parts whose names follow the key's order.
+    """
     spark = next(iter(tables.values())).sparkSession
+    jobs = {t.name: functools.partial(write_csv, scan(tables[t.name], t), f"{path}/{t.name}.csv", **options) for t in catalog.tables if t.name in tables and not t.ignore}
+    side_by_side(spark, jobs, width)
     spark.createDataFrame([(catalog.to_json(),)], "value string").coalesce(1).write.option("lineSep", "\x00").text(f"{path}/catalog.json")
-    for t in catalog.tables:
-        if t.name in tables and not t.ignore:
-            write_csv(tables[t.name].select(*t.stored_columns()), f"{path}/{t.name}.csv", **options)
 
 
 def load(spark: SparkSession, path: str, **options) -> tuple[Catalog, dict[str, DataFrame]]:
-    """The catalog and tables of a dumped folder."""
+    """The catalog and tables of a dumped folder. Rows are taken as they were dumped, where a key stood once."""
     catalog = Catalog.from_json(spark.read.text(f"{path}/catalog.json", wholetext=True).first()[0].rstrip("\x00"))
     return catalog, {t.name: read_csv(spark, f"{path}/{t.name}.csv", fields_of(t), **options) for t in catalog.tables if not t.ignore}
 
 
+def load_table(spark: SparkSession, paths: list[str], table: Table, **options) -> DataFrame:
+    """A table's rows in files that come one after the other. Of rows with one key the last stays, as if each replaced the one before; rows with a null in the key all do."""
+    read = [read_csv(spark, p, fields_of(table), place="_place", **options).withColumn("_place", F.struct(F.lit(i).alias("turn"), "_place")) for i, p in enumerate(paths)]
+    rows = reduce(DataFrame.unionByName, read)
+    if not table.primary_key:
+        return rows.drop("_place")
+    unknown = reduce(Column.__or__, [F.col(k).isNull() for k in table.primary_key])
+    return dml.latest(rows, table.primary_key, "_place").drop("_place").unionByName(rows.filter(unknown).drop("_place"))
+
+
 def load_folder(spark: SparkSession, folder: str, catalog: Catalog, **options) -> dict[str, DataFrame]:
     """Tables of the files or part folders [NN_][schema.]table.csv of a folder, typed by the catalog, in the order of their names.
 
-    A table of several files has the rows of all; of rows with one key those of
-    the last file stay. Other files are left alone; a table that the catalog
-    doesn't have is an error, found before any file is read.
+    A table of several files has the rows of all; of rows with one key the last
+    one's stay, in a file as among files. Other files are left alone; a table
+    that the catalog doesn't have is an error, found before any file is read.
     """
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     names = sorted(s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
-    found = [(n, catalog.table(table_name(n)[1])) for n in names if _NAME.match(n)]
-    out: dict[str, DataFrame] = {}
-    for name, t in found:
-        rows = read_csv(spark, f"{folder}/{name}", fields_of(t), **options)
-        if t.name in out:
-            rows = dml.upsert(out[t.name], rows, t.primary_key) if t.primary_key else out[t.name].unionByName(rows)
-        out[t.name] = rows
-    return out
+    found: dict[str, list[str]] = {}
+    for n in names:
+        if _NAME.match(n):
+            found.setdefault(catalog.table(table_name(n)[1]).name, []).append(f"{folder}/{n}")
+    return {name: load_table(spark, paths, catalog.table(name), **options) for name, paths in found.items()}
 
 
 def load_any(spark: SparkSession, source: str, catalog: Catalog | None = None, **options) -> dict[str, DataFrame]:
@@ -117,7 +169,7 @@ def load_any(spark: SparkSession, source: str, catalog: Catalog | None = None, *
         if catalog is None:
             raise ValueError(f"{name}: a single table needs a catalog for its types")
         t = catalog.table(table_name(name)[1])
-        return {t.name: read_csv(spark, source, fields_of(t), **options)}
+        return {t.name: load_table(spark, [source], t, **options)}
     return load_folder(spark, source, catalog, **options) if catalog else load(spark, source, **options)[1]
 
 

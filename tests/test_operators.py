@@ -226,3 +226,30 @@ def test_folders_of_named_files_and_dispatch_by_suffix(spark, tmp_path, small):
             files.load_any(spark, str(folder / bad))
     files.dump({"region": found["region"]}, Catalog("c", [catalog.table("region")]), str(tmp_path / "dump"))
     assert files.load_any(spark, str(tmp_path / "dump"))["region"].count() == 3
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A table that references itself, as a chain, a ring, a tree and a row that is its own parent."""
+    from relweave.catalog import FOREIGN_KEY, PRIMARY_KEY, Catalog, Column, Constraint, Table
+
+    catalog = Catalog("c", [Table("t", [Column("id", "INT"), Column("up", "INT")], [Constraint(PRIMARY_KEY, ["id"]), Constraint(FOREIGN_KEY, ["up"], references_table="t", references_columns=["id"])])])
+    parent = {i: i - 1 for i in range(1, 1001)} | {0: None} | {2000: 2004, **{i: i - 1 for i in range(2001, 2005)}} | {i: (i - 3000) // 2 + 2999 if i > 3000 else None for i in range(3000, 3040)} | {5000: 5000, 6000: 9999}
+    t = spark.createDataFrame(list(parent.items()), "id int, up int")
+    rounds = []
+    real = subset.staged
+    monkeypatch.setattr(subset, "staged", lambda df, label: (rounds.append(label), real(df, label))[1])
+    for seeds in ([1000], [2002], [3037, 0], [5000, 6000], []):
+        up, todo = set(seeds), list(seeds)
+        while todo:
+            p = parent[todo.pop()]
+            if p in parent and p not in up:
+                up.add(p)
+                todo.append(p)
+        down = set(seeds)
+        while more := {i for i, p in parent.items() if p in down} - down:
+            down |= more
+        rows = {"t": t.filter(F.col("id").isin(seeds))}
+        rounds.clear()
+        assert {r["id"] for r in subset.closure({"t": t}, catalog, rows, down=False)["t"].collect()} == up
+        assert {r["id"] for r in subset.closure({"t": t}, catalog, rows, down=True)["t"].collect()} == down
+        assert rounds.count("reached") <= 2 * 12 + 2
