@@ -1,15 +1,23 @@
 """Main text of web pages by removal of site templates.
 
-Every element subtree has a hash, made bottom up of its tag, attributes, text
-and children's hashes, with white space collapsed and numbers alike. The hashes
-are counted per host, by Spark: a subtree that stands on MIN_PAGES different
-pages of its host or more is template, and is deleted first. A subtree that
-holds most of its page's text, or a marked article, isn't counted, and
-paragraphs of a marked article are never taken for template.
-
-What recurs on no other page is left to markup, as a remainder: an article that
+Every element subtree has two hashes, made bottom up. One is of its tag,
+attributes, text and children's hashes, with white space collapsed and numbers
+alike: what a site repeats word for word. The other is of its shape: tag and
+names, the shapes of its blocks with repeats run together, whether it holds text,
+how much of that is links, and the path of names down to it: what a site fills
+anew on every page, as menus, adverts and footers. Both are counted per host, by
+Spark; a subtree with a hash that stands on MIN_PAGES different pages of its
+host or more is template, and is deleted first.
+
+A subtree that holds half of its page's text, or a marked article, is never
+counted. Shapes count only for what can't be the article: what lies outside a
+marked article; in or beside the block with most of the text menus, sides,
+footers, forms and lists of links; beside it also single blocks of little text.
+
+What recurs on too few pages is left to markup, as a remainder: an article that
 the page marks is all that is kept; menus, footers, forms and scripts go by
-their element; other blocks go whose class, id or role names such a part.
+their element; other blocks go whose class, id or role names such a part and
+nothing else, unless they hold half of the page's text.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,7 +57,13 @@ PARTS = frozenset(
     "skip masthead complementary contentinfo".split()
 )
 ARTICLE_PARTS = frozenset("comment comments reply ad advert advertisement promo sponsored related teaser".split())
-OTHERWISE = frozenset("has no not with without is open closed enabled disabled".split())
+# Words that may stand beside them in a name and leave it what it is: "site-footer", "ad_box_2", but not "share-price".
+BESIDE = frozenset("site page main top bottom left right upper lower box block bar area list wrap wrapper container section inner outer content buttons button links link item items form text body header slot unit the global primary secondary post user reader entry article story".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data em font i img ins kbd mark q s small span strong sub sup time tt u var wbr".split())
+#: Elements whose shape is enough for template, in the article's neighbourhood too.
+AROUND = frozenset("nav aside footer form dialog menu".split())
+#: Of a page's text a single block beside the article holds so much at most, where its shape is to make it template.
+LITTLE = 1 / 8
 
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -56,22 +71,27 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """An element. size: characters of text that are shown below it. marked: an article is marked below it or is itself."""
+    """An element. size: characters of text that are shown below it, links: those in links. marked: an article is marked below it or is itself.
 
-    __slots__ = ("tag", "attributes", "names", "hidden", "role", "children", "sig", "size", "marked")
+    told: tag and names. sig, shape: hashes of the subtree. place: the shape's with its path, if it may be template by it, else 0.
+    """
+
+    __slots__ = ("tag", "attributes", "names", "hidden", "role", "children", "sig", "size", "links", "marked", "told", "shape", "place")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
         self.names, self.hidden, self.role = frozenset(), False, ""
-        self.sig = self.size = 0
-        self.marked = False
+        self.sig = self.size = self.links = self.shape = self.place = 0
+        self.marked, self.told = False, tag
         if attributes and not attributes.isspace():
             values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
             self.role = values.get("role", "")
-            # A name like has-sidebar or comments-open is of what has them, not of them.
-            words = [_WORDS.findall(name) for k in ("class", "id", "role") for name in values.get(k, "").split()]
-            self.names = frozenset(w for name in words if len(name) == 1 or OTHERWISE.isdisjoint(name) for w in name)
+            named = [values.get(k, "") for k in ("class", "id", "role")]
+            self.told = _plain(f"{tag} {' . '.join(named)}")
+            # A name is of a part if it says nothing else: has-sidebar and share-price aren't.
+            words = [frozenset(w for w in _WORDS.findall(name) if len(w) > 1) for v in named for name in v.split()]
+            self.names = frozenset(w for name in words if name <= PARTS | BESIDE for w in name & PARTS)
             self.hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
 
     def close(self) -> None:
@@ -79,16 +99,26 @@ class Node:
         import xxhash
 
         h = xxhash.xxh3_64(f"{self.tag} {_plain(self.attributes)}".encode("utf-8", "surrogatepass"))
+        shown = self.tag not in UNSEEN
+        blocks, last, filled = [], 0, False
         for c in self.children:
             if isinstance(c, str):
                 text = _plain(c)
                 h.update(text.encode("utf-8", "surrogatepass"))
-                self.size += len(text) * (self.tag not in UNSEEN)
+                self.size += len(text) * shown
+                filled |= bool(text)
             else:
                 h.update(c.sig.to_bytes(8, "little"))
-                self.size += c.size * (self.tag not in UNSEEN)
+                self.size += c.size * shown
+                self.links += (c.size if c.tag == "a" else c.links) * shown
                 self.marked |= c.marked
+                if c.tag in INLINE:
+                    filled |= c.size > 0
+                elif c.shape != last and (c.size or c.tag not in UNSEEN):
+                    blocks.append(c.shape)
+                    last = c.shape
         self.sig = h.intdigest()
+        self.shape = xxhash.xxh3_64_intdigest(f"{self.told} {filled} {2 * self.links >= self.size > 0} {blocks}".encode("utf-8", "surrogatepass"))
 
 
 def _plain(text: str) -> str:
@@ -177,21 +207,42 @@ def _mark(tree: Node) -> list[Node]:
     return roots
 
 
-def subtrees(source: str) -> set[int]:
-    """Hashes of a page's subtrees that may turn out to be template."""
-    tree = parse(source)
-    own, out = set(map(id, _mark(tree))), set()
-    todo = [(tree, False)]
+def _single(node: Node) -> bool:
+    return all(isinstance(c, str) or c.tag in INLINE for c in node.children)
+
+
+def _offer(tree: Node, roots: list[Node]) -> list[Node]:
+    """The subtrees that may be template, outermost first; `place` is set on those that may be so by their shape."""
+    import xxhash
+
+    own = set(map(id, roots))
+    block = tree  # with most of the text: the last on a path of subtrees that hold over half of it
+    while inner := next((c for c in block.children if isinstance(c, Node) and c.tag not in INLINE and 2 * c.size > tree.size and not _single(c)), None):
+        block = inner
+    out, todo = [], [(tree, 0, False, False)]
     while todo:
-        node, inside = todo.pop()
-        inside = inside or id(node) in own
+        node, path, inside, main = todo.pop()
+        inside, main = inside or id(node) in own, main or node is block
         if node.tag in (IN_ARTICLE if inside else CONTAINERS) and not node.marked and node.size and 2 * node.size <= tree.size:
-            out.add(node.sig - (1 << 63))
-        todo += [(c, inside) for c in node.children if isinstance(c, Node)]
+            out.append(node)
+            around = node.tag in AROUND or 2 * node.links >= node.size
+            beside = not main and (bool(roots) or (_single(node) and node.size <= LITTLE * tree.size))
+            if around or (beside and not inside):
+                node.place = xxhash.xxh3_64_intdigest(f"{path} {node.shape}".encode("utf-8", "surrogatepass"))
+        path = crc32(node.told.encode("utf-8", "surrogatepass"), path)
+        todo += [(c, path, inside, main) for c in node.children if isinstance(c, Node)]
     return out
 
 
-def _text(roots: list[Node], template: frozenset[int], parts: bool, names: bool) -> str:
+def subtrees(source: str) -> set[int]:
+    """Hashes of a page's subtrees that may turn out to be template."""
+    tree = parse(source)
+    found = _offer(tree, _mark(tree))
+    return {h - (1 << 63) for n in found for h in (n.sig, n.place) if h}
+
+
+def _text(roots: list[Node], gone: set[int], whole: int, parts: bool, names: bool) -> str:
+    """Text below the roots without the nodes that are gone (by their id()); whole: size of the page."""
     own = set(map(id, roots))
     blocks: list[list[str]] = [[]]
     todo: list[tuple[Node | str, bool]] = [(n, n.tag != "#root") for n in reversed(roots)]
@@ -204,11 +255,12 @@ def _text(roots: list[Node], template: frozenset[int], parts: bool, names: bool)
                 blocks[-1].append(node)
             continue
         if id(node) not in own:
-            if node.tag in (IN_ARTICLE if inside else CONTAINERS) and not node.marked and node.sig - (1 << 63) in template:
+            if id(node) in gone or node.tag in UNSEEN:
                 continue
-            if node.tag in UNSEEN or (parts and (node.tag in DROPPED or node.hidden or (node.tag == "header" and not inside))):
+            if parts and (node.tag in DROPPED or node.hidden or (node.tag == "header" and not inside)):
                 continue
-            if names and node.names & (ARTICLE_PARTS if node.tag in ("article", "main") else PARTS if node.tag not in ("html", "body") else frozenset()):
+            named = names and node.names and node.tag not in ("html", "body") and not (inside and node.tag == "p")
+            if named and 2 * node.size <= whole and node.names & (ARTICLE_PARTS if node.tag in ("article", "main") else PARTS):
                 continue
         if node.tag == "br":
             blocks[-1].append(" ")
@@ -229,10 +281,11 @@ def main_text(source: str, template: frozenset[int] = frozenset(), markup: bool
     without regard to the names.
     """
     tree = parse(source)
-    roots = _mark(tree) if markup else []
+    roots = _mark(tree)
+    gone = {id(n) for n in _offer(tree, roots) if n.sig - (1 << 63) in template or (n.place and n.place - (1 << 63) in template)} if template else set()
     if not markup:
-        return _text([tree], template, False, False)
-    return _text(roots or [tree], template, True, True) or ("" if roots else _text([tree], template, True, False))
+        return _text([tree], gone, tree.size, False, False)
+    return _text(roots or [tree], gone, tree.size, True, True) or ("" if roots else _text([tree], gone, tree.size, True, False))
 
 
 def host(url: Column) -> Column:
