@@ -11,8 +11,8 @@ spacing don't count. Their borders depend on nearby text only:
   another sentence, hold a passage that goes.
 
 Of all passages with one digest the earliest stays. Rank is the id (an integer
-by its value, anything else by a hash of it, null last and then by a hash of
-the text), then the place in the text. Inside a single sentence nothing is held
+by its value, anything else by a hash of it, null last), then a hash of the
+text, then the place in the text. Inside a single sentence nothing is held
 against the sentence itself.
 """
 
@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
     UTF-8, and the text without them is the new one. A null text stays null,
     with no units; an empty table gives an empty one. Rows of one id and text
     are one document and have one result; rows that share an id, but not a text,
-    have equal rank: each keeps what no lower id holds. Columns named like the
+    are ranked by a hash of it, as are those without an id. Columns named like the
     new ones are replaced, others kept whatever their names.
 
     Digests are counted with map-side aggregation, so a line in a third of all
@@ -188,12 +188,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
     rank = F.coalesce(col(id_col).cast("bigint") if whole else F.when(col(id_col).isNotNull(), F.xxhash64(col(id_col))), F.lit(_LAST))
     # The text's hash stands beside the rank, so that rows without an id, or of one id, aren't gathered in one group.
     keyed = [rank.alias("doc"), F.xxhash64(col(text)).alias("print"), col(text).cast("binary").alias("body")]
-    found = _digests(docs.filter(col(text).isNotNull()).select(*keyed), min_words)
-    unnamed = F.when(F.col("doc") == _LAST, F.col("print"))
-    first = found.groupBy("hi", "lo").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(unnamed).alias("least"), F.max(unnamed).alias("most"))
-    first = first.filter("first < last OR least < most").drop("last", "most")
+    texts = docs.filter(col(text).isNotNull()).select(*keyed)
+    found = _digests(texts.select("doc", "print", "body"), min_words)
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))
-    gone = found.join(first, ["hi", "lo"]).filter(f"doc > first OR doc = {_LAST} AND print > least").groupBy("doc", "print").agg(F.collect_set(digest).alias("gone"))
+    shared = texts.groupBy("doc").agg((F.min("print") < F.max("print")).alias("several")).filter("several")
+    if shared.isEmpty():
+        # An id has one text, so the id alone ranks, and sums of two longs combine before the shuffle.
+        own, first, last = F.col("doc"), F.min("doc"), F.max("doc")
+    else:
+        own = F.struct("doc", "print")
+        first, last = F.min(own), F.max(own)
+    first = found.groupBy("hi", "lo").agg(first.alias("first"), last.alias("last")).filter("first < last").drop("last")
+    gone = found.join(first, ["hi", "lo"]).filter(own > F.col("first")).groupBy("doc", "print").agg(F.collect_set(digest).alias("gone"))
     others = len(fields) - 1
     joined = docs.select(*[c for i, c in enumerate(kept(fields)) if i != at], *keyed).join(gone, ["doc", "print"], "left").drop("doc", "print")
     schema = T.StructType([T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(fields)])

@@ -221,3 +221,13 @@ def test_pipeline_stages_on_odd_and_long_rows(spark, small, docs, none):
         assert r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest() and len(r["ids"]) == 4 * r["n_tokens"]
         assert (r["n_tokens"] == 0) == (r["doc_id"] in (3, 4) or r["ids"] == b"")
     assert corpus_pipeline.encode(spark, none, small).collect() == []
+
+
+def test_line_dedup_ranks_rows_that_share_an_id(spark):
+    """The same 60 words in several texts of one id, of no id, and of the greatest id: one text keeps them."""
+    words = " ".join(f"word{i}" for i in range(60)) + "."
+    for ids in ([7, 7], [7, 7, 9], [None, None], [2**63 - 1, None, None], [5, 5, 5, None, 2**63 - 1]):
+        rows = [(i, f"Own beginning {k} of this text. {words}") for k, i in enumerate(ids)]
+        out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        kept = [r["doc_id"] for r in out if "word59" in r["text"]]
+        assert len(kept) == 1 and kept[0] == min(ids, key=lambda i: 2**63 - 1 if i is None else i) or kept == [None] and set(ids) == {None, 2**63 - 1}
