@@ -23,6 +23,7 @@ import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,8 @@ _VALUE = r"\b{}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 _TARGETS = {t: re.compile(_VALUE.format(a), re.I) for t, a in _LINKS.items()}
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _DECLARED = re.compile(rb"<meta[^>]{1,200}?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f]")
 
 Headers = list[tuple[str, str]]
 
@@ -136,22 +139,83 @@ def decoded(body: bytes, content_type: str) -> str:
         return body.decode("utf-8", "replace")
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without the chunks of its transfer. One that isn't made of chunks, though its header says so, stays as it is."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0 and (m := _CHUNK.fullmatch(body, at, end)):
+        size, at = int(m[1], 16), end + 2
+        if not size:
+            return b"".join(parts)
+        if body[at + size : at + size + 2] != b"\r\n":
+            break
+        parts.append(body[at : at + size])
+        at += size + 2
+    return body
+
+
+def _inflated(data: bytes, raw: bool) -> bytes:
+    """All members of gzip data, or a zlib or bare deflate stream."""
+    parts = []
+    while data:
+        stream = zlib.decompressobj(-zlib.MAX_WBITS if raw else zlib.MAX_WBITS + 32)
+        parts += [stream.decompress(data), stream.flush()]
+        if not stream.eof:
+            raise zlib.error("the stream is cut short")
+        data = stream.unused_data if not raw and stream.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(parts)
+
+
+def uncoded(payload: bytes, codings: str) -> bytes | None:
+    """A payload without its content codings. What doesn't decode is taken for decoded already; None for a coding that isn't known."""
+    for name in reversed([c.strip().lower() for c in codings.split(",") if c.strip()]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                payload = _inflated(payload, False)
+            elif name == "deflate":
+                try:
+                    payload = _inflated(payload, False)
+                except zlib.error:
+                    payload = _inflated(payload, True)
+            elif name == "zstd":
+                import zstandard
+
+                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload) if payload[:4] == b"\x28\xb5\x2f\xfd" else payload
+            elif name != "identity":
+                return None
+        except zlib.error:
+            continue
+    return payload
+
+
+def binary(payload: bytes) -> bool:
+    """Whether a payload of no declared type is no text: control bytes near its start, or the mark of a PDF file; a byte order mark says text."""
+    head = payload[:1445]
+    return not head.startswith((b"\xff\xfe", b"\xfe\xff", b"\xef\xbb\xbf")) and (head.startswith(b"%PDF-") or bool(_CONTROL.search(head)))
+
+
 def derivatives(source: dict) -> list[dict]:
-    """The metadata record of a response and, for a page or other text, its conversion record; none of a record of another type."""
+    """The metadata record of a response and, for a page or other text, its conversion record; none of a record of another type.
+
+    Text is that of the payload without transfer and content codings; one in an
+    unknown coding, and one of no declared type that is no text, have none.
+    """
     if source["type"] != "response":
         return []
     head, _, body = source["block"].partition(_END.encode())
     status, _, fields = head.decode("latin-1").partition("\r\n")
     http = header_pairs(fields)
     content_type = value_of(http, "Content-Type") or ""
+    if "chunked" in (value_of(http, "Transfer-Encoding") or "").lower():
+        body = unchunked(body)
+    plain = uncoded(body, ",".join(v for k, v in http if k.lower() == "content-encoding"))
     kind = content_type.partition(";")[0].strip().lower()
     seen: dict = {"Response-Message": status, "Headers": _grouped(http), "Entity-Length": len(body), "Entity-Digest": digest(body)}
     text = None
-    if kind in _PAGES:
-        title, text, links = read_page(decoded(body, content_type))
+    if plain is not None and kind in _PAGES and (kind or not binary(plain)):
+        title, text, links = read_page(decoded(plain, content_type))
         seen["HTML-Metadata"] = {"Title": title, "Links": links}
-    elif kind.startswith("text/"):
-        text = decoded(body, content_type)
+    elif plain is not None and kind.startswith("text/"):
+        text = decoded(plain, content_type)
     envelope = {"Envelope": {"WARC-Header-Metadata": _grouped(header_pairs(source["headers"])), "Payload-Metadata": {"HTTP-Response-Metadata": seen}}}
     ids = {k: named(source["record_id"], k) for k in ("metadata", "conversion")}
     common = {"url": source["target_uri"] or "", "date": source["date"] or "", "refers_to": source["record_id"], "payload_digest": source["payload_digest"] or digest(body)}
@@ -236,24 +300,25 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
         return {"record_id": get("WARC-Record-ID"), "type": get("WARC-Type"), "refers_to": get("WARC-Refers-To"), "target_uri": get("WARC-Target-URI"), "date": get("WARC-Date"), "content_type": get("Content-Type"), "payload_digest": get("WARC-Payload-Digest"), "block_digest": get("WARC-Block-Digest"), "headers": headers.decode("utf-8", "replace"), "block": block[:size]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = b"", None
+        held: list[bytes] = []  # pieces of a record that is still short, and how many bytes it lacks
+        lacks, of = 0, None
         for part in pieces(batches, "value"):
             rows = []
             for value, file in zip(part.column("value").to_pylist(), part.column("file").to_pylist(), strict=True):
-                if of is not None and of != file:
-                    rows.append(made(held))  # fails: it was still short
-                if of is not None:
-                    held += mark + value
+                if held and of != file:
+                    made(b"".join(held))  # fails: it was still short
+                if held:
+                    held += [mark, value]
+                    lacks -= len(mark) + len(value)
                 else:
-                    held = value.partition(b"\r\n")[2]  # without the version, of which the mark may have left a digit
-                headers, _, block = held.partition(_END.encode())
-                if len(block) < _size(headers):
-                    of = file
-                    continue
-                of = None
-                rows.append(made(held))
+                    record = value.partition(b"\r\n")[2]  # without the version, of which the mark may have left a digit
+                    headers, _, block = record.partition(_END.encode())
+                    held, lacks, of = [record], _size(headers) - len(block), file
+                if lacks <= 0:
+                    rows.append(made(b"".join(held)))
+                    held = []
             yield _batch(rows)
-        if of is not None:
-            yield _batch([made(held)])
+        if held:
+            yield _batch([made(b"".join(held))])
 
     return raw.mapInArrow(run, SCHEMA)

@@ -88,6 +88,56 @@ def test_other_versions_spellings_and_repeated_headers(spark, tmp_path):
     assert all("WARC-Concurrent-To" not in r["headers"] for r in made if r["refers_to"] == "<urn:response2>")
 
 
+def test_codings_and_undeclared_bodies(spark, tmp_path):
+    import gzip
+    import zlib
+
+    import zstandard
+
+    page = "<title>t</title><p>h\u00e9llo</p>".encode()
+    raw = zlib.compressobj(wbits=-15)
+    chunked = lambda b: b"".join(b"%x;x=1\r\n%s\r\n" % (len(b[i : i + 7]), b[i : i + 7]) for i in range(0, len(b), 7)) + b"0\r\nTrailer: x\r\n\r\n"
+    html = "Content-Type: text/html\r\n"
+    cases = {
+        "gzip": (html + "Content-Encoding: gzip\r\n", gzip.compress(page[:9]) + gzip.compress(page[9:])),
+        "deflate": (html + "Content-Encoding: deflate\r\n", zlib.compress(page)),
+        "raw": (html + "content-encoding: deflate\r\n", raw.compress(page) + raw.flush()),
+        "zstd": (html + "Content-Encoding: zstd\r\n", zstandard.compress(page)),
+        "twice": (html + "Content-Encoding: deflate\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", chunked(gzip.compress(zlib.compress(page)))),
+        "chunked": (html + "Transfer-Encoding: chunked\r\n", chunked(page)),
+        "decoded": (html + "Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", page),
+        "bare": ("", page),
+        "unknown": (html + "Content-Encoding: br\r\n", b"\x0b\x02\x80"),
+        "png": ("", b"\x89PNG\r\n\x1a\n\x00\x00"),
+        "pdf": ("", b"%PDF-1.7 words"),
+        "cut": (html + "Content-Encoding: gzip\r\n", gzip.compress(b"x" * 99)[:20]),
+    }
+    made = {}
+    for name, (fields, body) in cases.items():
+        block = f"HTTP/1.1 200 OK\r\n{fields}\r\n".encode() + body
+        for r in warc.derivatives(warc.record("response", f"<urn:{name}>", "http://h/", DATE, "application/http", block)):
+            made[name, r["type"]] = r["block"].decode("utf-8", "replace")
+    assert {n for n, k in made if k == "metadata"} == set(cases)
+    texts = {n: t for (n, k), t in made.items() if k == "conversion"}
+    assert {n for n, t in texts.items() if t == "h\u00e9llo"} == {"gzip", "deflate", "raw", "zstd", "twice", "chunked", "decoded", "bare"}
+    assert set(cases) - set(texts) == {"unknown", "png", "pdf"}
+
+
+def test_blocks_full_of_marks_take_linear_time(spark, tmp_path):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        block = b"\r\n\r\nWARC/1.0\r\nx" * n
+        path = tmp_path / f"{n}.warc"
+        path.write_bytes(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+        began = time.time()
+        (row,) = warc.parse(spark, str(path)).collect()
+        took.append(time.time() - began)
+        assert bytes(row["block"]) == block
+    assert took[1] < 10 + 4 * took[0]
+
+
 class Text(HTMLParser):
     def __init__(self):
         super().__init__()
