@@ -88,14 +88,26 @@ class Node:
             values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
             self.role = values.get("role", "")
             named = [values.get(k, "") for k in ("class", "id", "role")]
-            self.told = _plain(f"{tag} {' . '.join(named)}")
+            if any(named):
+                self.told = _DIGITS.sub("0", f"{tag} {named}")
             # A name is of a part if it says nothing else: has-sidebar and share-price aren't.
             words = [frozenset(w for w in _WORDS.findall(name) if len(w) > 1) for v in named for name in v.split()]
             self.names = frozenset(w for name in words if name <= PARTS | BESIDE for w in name & PARTS)
             self.hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
 
+    def measure(self) -> None:
+        """Sizes, when the children have theirs."""
+        shown = self.tag not in UNSEEN
+        for c in self.children:
+            if isinstance(c, str):
+                self.size += len(_plain(c)) * shown
+            else:
+                self.size += c.size * shown
+                self.links += (c.size if c.tag == "a" else c.links) * shown
+                self.marked |= c.marked
+
     def close(self) -> None:
-        """Hash and size, when the children have theirs."""
+        """Hashes and sizes, when the children have theirs."""
         import xxhash
 
         h = xxhash.xxh3_64(f"{self.tag} {_plain(self.attributes)}".encode("utf-8", "surrogatepass"))
@@ -118,15 +130,17 @@ class Node:
                     blocks.append(c.shape)
                     last = c.shape
         self.sig = h.intdigest()
-        self.shape = xxhash.xxh3_64_intdigest(f"{self.told} {filled} {2 * self.links >= self.size > 0} {blocks}".encode("utf-8", "surrogatepass"))
+        if self.tag not in INLINE:
+            self.shape = xxhash.xxh3_64_intdigest(f"{self.told} {filled} {2 * self.links >= self.size > 0} {blocks}".encode("utf-8", "surrogatepass"))
 
 
 def _plain(text: str) -> str:
     return _DIGITS.sub("0", " ".join(text.split()))
 
 
-def parse(source: str) -> Node:
-    """The element tree of a page; unclosed elements end where HTML has them end, stray end tags are ignored."""
+def parse(source: str, hashed: bool = True) -> Node:
+    """The element tree of a page, with or without hashes; unclosed elements end where HTML has them end, stray end tags are ignored."""
+    finish = Node.close if hashed else Node.measure
     root = Node("#root", "")
     stack, at, length = [root], 0, len(source)
     open_tags: Counter[str] = Counter()
@@ -134,7 +148,7 @@ def parse(source: str) -> Node:
     def close(depth: int) -> None:
         for node in reversed(stack[depth:]):
             open_tags[node.tag] -= 1
-            node.close()
+            finish(node)
         del stack[depth:]
 
     def open_of(names, scope) -> int:
@@ -168,16 +182,16 @@ def parse(source: str) -> Node:
         if tag in RAW:
             end, at = raw_end(source, tag, at)
             node.children.append(source[m.end() : end])
-            node.close()
+            finish(node)
         elif tag in VOID or m[3].rstrip().endswith("/"):
-            node.close()
+            finish(node)
         else:
             open_tags[tag] += 1
             stack.append(node)
     if at < length:
         stack[-1].children.append(source[at:])
     close(1)
-    root.close()
+    finish(root)
     return root
 
 
@@ -234,11 +248,10 @@ def _offer(tree: Node, roots: list[Node]) -> list[Node]:
     return out
 
 
-def subtrees(source: str) -> set[int]:
-    """Hashes of a page's subtrees that may turn out to be template."""
+def subtrees(source: str) -> list[tuple[int, int]]:
+    """Number (in the order of _offer) and hash of a page's subtrees that may turn out to be template."""
     tree = parse(source)
-    found = _offer(tree, _mark(tree))
-    return {h - (1 << 63) for n in found for h in (n.sig, n.place) if h}
+    return [(i, h - (1 << 63)) for i, n in enumerate(_offer(tree, _mark(tree))) for h in (n.sig, n.place) if h]
 
 
 def _text(roots: list[Node], gone: set[int], whole: int, parts: bool, names: bool) -> str:
@@ -274,15 +287,15 @@ def _text(roots: list[Node], gone: set[int], whole: int, parts: bool, names: boo
 
 
 def main_text(source: str, template: frozenset[int] = frozenset(), markup: bool = True) -> str:
-    """Text of the page's article without template subtrees: blocks in page order, one per line.
+    """Text of the page's article without template subtrees (by their numbers): blocks in page order, one per line.
 
     markup=False leaves out the remainder: of the whole page only templates and
     what is never shown go. A page whose blocks all have telling names is kept
     without regard to the names.
     """
-    tree = parse(source)
+    tree = parse(source, hashed=False)
     roots = _mark(tree)
-    gone = {id(n) for n in _offer(tree, roots) if n.sig - (1 << 63) in template or (n.place and n.place - (1 << 63) in template)} if template else set()
+    gone = {id(n) for i, n in enumerate(_offer(tree, roots)) if i in template} if template else set()
     if not markup:
         return _text([tree], gone, tree.size, False, False)
     return _text(roots or [tree], gone, tree.size, True, True) or ("" if roots else _text([tree], gone, tree.size, True, False))
@@ -293,31 +306,35 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, print, template: for each different page the hashes on it that recur on its host, for pages(host, print, html).
+    """host, print, template: for each different page the numbers of its subtrees that recur on its host, for pages(host, print, html).
 
     Pages of equal html (print) count once. Templates meet the subtrees of pages
     as rows of (host, sig), so no host's templates are ever in one list. Counts
     combine before they are shuffled, so a host with a third of all pages is
     counted like any other. The hashes are staged: pages are parsed once for
-    them, and once for their text.
+    them, and once for their text. Hosts are told apart by 64-bit hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "html"):
-            at, sigs = [], []
+            at, numbers, sigs, first = [], [], [], []
             for i, page in enumerate(part.column("html").to_pylist()):
-                found = subtrees(page)
-                at += [i] * len(found)
-                sigs += found
+                seen: set[int] = set()
+                for number, sig in subtrees(page):
+                    at.append(i)
+                    numbers.append(number)
+                    sigs.append(sig)
+                    first.append(sig not in seen)
+                    seen.add(sig)
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("print").take(at), pa.array(sigs, pa.int64())], ["host", "print", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("print").take(at), pa.array(numbers, pa.int32()), pa.array(sigs, pa.int64()), pa.array(first, pa.bool_())], ["host", "print", "number", "sig", "first"])
 
     pages = pages.filter(F.length("html") > 0)
-    found = staged(pages.mapInArrow(run, "host string, print bigint, sig bigint").distinct(), "subtrees")
+    found = staged(pages.mapInArrow(run, "host bigint, print bigint, number int, sig bigint, first boolean").distinct(), "subtrees")
     total = pages.select("host", "print").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    often = found.groupBy("host", "sig").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    often = found.filter("first").groupBy("host", "sig").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     often = often.join(total, "host").filter(F.col("pages") >= F.log2("total")).select("host", "sig")
-    return found.join(often, ["host", "sig"]).groupBy("host", "print").agg(F.collect_list("sig").alias("template"))
+    return found.select("host", "print", "number", "sig").join(often, ["host", "sig"]).groupBy("host", "print").agg(F.collect_set("number").alias("template"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", markup: bool = True) -> DataFrame:
@@ -329,7 +346,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", markup: bool
     replaced, others kept whatever their names.
     """
     fields = [f for f in pages.schema.fields if f.name != html and f.name.lower() not in ("text", "n_chars")]
-    source = pages.select(*kept(fields), host(col(url)).alias("host"), F.xxhash64(col(html)).alias("print"), col(html).alias("html"))
+    source = pages.select(*kept(fields), F.xxhash64(host(col(url))).alias("host"), F.xxhash64(col(html)).alias("print"), col(html).alias("html"))
     # A page copied many times is one key of this join, whose hot keys Spark splits.
     joined = source.join(templates(source.select("host", "print", "html")), ["host", "print"], "left").drop("host", "print")
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
