@@ -37,6 +37,8 @@ MIN_WORDS = 20
 RUN, SPAN, MIN_PIECE = 50, 18, 14
 _SENTENCE = re.compile(rb"[^.!?]*[.!?]+[ \t]*|[^.!?]+")
 _LAST = 2**63 - 1
+#: Stands among a document's removed digests if it repeats a passage of its own.
+_OWN = bytes(16)
 
 
 def _borders(words: list[bytes]) -> np.ndarray:
@@ -88,6 +90,11 @@ def _passages(text: bytes, min_words: int = MIN_WORDS) -> tuple[list[tuple[int,
     return sentences, found
 
 
+def _count(text: bytes) -> int:
+    """Number of a text's sentences, as _passages has them."""
+    return sum(len(_SENTENCE.findall(line)) or 1 for line in text.split(b"\n"))
+
+
 def units(text: bytes) -> Iterator[tuple[int, int, int, bytes | None, int | None]]:
     """Line number, first byte, end byte, digest and number of terms of the passage that begins there, in order.
 
@@ -109,13 +116,18 @@ def units(text: bytes) -> Iterator[tuple[int, int, int, bytes | None, int | None
 
 
 def _digests(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row (doc, print, hi, lo) per document and different digest."""
+    """One row (doc, print, hi, lo) per document and different digest, and one of _OWN for a document that repeats one in another sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "body"):
             at, found = [], []
             for i, body in enumerate(part.column("body").to_pylist()):
-                seen = {f[3] for f in _passages(body, min_words)[1]}
+                seen: dict[bytes, int] = {}
+                own = False
+                for sentence, _, _, digest, _ in _passages(body, min_words)[1]:
+                    own |= seen.setdefault(digest, sentence) != sentence
+                if own:
+                    seen[_OWN] = 0
                 at += [i] * len(seen)
                 found += seen
             at, halves = pa.array(at, pa.int64()), np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
@@ -198,8 +210,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
     else:
         own = F.struct("doc", "print")
         first, last = F.min(own), F.max(own)
-    first = found.groupBy("hi", "lo").agg(first.alias("first"), last.alias("last")).filter("first < last").drop("last")
-    gone = found.join(first, ["hi", "lo"]).filter(own > F.col("first")).groupBy("doc", "print").agg(F.collect_set(digest).alias("gone"))
+    first = found.groupBy("hi", "lo").agg(first.alias("first"), last.alias("last")).filter("first < last OR hi = 0 AND lo = 0").drop("last")
+    gone = found.join(first, ["hi", "lo"]).filter((own > F.col("first")) | F.expr("hi = 0 AND lo = 0")).groupBy("doc", "print").agg(F.collect_set(digest).alias("gone"))
     others = len(fields) - 1
     joined = docs.select(*[c for i, c in enumerate(kept(fields)) if i != at], *keyed).join(gone, ["doc", "print"], "left").drop("doc", "print")
     schema = T.StructType([T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(fields)])
@@ -211,7 +223,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "body"):
             bodies, lists = part.column("body").to_pylist(), part.column("gone").to_pylist()
-            made = [(None, 0, []) if b is None else rebuild(b, frozenset(g or ()), min_words) for b, g in zip(bodies, lists, strict=True)]
+            # Most texts lose nothing, and needn't be cut into passages again.
+            made = [(None, 0, []) if b is None else rebuild(b, frozenset(g), min_words) if g else (b, _count(b), []) for b, g in zip(bodies, lists, strict=True)]
             columns = part.columns[:others]
             columns.insert(at, pa.array([t for t, _, _ in made], pa.binary()).cast(pa.string()))
             columns += [pa.array([n for _, n, _ in made], pa.int64()), pa.array([len(s) for _, _, s in made], pa.int64()), pa.array([s for _, _, s in made], spans_type)]
