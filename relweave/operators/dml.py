@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relweave.functions.collation import blind
 from relweave.operators.bands import numbered
 from relweave.sources.staging import staged
 
@@ -14,15 +15,18 @@ from relweave.sources.staging import staged
 def latest(source: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """One row per key: the last in `order`, or any of equal rows' kind where no order is given.
 
-    An aggregate, so copies of a key combine before the shuffle. Rows with a null in the key are dropped: nothing can match them.
+    An aggregate, so copies of a key combine before the shuffle. Rows with a
+    null in the key are dropped: nothing can match them. A key whose collation
+    takes several spellings for one has that of the row that is kept.
     """
-    rest = [c for c in source.columns if c not in keys]
+    spelt = any(blind(source.schema[k].dataType) for k in keys)
+    rest = source.columns if spelt else [c for c in source.columns if c not in keys]
     whole = source.dropna(subset=list(keys))
     if not rest:
         return whole.distinct()
     row = F.struct(*rest)
     picked = F.max_by(row, F.struct(F.col(order), row)) if order else F.max(row)
-    return whole.groupBy(*keys).agg(picked.alias("_row")).select(*keys, "_row.*").select(source.columns)
+    return whole.groupBy(*keys).agg(picked.alias("_row")).select(*([] if spelt else keys), "_row.*").select(source.columns)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relweave.catalog import CHECK, EXCLUDE, FOREIGN_KEY, PRIMARY_KEY, UNIQUE, Catalog
+from relweave.functions.collation import collated
 from relweave.operators import exclusion
 
 
@@ -72,8 +73,10 @@ def validate(tables: Mapping[str, DataFrame], catalog: Catalog) -> DataFrame:
 
     A table's checks and required columns are counted in one pass over it. A
     key's uniqueness and all references to it are one aggregate (see _key_rules).
+    Keys compare by the collations of their columns, references by their parents'.
     """
     found = []
+    tables = {t.name: collated(tables[t.name], t) for t in catalog.tables if t.name in tables and not t.ignore}
     note = lambda df, t, name, kind: df.select(F.lit(t).alias("table"), F.lit(name).alias("constraint"), F.lit(kind).alias("kind"), F.col("n_rows"))
     keys: dict[tuple[str, tuple[str, ...]], tuple[list, list]] = {}
     of = lambda table, columns: keys.setdefault((table, tuple(columns)), ([], []))

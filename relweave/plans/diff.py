@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,25 +13,34 @@ from relweave.plans import metadata
 
 # The order in which kinds of steps are safe to run.
 ORDER = {"drop view": 0, "drop constraint": 1, "drop index": 1, "drop table": 2, "create table": 3, "add column": 4, "alter column": 5, "drop column": 6, "add index": 7, "add constraint": 8, "create view": 9}
-# The wording of warnings, which the queries' readers go by.
+# Type pairs of which the second holds every value of the first; a limit on the second is looked at apart.
+WIDER = (("VARCHAR", "TEXT"), ("CIDR", "INET"), ("TEXT", "VARCHAR"))
 
 
 def warning(old: Column, new: Column) -> Column:
-    """What may go wrong when a column of the normalised type `old` becomes `new`; null if nothing can."""
-    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
-    pair = lambda a, b: (old["type"] == a) & (new["type"] == b)
-    o1, o2, n1, n2 = number(old["arg1"]), number(old["arg2"]), number(new["arg1"]), number(new["arg2"])
-    scale = F.when((o2 != n2) & (n2 != 0), "changing scale is unsafe")
-    precision = F.when((o1 > 0) & (n1 > 0) & (n1 < o1), "decreasing precision is unsafe")
-    both = F.concat_ws("; ", scale, precision)
-    return (
-        F.when(old == new, F.lit(None).cast("string"))
-        .when(pair("CIDR", "INET") | pair("VARCHAR", "TEXT"), F.lit(None).cast("string"))
-        .when(pair("TEXT", "VARCHAR"), F.when(new["arg1"] != "", "changing type to a limited one is unsafe"))
-        .when(pair("VARCHAR", "VARCHAR"), F.when((o1 > 0) & (n1 > 0) & (n1 < o1), "decreasing limit is unsafe"))
-        .when(pair("NUMERIC", "NUMERIC"), F.when(both != "", both))
-        .otherwise("changing type may be unsafe")
+    """What values may suffer when a column of the normalised type `old` becomes `new`; null if nothing.
+
+    A type is a name, a first number (a limit of length or of digits, none if
+    0) and a second (digits after the point). Values suffer by another name
+    that isn't a wider type's, by a lower limit, and by other digits after the point.
+    """
+    number = lambda side, arg: F.coalesce(side[arg].try_cast("int"), F.lit(0))
+    room = {side: F.when(number(c, "arg1") > 0, number(c, "arg1")) for side, c in (("old", old), ("new", new))}
+    unlimited = old["type"] == "TEXT"
+    tighter = room["new"].isNotNull() & (unlimited | (room["new"] < room["old"]))
+    texts = old["type"].isin("TEXT", "VARCHAR") & new["type"].isin("TEXT", "VARCHAR")
+    points = (old["type"] == "NUMERIC") & (number(new, "arg2") != 0) & (number(new, "arg2") != number(old, "arg2"))
+    kept = (old["type"] == new["type"]) | reduce(Column.__or__, [(old["type"] == a) & (new["type"] == b) for a, b in WIDER])
+    found = F.concat_ws(
+        "; ",
+        F.when(~kept, "values may not convert"),
+        F.when(kept & points, "digits after the point are kept to another number"),
+        F.when(kept & tighter & texts, "longer texts than the new limit don't fit"),
+        F.when(kept & tighter & ~texts, "longer numbers than the new limit don't fit"),
     )
+    # Types of one name other than these two say nothing about their numbers' meaning.
+    known = texts | old["type"].isin("NUMERIC", "CIDR") | (old["type"] != new["type"])
+    return F.when(old == new, None).when(known, F.when(found != "", found)).otherwise("values may not convert")
 
 
 def column_changes(old: DataFrame, new: DataFrame, dialect: str = "postgres") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave.catalog import CASCADE, EXCLUDE, NO_ACTION, RESTRICT, SET_DEFAULT, SET_NULL, Catalog, Column, Constraint, Table, sample_catalog
-from relweave.operators import actions, exclusion, integrity
+from relweave.functions import collation
+from relweave.operators import actions, dml, exclusion, integrity
 from relweave.queries import query, sample, table
 
 # --- exclusion: an order is open from its date for some days; every fiftieth has no end
@@ -124,3 +125,45 @@ for _name, _sql in {
     "supplier": "SELECT * REPLACE (CASE WHEN s_nationkey % 4 = 3 OR s_nationkey = 24 THEN s_nationkey ELSE 7 END AS s_nationkey) FROM supplier",
 }.items():
     query(_sql, f"renumber_nations__{_name}")(_renumbered(_name))
+
+
+# --- keys under collations
+
+_NAMES = "p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 3 = 1 THEN lower(p_name) ELSE p_name END AS p_name FROM (SELECT p_partkey, p_brand || ' ' || (p_partkey % 700) AS p_name FROM part))"
+_PARTS = Table("part", [Column("p_partkey", "BIGINT"), Column("p_name", "TEXT", collation="utf8mb4_0900_as_ci")], [Constraint("UNIQUE", ["p_name"])])
+
+
+def _spelt(spark, d):
+    k, name = F.col("p_partkey"), F.concat_ws(" ", "p_brand", (F.col("p_partkey") % 700).cast("string"))
+    return table(spark, d, "part").select(k, F.when(k % 3 == 0, F.upper(name)).when(k % 3 == 1, F.lower(name)).otherwise(name).alias("p_name"))
+
+
+@query(f"WITH {_NAMES} SELECT lower(p_name) AS p_name, count(*) AS n_rows FROM p GROUP BY 1 HAVING count(*) > 1")
+def collated_duplicates(spark, d):
+    """Part names that a case-blind collation takes for one."""
+    found = integrity.duplicates(collation.collated(_spelt(spark, d), _PARTS), ["p_name"])
+    return collation.plain(found).select(F.lower("p_name").alias("p_name"), "n_rows")
+
+
+@query(
+    f"""WITH {_NAMES}, s AS (SELECT max(p_partkey) AS p_partkey, upper(p_name) AS p_name FROM p WHERE p_partkey % 4 = 0 GROUP BY 2)
+    SELECT p_partkey, p_name FROM p WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM s) UNION ALL SELECT p_partkey, p_name FROM s"""
+)
+def collated_upsert(spark, d):
+    """Parts sent by name: a name in any spelling replaces the rows of that name, in the spelling of the last row sent."""
+    parts = _spelt(spark, d)
+    sent = parts.filter("p_partkey % 4 = 0").withColumn("p_name", F.upper("p_name"))
+    return collation.plain(dml.upsert(collation.collated(parts, _PARTS), collation.collated(sent, _PARTS), ["p_name"]))
+
+
+@query(
+    f"""WITH {_NAMES} SELECT * FROM (
+    SELECT 'part' AS "table", 'part_p_name_key' AS "constraint", 'UNIQUE' AS kind, sum(n)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM p GROUP BY lower(p_name)) WHERE n > 1
+    UNION ALL SELECT 'offer', 'offer_o_part_fkey', 'FOREIGN KEY', count(*) FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN 'no ' || p_name ELSE upper(p_name) END AS o_part FROM p) WHERE lower(o_part) NOT IN (SELECT lower(p_name) FROM p)) WHERE n_rows > 0"""
+)
+def validate_collated(spark, d):
+    """A unique and a foreign key of case-blind names."""
+    parts = _spelt(spark, d)
+    offers = parts.select(F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("no "), "p_name")).otherwise(F.upper("p_name")).alias("o_part"))
+    fk = Constraint("FOREIGN KEY", ["o_part"], references_table="part", references_columns=["p_name"])
+    return integrity.validate({"part": parts, "offer": offers}, Catalog("names", [_PARTS, Table("offer", [Column("o_part", "TEXT")], [fk])]))

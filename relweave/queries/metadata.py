@@ -188,9 +188,9 @@ _MOVES = list(itertools.product(_DECLARED, _DECLARED))
     f"""WITH t AS (SELECT d, CASE WHEN b IN ('INT4', 'INTEGER') THEN 'INT' ELSE b END AS b, coalesce(try_cast(regexp_extract(d, '\\((\\d+)', 1) AS INT), 0) AS a1, coalesce(try_cast(regexp_extract(d, ',(\\d+)', 1) AS INT), 0) AS a2
       FROM (SELECT d, upper(split_part(d, '(', 1)) AS b FROM {_values([(x,) for x in _DECLARED])} AS v(d)))
     SELECT o.d AS old, n.d AS new, CASE WHEN (o.b, o.a1, o.a2) = (n.b, n.a1, n.a2) OR (o.b || '>' || n.b) IN ('CIDR>INET', 'VARCHAR>TEXT') THEN NULL
-      WHEN o.b || '>' || n.b = 'TEXT>VARCHAR' THEN CASE WHEN n.a1 > 0 THEN 'changing type to a limited one is unsafe' END WHEN o.b <> n.b THEN 'changing type may be unsafe'
-      WHEN o.b = 'VARCHAR' THEN CASE WHEN n.a1 BETWEEN 1 AND o.a1 - 1 THEN 'decreasing limit is unsafe' END
-      ELSE nullif(concat_ws('; ', CASE WHEN o.a2 <> n.a2 AND n.a2 > 0 THEN 'changing scale is unsafe' END, CASE WHEN n.a1 BETWEEN 1 AND o.a1 - 1 THEN 'decreasing precision is unsafe' END), '') END AS warning FROM t o, t n"""
+      WHEN o.b || '>' || n.b = 'TEXT>VARCHAR' THEN CASE WHEN n.a1 > 0 THEN 'longer texts than the new limit don''t fit' END WHEN o.b <> n.b THEN 'values may not convert'
+      WHEN o.b = 'VARCHAR' THEN CASE WHEN n.a1 BETWEEN 1 AND o.a1 - 1 THEN 'longer texts than the new limit don''t fit' END
+      ELSE nullif(concat_ws('; ', CASE WHEN o.a2 <> n.a2 AND n.a2 > 0 THEN 'digits after the point are kept to another number' END, CASE WHEN n.a1 BETWEEN 1 AND o.a1 - 1 THEN 'longer numbers than the new limit don''t fit' END), '') END AS warning FROM t o, t n"""
 )
 def unsafe_type_changes(spark, d):
     """Every change between some declared types."""

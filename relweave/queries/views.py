@@ -207,3 +207,14 @@ def exists_rich_customer(spark, d):
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, json_extract_string(props, '$.k')::VARCHAR AS k FROM events GROUP BY event_type, k")
 def json_props(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query(
+    """WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1), ranked AS (SELECT c_custkey, c_nationkey, total FROM customer JOIN spent ON o_custkey = c_custkey)
+    SELECT n_name, count(*) AS n_customers, round(max(total), 2) AS best FROM ranked JOIN nation ON n_nationkey = c_nationkey WHERE total > (SELECT avg(total) FROM spent) GROUP BY 1"""
+)
+def customers_above_average(spark, d):
+    """Common table expressions, one of them read twice; tables are passed by name, so no view of the session's is replaced."""
+    text = """WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total FROM {orders} GROUP BY 1), ranked AS (SELECT c_custkey, c_nationkey, total FROM {customer} JOIN spent ON o_custkey = c_custkey)
+    SELECT n_name, count(*) AS n_customers, round(max(total), 2) AS best FROM ranked JOIN {nation} ON n_nationkey = c_nationkey WHERE total > (SELECT avg(total) FROM spent) GROUP BY 1"""
+    return spark.sql(text, **{n: table(spark, d, n) for n in ("orders", "customer", "nation")})

@@ -17,6 +17,7 @@ read, those that hold none aren't rewritten.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -245,22 +246,22 @@ def migrate(store: Store, files: DataFrame, run: Callable[[Batch, str], None], o
     due = [(r["filename"], r["checksum"]) for r in history.pending(files, past(store)).collect()]
     texts = {r["filename"]: r["text"] for r in files.filter(F.col("filename").isin([n for n, _ in due])).collect()}
 
-    def row(name: str, checksum: str, success: bool) -> DataFrame:
+    def note(batch: Batch, name: str, checksum: str, began: int, success: bool) -> None:
         kept = checksum if name.startswith("repeatable/") else None
-        return spark.createDataFrame([(name, kept)], "filename string, checksum string").select("filename", "checksum", F.current_timestamp().alias("started_at"), F.lit(0).cast("bigint").alias("time_taken_ns"), F.lit(success).alias("success"))
-
-    def note(batch: Batch, name: str, checksum: str, success: bool) -> None:
-        batch.put(HISTORY, history.record(past(batch), row(name, checksum, success)), ["filename"])
+        row = spark.createDataFrame([(name, kept, began // 1000, time.time_ns() - began, success)], "filename string, checksum string, at bigint, time_taken_ns bigint, success boolean")
+        row = row.select("filename", "checksum", F.timestamp_micros("at").alias("started_at"), "time_taken_ns", "success")
+        batch.put(HISTORY, history.record(past(batch), row), ["filename"])
 
     for group in [due] if one_batch else [[x] for x in due]:
-        at = None
+        at, began = group[0] if group else None, time.time_ns()
         try:
             with store.batch() as batch:
                 for at in group:
+                    began = time.time_ns()
                     run(batch, texts[at[0]])
-                    note(batch, *at, True)
+                    note(batch, *at, began, True)
         except Exception as e:  # whatever a script raises is recorded
             with store.batch() as batch:
-                note(batch, *at, False)
+                note(batch, *at, began, False)
             return e
     return None

@@ -137,3 +137,22 @@ def test_time_stamps_with_and_without_offsets(spark):
         finally:
             spark.conf.set("spark.sql.session.timeZone", before)
         assert {r["t"]: r["p"] and r["p"].ljust(19)[:26] for r in got} == {k: v and (v if "." not in v else v.rstrip("0")) for k, v in cases.items()}
+
+
+ZONED = ("customer_balance", "epoch_timestamps", "parse_timestamp_formats", "csv_encode_orders", "csv_decode_orders", "dump_and_load", "exclusion_overlapping_orders", "stamp_changed_customers")
+
+
+def test_queries_of_time_stamps_are_the_same_in_any_zone(spark, small):
+    import __spark_entry__ as entry
+
+    known, before = entry.queries(), spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ZONED:
+            found = []
+            for zone in ("UTC", "America/New_York"):
+                spark.conf.set("spark.sql.session.timeZone", zone)
+                df = known[name](spark, small)
+                found.append(sorted(map(repr, df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).collect())))
+            assert found[0] == found[1], name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

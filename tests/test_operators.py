@@ -253,3 +253,24 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
         assert {r["id"] for r in subset.closure({"t": t}, catalog, rows, down=False)["t"].collect()} == up
         assert {r["id"] for r in subset.closure({"t": t}, catalog, rows, down=True)["t"].collect()} == down
         assert rounds.count("reached") <= 2 * 12 + 2
+
+
+def test_collations_by_name():
+    from relweave.functions.collation import spark_collation
+
+    names = {"NOCASE": "UTF8_LCASE", "C": "UTF8_BINARY", "en_US.utf8": "UTF8_BINARY", "de-x-icu": "UTF8_BINARY", "utf8mb4_0900_ai_ci": "UNICODE_CI_AI", "utf8mb4_0900_as_ci": "UNICODE_CI", "utf8mb4_general_ci": "UNICODE_CI_AI", "utf8mb4_bin": "UTF8_BINARY", "utf8mb4_0900_as_cs": "UNICODE", "SQL_Latin1_General_CP1_CI_AS": "UNICODE_CI", "Latin1_General_100_CI_AI_SC": "UNICODE_CI_AI", "Latin1_General_CS_AI": "UNICODE_AI", "Latin1_General_BIN2": "UTF8_BINARY", "UTF8_LCASE": "UTF8_LCASE"}
+    assert {n: spark_collation(n) for n in names} == names
+
+
+def test_keys_follow_their_collation(spark):
+    from relweave.functions.collation import collated, plain
+
+    t = Table("t", [Column("k", "TEXT", collation="NOCASE"), Column("v", "INT")], [Constraint(PRIMARY_KEY, ["k"])])
+    target = spark.createDataFrame([("Ann", 1), ("bob", 2), (None, 3)], "k string, v int")
+    sent = spark.createDataFrame([("ANN", 10, 1), ("ann", 11, 2), ("EVE", 12, 1)], "k string, v int, at int")
+    out = plain(dml.upsert(collated(target, t), collated(sent, t), ["k"], "at"))
+    assert out.schema == target.schema and sorted(tuple(r) for r in out.dropna().collect()) == [("EVE", 12), ("ann", 11), ("bob", 2)] and out.count() == 4
+    twice = target.unionByName(spark.createDataFrame([("ANN", 5)], "k string, v int"))
+    assert [tuple(r) for r in integrity.validate({"t": twice}, Catalog("c", [t])).collect()] == [("t", "t_pkey", "PRIMARY KEY", 2)]
+    t.columns[0].collation = ""
+    assert integrity.validate({"t": twice}, Catalog("c", [t])).count() == 0
