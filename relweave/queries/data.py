@@ -72,13 +72,13 @@ for _name, _cte in {"nation": "n", "customer": "c", "supplier": "s", "orders": "
     query(_EXTENDED + _cte, f"extended_subset_nation__{_name}")(_extended(_name))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 1000 <> 0 THEN o_orderkey - 1 END AS o_before, o_custkey FROM orders WHERE o_orderkey % 1000 <= 700 AND (o_orderkey - o_orderkey % 1000 + 700) IN (SELECT o_orderkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 1000 <= 700 AND (o_orderkey - o_orderkey % 1000 + 700) IN (SELECT o_orderkey FROM orders)")
 def subset_chain_orders(spark, d):
     """Chains of a thousand orders, each after another: all that lead up to some, in ten rounds."""
     k = F.col("o_orderkey")
     orders = table(spark, d, "orders").select(k, F.when(k % 1000 != 0, k - 1).alias("o_before"), "o_custkey")
     chain = Table("orders", [Column("o_orderkey", "BIGINT"), Column("o_before", "BIGINT"), Column("o_custkey", "BIGINT")], [Constraint(PRIMARY_KEY, ["o_orderkey"]), Constraint(FOREIGN_KEY, ["o_before"], references_table="orders", references_columns=["o_orderkey"])])
-    return subset.subset({"orders": orders}, Catalog("chains", [chain]), {"orders": orders.filter(k % 1000 == 700)})["orders"]
+    return subset.subset({"orders": orders}, Catalog("chains", [chain]), {"orders": orders.filter(k % 1000 == 700)})["orders"].drop("o_before")
 
 
 # --- DML

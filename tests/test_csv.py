@@ -41,8 +41,7 @@ def content(rows, end):
 TEXTS = ["", "x", " y ", "two\nlines", "\n", "\n\nthree\n", 'a "quoted" word', '"', '""\n""', "comma, comma", "é\U0001f600\n ", "long " * 60 + "\n" + "more " * 40, "\r\nx", "tab\t", "\\N", "ends with \\"]
 
 
-@pytest.mark.parametrize("end", ["\n", "\r\n"])
-@pytest.mark.parametrize("size", [40, 333, 5000])
+@pytest.mark.parametrize(("end", "size"), [("\n", 40), ("\r\n", 333), ("\n", 5000)])
 def test_ranges_hold_what_the_file_holds(spark, tmp_path, small_ranges, size, end, monkeypatch):
     rng = random.Random(size)
     rows = [(i, rng.choice(TEXTS), rng.choice(TEXTS)) for i in range(120)]

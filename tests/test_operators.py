@@ -238,7 +238,7 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     rounds = []
     real = subset.staged
     monkeypatch.setattr(subset, "staged", lambda df, label: (rounds.append(label), real(df, label))[1])
-    for seeds in ([1000], [2002], [3037, 0], [5000, 6000], []):
+    for seeds in ([1000], [2002, 3037, 0, 5000, 6000], []):
         up, todo = set(seeds), list(seeds)
         while todo:
             p = parent[todo.pop()]

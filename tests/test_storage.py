@@ -136,7 +136,7 @@ def test_identity_is_gapless_and_stable(spark):
     assert rows(dml.with_identity(target.limit(0), new.limit(3), "id", ["v"])) == [(1, "n000"), (2, "n001"), (3, "n002")]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_upsert_by_any_key_is_one_insert_at_a_time(spark, seed):
     rng = random.Random(seed)
     pick = lambda n: rng.choice([None, *range(n)]) if rng.random() < 0.9 else rng.randrange(n)
