@@ -11,7 +11,7 @@ makes them.
 WARC files are read and written by Spark's text source with the record mark as
 line separator: reads split inside files, and no file passes through one row. A
 block may hold the mark itself; such a record is put together again from the
-pieces by its Content-Length.
+pieces by its Content-Length, over the borders of the ranges, too.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.llm.common import kept, pieces
+from relweave.llm.common import kept, pieces, staged
 from relweave.llm.markup import BLOCK, RAW, TAG, raw_end
 
 VERSION = "WARC/1.0"
@@ -279,46 +279,111 @@ def _size(headers: bytes) -> int:
     return int(size)
 
 
+# Between two pieces of a file stands this mark. Both versions' marks begin alike: the rest of the first line is cut off below.
+_MARK = f"{_END}WARC/1."
+WHOLE, BEGUN, GOING, ENDED = range(4)
+
+
+def _record(value: bytes) -> dict:
+    headers, _, block = value.partition(_END.encode())
+    size, fields = _size(headers), _fields(headers)
+    if len(block) < size or block[size:].strip():
+        raise ValueError(f"{value_of(fields, 'WARC-Record-ID')}: the block has {len(block)} bytes, its header says {size}")
+    get = lambda k: value_of(fields, k) or None
+    return {"record_id": get("WARC-Record-ID"), "type": get("WARC-Type"), "refers_to": get("WARC-Refers-To"), "target_uri": get("WARC-Target-URI"), "date": get("WARC-Date"), "content_type": get("Content-Type"), "payload_digest": get("WARC-Payload-Digest"), "block_digest": get("WARC-Block-Digest"), "headers": headers.decode("utf-8", "replace"), "block": block[:size]}
+
+
+def _joined(rows: Iterator[tuple], strict: bool) -> Iterator[tuple[str, int, int, int, int, bytes]]:
+    """file, block, seq, kind, lacks, bytes of the records that begin in a range, and of their pieces that leave it.
+
+    rows: value, file, block (first byte of the range) and owed (bytes that the
+    range begins with of a record before it). Without strict what has no length
+    is passed over: it may be the inside of a record that isn't known yet.
+    """
+    mark, at, held, lacks, kind, seq = _MARK.encode(), None, [], 0, WHOLE, 0
+    for value, file, block, owed in rows:
+        if (file, block) != at:
+            if held:
+                yield (*at, seq, kind, lacks, b"".join(held))
+            at, held, lacks, kind, seq = (file, block), [], owed, GOING if owed else BEGUN, 0
+        if held or kind == GOING:
+            held += [mark, value]
+            lacks -= len(mark) + len(value)
+        else:
+            record = value.partition(b"\r\n")[2]  # without the version, of which the mark may have left a digit
+            headers, _, block_bytes = record.partition(_END.encode())
+            try:
+                lacks = _size(headers) - len(block_bytes)
+            except ValueError:
+                if strict:
+                    raise
+                continue
+            held = [record]
+        if lacks <= 0:
+            yield (*at, seq, ENDED if kind == GOING else WHOLE, 0, b"".join(held))
+            held, kind, seq = [], BEGUN, seq + 1
+    if held:
+        yield (*at, seq, kind, lacks, b"".join(held))
+
+
 def parse(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files of version 1.0 or 1.1.
 
-    Where a block holds the record mark, it comes in several pieces, which a task
-    joins while the header says that more is due. A record that is cut short
-    fails the read, and so does one whose block holds the mark where a file is
-    split between tasks: read such a file compressed, whole, or in larger splits.
+    Where a block holds the record mark, it comes in several pieces, which a
+    task joins while the header says that more is due. What a range of a file
+    owes to the next one (a record that goes on past its end) is found in rounds,
+    the first of which assumes that every range begins with a record: as a rule
+    it is the last, too. A record that is cut short fails the read.
     """
-    # Both versions' marks begin alike: the rest of the first line is cut off below.
-    raw = spark.read.option("lineSep", f"{_END}WARC/1.").text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
-    mark = f"{_END}WARC/1.".encode()
-
-    def made(value: bytes) -> dict:
-        headers, _, block = value.partition(_END.encode())
-        size, fields = _size(headers), _fields(headers)
-        if len(block) < size or block[size:].strip():
-            raise ValueError(f"{value_of(fields, 'WARC-Record-ID')}: the block has {len(block)} bytes, its header says {size}")
-        get = lambda k: value_of(fields, k) or None
-        return {"record_id": get("WARC-Record-ID"), "type": get("WARC-Type"), "refers_to": get("WARC-Refers-To"), "target_uri": get("WARC-Target-URI"), "date": get("WARC-Date"), "content_type": get("Content-Type"), "payload_digest": get("WARC-Payload-Digest"), "block_digest": get("WARC-Block-Digest"), "headers": headers.decode("utf-8", "replace"), "block": block[:size]}
+    raw = spark.read.option("lineSep", _MARK).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []  # pieces of a record that is still short, and how many bytes it lacks
-        lacks, of = 0, None
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in pieces(batches, "value"):
+            yield from zip(*(part.column(c).to_pylist() for c in ("value", "file", "block", "owed")), strict=True)
+
+    def outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """file, block, lacks of every range: what it owes to the next one."""
+        ends: dict[tuple[str, int], int] = {}
+
+        def seen(source: Iterator[tuple]) -> Iterator[tuple]:
+            for r in source:
+                ends.setdefault((r[1], r[2]), 0)
+                yield r
+
+        for file, block, _, _, lacks, _ in _joined(seen(rows(batches)), False):
+            ends[file, block] = lacks
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in ends], pa.string()), pa.array([b for _, b in ends], pa.int64()), pa.array(list(ends.values()), pa.int64())], ["file", "block", "lacks"])
+
+    def owing(owed: DataFrame | None) -> DataFrame:
+        # A row for each range that begins inside a record: few, and no more than the ranges that the driver lists itself.
+        marked = raw.join(F.broadcast(owed), ["file", "block"], "left") if owed is not None else raw.withColumn("owed", F.lit(0))
+        return marked.select("value", "file", "block", F.coalesce("owed", F.lit(0)).cast("bigint").alias("owed"))
+
+    owed, before = None, None
+    while True:
+        ends = owing(owed).mapInArrow(outcome, "file string, block bigint, lacks bigint")
+        along = Window.partitionBy("file").orderBy("block")
+        owed = staged(ends.select("file", "block", F.lag("lacks").over(along).alias("owed")).filter("owed > 0"), "owed")
+        now = owed.agg(F.count("*"), F.sum(F.xxhash64("file", "block", "owed") % (1 << 40))).first()
+        if now == before or not now[0]:
+            break
+        before = now
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file, block, seq, kind, lacks, value in _joined(rows(batches), True):
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([seq], pa.int64()), pa.array([kind], pa.int32()), pa.array([value], pa.binary())], ["file", "block", "seq", "kind", "value"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "value"):
-            rows = []
-            for value, file in zip(part.column("value").to_pylist(), part.column("file").to_pylist(), strict=True):
-                if held and of != file:
-                    made(b"".join(held))  # fails: it was still short
-                if held:
-                    held += [mark, value]
-                    lacks -= len(mark) + len(value)
-                else:
-                    record = value.partition(b"\r\n")[2]  # without the version, of which the mark may have left a digit
-                    headers, _, block = record.partition(_END.encode())
-                    held, lacks, of = [record], _size(headers) - len(block), file
-                if lacks <= 0:
-                    rows.append(made(b"".join(held)))
-                    held = []
-            yield _batch(rows)
-        if held:
-            yield _batch([made(b"".join(held))])
-
-    return raw.mapInArrow(run, SCHEMA)
+            yield _batch([_record(v) for v in part.column("value").to_pylist()])
+
+    found = owing(owed if now[0] else None).mapInArrow(cut, "file string, block bigint, seq bigint, kind int, value binary")
+    whole = found.filter(F.col("kind") == WHOLE).select("value")
+    if now[0]:
+        left = staged(found.filter(F.col("kind") != WHOLE), "pieces")
+        begun = F.sum((F.col("kind") == BEGUN).cast("int")).over(Window.partitionBy("file").orderBy("block", "seq"))
+        joined = left.withColumn("of", begun).groupBy("file", "of").agg(F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("p"))
+        whole = whole.unionByName(joined.select(F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["value"])).alias("value")))
+    else:
+        whole = found.select("value")  # a last record that is cut short fails as such
+    return whole.mapInArrow(made, SCHEMA)

@@ -138,6 +138,30 @@ def test_blocks_full_of_marks_take_linear_time(spark, tmp_path):
     assert took[1] < 10 + 4 * took[0]
 
 
+def test_records_over_the_borders_of_ranges(spark, tmp_path):
+    """Files inside files: blocks that hold whole WARC records, read in ranges far smaller than a block."""
+    import random
+
+    rng = random.Random(4)
+    one = lambda i, block: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    inner = lambda n: b"".join(one(f"in{k}", b"x" * rng.randrange(200)) for k in range(n))
+    blocks = [rng.choice([b"", b"plain", inner(3), inner(40), b"\r\n\r\nWARC/1.0\r\n" * 50, b"y" * 3000]) for _ in range(60)]
+    (tmp_path / "w").mkdir()
+    for k in (0, 1):
+        (tmp_path / "w" / f"{k}.warc").write_bytes(b"".join(one(i, b) for i, b in enumerate(blocks) if i % 2 == k))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for size in (700, 20_000):
+            spark.conf.set(names[0], str(size))
+            spark.conf.set(names[1], "1")
+            got = {r["record_id"]: bytes(r["block"]) for r in warc.parse(spark, str(tmp_path / "w")).collect()}
+            assert got == {f"<urn:{i}>": b for i, b in enumerate(blocks)}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 class Text(HTMLParser):
     def __init__(self):
         super().__init__()
