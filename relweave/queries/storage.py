@@ -201,7 +201,7 @@ def csv_one_file_in_ranges(spark, d):
     n = F.col("l_linenumber") % 4
     note = F.when(n == 1, F.concat(F.lit('said "'), "l_returnflag", F.lit('",\n\nthen ""\n'))).when(n == 2, "").when(n == 3, F.concat(F.lit("plain, "), "l_linestatus"))
     path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}.csv"
-    files.write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", note.alias("note")).coalesce(1), path)
+    files.write_csv_file(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", note.alias("note")), path)
     fields = [("l_orderkey", T.LongType()), ("l_linenumber", T.IntegerType()), ("l_quantity", T.DoubleType()), ("note", T.StringType())]
     return files.read_csv(spark, path, fields, split=True).groupBy("l_orderkey", "l_linenumber", "l_quantity", "note").agg(F.count("*").alias("n_rows"))
 

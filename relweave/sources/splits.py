@@ -13,7 +13,10 @@ says: a single quote inside a field without quotes would count for a border.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,47 +42,76 @@ def ranges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file", "block").agg(quotes.alias("quotes")).select("file", "block", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records, and pieces of those that leave their range. Lines come in order, those of a range together."""
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-    at, seq, odd, held, kind = None, 0, False, [], WHOLE
+def _pieces(batches: Iterator[pa.RecordBatch], few: bool) -> Iterator[pa.RecordBatch]:
+    """Either the few pieces of records that leave their range, with a file's first record, or all other records. Lines come in order, those of a range together."""
+    at, seq, odd, held, kind = None, 0, 0, [], WHOLE
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "seq", "piece", "text"])
+    def batch(seqs, piece: int, texts) -> pa.RecordBatch:
+        n = len(texts)
+        columns = [pa.repeat(pa.scalar(at[0], pa.string()), n), pa.repeat(pa.scalar(at[1], pa.int64()), n), pa.array(seqs, pa.int64()), pa.repeat(pa.scalar(piece, pa.int32()), n), texts]
+        return pa.RecordBatch.from_arrays(columns, ["file", "block", "seq", "piece", "text"])
+
+    def left() -> Iterator[pa.RecordBatch]:
+        if held and few:
+            yield batch([seq], kind, pa.array(["\n".join(held)], pa.string()))
 
     for part in batches:
-        out: list[tuple] = []
-        turns = pc.count_substring(part.column("value"), '"').to_pylist()
-        for file, block, value, inside, n in zip(*(part.column(c).to_pylist() for c in ("file", "block", "value", "inside")), turns, strict=True):
-            if (file, block) != at:
-                if held:
-                    out.append((*at, seq, kind, "\n".join(held)))
-                at, seq, odd, held, kind = (file, block), 0, inside, [], GOING if inside else BEGUN
-            held.append(value)
-            odd ^= n % 2 == 1
-            if not odd:
-                text = "\n".join(held).removesuffix("\r")
-                if text or kind == GOING:
-                    out.append((*at, seq, ENDED if kind == GOING else WHOLE, text))
-                    seq += 1
-                held, kind = [], BEGUN
-        if out:
-            yield batch(out)
-    if held:
-        yield batch([(*at, seq, kind, "\n".join(held))])
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, seq and record of a file or folder; a record stands where it begins, and (block, seq) goes up along a file. Blank lines are none."""
+        files, blocks, insides, values = (part.column(c) for c in ("file", "block", "inside", "value"))
+        n = part.num_rows
+        turns = pc.count_substring(values, '"').to_numpy() & 1
+        other = pc.or_(pc.not_equal(files.slice(1), files.slice(0, n - 1)), pc.not_equal(blocks.slice(1), blocks.slice(0, n - 1))) if n > 1 else []
+        borders = [0, *(np.flatnonzero(np.asarray(other)) + 1).tolist(), n] if n else []
+        for low, high in pairwise(borders):
+            here = (files[low].as_py(), blocks[low].as_py())
+            if here != at:
+                yield from left()
+                inside = insides[low].as_py()
+                at, seq, odd, held, kind = here, 0, int(inside), [], GOING if inside else BEGUN
+            run = values.slice(low, high - low)
+            parity = (np.cumsum(turns[low:high]) + odd) & 1
+            odd = int(parity[-1])
+            ends = np.flatnonzero(parity == 0) + 1
+            if not len(ends):
+                held += run.to_pylist()
+                continue
+            # The first record may have begun in earlier batches or ranges; the others are whole.
+            first = "\n".join([*held, *run.slice(0, ends[0]).to_pylist()]).removesuffix("\r")
+            if first or kind == GOING:
+                if few == (kind == GOING or (at[1] == 0 and seq == 0)):
+                    yield batch([seq], ENDED if kind == GOING else WHOLE, pa.array([first], pa.string()))
+                seq += 1
+            size = int(ends[-1] - ends[0])
+            if size:
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), run.slice(ends[0], size)), "\n")
+                returns = pc.ends_with(texts, "\r")
+                if pc.any(returns).as_py():
+                    texts = pc.if_else(returns, pc.utf8_slice_codeunits(texts, 0, -1), texts)
+                texts = texts.filter(pc.not_equal(texts, ""))
+                head = 1 if at[1] == 0 and seq == 0 and len(texts) else 0
+                shown = texts.slice(0, head) if few else texts.slice(head)
+                if len(shown):
+                    yield batch(np.arange(len(shown)) + (seq if few else seq + head), WHOLE, shown)
+                seq += len(texts)
+            held, kind = run.slice(ends[-1]).to_pylist(), BEGUN
+    yield from left()
+
+
+def records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """file, block, seq and record of a file or folder: first the few records that files begin with or that cross the border of a range, staged, then all others.
+
+    A record stands where it begins, and (block, seq) goes up along a file, from (0, 0). Blank lines are none.
+    """
     rows = lines(spark, path)
     state = staged(ranges(rows), "ranges").filter("inside")
     if state.count() <= SENT_RANGES:
         marked = rows.join(F.broadcast(state), ["file", "block"], "left")
     else:
         marked = rows.join(state, ["file", "block"], "left").repartition("file", "block").sortWithinPartitions("file", "block", "at")
-    pieces = marked.select("file", "block", "value", F.coalesce("inside", F.lit(False)).alias("inside")).mapInArrow(_pieces, "file string, block bigint, seq bigint, piece int, text string")
-    cut = staged(pieces.filter(F.col("piece") != WHOLE), "pieces")  # two a range at most
+    marked = marked.select("file", "block", "value", F.coalesce("inside", F.lit(False)).alias("inside"))
+    pieces = lambda few: marked.mapInArrow(partial(_pieces, few=few), "file string, block bigint, seq bigint, piece int, text string")
+    cut = staged(pieces(True), "pieces")  # three a range at most
     begun = F.sum((F.col("piece") == BEGUN).cast("int")).over(Window.partitionBy("file").orderBy("block", "seq"))
-    joined = cut.withColumn("of", begun).groupBy("file", "of").agg(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))).alias("p"))
+    joined = cut.filter(F.col("piece") != WHOLE).withColumn("of", begun).groupBy("file", "of").agg(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))).alias("p"))
     met = joined.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["seq"].alias("seq"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("record"))
-    return pieces.filter(F.col("piece") == WHOLE).select("file", "block", "seq", F.col("text").alias("record")).unionByName(met)
+    whole = lambda df: df.filter(F.col("piece") == WHOLE).select("file", "block", "seq", F.col("text").alias("record"))
+    return whole(cut).unionByName(met), whole(pieces(False))

@@ -83,6 +83,29 @@ def test_written_values_come_back_as_they_were(spark, tmp_path, split):
     assert files.read_csv(spark, str(tmp_path / "one.csv"), [("a", T.StringType())], split=split).count() == df.count()
 
 
+def test_one_file_is_made_by_many_tasks(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 6).select("id", F.array(*map(F.lit, TEXTS[:14]))[(F.col("id") % 14).cast("int")].alias("a, b"))
+    df = df.withColumn("task", F.spark_partition_id())
+    files.write_csv_file(df, str(tmp_path / "t.csv"))
+    assert len(list((tmp_path / "t.csv").glob("part-*"))) == 1
+    fields = [("id", T.LongType()), ("a, b", T.StringType()), ("task", T.IntegerType())]
+    got = files.read_csv(spark, str(tmp_path / "t.csv"), fields, split=True, place="at").orderBy("at").drop("at").collect()
+    assert got == df.collect() and {r["task"] for r in got} == set(range(6))
+
+
+def test_a_file_is_cut_in_two_passes(spark, tmp_path, small_ranges, monkeypatch):
+    """One pass for what crosses ranges and for headers, one for all other records: no task returns the rest twice."""
+    (tmp_path / "t.csv").write_bytes(content([(i, "x\ny", "z") for i in range(500)], "\n").encode())
+    small_ranges(700)
+    passed, real = [], splits.staged
+    monkeypatch.setattr(splits, "staged", lambda df, label: (passed.append((label, real(df, label))), passed[-1][1])[1])
+    few, rest = splits.records(spark, str(tmp_path / "t.csv"))
+    pieces = dict(passed)["pieces"]
+    ranges = dict(passed)["ranges"].count()
+    assert ranges > 5 and pieces.count() <= 2 * ranges + 1 and few.filter("block = 0 AND seq = 0").collect()[0]["record"] == "id,a,b"
+    assert few.count() + rest.count() == 501 and rest.filter("block = 0 AND seq = 0").count() == 0
+
+
 KEYED = Catalog("c", [Table("t", [Column("k", "INT"), Column("v", "TEXT")], [Constraint(PRIMARY_KEY, ["k"])]), Table("bare", [Column("v", "TEXT")])])
 
 
