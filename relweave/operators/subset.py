@@ -4,8 +4,8 @@ Seed rows are closed over the foreign-key graph: upstream (rows that included
 rows reference) or extended (first downstream, rows that reference included
 rows, then upstream of all of them). Every step is a semi-join on the key
 columns alone. An acyclic graph is one pass in topological order, in which the
-keys of a table that several references leave from are staged, so that no path
-to it is computed twice; tables that reach each other through a cycle are
+keys of a table that several references leave from are staged, and downwards
+all keys, so that no path to it is computed twice; tables that reach each other through a cycle are
 iterated on staged keys, each round from the keys that the last one brought.
 
 `paths=True` follows the older, path-limited rule instead: each foreign key is
@@ -62,8 +62,11 @@ def _any(table: DataFrame, conditions: list[tuple[tuple[str, ...], DataFrame]])
     return out.filter(hit).select(table.columns)
 
 
-def closure(tables: Tables, catalog: Catalog, start: Mapping[str, DataFrame], down: bool, follow: Callable[[ForeignKey], bool] = lambda _: True) -> dict[str, DataFrame]:
-    """Rows reached from `start` by the foreign keys that are followed: up to what rows reference, or down to what references them."""
+def closure(tables: Tables, catalog: Catalog, start: Mapping[str, DataFrame], down: bool, follow: Callable[[ForeignKey], bool] = lambda _: True, own: bool = False) -> dict[str, DataFrame]:
+    """Rows reached from `start` by the foreign keys that are followed: up to what rows reference, or down to what references them.
+
+    own: the rows of start are the tables' own, each as often as there, so that a table that nothing else reaches needn't be searched for them.
+    """
     fks = [k for k in catalog.foreign_keys() if k.child in tables and k.parent in tables and follow(k)]
     ends = [(k, *((k.parent, k.child) if down else (k.child, k.parent))) for k in fks]
     have: dict[str, DataFrame] = {}
@@ -72,7 +75,9 @@ def closure(tables: Tables, catalog: Catalog, start: Mapping[str, DataFrame], do
         inner = [(k, a, b) for k, a, b in ends if a in group and b in group]
         for name in group:
             outer = [_hits(k, leave[a], down) for k, a, b in ends if b == name and a in leave and a not in group]
-            if name in start:
+            if name in start and own and not outer:
+                have[name] = start[name]
+            elif name in start:
                 outer.append(identity(catalog, name, start[name]))
             if outer:
                 have[name] = _any(tables[name], outer)
@@ -84,7 +89,8 @@ def closure(tables: Tables, catalog: Catalog, start: Mapping[str, DataFrame], do
             if name in have and ways:
                 needed = sorted({c for k in ways for c in (k.parent_columns if down else k.columns)})
                 keys = have[name].select(*needed)
-                leave[name] = staged(keys.distinct(), "keys") if len(ways) > 1 else keys
+                # Downwards keys lead to larger tables, which stay in place where Spark knows that the keys are few.
+                leave[name] = staged(keys.distinct(), "keys") if down or len(ways) > 1 else keys
     return have
 
 
@@ -169,7 +175,7 @@ def subset(tables: Tables, catalog: Catalog, seeds: Mapping[str, DataFrame | lis
         return _by_paths(tables, catalog, start, extended)
     if extended:
         start = closure(tables, catalog, start, down=True)
-    return closure(tables, catalog, start, down=False)
+    return closure(tables, catalog, start, down=False, own=extended)
 
 
 def _by_paths(tables: Tables, catalog: Catalog, start: dict[str, DataFrame], extended: bool) -> dict[str, DataFrame]:

@@ -56,6 +56,19 @@ def test_extended_subset_and_dangling_keys(shop):
             assert integrity.orphans(got[k.child], k.columns, got[k.parent], k.parent_columns).count() == 0
 
 
+def test_extended_rows_without_a_key_stay_as_they_are(spark):
+    """Rows that the way down found aren't searched for again by all their columns, where nulls would meet nothing."""
+    rows = {"a": ("id int", [(1,), (2,)]), "b": ("id int, a int", [(1, 1), (2, 2)]), "c": ("a int, b int, text string", [(1, 2, None), (1, 2, None), (2, None, "x"), (1, None, "y"), (None, 1, None)])}
+    tables = {n: spark.createDataFrame(r, s) for n, (s, r) in rows.items()}
+    key = Constraint(PRIMARY_KEY, ["id"])
+    columns = {"a": ["id"], "b": ["id", "a"], "c": ["a", "b", "text"]}
+    keys = {"a": [key], "b": [key, fk("a", "a", "id")], "c": [fk("a", "a", "id"), fk("b", "b", "id")]}
+    catalog = Catalog("abc", [Table(n, [Column(c, "TEXT" if c == "text" else "INT") for c in columns[n]], keys[n]) for n in columns])
+    got = subset.subset(tables, catalog, {"a": tables["a"].filter("id = 1")}, extended=True)
+    assert sorted(map(repr, map(tuple, got["c"].collect()))) == sorted(map(repr, [(1, 2, None), (1, 2, None), (1, None, "y"), (None, 1, None)]))
+    assert ids(got["b"]) == [(1, 1), (2, 2)] and ids(got["a"]) == [(1,), (2,)]
+
+
 def test_path_limited_subset_leaves_out_cycles(shop):
     tables, catalog = shop
     got = subset.subset(tables, catalog, {"staff": tables["staff"].filter("staff_id = 3")}, paths=True)
