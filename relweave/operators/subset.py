@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relweave.catalog import Catalog, ForeignKey, strongly_connected
 from relweave.sources.staging import staged
@@ -100,6 +102,10 @@ def identity(catalog: Catalog, name: str, rows: DataFrame) -> tuple[tuple[str, .
     return tuple(key), rows.select(*key)
 
 
+#: A table with more references to itself than this first gets every fourth row spliced out, again and again but so often at most.
+SPLICED_ROWS, SPLICES = 1_000_000, 16
+
+
 def _double(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner: list, down: bool) -> None:
     """Extends a table along its one reference to itself, in as many rounds as the longest chain has binary digits.
 
@@ -107,13 +113,26 @@ def _double(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner:
     pointers twice as long as the last one's, from all that is reached or, down,
     to it. A round that reaches nothing new is the last: what twice its reach
     would bring lies one such pointer from something that it would have brought.
+
+    Each round passes all pointers, so many pointers are made fewer first, by
+    rounds of `_spliced` that take geometrically less, and what these took out
+    is put back afterwards, last round first.
     """
     (k, name, _), = inner
     table, n = tables[name], range(len(k.columns))
     node, up = [f"node{i}" for i in n], [f"up{i}" for i in n]
     start, goal = (up, node) if down else (node, up)
-    hop = staged(_keyed(table, (*k.parent_columns, *k.columns), (*node, *up)).dropna(), "hops")
+    # A reference that its parent's key can't hold leads nowhere.
+    typed = [F.col(c).try_cast(table.schema[p].dataType).alias(u) for c, p, u in zip(k.columns, k.parent_columns, up, strict=True)]
+    hop = staged(table.select(*[F.col(c).alias(m) for c, m in zip(k.parent_columns, node, strict=True)], *typed).dropna(), "hops")
     reached = staged(_keyed(have[name], k.parent_columns, node).dropna().distinct(), "reached")
+    put_back = []
+    # Equal keys have equal hashes for sure where they have one form only.
+    if all(isinstance(f.dataType, (T.IntegralType, T.DateType)) for f in hop.schema):
+        while len(put_back) < SPLICES and hop.count() > SPLICED_ROWS:
+            hop, marks, ways = _spliced(hop, reached, len(put_back), down)
+            reached = reached.unionByName(marks)
+            put_back.append(ways)
     while True:
         come = _keyed(hop.join(_keyed(reached, node, start), start, "left_semi"), goal, node).distinct()
         new = staged(come.join(reached, node, "left_anti"), "reached")
@@ -122,12 +141,40 @@ def _double(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner:
         reached = reached.unionByName(new)
         further = _keyed(hop, (*node, *up), (*[f"mid{i}" for i in n], *[f"far{i}" for i in n]))
         hop = staged(hop.join(further, [F.col(f"up{i}") == F.col(f"mid{i}") for i in n]).select(*node, *[F.col(f"far{i}").alias(f"up{i}") for i in n]), "hops")
+    for ways in reversed(put_back):
+        back = ways.join(_keyed(reached, node, [f"from{i}" for i in n]), [f"from{i}" for i in n], "left_semi").select(*node).distinct()
+        reached = reached.unionByName(staged(back, "back"))
     conditions = [identity(catalog, name, have[name]), (k.parent_columns, _keyed(reached, node, k.parent_columns))]
     if down:
         conditions.append((k.columns, _keyed(reached, node, k.columns)))
     have[name] = _any(table, conditions)
 
 
+def _spliced(hop: DataFrame, reached: DataFrame, turn: int, down: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pointers without about a fourth of the nodes, what is reached from such as are taken out, and the ways (from, node) by which these are reached from others.
+
+    A node is taken out if a coin says so and another one keeps its parent, so
+    no two in a row are; who pointed to it now points to its parent.
+    """
+    node, up = ([c for c in hop.columns if c.startswith(p)] for p in ("node", "up"))
+    n = range(len(node))
+    mid, far, origin = ([f"{p}{i}" for i in n] for p in ("mid", "far", "from"))
+    coin = lambda columns: F.xxhash64(F.lit(turn), *columns) % 2 == 0
+    taken = hop.filter(coin(node) & ~coin(up))
+    asking = hop.filter(coin(up)).join(_keyed(taken, (*node, *up), (*mid, *far)), [F.col(u) == F.col(m) for u, m in zip(up, mid, strict=True)], "left")
+    hit = F.col(mid[0]).isNotNull()
+    jumped = asking.select(*node, *mid, *[F.when(hit, F.col(f)).otherwise(F.col(u)).alias(u) for f, u in zip(far, up, strict=True)])
+    others = hop.filter(~coin(node) & ~coin(up)).select(*node, *[F.lit(None).cast(hop.schema[c].dataType).alias(m) for c, m in zip(node, mid, strict=True)], *up)
+    spliced = staged(jumped.unionByName(others), "spliced")
+    pairs = spliced.filter(hit).select(*node, *mid)
+    # Up, whoever points to a node reaches it, and a reached node its parent; down, the other way round.
+    ways = _keyed(taken, (*up, *node), (*origin, *node)) if down else _keyed(pairs, (*node, *mid), (*origin, *node))
+    led = _keyed(pairs, (*mid, *node), (*origin, *node)) if down else _keyed(taken, (*node, *up), (*origin, *node))
+    marks = staged(led.join(_keyed(reached, node, origin), origin, "left_semi").select(*node).distinct(), "marks")
+    away = reduce(Column.__or__, [F.col(a) != F.col(b) for a, b in zip(node, up, strict=True)])
+    return spliced.filter(away).select(*node, *up), marks, ways
+
+
 def _iterate(tables: Tables, catalog: Catalog, have: dict[str, DataFrame], inner: list, down: bool) -> None:
     """Extends the tables of a cycle until none grows. Only identities of rows, and what the references need, are staged."""
     names = sorted({b for _, _, b in inner} | {a for _, a, _ in inner})

@@ -268,6 +268,32 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
         assert rounds.count("reached") <= 2 * 12 + 2
 
 
+def test_a_long_chain_passes_few_pointers(spark, monkeypatch):
+    """Large tables that reference themselves are made smaller first: all rounds together pass a few times the table, and reach the same."""
+    catalog = Catalog("c", [Table("t", [Column("id", "BIGINT"), Column("up", "INT")], [Constraint(PRIMARY_KEY, ["id"]), fk("up", "t", "id")])])
+    parent = {i: i - 1 for i in range(1, 1001)} | {0: None} | {2000: 2004, **{i: i - 1 for i in range(2001, 2005)}} | {i: (i - 3000) // 2 + 2999 if i > 3000 else None for i in range(3000, 3040)} | {5000: 5000, 6000: 9999, 7000: 7001, 7001: 7000}
+    t = spark.createDataFrame(list(parent.items()), "id bigint, up int").repartition(2)
+    passed, real = [], subset.staged
+    monkeypatch.setattr(subset, "staged", lambda df, label: (passed.append((label, real(df, label))), passed[-1][1])[1])
+    monkeypatch.setattr(subset, "SPLICED_ROWS", 300)
+    for seeds in ([500, 2002, 3037, 3007, 5000, 6000, 7001],):
+        up, todo = set(seeds), list(seeds)
+        while todo:
+            p = parent[todo.pop()]
+            if p in parent and p not in up:
+                up.add(p)
+                todo.append(p)
+        down = set(seeds)
+        while more := {i for i, p in parent.items() if p in down} - down:
+            down |= more
+        rows = {"t": t.filter(F.col("id").isin(seeds))}
+        for way, want in ((False, up), (True, down)):
+            passed.clear()
+            got = [r["id"] for r in subset.closure({"t": t}, catalog, rows, down=way)["t"].collect()]
+            assert sorted(got) == sorted(want)
+        assert sum(df.count() for label, df in passed if label in ("hops", "spliced")) < 6 * len(parent)
+
+
 def test_collations_by_name():
     from relweave.functions.collation import spark_collation
 
